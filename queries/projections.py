@@ -99,7 +99,7 @@ def whole_sky(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DETECTIONS = """
 det AS (
-  SELECT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS epoch,
+  SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS INTEGER) AS epoch,
          CAST(event_id AS VARCHAR) AS source_id, user_id AS star,
          CAST(89.90 AS DOUBLE) + CAST(user_id % 50 AS DOUBLE) * CAST(0.11 AS DOUBLE)
            + CAST((event_id * 7) % 11 - 5 AS DOUBLE) * 1e-4 AS ra,

@@ -78,10 +78,7 @@ def with_sky_cell(
 
     The formula is a chain of projections: each step refers to the columns of
     the one before, so nothing is computed twice and the generated method stays
-    below the size the JIT compiler accepts. A missing coordinate gives cell -1;
-    a result that is never null spares joins on it an extra filter. To filter
-    by cell, store the cell first (the ingest does): a filter on the computed
-    column would be rewritten in terms of ra and dec.
+    below the size the JIT compiler accepts. A missing coordinate gives cell -1.
     """
     _check(order)
     n = 1 << order
@@ -121,8 +118,11 @@ def with_sky_cell(
                 ELSE _up END AS _y""",
     )
     cell = f"shiftleft(_face, {2 * order}) + {_spread('_x')} + shiftleft({_spread('_y')}, 1)"
+    # The one-element generator keeps the optimizer from rewriting a later filter
+    # on the cell in terms of ra and dec, which would repeat the whole chain.
     return square.selectExpr(
-        *[k for k in kept if k != f"`{name}`"], f"coalesce({cell}, -1L) AS `{name}`"
+        *[k for k in kept if k != f"`{name}`"],
+        f"inline(array(named_struct('{name}', coalesce({cell}, -1L))))",
     )
 
 
