@@ -22,4 +22,10 @@ def register(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from queries import border_queries, cell_queries, join_queries, series_queries  # noqa: F401
+    from queries import (  # noqa: F401
+        border_queries,
+        cell_queries,
+        join_queries,
+        series_queries,
+        source_queries,
+    )
