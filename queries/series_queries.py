@@ -7,6 +7,7 @@ from queries import sql as S
 from queries.registry import register
 from starloom.operators import series as A
 from starloom.plans.fold import FoldOptions, fold_series
+from starloom.plans.percell import fold_per_cell
 
 # The fold, epoch by epoch, as a recursive query over positions (no truth label).
 FOLD = f"""
@@ -31,6 +32,11 @@ def series_fold(spark, sf_dir):
     return fold_series(P.observations(spark, sf_dir)).pairs
 
 
+@register("series_per_cell", SERIES + f" SELECT {PAIR_COLUMNS} FROM p")
+def series_per_cell(spark, sf_dir):
+    return fold_per_cell(P.observations(spark, sf_dir)).pairs
+
+
 @register("epoch_references", SERIES + " SELECT object_id, epoch FROM objects")
 def epoch_references(spark, sf_dir):
     return fold_series(P.observations(spark, sf_dir)).references.select("object_id", "epoch")

@@ -59,17 +59,24 @@ class Series:
 COLUMNS = ["source_id", "epoch", "ra", "dec", "mag", "cell"]
 
 
-def prepare(observations: DataFrame, options: FoldOptions) -> DataFrame:
-    """Narrow the rows to what the fold needs and add its keys."""
+def add_keys(observations: DataFrame, options: FoldOptions) -> DataFrame:
+    """Narrow the rows to what the fold needs and add its cells."""
     grid = options.match_grid()
     mag = F.col("mag") if "mag" in observations.columns else F.lit(None).cast("double")
-    slim = observations.select("source_id", F.col("epoch").cast("int").alias("epoch"), "ra", "dec", mag.alias("mag"))
-    keyed = with_sky_cell(slim, "_micro", grid.micro_order).withColumns(
+    slim = observations.select(
+        "source_id", F.col("epoch").cast("int").alias("epoch"), "ra", "dec", mag.alias("mag")
+    )
+    return with_sky_cell(slim, "_micro", grid.micro_order).withColumns(
         {
             "_key": cell_parent("_micro", grid.micro_order, grid.order),
             "cell": cell_parent("_micro", grid.micro_order, min(CELL_ORDER, grid.order)),
         }
     )
+
+
+def prepare(observations: DataFrame, options: FoldOptions) -> DataFrame:
+    """Keyed rows; cells with too many rows for one task are spread over slots."""
+    keyed = add_keys(observations, options)
     return assign_slot(keyed, hot_keys(keyed, "_key", options.rows_per_task), "_key")
 
 
@@ -84,6 +91,10 @@ class Resolver:
         self.hot = workspace.save(hot_keys(rows, "_key", options.rows_per_task), "hot_keys")
         self.near = near(options.radius_deg2)
 
+    def with_slots(self, df: DataFrame) -> DataFrame:
+        """Keys for further rows, spread over the same slots as the stored ones."""
+        return assign_slot(add_keys(df, self.options), self.hot, "_key")
+
     def as_reference(self, df: DataFrame) -> DataFrame:
         """Copies of references for every cell and slot they have to be seen in."""
         return copy_to_slots(key_reference(df, self.grid), self.hot, "_key")
