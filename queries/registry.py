@@ -28,4 +28,5 @@ def load() -> None:
         join_queries,
         series_queries,
         source_queries,
+        stream_queries,
     )
