@@ -48,7 +48,8 @@ def decide_cell(rows: pd.DataFrame, radius_deg2: float) -> pd.DataFrame:
     founder = np.zeros(len(rows), dtype=bool)
     founder[founders] = True
     told = np.concatenate([founders, unsettled[own[unsettled]]])
-    return rows.iloc[told][["source_id", "epoch", "ra", "dec", "mag"]].assign(founder=founder[told])
+    out = rows.iloc[told][["source_id", "epoch", "ra", "dec", "mag"]]
+    return out.assign(founder=founder[told]).astype({"source_id": object})
 
 
 def fold_per_cell(

@@ -43,7 +43,7 @@ class CellFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         refs = pd.DataFrame(list(self.references.get()), columns=COLUMNS)
-        batch = pd.concat(list(rows), ignore_index=True)
+        batch = pd.concat(list(rows), ignore_index=True).astype({"source_id": object})
         pairs = []
         for _, now in batch.groupby("epoch", sort=True):
             refs, found = self.step(refs, now.reset_index(drop=True))
@@ -52,7 +52,8 @@ class CellFold(StatefulProcessor):
             self.references.put([tuple(r) for r in refs[COLUMNS].itertuples(index=False)])
         else:
             self.references.clear()
-        yield pd.concat(pairs, ignore_index=True)
+        told = pd.concat(pairs, ignore_index=True)
+        yield told.astype({"object_id": object, "epoch": "int32", "source_id": object})
 
     def step(self, refs: pd.DataFrame, now: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
         """One epoch: match, count misses, drop, and take in what is new."""
