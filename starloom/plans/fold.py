@@ -74,21 +74,17 @@ def add_keys(observations: DataFrame, options: FoldOptions) -> DataFrame:
     )
 
 
-def prepare(observations: DataFrame, options: FoldOptions) -> DataFrame:
-    """Keyed rows; cells with too many rows for one task are spread over slots."""
-    keyed = add_keys(observations, options)
-    return assign_slot(keyed, hot_keys(keyed, "_key", options.rows_per_task), "_key")
-
-
 class Resolver:
     """Settles undecided detections against each other, round by round."""
 
-    def __init__(self, workspace: Workspace, rows: DataFrame, options: FoldOptions):
+    def __init__(self, workspace: Workspace, observations: DataFrame, options: FoldOptions):
         self.work = workspace
         self.options = options
         self.grid = options.match_grid()
-        self.rows = rows  # all detections, prepared and stored
-        self.hot = workspace.save(hot_keys(rows, "_key", options.rows_per_task), "hot_keys")
+        # The input is read once; what follows works on the stored, narrow rows.
+        stored = workspace.save(add_keys(observations, options), "rows")
+        self.hot = workspace.save(hot_keys(stored, "_key", options.rows_per_task), "hot_keys")
+        self.rows = assign_slot(stored, self.hot, "_key")
         self.near = near(options.radius_deg2)
 
     def with_slots(self, df: DataFrame) -> DataFrame:
@@ -186,9 +182,8 @@ def fold_series(
     """Reference list and series of all detections. ``source_id`` must be unique."""
     spark: SparkSession = observations.sparkSession
     work = workspace or Workspace(spark, "fold")
-    rows = work.save(prepare(observations, options), "rows")
-    resolver = Resolver(work, rows, options)
-    names, rounds = resolver.run(rows)
+    resolver = Resolver(work, observations, options)
+    names, rounds = resolver.run(resolver.rows)
     return collect_series(resolver, names, rounds)
 
 

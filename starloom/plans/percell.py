@@ -24,7 +24,6 @@ from starloom.plans.fold import (
     Series,
     add_keys,
     collect_series,
-    prepare,
 )
 from starloom.session import Workspace
 
@@ -59,10 +58,9 @@ def fold_per_cell(
     if options.max_misses is not None:
         raise ValueError("dropping of unseen objects needs fold_series")
     work = workspace or Workspace(observations.sparkSession, "percell")
-    prepared = work.save(prepare(observations, options), "rows")
-    resolver = Resolver(work, prepared, options)
-
-    copies = halo_replicate(tag_cells(prepared.select("source_id", "epoch", "ra", "dec", "mag")))
+    resolver = Resolver(work, observations, options)
+    slim = ["source_id", "epoch", "ra", "dec", "mag"]
+    copies = halo_replicate(tag_cells(resolver.rows.select(*slim)))
     sized = copies.join(F.broadcast(hot_keys(copies, "cell", options.rows_per_task)), "cell", "left")
     radius_deg2 = options.radius_deg2
 
@@ -77,7 +75,6 @@ def fold_per_cell(
         "decided",
     )
     oversized = sized.filter(F.col("_slots").isNotNull() & (F.col("home_cell") == F.col("cell")))
-    slim = ["source_id", "epoch", "ra", "dec", "mag"]
     founders = add_keys(decided.filter("founder").select(*slim), options).select(*COLUMNS)
     references = work.save(resolver.with_gone_epoch(founders), "certain")
     rest = decided.filter("NOT founder").select(*slim).unionByName(oversized.select(*slim))

@@ -25,6 +25,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from starloom.operators.halo import halo_replicate, tag_cells
 from starloom.operators.neighbourhood import matched_pairs
 from starloom.plans.fold import FoldOptions
+from starloom.schema import CELL_ORDER, FINE_ORDER
 
 STATE = "source_id string, epoch int, ra double, dec double, mag double, misses int"
 OUTPUT = "object_id string, epoch int, source_id string"
@@ -90,10 +91,21 @@ class CellFold(StatefulProcessor):
         pass
 
 
-def cell_fold(observations: DataFrame, options: FoldOptions = FoldOptions()) -> DataFrame:
-    """Streaming observations to a stream of (object_id, epoch, source_id)."""
+def cell_fold(
+    observations: DataFrame,
+    options: FoldOptions = FoldOptions(),
+    order: int = CELL_ORDER,
+    fine_order: int = FINE_ORDER,
+) -> DataFrame:
+    """Streaming observations to a stream of (object_id, epoch, source_id).
+
+    A higher ``order`` makes smaller cells, for fields where one cell would
+    hold too many rows of a micro-batch; the miss clock then counts per such
+    cell, too.
+    """
     slim = observations.select("source_id", "epoch", "ra", "dec", "mag")
-    copies = halo_replicate(tag_cells(slim)).withColumn("epoch", F.col("epoch").cast("int"))
+    tagged = tag_cells(slim, order, fine_order)
+    copies = halo_replicate(tagged).withColumn("epoch", F.col("epoch").cast("int"))
     return copies.groupBy("cell").transformWithStateInPandas(
         statefulProcessor=CellFold(options),
         outputStructType=OUTPUT,

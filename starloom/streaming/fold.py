@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from starloom.operators.crossmatch import join_keyed, key_observations, key_reference, near
 from starloom.operators.halo import assign_slot, copy_to_slots, hot_keys
-from starloom.plans.fold import FoldOptions, Resolver, prepare
+from starloom.plans.fold import FoldOptions, Resolver, add_keys
 from starloom.session import Workspace
 
 REFERENCES = (
@@ -70,10 +70,10 @@ class StreamFold:
         """Fold the rows of a micro-batch, which may span several epochs, into the state."""
         step = 2 * number
         work = Workspace(self.spark, f"stream-{number}")
-        rows = work.save(prepare(batch, self.options), "rows")
+        resolver = Resolver(work, batch, self.options)
+        rows = resolver.rows
         if rows.isEmpty():
             return
-        resolver = Resolver(work, rows, self.options)
         known = self._touched(
             self.table("references", REFERENCES, step), self._coarse_cells(rows)
         ).drop("coarse_cell")
@@ -124,7 +124,7 @@ class StreamFold:
         step = 2 * number + 1
         work = Workspace(self.spark, f"late-{number}")
         late = batch.filter(F.col("epoch") <= frontier)
-        late = work.save(self._coarse(prepare(late, self.options)).drop("_key", "_slot", "_micro"), "late")
+        late = work.save(self._coarse(add_keys(late, self.options)).drop("_key", "_micro"), "late")
         if late.isEmpty():
             return None
         cells = self._coarse_cells(late)

@@ -32,7 +32,7 @@ def compare(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)} rows"
     if len(got) == 0:
-        return "no rows at all"
+        return None if len(want.columns) else "no columns"
     got, want = normal(got), normal(want)
     types = [(c, str(got[c].dtype), str(want[c].dtype)) for c in got if got[c].dtype != want[c].dtype]
     if types:
