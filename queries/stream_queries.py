@@ -72,6 +72,7 @@ def stream_late_backfill(spark, sf_dir):
 def _cell_state(spark, sf_dir, rows, options):
     work = Workspace(spark, "stream-cells")
     stored, waves = _waves(_slim(spark, sf_dir, rows), work)
+    partitions = max(8, stored.count() // 100_000)
     pairs = None
     for n, wave in enumerate(waves):
         stored.filter(wave).write.parquet(f"{work.path}/arrived/wave-{n}")
@@ -80,7 +81,9 @@ def _cell_state(spark, sf_dir, rows, options):
             .option("recursiveFileLookup", "true")
             .parquet(f"{work.path}/arrived")
         )
-        pairs = run_cell_fold(arriving, f"{work.path}/out", f"{work.path}/checkpoint", options)
+        pairs = run_cell_fold(
+            arriving, f"{work.path}/out", f"{work.path}/checkpoint", options, partitions
+        )
     return pairs
 
 

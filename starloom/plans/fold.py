@@ -85,6 +85,10 @@ class Resolver:
         stored = workspace.save(add_keys(observations, options), "rows")
         self.hot = workspace.save(hot_keys(stored, "_key", options.rows_per_task), "hot_keys")
         self.rows = assign_slot(stored, self.hot, "_key")
+        self.clock = None
+        if options.max_misses is not None:
+            # Which cells were covered in which epochs: all that counting misses needs.
+            self.clock = workspace.save(stored.select("cell", "epoch").distinct(), "clock")
         self.near = near(options.radius_deg2)
 
     def with_slots(self, df: DataFrame) -> DataFrame:
@@ -138,7 +142,7 @@ class Resolver:
         )
         own = bright.select(F.col("source_id").alias("object_id"), "epoch", "mag", "cell")
         hits = matched.unionByName(own).distinct()
-        gone = eviction_epoch(hits, self.rows, o.max_misses, o.mag_limit, o.miss_clock)
+        gone = eviction_epoch(hits, self.clock, o.max_misses, o.mag_limit, o.miss_clock)
         return references.join(
             gone.withColumnRenamed("object_id", "source_id"), "source_id", "left"
         )

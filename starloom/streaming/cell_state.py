@@ -115,19 +115,33 @@ def cell_fold(
 
 
 def run_cell_fold(
-    observations: DataFrame, out: str, checkpoint: str, options: FoldOptions = FoldOptions()
+    observations: DataFrame,
+    out: str,
+    checkpoint: str,
+    options: FoldOptions = FoldOptions(),
+    state_partitions: int | None = None,
 ) -> DataFrame:
-    """Process what has arrived and return all pairs reported so far."""
+    """Process what has arrived and return all pairs reported so far.
+
+    ``state_partitions`` fixes, at the first start, over how many partitions
+    the cells are spread; the default is the session's.
+    """
     spark = observations.sparkSession
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    query = (
-        cell_fold(observations, options)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .option("path", out)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        query = (
+            cell_fold(observations, options)
+            .writeStream.format("parquet")
+            .option("checkpointLocation", checkpoint)
+            .option("path", out)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     return spark.read.schema(OUTPUT).parquet(out)
