@@ -1,6 +1,5 @@
 """Fold, series, misses and eviction."""
 
-from pyspark.sql import functions as F
 
 from queries import projections as P
 from queries import sql as S

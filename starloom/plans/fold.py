@@ -28,7 +28,7 @@ from starloom.functions.cells import MatchGrid, cell_parent, with_sky_cell
 from starloom.operators.crossmatch import join_keyed, key_reference, near
 from starloom.operators.halo import ROWS_PER_TASK, assign_slot, copy_to_slots, hot_keys
 from starloom.operators.series import eviction_epoch
-from starloom.schema import CELL_ORDER, MAG_LIMIT, MAX_MISSES, RADIUS_DEG2
+from starloom.schema import CELL_ORDER, MAG_LIMIT, RADIUS_DEG2
 from starloom.session import Workspace
 
 
