@@ -1,6 +1,5 @@
 """Fold, series, misses and eviction."""
 
-
 from queries import projections as P
 from queries import sql as S
 from queries.registry import register
