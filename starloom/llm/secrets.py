@@ -72,83 +72,121 @@ def located(text: Column, pattern: str, kind: str, group: int | None = None, lea
     return F.when(text.rlike(pattern), walk["spans"]).otherwise(empty)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed, and standing in the plan, once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def upper_normal(z: Column) -> Column:
     """P(Z > z), by a rational approximation good to seven digits."""
+
+    def tail(t: Column) -> Column:
+        return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+
     x = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + 0.3275911 * x)
-    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x) / 2
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+    beyond = let(1 / (1 + 0.3275911 * x), tail) * F.exp(-x * x) / 2
+    return let(beyond, lambda q: F.when(z >= 0, q).otherwise(1 - q))
+
+
+def encoding_of(token: Column) -> Column:
+    """Number of the first encoding that fits, or null."""
+    out = F.lit(None).cast("int")
+    for number, (_, pattern, _) in reversed(list(enumerate(ENCODINGS))):
+        out = F.when(token.rlike(pattern), number).otherwise(out)
+    return out
 
 
-def chi_squared(token: Column, alphabet: str) -> Column:
-    """P-value of the symbol counts against a uniform alphabet (Wilson and Hilferty's normal form)."""
-    size, free = len(alphabet), len(alphabet) - 1
-    n = F.length(token).cast("double")
-    symbols = F.array(*[F.lit(s) for s in alphabet])
+def neighbours(values: Column) -> Column:
+    """Each value with the one after it."""
+    less = F.size(values) - 1
+    return F.arrays_zip(F.slice(values, 1, less).alias("a"), F.slice(values, 2, less).alias("b"))
+
+
+def counted(token: Column, alphabet: Column) -> Column:
+    """What the tests need of a token: its ranks in the alphabet, and counts."""
+    ranks = F.transform(F.split(token, ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
     squares = F.aggregate(
-        symbols,
+        F.split(alphabet, ""),
         F.lit(0.0),
         lambda total, s: total + F.pow((F.length(token) - F.length(F.replace(token, s, F.lit("")))).cast("double"), F.lit(2.0)),
     )
-    value = squares * size / n - n
+    size = F.length(alphabet).cast("double")
+    high = F.transform(ranks, lambda r: (r >= size / 2).cast("int"))
+    return F.struct(
+        ranks.alias("ranks"),
+        F.length(token).cast("double").alias("n"),
+        size.alias("size"),
+        squares.alias("squares"),
+        F.aggregate(high, F.lit(0), lambda a, h: a + h).cast("double").alias("above"),
+        let(high, lambda h: F.aggregate(neighbours(h), F.lit(1), lambda c, p: c + F.abs(p["a"] - p["b"]))).cast("double").alias("runs"),
+        (F.aggregate(ranks, F.lit(0.0), lambda a, r: a + r) / F.length(token)).alias("mean"),
+    )
+
+
+def chi_squared_z(c: Column) -> Column:
+    """Symbol counts against a uniform alphabet, as a normal deviate (Wilson and Hilferty)."""
+    free = c["size"] - 1
     spread = 2 / (9 * free)
-    return upper_normal((F.pow(F.greatest(value, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - spread)) / math.sqrt(spread))
+    value = F.greatest(c["squares"] * c["size"] / c["n"] - c["n"], F.lit(0.0))
+    return (F.pow(value / free, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
 
 
-def runs(ranks: Column, size: int) -> Column:
-    """P-value of the number of runs above and below the middle of the alphabet."""
-    n = F.size(ranks).cast("double")
-    high = F.transform(ranks, lambda r: (r >= size / 2).cast("int"))
-    above = F.aggregate(high, F.lit(0), lambda a, h: a + h).cast("double")
-    pairs = F.arrays_zip(F.slice(high, 1, F.size(ranks) - 1).alias("a"), F.slice(high, 2, F.size(ranks) - 1).alias("b"))
-    count = F.aggregate(pairs, F.lit(1), lambda c, p: c + F.abs(p["a"] - p["b"])).cast("double")
-    expected = 2 * above * (n - above) / n + 1
-    variance = (expected - 1) * (expected - 2) / (n - 1)
-    z = (count - expected) / F.sqrt(variance)
-    return F.when(variance > 0, 2 * upper_normal(F.abs(z))).otherwise(0.0)
-
-
-def serial(ranks: Column) -> Column:
-    """P-value of the correlation of neighbouring symbols."""
-    n = F.size(ranks).cast("double")
-    mean = F.aggregate(ranks, F.lit(0.0), lambda a, r: a + r) / n
-    own = F.aggregate(ranks, F.lit(0.0), lambda a, r: a + (r - mean) * (r - mean))
-    pairs = F.arrays_zip(F.slice(ranks, 1, F.size(ranks) - 1).alias("a"), F.slice(ranks, 2, F.size(ranks) - 1).alias("b"))
-    shared = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
-    z = (shared / own + 1 / n) * F.sqrt(n)
-    return F.when(own > 0, 2 * upper_normal(F.abs(z))).otherwise(0.0)
-
-
-def combined(*values: Column) -> Column:
-    """P-value of the product of three even p-values (Fisher's method)."""
-    product = F.lit(1.0)
-    for value in values:
-        product = product * value
-    log = F.ln(F.greatest(product, F.lit(1e-300)))
-    return F.when(product > 0, product * (1 - log + log * log / 2)).otherwise(0.0)
-
-
-def randomness(token: Column) -> Column:
-    """Encoding and p-value of a token; null if no encoding fits."""
-    out = F.lit(None).cast("struct<encoding: string, n: int, p: double>")
-    for name, pattern, alphabet in reversed(ENCODINGS):
-        ranks = F.transform(F.split(token, ""), lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("double"))
-        p = combined(chi_squared(token, alphabet), runs(ranks, len(alphabet)), serial(ranks))
-        made = F.struct(F.lit(name).alias("encoding"), F.length(token).alias("n"), p.alias("p"))
-        out = F.when(token.rlike(pattern), made).otherwise(out)
-    return out
+def runs_z(c: Column) -> Column:
+    """Number of runs above and below the middle of the alphabet; no z if there is only one side."""
+    expected = 2 * c["above"] * (c["n"] - c["above"]) / c["n"] + 1
+    variance = (expected - 1) * (expected - 2) / (c["n"] - 1)
+    return F.when(variance > 0, (c["runs"] - expected) / F.sqrt(variance)).otherwise(40.0)
+
+
+def serial_z(c: Column) -> Column:
+    """Correlation of neighbouring symbols; no z if all are the same."""
+    mean = c["mean"]
+    own = F.aggregate(c["ranks"], F.lit(0.0), lambda a, r: a + (r - mean) * (r - mean))
+    shared = F.aggregate(neighbours(c["ranks"]), F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
+    return let(own, lambda o: F.when(o > 0, (shared / o + 1 / c["n"]) * F.sqrt(c["n"])).otherwise(40.0))
+
+
+def combined(c: Column) -> Column:
+    """P-value of the product of the tests' p-values (Fisher's method): one-sided chi-squared, two-sided others."""
+    product = (
+        upper_normal(chi_squared_z(c))
+        * let(runs_z(c), lambda z: 2 * upper_normal(F.abs(z)))
+        * let(serial_z(c), lambda z: 2 * upper_normal(F.abs(z)))
+    )
+    log = lambda q: F.ln(F.greatest(q, F.lit(1e-300)))
+    return let(product, lambda q: q * (1 - log(q) + log(q) * log(q) / 2))
 
 
 def tested(text: Column) -> Column:
-    """Candidates of a text with their tests."""
+    """Candidates of a text with encoding, length and p-value."""
     spans = F.filter(located(text, CANDIDATE, "random"), lambda s: s["token"].rlike("[0-9]") & s["token"].rlike("[A-Za-z]"))
     bare = F.transform(
         spans,
+        lambda s: let(
+            F.rtrim(s["token"], F.lit("=")),
+            lambda t: F.struct(s["start"].alias("start"), s["end"].alias("end"), t.alias("token"), encoding_of(t).alias("encoding")),
+        ),
+    )
+    alphabets = F.array(*[F.lit(a) for *_, a in ENCODINGS])
+    counts = F.transform(
+        F.filter(bare, lambda s: s["encoding"].isNotNull()),
+        lambda s: F.struct(
+            s["start"].alias("start"),
+            s["end"].alias("end"),
+            s["encoding"].alias("encoding"),
+            counted(s["token"], F.element_at(alphabets, s["encoding"] + 1)).alias("c"),
+        ),
+    )
+    return F.transform(
+        counts,
         lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), randomness(F.rtrim(s["token"], F.lit("="))).alias("test")
+            s["start"].alias("start"),
+            s["end"].alias("end"),
+            s["encoding"].alias("encoding"),
+            s["c"]["n"].alias("n"),
+            combined(s["c"]).alias("p"),
         ),
     )
-    return F.filter(bare, lambda s: s["test"].isNotNull())
 
 
 def band_of(n: Column) -> Column:
@@ -162,7 +200,9 @@ def thresholds(candidates: DataFrame, rate: float = RATE) -> list[float]:
     """The acceptance threshold of each band, from counts by band and bin (at most ``BANDS * (BINS + 1)`` rows)."""
     counts = (
         candidates.select(F.explode("candidates").alias("c"))
-        .groupBy(band_of(F.col("c.test.n")).alias("band"), F.floor(F.col("c.test.p") * BINS).cast("int").alias("bin"))
+        .select("c.n", "c.p")
+        .distinct()  # copies of a token say no more than one
+        .groupBy(band_of(F.col("n")).alias("band"), F.floor(F.col("p") * BINS).cast("int").alias("bin"))
         .count()
         .collect()
     )
@@ -177,9 +217,8 @@ def thresholds(candidates: DataFrame, rate: float = RATE) -> list[float]:
         for number in range(BINS - 1, -1, -1):
             accepted += bins[number]
             false = accepted - random * (1 - number / BINS)
-            if false > rate * accepted:
-                break
-            at = number
+            if accepted and false <= rate * accepted:
+                at = number
         out.append(min(at / BINS, 0.5))
     return out
 
@@ -198,8 +237,8 @@ def scan(docs: DataFrame, rate: float = RATE, work: Workspace | None = None) ->
     def accepted(c: Column) -> Column:
         limit = F.lit(1.0)
         for band, value in enumerate(limits):
-            limit = F.when(band_of(c["test"]["n"]) == band, F.lit(value)).otherwise(limit)
-        return c["test"]["p"] >= limit
+            limit = F.when(band_of(c["n"]) == band, F.lit(value)).otherwise(limit)
+        return c["p"] >= limit
 
     def bare(spans: Column, kind: Column | None = None) -> Column:
         return F.transform(
