@@ -3,9 +3,9 @@
 Messages name their parent. Self-joins that double their reach give every
 message its root, its depth and the summed score of its branch; leaves are
 ranked by that score within their tree, and the path of each chosen leaf is
-formatted as one conversation. A round is one join of all messages with
-themselves on a unique key; a logarithm of the depth of rounds is enough, with a table in the
-shared folder after each. Branches that are not chosen never get their paths built.
+formatted as one conversation. A round joins the messages that have no root yet
+with all messages on their unique id; a logarithm of the depth of rounds is
+enough, with a table in the shared folder after each. Branches that are not chosen never get their paths built.
 
 The template is ``<|im_start|>role NEWLINE text<|im_end|> NEWLINE``. Inside a
 text every ``<``, backslashes, ``|`` gets one backslash more, so no text can
@@ -61,30 +61,30 @@ def branches(messages: DataFrame, work: Workspace) -> tuple[DataFrame, list[Data
         F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"),
     )
     state = work.save(state, "branches-0")
-    hops = []
-    limit = state.count().bit_length() + 1
-    while state.filter(F.col("up").isNotNull()).limit(1).count():
-        if len(hops) > limit:  # what is left runs in circles
-            break
-        hops.append(state.filter(F.col("up").isNotNull()).select("id", "up"))
-        above = state.select(
-            F.col("id").alias("up"),
-            F.col("up").alias("_up"),
-            F.col("root").alias("_root"),
-            F.col("depth").alias("_depth"),
-            F.col("total").alias("_total"),
-        )
+    settled = state.filter("up IS NULL").drop("up")
+    waiting = state.filter("up IS NOT NULL")
+    hops: list[DataFrame] = []
+    left = waiting.count()
+    limit = left.bit_length() + 1
+    while left and len(hops) <= limit:  # what is left after that runs in circles
+        hops.append(waiting.select("id", "up"))
+        # Only messages without a root go on; they look their ancestor up among all.
+        target = settled.withColumn("up", F.lit(None).cast(waiting.schema["up"].dataType)).unionByName(waiting)
+        above = target.select(F.col("id").alias("up"), *[F.col(c).alias(f"_{c}") for c in ("up", "root", "depth", "total")])
         state = work.save(
-            state.join(above, "up", "left").select(
+            waiting.join(above, "up").select(
                 "id",
                 F.col("_up").alias("up"),
-                F.coalesce("root", "_root").alias("root"),
-                (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
+                F.col("_root").alias("root"),
+                (F.col("depth") + F.col("_depth")).alias("depth"),
+                (F.col("total") + F.col("_total")).alias("total"),
             ),
             f"branches-{len(hops)}",
         )
-    return state.filter(F.col("up").isNull()).drop("up"), hops
+        settled = settled.unionByName(state.filter("up IS NULL").drop("up"))
+        waiting = state.filter("up IS NOT NULL")
+        left = waiting.count()
+    return settled, hops
 
 
 def choose_leaves(messages: DataFrame, settled: DataFrame, best: int | None) -> DataFrame:

@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,39 +154,39 @@ def better(chars: int, doc_id: int | None, than_chars: int, than_id: int | None)
     return doc_id is not None and (than_id is None or doc_id < than_id)
 
 
-def update_shard(rows: pd.DataFrame) -> pd.DataFrame:
+_KEY = pa.schema(
+    [("shard", pa.int32()), ("kind", pa.int32()), ("digest", pa.binary())]
+    + [(c, pa.int64()) for c in ("content_length", "content_check", "live", "best_chars", "best_id")]
+)
+
+
+def update_shard(group: pa.Table) -> pa.Table:
     """State and changes of a shard in, new state out."""
-    shard = int(rows["shard"].iloc[0])
-    state = rows[rows["kind"] == FILTER]
-    index = ShardIndex()
-    if len(state):
-        buckets = int(state["live"].iloc[0])
-        table = np.frombuffer(bytes(state["digest"].iloc[0]), dtype=np.uint16).reshape(buckets, SLOTS)
-        index = ShardIndex(buckets, table.copy())
-    fields = ["digest", "content_length", "content_check", "live", "best_chars", "best_id"]
-    for kind, part in rows[rows["kind"] != FILTER].groupby("kind", sort=True):
-        ids = [None if i is None or i is pd.NA else int(i) for i in part["best_id"].astype(object)]
-        for values, best_id in zip(part[fields[:-1]].itertuples(index=False, name=None), ids):
-            digest, length, check, live, chars = bytes(values[0]), *map(int, values[1:])
-            if kind == STORED:
-                index.load([digest, length, check, live, chars, best_id])
-                continue
-            entry = index.find(digest, length, check)
-            if entry is None:
-                if live:
-                    index.insert([digest, length, check, live, chars, best_id])
-            elif kind == ADD:
-                entry[3] += live
-                if better(chars, best_id, entry[4], entry[5]):
-                    entry[4:] = [chars, best_id]
-            elif live:
-                entry[3:] = [live, chars, best_id]
-            else:
-                index.delete(entry)
-    out = [[shard, FILTER, index.filter.table.tobytes(), 0, 0, index.filter.buckets, 0, None]]
-    out += [[shard, STORED, *e] for e in index.entries()]
-    frame = pd.DataFrame(out, columns=["shard", "kind", *fields])
-    return frame.astype({"best_id": "Int64"})
+    rows = sorted(zip(*(group.column(c).to_pylist() for c in _KEY.names)), key=lambda r: r[1])
+    shard, index = rows[0][0], ShardIndex()
+    for _, kind, digest, length, check, live, chars, best_id in rows:
+        if kind == FILTER:
+            table = np.frombuffer(digest, dtype=np.uint16).reshape(live, SLOTS)
+            index = ShardIndex(live, table.copy())
+            continue
+        if kind == STORED:
+            index.load([digest, length, check, live, chars, best_id])
+            continue
+        entry = index.find(digest, length, check)
+        if entry is None:
+            if live:
+                index.insert([digest, length, check, live, chars, best_id])
+        elif kind == ADD:
+            entry[3] += live
+            if better(chars, best_id, entry[4], entry[5]):
+                entry[4:] = [chars, best_id]
+        elif live:
+            entry[3:] = [live, chars, best_id]
+        else:
+            index.delete(entry)
+    out = [(shard, FILTER, index.filter.table.tobytes(), 0, 0, index.filter.buckets, 0, None)]
+    out += [(shard, STORED, *e) for e in index.entries()]
+    return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), _KEY)], schema=_KEY)
 
 
 def fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +258,7 @@ class ExactIndex:
         state = rows if self.version == 0 else self.state.unionByName(rows)
         self.version += 1
         self.state = self.work.save(
-            state.groupBy("shard").applyInPandas(update_shard, KEY), f"v{self.version}/keys"
+            state.groupBy("shard").applyInArrow(update_shard, KEY), f"v{self.version}/keys"
         )
         self.members = members
 

@@ -214,7 +214,7 @@ def thresholds(candidates: DataFrame, rate: float = RATE) -> list[float]:
                 bins[min(row["bin"], BINS - 1)] += row["count"]
         random = 2 * sum(bins[BINS // 2 :])  # if p-values are even, half are above one half
         at, accepted = BINS, 0
-        for number in range(BINS - 1, -1, -1):
+        for number in range(BINS - 1, 0, -1):  # what falls in the lowest bin is rejected in any case
             accepted += bins[number]
             false = accepted - random * (1 - number / BINS)
             if accepted and false <= rate * accepted:
