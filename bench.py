@@ -31,8 +31,8 @@ def main():
 
     def stream():
         state = StreamFold(spark, f"{work.path}/state")
-        for n, (low, high) in enumerate([(0, 42), (43, 83)]):
-            state.absorb(rows.filter(f"epoch BETWEEN {low} AND {high}"), n)
+        for n, half in enumerate([left, right]):
+            state.absorb(half, n)
         sink(state.pairs())
 
     runs = {

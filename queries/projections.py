@@ -58,11 +58,6 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_per_epoch(detections(spark, sf_dir))
 
 
-def sparse_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only error events: stars stay unseen for long, which exercises eviction."""
-    return one_per_epoch(detections(spark, sf_dir).filter("event_type = 'error'"))
-
-
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as detections of parts over months: the bench input."""
     li = table(spark, sf_dir, "lineitem")
@@ -116,7 +111,6 @@ _ONE = """
   QUALIFY row_number() OVER (PARTITION BY star, epoch ORDER BY obs_time, event_id) = 1)"""
 
 OBSERVATIONS = DETECTIONS + "," + _ONE.format(name="obs", source="det", where="")
-SPARSE = DETECTIONS + "," + _ONE.format(name="obs", source="det", where="WHERE event_type = 'error'")
 
 SHIPMENTS = """
 obs AS (

@@ -21,45 +21,42 @@ refs(upto, source_id, ra, dec, epoch, mag) AS (
      AND NOT EXISTS (SELECT 1 FROM r WHERE {S.distance2('r', 'v')} < {S.RADIUS_DEG2!r}))),
 objects AS (SELECT source_id AS object_id, ra, dec, epoch, mag FROM refs
             WHERE upto = (SELECT max(step) FROM o))"""
-SERIES = f"WITH RECURSIVE {P.OBSERVATIONS}, {FOLD}, {S.pairs('objects', 'obs', 'p', 'a.epoch < b.epoch')}"
+SERIES = f"WITH RECURSIVE {P.DETECTIONS}, obs AS (SELECT * FROM det), {FOLD}, {S.pairs('objects', 'obs', 'p', 'a.epoch < b.epoch')}"
 PAIR_COLUMNS = "a.object_id AS object_id, b.epoch AS epoch, b.source_id AS source_id"
 
 
 @register("series_fold", SERIES + f" SELECT {PAIR_COLUMNS} FROM p")
 def series_fold(spark, sf_dir):
-    return fold_series(P.observations(spark, sf_dir)).pairs
+    return fold_series(P.detections(spark, sf_dir)).pairs
 
 
 @register("series_per_cell", SERIES + f" SELECT {PAIR_COLUMNS} FROM p")
 def series_per_cell(spark, sf_dir):
-    return fold_per_cell(P.observations(spark, sf_dir)).pairs
+    return fold_per_cell(P.detections(spark, sf_dir)).pairs
 
 
 @register("epoch_references", SERIES + " SELECT object_id, epoch FROM objects")
 def epoch_references(spark, sf_dir):
-    return fold_series(P.observations(spark, sf_dir)).references.select("object_id", "epoch")
-
-
-MULTI = (
-    f"WITH RECURSIVE {P.DETECTIONS}, obs AS (SELECT * FROM det), {FOLD}, "
-    + S.pairs("objects", "obs", "p", "a.epoch < b.epoch")
-)
+    return fold_series(P.detections(spark, sf_dir)).references.select("object_id", "epoch")
 
 
-@register("series_fold_multi", MULTI + f" SELECT {PAIR_COLUMNS} FROM p")
+@register("series_fold_multi", SERIES + f" SELECT {PAIR_COLUMNS} FROM p")
 def series_fold_multi(spark, sf_dir):
-    """All rows, with several detections of a star per epoch: many to many."""
-    return fold_series(P.detections(spark, sf_dir)).pairs
+    """All rows through the per-cell fold and, for oversized cells, the rounds."""
+    return fold_per_cell(P.detections(spark, sf_dir), FoldOptions(rows_per_task=500)).pairs
 
 
 @register(
     "series_assemble",
     SERIES
-    + """ SELECT a.object_id AS object_id, 0 AS part, count(*) AS n_detections,
-    string_agg(b.source_id, ',' ORDER BY b.epoch, b.source_id) AS detections FROM p GROUP BY ALL""",
+    + """ SELECT object_id, part, count(*) AS n_detections,
+    string_agg(source_id, ',' ORDER BY epoch, source_id) AS detections
+    FROM (SELECT a.object_id AS object_id, b.epoch AS epoch, b.source_id AS source_id,
+                 CAST((row_number() OVER (PARTITION BY a.object_id ORDER BY b.epoch, b.source_id) - 1) // 4 AS INTEGER) AS part
+          FROM p) GROUP BY object_id, part""",
 )
 def series_assemble(spark, sf_dir):
-    return A.assemble_series(fold_series(P.observations(spark, sf_dir)).pairs)
+    return A.assemble_series(fold_series(P.detections(spark, sf_dir)).pairs, page=4)
 
 
 @register(
@@ -70,7 +67,7 @@ def series_assemble(spark, sf_dir):
 )
 def series_combined(spark, sf_dir):
     """The main result up to an epoch, combined with an overlapping later part."""
-    pairs = fold_series(P.observations(spark, sf_dir)).pairs
+    pairs = fold_series(P.detections(spark, sf_dir)).pairs
     early, late = pairs.filter("epoch <= 20"), pairs.filter("epoch >= 10")
     return A.assemble_series(A.combine_series(early, late))
 
@@ -112,10 +109,10 @@ def miss_streak(spark, sf_dir):
     return A.miss_streak(_hits(rows), rows, "global")
 
 
-# Eviction by the truth label: a bright star away for 7 epochs starts a new object.
-ISLANDS = f"""WITH {P.SPARSE},
+# Eviction by the truth label: a bright star away for 3 epochs starts a new object.
+ISLANDS = f"""WITH {P.OBSERVATIONS},
 ranked AS (SELECT *, dense_rank() OVER (ORDER BY epoch) AS tick FROM obs),
-gaps AS (SELECT *, CASE WHEN mag < 18 AND tick - lag(tick) OVER (PARTITION BY star ORDER BY epoch) > 7
+gaps AS (SELECT *, CASE WHEN mag < 18 AND tick - lag(tick) OVER (PARTITION BY star ORDER BY epoch) > 3
                         THEN 1 ELSE 0 END AS cut FROM ranked),
 islands AS (SELECT *, sum(cut) OVER (PARTITION BY star ORDER BY epoch) AS island FROM gaps),
 named AS (SELECT *, first_value(source_id) OVER w AS object_id, row_number() OVER w AS nth
@@ -127,5 +124,5 @@ named AS (SELECT *, first_value(source_id) OVER w AS object_id, row_number() OVE
     ISLANDS + " SELECT object_id, epoch, source_id FROM named WHERE nth > 1",
 )
 def evict_and_restart(spark, sf_dir):
-    options = FoldOptions(max_misses=7, miss_clock="global")
-    return fold_series(P.sparse_observations(spark, sf_dir), options).pairs
+    options = FoldOptions(max_misses=3, miss_clock="global")
+    return fold_series(P.observations(spark, sf_dir), options).pairs

@@ -148,7 +148,7 @@ def sink_observation_table(spark, sf_dir):
 )
 def sink_series_text(spark, sf_dir):
     folder = Workspace(spark, "series-text").path
-    obstext.write_series(assemble_series(fold_series(P.observations(spark, sf_dir)).pairs), folder)
+    obstext.write_series(assemble_series(fold_series(P.detections(spark, sf_dir)).pairs), folder)
     return spark.read.text(folder)
 
 

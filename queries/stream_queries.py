@@ -3,26 +3,27 @@
 from pyspark.sql import functions as F
 
 from queries import projections as P
-from queries import sql as S
 from queries.registry import register
+from queries import sql as S
 from queries.series_queries import FOLD, PAIR_COLUMNS, SERIES
 from starloom.plans.fold import FoldOptions
+from starloom.schema import RADIUS_DEG2
 from starloom.session import Workspace
 from starloom.streaming.cell_state import run_cell_fold
 from starloom.streaming.fold import StreamFold, run_stream
 
-WAVES = [(1, 10), (11, 20), (21, 10_000)]
+WAVES = ["epoch <= 10", "epoch BETWEEN 11 AND 20", "epoch > 20"]
 LATE = (1, 12)  # epochs that arrive only with the last wave
 
 
-def _slim(spark, sf_dir, rows=P.observations):
+def _slim(spark, sf_dir, rows=P.detections):
     return rows(spark, sf_dir).select("source_id", "epoch", "ra", "dec", "mag")
 
 
 def _waves(rows, work):
     """The rows, stored once, and a condition for each wave."""
     stored = work.save(rows, "all")
-    return stored, [F.col("epoch").between(*w) for w in WAVES]
+    return stored, [F.expr(w) for w in WAVES]
 
 
 @register("stream_fold", SERIES + f" SELECT {PAIR_COLUMNS} FROM p")
@@ -36,26 +37,7 @@ def stream_fold(spark, sf_dir):
     return state.pairs()
 
 
-LATE_SQL = (
-    f"""WITH RECURSIVE {P.OBSERVATIONS.replace('obs AS', 'every AS')},
-obs AS (SELECT * FROM every WHERE epoch NOT IN {LATE}), {FOLD},
-late AS (SELECT * FROM every WHERE epoch IN {LATE}),
-"""
-    + S.pairs("objects", "every", "known", "a.epoch < b.epoch")
-    + """,
-fresh AS (SELECT * FROM late WHERE source_id NOT IN (SELECT b.source_id FROM known)),"""
-    + S.pairs("fresh", "every", "around", "a.source_id <> b.source_id")
-    + """,
-founded AS (SELECT source_id FROM fresh WHERE source_id NOT IN
-            (SELECT a.source_id FROM around WHERE b.epoch <= a.epoch))
-SELECT a.object_id AS object_id, b.epoch AS epoch, b.source_id AS source_id FROM known
-UNION ALL
-SELECT a.source_id, b.epoch, b.source_id FROM around
-WHERE b.epoch > a.epoch AND a.source_id IN (SELECT source_id FROM founded)"""
-)
-
-
-@register("stream_late_backfill", LATE_SQL)
+@register("stream_late_backfill", SERIES + f" SELECT {PAIR_COLUMNS} FROM p")
 def stream_late_backfill(spark, sf_dir):
     work = Workspace(spark, "stream-late")
     rows, waves = _waves(_slim(spark, sf_dir), work)
@@ -72,7 +54,6 @@ def stream_late_backfill(spark, sf_dir):
 def _cell_state(spark, sf_dir, rows, options):
     work = Workspace(spark, "stream-cells")
     stored, waves = _waves(_slim(spark, sf_dir, rows), work)
-    partitions = max(8, stored.count() // 100_000)
     pairs = None
     for n, wave in enumerate(waves):
         stored.filter(wave).write.parquet(f"{work.path}/arrived/wave-{n}")
@@ -82,11 +63,28 @@ def _cell_state(spark, sf_dir, rows, options):
             .parquet(f"{work.path}/arrived")
         )
         pairs = run_cell_fold(
-            arriving, f"{work.path}/out", f"{work.path}/checkpoint", options, partitions
+            arriving, f"{work.path}/out", f"{work.path}/checkpoint", options
         )
     return pairs
 
 
 @register("stream_cell_state", SERIES + f" SELECT {PAIR_COLUMNS} FROM p")
 def stream_cell_state(spark, sf_dir):
-    return _cell_state(spark, sf_dir, P.observations, FoldOptions())
+    return _cell_state(spark, sf_dir, P.detections, FoldOptions())
+
+
+WIDE_DEG2 = 0.02**2  # a radius for which the join cells are coarser than level 10
+WIDE = f"""WITH RECURSIVE {P.DETECTIONS}, obs AS (SELECT * FROM det),
+{FOLD.replace(repr(RADIUS_DEG2), repr(WIDE_DEG2))},
+p AS (SELECT a, b FROM objects a, obs b WHERE a.epoch < b.epoch AND {S.distance2('a', 'b')} < {WIDE_DEG2!r})"""
+
+
+@register("stream_wide_radius", WIDE + f" SELECT {PAIR_COLUMNS} FROM p")
+def stream_wide_radius(spark, sf_dir):
+    """Three waves with a radius over a degree's fiftieth, one of them partly late."""
+    work = Workspace(spark, "stream-wide")
+    rows, waves = _waves(_slim(spark, sf_dir), work)
+    state = StreamFold(spark, f"{work.path}/state", FoldOptions(radius_deg2=WIDE_DEG2))
+    for n, wave in enumerate(waves):
+        state.absorb(rows.filter(wave), n)
+    return state.pairs()

@@ -6,23 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from starloom.operators.halo import assign_slot, hot_keys
 from starloom.schema import MAG_LIMIT, MAX_MISSES
 
-ROWS_PER_LINE = 1_000_000
+PAGE = 1_000_000  # detections in a line of a series
 CLOCKS = ("cell", "global")
 
 
-def assemble_series(pairs: DataFrame, rows_per_line: int = ROWS_PER_LINE) -> DataFrame:
-    """Wide form: the detections of each object, in epoch order, as one comma list.
+def assemble_series(pairs: DataFrame, page: int = PAGE) -> DataFrame:
+    """Wide form: the detections of each object, in epoch order, as comma lists.
 
-    An object with more than ``rows_per_line`` detections is given as several
-    lines (``part`` 0, 1, ...), so that no task ever holds an unbounded list.
+    A series is cut into pages of ``page`` detections, numbered by ``part``
+    from 0 in time order; a task never holds more than a page as a list. The
+    place of a detection is the number of those in earlier epochs, from counts
+    per epoch, plus its place within the epoch.
     """
-    hot = hot_keys(pairs, "object_id", rows_per_line)
+    counts = pairs.groupBy("object_id", "epoch").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy("object_id").orderBy("epoch").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("object_id", "epoch", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("object_id", "epoch").orderBy("source_id")) - 1
+    place = F.col("_before") + F.col("_inside")
     return (
-        assign_slot(pairs, hot, "object_id")
-        .groupBy("object_id", F.col("_slot").alias("part"))
+        pairs.withColumn("_inside", inside)
+        .join(before, ["object_id", "epoch"])
+        .groupBy("object_id", F.floor(place / page).cast("int").alias("part"))
         .agg(
             F.count(F.lit(1)).alias("n_detections"),
             F.array_sort(F.collect_list(F.struct("epoch", "source_id"))).alias("_series"),

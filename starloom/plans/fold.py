@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions.cells import MatchGrid, cell_parent, with_sky_cell
@@ -59,13 +59,26 @@ class Series:
 COLUMNS = ["source_id", "epoch", "ra", "dec", "mag", "cell"]
 
 
+def placed() -> Column:
+    """Rows the fold can judge: with an id, an epoch and a position."""
+    known = F.col("source_id").isNotNull() & F.col("epoch").isNotNull()
+    for c in ("ra", "dec"):
+        known = known & F.col(c).isNotNull() & ~F.isnan(c)
+    return known
+
+
+def set_aside(observations: DataFrame) -> DataFrame:
+    """The rows a fold leaves out, as they came."""
+    return observations.filter(~placed())
+
+
 def add_keys(observations: DataFrame, options: FoldOptions) -> DataFrame:
     """Narrow the rows to what the fold needs and add its cells."""
     grid = options.match_grid()
     mag = F.col("mag") if "mag" in observations.columns else F.lit(None).cast("double")
     slim = observations.select(
         "source_id", F.col("epoch").cast("int").alias("epoch"), "ra", "dec", mag.alias("mag")
-    )
+    ).filter(placed())
     return with_sky_cell(slim, "_micro", grid.micro_order).withColumns(
         {
             "_key": cell_parent("_micro", grid.micro_order, grid.order),
@@ -151,14 +164,15 @@ class Resolver:
         """What is left after taking out the references and everything attached to them."""
         itself = F.col("source_id") == F.col("ref_source_id")
         return join_keyed_keep(
-            undecided, self.as_reference(references), self.attached() | (itself & self.near)
+            undecided, self.as_reference(references), self.attached() | itself
         )
 
     def run(self, undecided: DataFrame, tag: str = "round") -> tuple[list[str], int]:
         """Returns the names of the stored reference tables and the number of rounds."""
         names: list[str] = []
         number = 0
-        while not undecided.isEmpty():
+        left = undecided.count()
+        while left:
             number += 1
             leaders = self.work.save(self.leaders(undecided), f"{tag}-{number}/leaders")
             founders = self.founders(leaders, undecided)
@@ -170,6 +184,9 @@ class Resolver:
             undecided = self.work.save(
                 self.uncovered(undecided, references), f"{tag}-{number}/undecided"
             )
+            before, left = left, undecided.count()
+            if left >= before:
+                raise RuntimeError(f"{left} detections stay undecided; is source_id unique?")
         return names, number
 
 
@@ -183,7 +200,10 @@ def join_keyed_keep(undecided: DataFrame, reference: DataFrame, condition) -> Da
 def fold_series(
     observations: DataFrame, options: FoldOptions = FoldOptions(), workspace: Workspace | None = None
 ) -> Series:
-    """Reference list and series of all detections. ``source_id`` must be unique."""
+    """Reference list and series of all detections. ``source_id`` must be unique.
+
+    Rows without id, epoch or position take no part; ``set_aside`` gives them.
+    """
     spark: SparkSession = observations.sparkSession
     work = workspace or Workspace(spark, "fold")
     resolver = Resolver(work, observations, options)

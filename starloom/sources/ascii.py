@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from starloom.session import Workspace
+
 # Fixed values of the file format.
 RA, DEC, MAG, MAGERR = 11, 12, 16, 17  # positions of the values used
 TIME_LINE = "# obs"  # start of the header line with the observation time
@@ -34,31 +36,47 @@ def read_lines(spark: SparkSession, path: str, glob: str = "*.cat") -> DataFrame
 
 
 def parse_detections(lines: DataFrame) -> DataFrame:
-    """Data lines as (ra, dec, mag, magerr); ``line_seq`` rises along each split."""
+    """Data lines as (ra, dec, mag, magerr); ``line_seq`` rises along each split.
+
+    Values that are absent or no numbers are null.
+    """
     values = F.split(F.trim("value"), r"\s+")
+    used = {"ra": RA, "dec": DEC, "mag": MAG, "magerr": MAGERR}
     return lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).select(
         "file",
         "split_start",
         F.monotonically_increasing_id().alias("line_seq"),
-        values[RA].cast("double").alias("ra"),
-        values[DEC].cast("double").alias("dec"),
-        values[MAG].cast("double").alias("mag"),
-        values[MAGERR].cast("double").alias("magerr"),
+        *[F.get(values, F.lit(at)).try_cast("double").alias(name) for name, at in used.items()],
     )
 
 
+def readable() -> Column:
+    """Data lines that hold a position."""
+    return F.col("ra").isNotNull() & F.col("dec").isNotNull() & ~F.isnan("ra") & ~F.isnan("dec")
+
+
+def bad_lines(spark: SparkSession, path: str, glob: str = "*.cat") -> DataFrame:
+    """Files with data lines that a scan leaves out, and how many."""
+    parsed = parse_detections(read_lines(spark, path, glob))
+    return parsed.filter(~readable()).groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 def header_times(lines: DataFrame) -> DataFrame:
     """Observation start time of each file, taken from its header."""
     stamp = F.regexp_extract("value", TIME_PATTERN, 1)
     return (
         lines.filter(F.col("value").startswith(TIME_LINE))
         .groupBy("file")
-        .agg(F.max(F.to_timestamp_ntz(stamp)).alias("obs_time"))
+        .agg(F.max(F.try_to_timestamp(stamp).cast("timestamp_ntz")).alias("obs_time"))
     )
 
 
 def number_rows(detections: DataFrame) -> DataFrame:
-    """Replace ``line_seq`` by ``row_no``, the place of the row in its file from 0."""
+    """Replace ``line_seq`` by ``row_no``, the place of the row in its file from 0.
+
+    The parsed rows are stored first: both uses below then see the same splits.
+    """
+    detections = Workspace(detections.sparkSession, "parsed").save(detections, "rows")
     splits = detections.groupBy("file", "split_start").agg(
         F.min("line_seq").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
@@ -82,22 +100,36 @@ def detection_id(source: str = "source", number: str = "row_no") -> Column:
     return F.concat_ws("_", source, number)
 
 
+def unique_sources(files: DataFrame, pattern: str = SOURCE_PATTERN) -> DataFrame:
+    """Add ``source`` to a table of files; a name that is empty or taken twice gets a hash of the path."""
+    named = files.withColumn("source", source_name("file", pattern))
+    many = F.count(F.lit(1)).over(W.partitionBy("source"))
+    mark = F.lower(F.hex(F.xxhash64("file")))
+    own = F.when((F.col("source") == "") | (F.col("_many") > 1), F.concat_ws("-", "source", mark)).otherwise(F.col("source"))
+    return named.withColumn("_many", many).withColumn("source", own).drop("_many")
+
+
 def assign_epoch(files: DataFrame) -> DataFrame:
-    """Number the catalogues by observation time; ``files`` has one row per file."""
-    order = W.orderBy("obs_time", "file")
+    """Number the catalogues by observation time, those without one last; ``files`` has one row per file."""
+    order = W.orderBy(F.col("obs_time").asc_nulls_last(), "file")
     return files.withColumn("epoch", F.row_number().over(order))
 
 
 def scan_ascii_catalog(
     spark: SparkSession, path: str, glob: str = "*.cat", source_pattern: str = SOURCE_PATTERN
 ) -> DataFrame:
-    """A directory of catalogues as observations, one epoch per file."""
+    """A directory of catalogues as observations, one epoch per file.
+
+    A file without a time header comes after all others, with an empty time.
+    Data lines without a position keep their number but are left out; ``bad_lines`` counts them.
+    """
     lines = read_lines(spark, path, glob)
-    epochs = assign_epoch(header_times(lines))
+    rows = number_rows(parse_detections(lines))
+    files = rows.select("file").distinct().join(header_times(lines), "file", "full")
+    epochs = unique_sources(assign_epoch(files), source_pattern)
     return (
-        number_rows(parse_detections(lines))
+        rows.filter(readable())
         .join(epochs, "file")
-        .withColumn("source", source_name("file", source_pattern))
         .select(
             "epoch",
             detection_id().alias("source_id"),

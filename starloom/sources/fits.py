@@ -17,12 +17,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.sources.ascii import assign_epoch, detection_id, source_name
+from starloom.sources.ascii import assign_epoch, detection_id, unique_sources
 
 # Fixed values of the format: block and card sizes, big-endian column types,
 # and the places of the values used.
 BLOCK, CARD = 2880, 80
 COLUMN_TYPES = {"L": "S1", "B": "u1", "I": ">i2", "J": ">i4", "K": ">i8", "E": ">f4", "D": ">f8", "A": "S1"}
+COLUMN_BYTES = {"L": 1, "B": 1, "I": 2, "J": 4, "K": 8, "E": 4, "D": 8, "A": 1, "C": 8, "M": 16, "P": 8, "Q": 16}
 RA, DEC, MAG, MAGERR = 4, 5, 10, 11  # columns of the table in the third header unit
 TIME_CARD, DATE_AT, TIME_AT = 52, slice(11, 21), slice(22, 35)
 ROWS_PER_RANGE = 500_000
@@ -63,10 +64,11 @@ def _columns(cards: dict[str, str]) -> tuple[list[int], list[str]]:
     offsets, kinds, at = [], [], 0
     for i in range(int(cards["TFIELDS"])):
         count, kind = re.match(r"(\d*)([A-Z])", cards[f"TFORM{i + 1}"]).groups()
-        dtype = COLUMN_TYPES[kind]
+        count = int(count) if count else 1
+        width = -(-count // 8) if kind == "X" else count * COLUMN_BYTES[kind]
         offsets.append(at)
-        kinds.append(dtype)
-        at += (int(count) if count else 1) * np.dtype(dtype).itemsize
+        kinds.append(COLUMN_TYPES.get(kind, f"V{width}"))
+        at += width
     return offsets, kinds
 
 
@@ -143,8 +145,7 @@ def scan_fits_catalog(
     epochs = assign_epoch(headers.select("file", stamp.alias("obs_time")))
     return (
         ranges.mapInPandas(_read_range, ROWS)
-        .join(epochs, "file")
-        .withColumn("source", source_name("file", source_pattern))
+        .join(unique_sources(epochs, source_pattern), "file")
         .select(
             "epoch", detection_id().alias("source_id"), "ra", "dec", "mag", "magerr", "obs_time", "file", "row_no"
         )

@@ -72,8 +72,9 @@ def write_observation_table(observations: DataFrame, path: str, coarse_order_shi
 
 
 def series_lines(series: DataFrame) -> DataFrame:
-    """One line ``(object,id,id,...)`` per series row."""
-    return series.select(F.format_string("(%s,%s)", "object_id", "detections").alias("value"))
+    """One line ``(object,id,id,...)`` per series row; further pages of an object are ``(object#part,id,...)``."""
+    name = F.when(F.col("part") > 0, F.concat_ws("#", "object_id", "part")).otherwise(F.col("object_id"))
+    return series.select(F.format_string("(%s,%s)", name, "detections").alias("value"))
 
 
 def write_series(series: DataFrame, path: str) -> None:

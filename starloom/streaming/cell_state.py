@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from starloom.operators.halo import halo_replicate, tag_cells
 from starloom.operators.neighbourhood import matched_pairs
-from starloom.plans.fold import FoldOptions
+from starloom.plans.fold import FoldOptions, placed
 from starloom.schema import CELL_ORDER, FINE_ORDER
 
 STATE = "source_id string, epoch int, ra double, dec double, mag double, misses int"
@@ -64,7 +64,10 @@ class CellFold(StatefulProcessor):
         found = []
         at = [refs["ra"].to_numpy(float), refs["dec"].to_numpy(float)]
         to = [now["ra"].to_numpy(float), now["dec"].to_numpy(float)]
+        since, epoch = refs["epoch"].to_numpy(), now["epoch"].to_numpy()
         for r, o in matched_pairs(*at, *to, self.radius_deg2):
+            later = epoch[o] > since[r]  # a split or late exposure is not matched backwards
+            r, o = r[later], o[later]
             hit[r] = True
             known[o] = True
             r, o = r[own[o]], o[own[o]]
@@ -103,7 +106,9 @@ def cell_fold(
     hold too many rows of a micro-batch; the miss clock then counts per such
     cell, too.
     """
-    slim = observations.select("source_id", "epoch", "ra", "dec", "mag")
+    if options.max_misses is not None and options.miss_clock != "cell":
+        raise ValueError("the keyed state knows the epochs of its own cell only: miss_clock must be 'cell'")
+    slim = observations.select("source_id", "epoch", "ra", "dec", "mag").filter(placed())
     tagged = tag_cells(slim, order, fine_order)
     copies = halo_replicate(tagged).withColumn("epoch", F.col("epoch").cast("int"))
     return copies.groupBy("cell").transformWithStateInPandas(
@@ -128,6 +133,7 @@ def run_cell_fold(
     """
     spark = observations.sparkSession
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     if state_partitions:
         spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
@@ -144,4 +150,5 @@ def run_cell_fold(
         query.awaitTermination()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
     return spark.read.schema(OUTPUT).parquet(out)

@@ -8,12 +8,14 @@ those of earlier steps, so every row counts exactly once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starloom.functions.cells import cell_parent
 from starloom.operators.crossmatch import join_keyed, key_observations, key_reference, near
 from starloom.operators.halo import assign_slot, copy_to_slots, hot_keys
-from starloom.plans.fold import FoldOptions, Resolver, add_keys
+from starloom.plans.fold import FoldOptions, Resolver, add_keys, fold_series
+from starloom.schema import CELL_ORDER
 from starloom.session import Workspace
 
 REFERENCES = (
@@ -22,7 +24,8 @@ REFERENCES = (
 )
 ROWS = "source_id string, epoch int, ra double, dec double, mag double, cell bigint, coarse_cell bigint"
 PAIRS = "object_id string, epoch int, source_id string"
-COARSE_SHIFT = 12  # level-10 cells to the 3072 cells of level 4
+REDONE = "source_id string"
+COARSE_ORDER = 4  # 3072 cells on the sky
 STARTED = -1  # number of the empty step that creates the tables
 
 
@@ -33,7 +36,7 @@ class StreamFold:
         if options.max_misses is not None:
             raise ValueError("dropping of unseen objects on a stream needs the keyed-state form")
         self.spark, self.path, self.options = spark, path, options
-        for name, schema in (("references", REFERENCES), ("rows", ROWS), ("pairs", PAIRS)):
+        for name, schema in (("references", REFERENCES), ("rows", ROWS), ("pairs", PAIRS), ("redone", REDONE)):
             self.store(spark.createDataFrame([], schema), name, STARTED)
 
     def store(self, df: DataFrame, name: str, step: int) -> None:
@@ -45,14 +48,27 @@ class StreamFold:
             df = df.filter(F.col("step") < before)
         return df.drop("step")
 
+    def _current(self, name: str, schema: str, key: str, before: int | None = None) -> DataFrame:
+        """A table without what later steps have redone."""
+        stored = self.spark.read.schema(schema + ", step bigint").parquet(f"{self.path}/{name}")
+        redone = self.spark.read.schema(REDONE + ", step bigint").parquet(f"{self.path}/redone")
+        if before is not None:
+            stored, redone = stored.filter(F.col("step") < before), redone.filter(F.col("step") < before)
+        later = redone.select(F.col("source_id").alias("_redone"), F.col("step").alias("_later"))
+        return stored.join(later, (F.col(key) == F.col("_redone")) & (F.col("_later") > F.col("step")), "left_anti").drop("step")
+
     def pairs(self) -> DataFrame:
-        return self.table("pairs", PAIRS)
+        return self._current("pairs", PAIRS, "object_id")
 
-    def references(self) -> DataFrame:
-        return self.table("references", REFERENCES)
+    def references(self, before: int | None = None) -> DataFrame:
+        return self._current("references", REFERENCES, "source_id", before)
 
     def _coarse(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("coarse_cell", F.shiftright("cell", COARSE_SHIFT))
+        return df.withColumn("coarse_cell", self._coarse_of("cell", min(CELL_ORDER, self.options.match_grid().order)))
+
+    def _coarse_of(self, cell: str, order: int) -> Column:
+        """The coarse cell of a cell of any level (of level 4, or the grid's own if that is coarser)."""
+        return cell_parent(cell, order, min(COARSE_ORDER, self.options.match_grid().order))
 
     def _touched(self, table: DataFrame, cells: list[int]) -> DataFrame:
         """Only the part of a table that can meet the batch; the filter reaches the scan."""
@@ -62,7 +78,7 @@ class StreamFold:
         """Coarse cells a batch can reach into: at most 3072 numbers."""
         grid = self.options.match_grid()
         reach = key_reference(df.select("ra", "dec"), grid).select(
-            F.shiftright("_key", 2 * (grid.order - 10) + COARSE_SHIFT).alias("c")
+            self._coarse_of("_key", grid.order).alias("c")
         )
         return [r.c for r in reach.distinct().collect()]
 
@@ -74,9 +90,7 @@ class StreamFold:
         rows = resolver.rows
         if rows.isEmpty():
             return
-        known = self._touched(
-            self.table("references", REFERENCES, step), self._coarse_cells(rows)
-        ).drop("coarse_cell")
+        known = self._touched(self.references(step), self._coarse_cells(rows)).drop("coarse_cell")
         open_rows = work.save(resolver.uncovered(rows, known), "open")
         names, _ = resolver.run(open_rows)
         references = known
@@ -93,16 +107,16 @@ class StreamFold:
         kept = self._coarse(rows).drop("_key", "_slot", "_micro")
         self.store(kept.sort("coarse_cell"), "rows", step)
 
-    def _near(self, left: DataFrame, right: DataFrame, condition, how: str = "inner") -> DataFrame:
-        """Positional join of stored rows (left) with a few delivered ones (right)."""
+    def _near(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """Stored rows (left) in range of any of a few delivered ones (right)."""
         grid = self.options.match_grid()
         keyed = key_observations(left, grid)
         hot = hot_keys(keyed, "_key", self.options.rows_per_task)
         return join_keyed(
             assign_slot(keyed, hot, "_key"),
             copy_to_slots(key_reference(right, grid), hot, "_key"),
-            near(self.options.radius_deg2) & condition,
-            how,
+            near(self.options.radius_deg2),
+            "left_semi",
         )
 
     def frontier(self, number: int) -> int | None:
@@ -112,10 +126,10 @@ class StreamFold:
     def absorb_with_late(self, batch: DataFrame, number: int) -> None:
         """Like ``absorb``, but rows of epochs already passed are handled afterwards.
 
-        A late row is attached to the references discovered before it. A late
-        row without one founds an object only if nothing was seen there at its
-        epoch or earlier; the object then takes the later detections and stays
-        in the reference list for epochs to come.
+        A late row can change what its neighbours are, and through them what
+        theirs are. So everything connected with a late row by steps within the
+        radius is folded anew; what was stored for it before no longer counts.
+        The state is then that of a fold over all rows in order.
         """
         frontier = self.frontier(number)
         if frontier is None:
@@ -123,31 +137,26 @@ class StreamFold:
         self.absorb(batch.filter(F.col("epoch") > frontier), number)
         step = 2 * number + 1
         work = Workspace(self.spark, f"late-{number}")
-        late = batch.filter(F.col("epoch") <= frontier)
-        late = work.save(self._coarse(add_keys(late, self.options)).drop("_key", "_micro"), "late")
+        late = add_keys(batch.filter(F.col("epoch") <= frontier), self.options)
+        late = work.save(self._coarse(late).drop("_key", "_micro"), "late")
         if late.isEmpty():
             return None
-        cells = self._coarse_cells(late)
-        earlier = F.col("epoch") > F.col("ref_epoch")
-        known = self._touched(self.table("references", REFERENCES, step), cells)
-        attached = self._near(late, known, earlier).select(
-            F.col("ref_source_id").alias("object_id"), "epoch", "source_id"
-        )
-        # Everything seen so far, including the rows of this micro-batch.
-        history = self._touched(self.table("rows", ROWS, step), cells).unionByName(late)
-        fresh = self._near(late, known, earlier, "left_anti")
-        other = F.col("source_id") != F.col("ref_source_id")
-        seen_before = self._near(
-            history, fresh, other & (F.col("epoch") <= F.col("ref_epoch"))
-        ).select(F.col("ref_source_id").alias("source_id"))
-        founders = fresh.join(seen_before.distinct(), "source_id", "left_anti")
-        founders = work.save(founders, "founders")
-        directed = self._near(history, founders, earlier).select(
-            F.col("ref_source_id").alias("object_id"), "epoch", "source_id"
-        )
-        self.store(attached.unionByName(directed), "pairs", step)
-        new = founders.withColumn("gone_epoch", F.lit(None).cast("int"))
-        self.store(new.select(*[c.split()[0] for c in REFERENCES.split(", ")]), "references", step)
+        # Everything seen so far, including the newer rows of this micro-batch.
+        history = self.table("rows", ROWS, step)
+        region = edge = late
+        rounds = 0
+        while True:
+            rounds += 1
+            around = self._near(self._touched(history, self._coarse_cells(edge)), edge)
+            edge = work.save(around.join(region.select("source_id"), "source_id", "left_anti").select(*late.columns), f"edge-{rounds}")
+            if edge.isEmpty():
+                break
+            region = region.unionByName(edge)
+        anew = fold_series(region, self.options, Workspace(self.spark, f"anew-{number}"))
+        self.store(region.join(late.select("source_id"), "source_id", "left_anti").select("source_id"), "redone", step)
+        self.store(anew.pairs, "pairs", step)
+        found = self._coarse(anew.references.withColumnRenamed("object_id", "source_id"))
+        self.store(found.select(*[c.split()[0] for c in REFERENCES.split(", ")]), "references", step)
         self.store(late, "rows", step)
         return None
 

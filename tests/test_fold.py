@@ -2,8 +2,9 @@ import pytest
 
 from starloom.operators.halo import tag_cells
 from starloom.operators.series import assemble_series
-from starloom.plans.fold import FoldOptions, fold_series
+from starloom.plans.fold import FoldOptions, fold_series, set_aside
 from starloom.plans.percell import fold_per_cell
+from starloom.sources.obstext import series_lines
 from tests import brute
 
 # The fields lie across cell borders; the last one across RA 0.
@@ -78,14 +79,23 @@ def test_empty_input(spark):
     assert fold_per_cell(rows).pairs.count() == 0
 
 
-def test_long_series_take_several_lines(spark):
-    pairs = spark.createDataFrame(
-        [("a", e, f"a{e}") for e in range(50)] + [("b", 1, "b1"), ("b", 2, "b2")],
-        "object_id string, epoch int, source_id string",
-    )
-    got = assemble_series(pairs, rows_per_line=10).collect()
-    lines = [r for r in got if r.object_id == "a"]
-    assert len(lines) > 1
-    members = [m for r in lines for m in r.detections.split(",")]
-    assert sorted(members) == sorted(f"a{e}" for e in range(50))
-    assert [r.detections for r in got if r.object_id == "b"] == ["b1,b2"]
+def test_long_series_take_pages_in_time_order(spark):
+    rows = [("a", e, f"a{e:02d}") for e in range(50)] + [("a", 7, f"x{k}") for k in range(25)]
+    pairs = spark.createDataFrame(rows + [("b", 1, "b1"), ("b", 2, "b2")], "object_id string, epoch int, source_id string")
+    got = {(r.object_id, r.part): r.detections for r in assemble_series(pairs, page=10).collect()}
+    members = [i for _, _, i in sorted(rows, key=lambda r: r[1:])]
+    want = {("a", k // 10): ",".join(members[k : k + 10]) for k in range(0, 75, 10)}
+    assert got == {**want, ("b", 0): "b1,b2"}
+    lines = [r.value for r in series_lines(assemble_series(pairs, page=40)).collect()]
+    assert sorted(x.split(",")[0] for x in lines) == ["(a", "(a#1", "(b"]
+
+
+@pytest.mark.parametrize("plan", [fold_series, fold_per_cell])
+def test_rows_without_a_position_are_set_aside(spark, plan):
+    rows = [("a", 1, 10.0, 5.0, 12.0), ("b", 2, 10.0, 5.0, 12.0), ("c", 2, None, 5.0, 12.0), ("d", 2, 10.0, float("nan"), 12.0)]
+    rows += [("e", None, 10.0, 5.0, 12.0), (None, 3, 10.0, 5.0, 12.0)]
+    table = spark.createDataFrame(rows, "source_id string, epoch int, ra double, dec double, mag double")
+    found = plan(table)
+    assert [tuple(r) for r in found.pairs.collect()] == [("a", 2, "b")]
+    assert [r.object_id for r in found.references.collect()] == ["a"]
+    assert set_aside(table).count() == 4

@@ -80,3 +80,24 @@ def test_table_scan_skips_other_cells(spark, sf_dir):
     plan = spark.read.parquet(folder).filter(F.col("coarse_cell") == one).select("source_id")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(coarse_cell" in text and "ReadSchema: struct<source_id:string>" in text
+
+
+def test_ascii_dirty_files(spark, tmp_path):
+    for folder in ("n1", "n2", "n3"):
+        (tmp_path / folder).mkdir()
+    write_catalog(tmp_path / "n1", "f.cat", "2020-01-02T00:00:00.50", 4)
+    write_catalog(tmp_path / "n2", "f.cat", "2020-01-01T00:00:00.00", 3)
+    write_catalog(tmp_path / "n3", "g.cat", "no time", 2)
+    with open(tmp_path / "n1" / "f.cat", "a") as file:
+        file.write("1 2 3\n" + "x " * 38 + "\n")
+    rows = A.scan_ascii_catalog(spark, str(tmp_path)).collect()
+    assert len(rows) == 9 and len({r.source_id for r in rows}) == 9
+    assert {(r.epoch, r.file[-8:]) for r in rows} == {(1, "n2/f.cat"), (2, "n1/f.cat"), (3, "n3/g.cat")}
+    assert {r.obs_time is None for r in rows if r.epoch == 3} == {True}
+    assert [r.n_lines for r in A.bad_lines(spark, str(tmp_path)).collect()] == [2]
+
+
+def test_fits_column_widths():
+    cards = {"TFIELDS": "6", "TFORM1": "12X", "TFORM2": "1PE(9)", "TFORM3": "2M", "TFORM4": "E", "TFORM5": "3A", "TFORM6": "D"}
+    offsets, kinds = fits._columns(cards)
+    assert offsets == [0, 2, 10, 42, 46, 49] and kinds[3] == ">f4" and kinds[5] == ">f8"

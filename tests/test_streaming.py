@@ -1,8 +1,10 @@
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from starloom.plans.fold import FoldOptions, fold_series
 from starloom.session import Workspace
-from starloom.streaming.cell_state import run_cell_fold
+from starloom.streaming.cell_state import cell_fold, run_cell_fold
 from starloom.streaming.fold import StreamFold, run_stream
 from tests import brute
 
@@ -44,3 +46,34 @@ def test_keyed_state_equals_the_fold(spark):
         pairs = run_cell_fold(stream, f"{work.path}/out", f"{work.path}/checkpoint", options)
     want = pair_set(fold_series(spark.createDataFrame(rows, SCHEMA), options).pairs)
     assert want and pair_set(pairs) == want
+
+
+def test_late_rows_give_the_batch_result(spark):
+    rows = brute.random_sky(33, stars=15, epochs=10, spread=0.02)
+    chain = [("R", 1, 50.0, 5.0, 12.0), ("L0", 4, 50.0005, 5.0, 12.0), ("L1", 2, 50.001, 5.0, 12.0), ("N", 6, 50.0015, 5.0, 12.0)]
+    rows = pd.concat([rows, pd.DataFrame(chain, columns=rows.columns)], ignore_index=True)
+    work = Workspace(spark, "test-late")
+    state = StreamFold(spark, f"{work.path}/state")
+    late = rows.source_id.isin(["L1"]) | (rows.epoch.isin([3, 5]) & (rows.index % 2 == 0))
+    for n, part in enumerate([rows[(rows.epoch <= 6) & ~late], rows[(rows.epoch > 6) | late]]):
+        state.absorb_with_late(spark.createDataFrame(part, SCHEMA), n)
+    found = fold_series(spark.createDataFrame(rows, SCHEMA))
+    assert pair_set(state.pairs()) == pair_set(found.pairs) == brute.fold(rows)
+    names = [r.source_id for r in state.references().collect()]
+    assert sorted(names) == sorted(r.object_id for r in found.references.collect())
+
+
+def test_wide_radius_on_a_stream(spark):
+    options = FoldOptions(radius_deg2=0.02**2)
+    rows = [("x1", 1, 10.0, 5.0, 12.0), ("y1", 1, 200.0, -60.0, 12.0), ("x2", 2, 10.015, 5.0, 12.0), ("y2", 2, 200.0, -60.015, 12.0)]
+    work = Workspace(spark, "test-wide")
+    state = StreamFold(spark, f"{work.path}/state", options)
+    for n in (0, 1):
+        state.absorb(spark.createDataFrame(rows[2 * n : 2 * n + 2], SCHEMA), n)
+    assert pair_set(state.pairs()) == {("x1", "x2"), ("y1", "y2")}
+
+
+def test_keyed_state_refuses_the_global_clock(spark):
+    rows = spark.createDataFrame([], SCHEMA)
+    with pytest.raises(ValueError):
+        cell_fold(rows, FoldOptions(max_misses=3, miss_clock="global"))
