@@ -24,6 +24,7 @@ from starloom.plans.fold import (
     Series,
     add_keys,
     collect_series,
+    fold_series,
 )
 from starloom.session import Workspace
 
@@ -54,9 +55,13 @@ def decide_cell(rows: pd.DataFrame, radius_deg2: float) -> pd.DataFrame:
 def fold_per_cell(
     observations: DataFrame, options: FoldOptions = FoldOptions(), workspace: Workspace | None = None
 ) -> Series:
-    """Reference list and series, without dropping of objects."""
+    """Reference list and series.
+
+    With dropping, what a row belongs to hangs on misses that border rows of
+    other cells decide, so no cell can settle it alone: the rounds do all of it.
+    """
     if options.max_misses is not None:
-        raise ValueError("dropping of unseen objects needs fold_series")
+        return fold_series(observations, options, workspace)
     work = workspace or Workspace(observations.sparkSession, "percell")
     resolver = Resolver(work, observations, options)
     slim = ["source_id", "epoch", "ra", "dec", "mag"]

@@ -99,3 +99,9 @@ def test_rows_without_a_position_are_set_aside(spark, plan):
     assert [tuple(r) for r in found.pairs.collect()] == [("a", 2, "b")]
     assert [r.object_id for r in found.references.collect()] == ["a"]
     assert set_aside(table).count() == 4
+
+
+def test_per_cell_fold_with_dropping(spark):
+    rows = spark.createDataFrame(brute.random_sky(41, stars=10, epochs=25, seen=0.2, spread=0.05, jitter=2e-4))
+    options = FoldOptions(max_misses=3, miss_clock="global")
+    assert pair_set(fold_per_cell(rows, options).pairs) == pair_set(fold_series(rows, options).pairs)

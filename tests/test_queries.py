@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_point
+from queries import registry
 from tests.compare import compare, connect
 
 
@@ -15,7 +16,7 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, sf_dir, con, name):
     sql = entry_point.oracle_sql()[name]
     got = entry_point.queries()[name](spark, sf_dir).toPandas()
