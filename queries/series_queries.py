@@ -4,8 +4,10 @@ from queries import projections as P
 from queries import sql as S
 from queries.registry import register
 from starloom.operators import series as A
+from starloom.operators.halo import tag_cells
 from starloom.plans.fold import FoldOptions, fold_series
 from starloom.plans.percell import fold_per_cell
+from starloom.schema import CELL_ORDER, MAG_LIMIT, RADIUS_DEG2
 
 # The fold, epoch by epoch, as a recursive query over positions (no truth label).
 FOLD = f"""
@@ -72,11 +74,30 @@ def series_combined(spark, sf_dir):
     return A.assemble_series(A.combine_series(early, late))
 
 
-# Missed epochs by the truth label: one star is one object on this projection.
-LABELLED = f"""WITH {P.OBSERVATIONS},
-ranked AS (SELECT *, dense_rank() OVER (ORDER BY epoch) AS tick FROM obs),
-named AS (SELECT *, first_value(source_id) OVER (PARTITION BY star ORDER BY epoch) AS object_id
-          FROM ranked)"""
+# Hits of each object (its own detection included) and the epochs a clock counts.
+CELLS = f"""WITH RECURSIVE {P.DETECTIONS}, {S.cell('det', 'celled', CELL_ORDER)},
+obs AS (SELECT * EXCLUDE (pix, face, px, py), pix AS cell FROM celled)"""
+HITS = f"""{CELLS}, {FOLD}, {S.pairs('objects', 'obs', 'p', 'a.epoch < b.epoch')},
+hits AS (
+  SELECT h.object_id, h.epoch, o.cell,
+         lag(h.epoch) OVER (PARTITION BY h.object_id ORDER BY h.epoch) AS previous
+  FROM (SELECT a.object_id AS object_id, b.epoch AS epoch FROM p
+        UNION SELECT object_id, epoch FROM objects) h JOIN obs o ON o.source_id = h.object_id),
+clock AS (SELECT DISTINCT {{cell}} AS cell, epoch FROM obs)"""
+GLOBAL, CELL = HITS.format(cell="0"), HITS.format(cell="cell")
+
+
+def _gaps(base: str, cell: str) -> str:
+    return f"""{base} SELECT h.object_id, h.epoch, CAST(count(c.epoch) AS INTEGER) AS misses
+    FROM hits h LEFT JOIN clock c ON c.cell = {cell} AND c.epoch > h.previous AND c.epoch < h.epoch
+    GROUP BY h.object_id, h.epoch"""
+
+
+def _streak(base: str, cell: str) -> str:
+    return f"""{base}, seen AS (SELECT object_id, cell, max(epoch) AS last_epoch FROM hits GROUP BY ALL)
+    SELECT s.object_id, s.last_epoch, CAST(count(c.epoch) AS INTEGER) AS miss_streak
+    FROM seen s LEFT JOIN clock c ON c.cell = {cell} AND c.epoch > s.last_epoch
+    GROUP BY s.object_id, s.last_epoch"""
 
 
 def _hits(observations):
@@ -86,43 +107,79 @@ def _hits(observations):
     return seen.select(*objects.columns).unionByName(objects).distinct()
 
 
-@register(
-    "miss_gaps",
-    LABELLED
-    + """ SELECT object_id, epoch, CAST(coalesce(tick - lag(tick) OVER (PARTITION BY star
-    ORDER BY epoch) - 1, 0) AS INTEGER) AS misses FROM named""",
-)
+def _miss_gaps(spark, sf_dir, clock):
+    hits = _hits(P.detections(spark, sf_dir))
+    rows = tag_cells(P.detections(spark, sf_dir)).select("cell", "epoch")
+    return A.miss_gaps(hits, rows, clock).select("object_id", "epoch", "misses")
+
+
+def _miss_streak(spark, sf_dir, clock):
+    hits = _hits(P.detections(spark, sf_dir))
+    rows = tag_cells(P.detections(spark, sf_dir)).select("cell", "epoch")
+    return A.miss_streak(hits, rows, clock)
+
+
+@register("miss_gaps", _gaps(GLOBAL, "0"))
 def miss_gaps(spark, sf_dir):
-    rows = P.observations(spark, sf_dir)
-    return A.miss_gaps(_hits(rows), rows, "global").select("object_id", "epoch", "misses")
+    return _miss_gaps(spark, sf_dir, "global")
 
 
-@register(
-    "miss_streak",
-    LABELLED
-    + """ SELECT object_id, max(epoch) AS last_epoch,
-    CAST((SELECT max(tick) FROM ranked) - max(tick) AS INTEGER) AS miss_streak
-    FROM named GROUP BY object_id""",
-)
+@register("miss_gaps_cell", _gaps(CELL, "h.cell"))
+def miss_gaps_cell(spark, sf_dir):
+    return _miss_gaps(spark, sf_dir, "cell")
+
+
+@register("miss_streak", _streak(GLOBAL, "0"))
 def miss_streak(spark, sf_dir):
-    rows = P.observations(spark, sf_dir)
-    return A.miss_streak(_hits(rows), rows, "global")
+    return _miss_streak(spark, sf_dir, "global")
 
 
-# Eviction by the truth label: a bright star away for 3 epochs starts a new object.
-ISLANDS = f"""WITH {P.OBSERVATIONS},
-ranked AS (SELECT *, dense_rank() OVER (ORDER BY epoch) AS tick FROM obs),
-gaps AS (SELECT *, CASE WHEN mag < 18 AND tick - lag(tick) OVER (PARTITION BY star ORDER BY epoch) > 3
-                        THEN 1 ELSE 0 END AS cut FROM ranked),
-islands AS (SELECT *, sum(cut) OVER (PARTITION BY star ORDER BY epoch) AS island FROM gaps),
-named AS (SELECT *, first_value(source_id) OVER w AS object_id, row_number() OVER w AS nth
-          FROM islands WINDOW w AS (PARTITION BY star, island ORDER BY epoch))"""
+@register("miss_streak_cell", _streak(CELL, "s.cell"))
+def miss_streak_cell(spark, sf_dir):
+    return _miss_streak(spark, sf_dir, "cell")
 
 
-@register(
-    "evict_and_restart",
-    ISLANDS + " SELECT object_id, epoch, source_id FROM named WHERE nth > 1",
-)
+MISSES = 2  # missed epochs after which the queries below drop a bright object
+
+
+def evicting(counts: str) -> str:
+    """The fold with a miss counter, epoch by epoch; ``counts`` says whether the epoch is one of an object's clock."""
+    return f"""{CELLS},
+o AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY epoch) AS step FROM obs),
+refs(upto, source_id, ra, dec, epoch, mag, cell, misses, gone) AS (
+  SELECT CAST(1 AS BIGINT), source_id, ra, dec, epoch, mag, cell, 0, CAST(NULL AS BIGINT) FROM o WHERE step = 1
+  UNION ALL
+  (WITH r AS MATERIALIZED (SELECT * FROM refs),
+   now AS MATERIALIZED (SELECT * FROM o WHERE step = (SELECT max(upto) + 1 FROM r)),
+   met AS MATERIALIZED (SELECT r.source_id AS ref_id, v.source_id AS obs_id FROM r, now v
+                        WHERE r.gone IS NULL AND {S.distance2('r', 'v')} < {RADIUS_DEG2!r}),
+   told AS (SELECT *, CASE WHEN source_id IN (SELECT ref_id FROM met) THEN 0
+                           WHEN {counts} THEN misses + 1 ELSE misses END AS missed FROM r)
+   SELECT upto + 1, source_id, ra, dec, epoch, mag, cell, missed,
+          CASE WHEN gone IS NULL AND mag < {MAG_LIMIT} AND missed >= {MISSES} THEN upto + 1 ELSE gone END
+   FROM told WHERE upto < (SELECT max(step) FROM o)
+   UNION ALL
+   SELECT (SELECT max(upto) + 1 FROM r), source_id, ra, dec, epoch, mag, cell, 0, NULL
+   FROM now WHERE source_id NOT IN (SELECT obs_id FROM met))),
+objects AS (SELECT source_id AS object_id, ra, dec, epoch, gone FROM refs WHERE upto = (SELECT max(step) FROM o)),
+{S.pairs('objects', 'o', 'p', 'a.epoch < b.epoch AND (a.gone IS NULL OR b.step < a.gone)')}
+SELECT {PAIR_COLUMNS} FROM p"""
+
+
+EVICT_GLOBAL, EVICT_CELL = evicting("true"), evicting("cell IN (SELECT cell FROM now)")
+
+
+@register("evict_and_restart", EVICT_GLOBAL)
 def evict_and_restart(spark, sf_dir):
-    options = FoldOptions(max_misses=3, miss_clock="global")
-    return fold_series(P.observations(spark, sf_dir), options).pairs
+    options = FoldOptions(max_misses=MISSES, miss_clock="global")
+    return fold_series(P.detections(spark, sf_dir), options).pairs
+
+
+@register("evict_cell_clock", EVICT_CELL)
+def evict_cell_clock(spark, sf_dir):
+    return fold_series(P.detections(spark, sf_dir), FoldOptions(max_misses=MISSES)).pairs
+
+
+@register("per_cell_evict", EVICT_CELL)
+def per_cell_evict(spark, sf_dir):
+    return fold_per_cell(P.detections(spark, sf_dir), FoldOptions(max_misses=MISSES)).pairs
