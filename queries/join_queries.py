@@ -8,17 +8,17 @@ from queries.registry import register
 from starloom.functions.separation import register_sql_functions, separation2
 from starloom.operators import crossmatch as X
 
-HALF = 15  # epochs up to here form the reference side of the two-table joins
+HALF = 15  # the stars seen up to this epoch form the reference list of the two-table joins
 
 
 def _halves(spark, sf_dir):
     rows = P.detections(spark, sf_dir)
-    slim = rows.select("source_id", "epoch", "ra", "dec", "star")
-    return slim.filter(F.col("epoch") <= HALF), slim.filter(F.col("epoch") > HALF)
+    slim = rows.select("source_id", "epoch", "ra", "dec", "star", "event_id")
+    return P.first_seen(slim.filter(F.col("epoch") <= HALF)), slim.filter(F.col("epoch") > HALF)
 
 
 HALVES = f"""{P.DETECTIONS},
-t1 AS (SELECT * FROM det WHERE epoch <= {HALF}), t2 AS (SELECT * FROM det WHERE epoch > {HALF})"""
+t1 AS (SELECT * FROM det WHERE epoch <= {HALF} {P.FIRST_SEEN}), t2 AS (SELECT * FROM det WHERE epoch > {HALF})"""
 MATCH_SQL = f"""WITH {HALVES}, {S.pairs('t1', 't2', 'p')}
 SELECT a.source_id AS id1, b.source_id AS id2 FROM p"""
 
@@ -82,16 +82,14 @@ def sky_separation(spark, sf_dir):
     SELECT a.source_id AS id1, count(*) AS n_matches FROM p GROUP BY ALL""",
 )
 def match_radius(spark, sf_dir):
-    """The same join written in SQL on temporary views and the SQL functions."""
+    """The same join written in SQL on the match views and the SQL functions."""
     register_sql_functions(spark)
-    t1, t2 = _halves(spark, sf_dir)
-    grid = X.MatchGrid.for_radius()
-    X.key_reference(t1, grid).createOrReplaceTempView("match_radius_ref")
-    X.key_observations(t2, grid).createOrReplaceTempView("match_radius_obs")
+    X.create_match_views(*_halves(spark, sf_dir), reference_view="seen", observation_view="later")
     return spark.sql(
         """SELECT r.ref_source_id AS id1, count(*) AS n_matches
-        FROM match_radius_ref r JOIN match_radius_obs o
-          ON r._key = o._key AND within_radius(r.ref_ra, r.ref_dec, o.ra, o.dec)
+        FROM seen r JOIN later o
+          ON r.match_cell = o.match_cell AND r.match_slot = o.match_slot
+         AND within_radius(r.ref_ra, r.ref_dec, o.ra, o.dec)
         GROUP BY r.ref_source_id"""
     )
 

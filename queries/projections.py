@@ -58,6 +58,13 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_per_epoch(detections(spark, sf_dir))
 
 
+def first_seen(rows: DataFrame) -> DataFrame:
+    """A reference list: the first detection of each star."""
+    keep = [c for c in rows.columns if c not in ("star", "epoch", "event_id")]
+    first = F.min(F.struct("epoch", "event_id", *keep)).alias("first")
+    return rows.groupBy("star").agg(first).select("star", "first.*")
+
+
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as detections of parts over months: the bench input."""
     li = table(spark, sf_dir, "lineitem")
@@ -112,6 +119,8 @@ _ONE = """
 
 OBSERVATIONS = DETECTIONS + "," + _ONE.format(name="obs", source="det", where="")
 
+FIRST_SEEN = "QUALIFY row_number() OVER (PARTITION BY star ORDER BY epoch, event_id) = 1"
+
 SHIPMENTS = """
 obs AS (
   SELECT epoch, CAST(serial AS VARCHAR) AS source_id, star,

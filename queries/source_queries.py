@@ -118,26 +118,38 @@ def scan_obs_text(spark, sf_dir):
 @register(
     "sink_obs_text",
     TAGGED
-    + f""" SELECT CAST(epoch AS VARCHAR) || ' ' || source_id AS head,
-    CASE WHEN {TOUCHING} = 0 THEN '-' ELSE 'list' END AS neighbours, 11 AS n_fields FROM tagged""",
+    + """, listed AS (SELECT source_id, string_agg(border_cell, ',' ORDER BY border_cell) AS cells FROM touch GROUP BY source_id)
+    SELECT epoch, source_id, ra, dec, mag, magerr, cell, coalesce(cells, '-') AS neighbours,
+           strftime(obs_time, '%Y-%m-%dT%H:%M:%S') AS obs_time, '0' AS match_state, 0 AS miss_streak, 11 AS n_fields
+    FROM tagged LEFT JOIN listed USING (source_id)""",
 )
 def sink_obs_text(spark, sf_dir):
+    """All eleven fields of the written lines; neighbours in order of their number."""
     part = F.split("value", " ")
+    neighbours = F.array_join(F.array_sort(F.split(part[7], ",").cast("array<bigint>")).cast("array<string>"), ",")
     return spark.read.text(_text(spark, sf_dir)).select(
-        F.concat_ws(" ", part[0], part[1]).alias("head"),
-        F.when(part[7] == "-", "-").otherwise("list").alias("neighbours"),
+        part[0].cast("int").alias("epoch"),
+        part[1].alias("source_id"),
+        *[part[n].cast("double").alias(c) for n, c in enumerate(("ra", "dec", "mag", "magerr"), 2)],
+        part[6].cast("long").alias("cell"),
+        F.when(part[7] == "-", "-").otherwise(neighbours).alias("neighbours"),
+        F.substring_index(part[8], ".", 1).alias("obs_time"),
+        part[9].alias("match_state"),
+        part[10].cast("int").alias("miss_streak"),
         F.size(part).alias("n_fields"),
     )
 
 
 @register(
     "sink_observation_table",
-    TAGGED + " SELECT CAST(cell // 4096 AS INTEGER) AS coarse_cell, count(*) AS n_rows FROM tagged GROUP BY 1",
+    TAGGED + f""" SELECT CAST(cell // 4096 AS INTEGER) AS coarse_cell, cell, epoch, source_id, ra, dec, mag, magerr,
+    CAST({TOUCHING} AS INTEGER) AS n_border FROM tagged""",
 )
 def sink_observation_table(spark, sf_dir):
     folder = Workspace(spark, "table").path
     obstext.write_observation_table(halo.tag_cells(P.detections(spark, sf_dir)), folder)
-    return spark.read.parquet(folder).groupBy("coarse_cell").agg(F.count(F.lit(1)).alias("n_rows"))
+    columns = ["coarse_cell", "cell", "epoch", "source_id", "ra", "dec", "mag", "magerr"]
+    return spark.read.parquet(folder).select(*columns, F.size("border_cells").alias("n_border"))
 
 
 @register(
@@ -154,14 +166,19 @@ def sink_series_text(spark, sf_dir):
 
 @register(
     "sink_pairs_text",
-    f"""WITH {P.OBSERVATIONS}, {S.pairs('obs', 'obs', 'p', 'a.epoch < b.epoch')}
+    f"""WITH {P.DETECTIONS}, found AS (SELECT * FROM det {P.FIRST_SEEN}),
+    {S.pairs('found', 'det', 'p', 'a.epoch < b.epoch')}
     SELECT '[' || a.source_id || ',' || b.source_id || ']' AS value FROM p""",
 )
 def sink_pairs_text(spark, sf_dir):
-    """A self-join of the observations: read from the nine-column text form, written as pairs."""
+    """A reference list against all detections: both read from the nine-column text form, written as pairs."""
     folder = Workspace(spark, "pairs-text")
-    obstext.write_observations(halo.tag_cells(P.observations(spark, sf_dir)), f"{folder.path}/in")
-    rows = obstext.read_observations(spark, f"{folder.path}/in", obstext.JOIN_FIELDS)
-    matched = X.crossmatch(rows, rows, extra=F.col("ref_epoch") < F.col("epoch"))
+    found = P.first_seen(P.detections(spark, sf_dir))
+    obstext.write_observations(halo.tag_cells(found), f"{folder.path}/found")
+    obstext.write_observations(halo.tag_cells(P.detections(spark, sf_dir)), f"{folder.path}/in")
+    found, rows = (
+        obstext.read_observations(spark, f"{folder.path}/{part}", obstext.JOIN_FIELDS) for part in ("found", "in")
+    )
+    matched = X.crossmatch(found, rows, extra=F.col("ref_epoch") < F.col("epoch"))
     obstext.write_pairs(matched, f"{folder.path}/out", "ref_source_id", "source_id")
     return spark.read.text(f"{folder.path}/out")

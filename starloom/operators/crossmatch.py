@@ -7,8 +7,6 @@ reference side is copied over cell borders; every pair is found exactly once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +16,8 @@ from starloom.operators.halo import ROWS_PER_TASK, assign_slot, copy_to_slots, h
 from starloom.schema import RADIUS_DEG2
 
 STRATEGIES = ("auto", "broadcast", "shuffle_hash", "merge")
-BROADCAST_ROWS = 500_000  # largest reference list that is sent to every executor
-Condition = Callable[[], Column]
+# Largest reference list, border copies included, that is sent to every executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def key_observations(df: DataFrame, grid: MatchGrid) -> DataFrame:
@@ -42,6 +40,43 @@ def near(radius_deg2: float) -> Column:
     return within_radius("ref_ra", "ref_dec", "ra", "dec", radius_deg2)
 
 
+def rows_and_bytes(df: DataFrame) -> tuple[int, int]:
+    """Number of rows and their size in memory: 16 bytes a field, and what strings and lists hold."""
+    width = F.lit(16 * len(df.columns))
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map"):
+            width = width + 16 * F.greatest(F.size(f.name), F.lit(0))
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(width.cast("long"))).first()
+    return rows, size or 0
+
+
+def spread(left: DataFrame, right: DataFrame, rows_per_task: int) -> tuple[DataFrame, DataFrame]:
+    """Deal the observations (left) of crowded keys over slots, and copy the references to them."""
+    hot = hot_keys(left, "_key", rows_per_task)
+    return assign_slot(left, hot, "_key"), copy_to_slots(right, hot, "_key")
+
+
+def create_match_views(
+    reference: DataFrame,
+    observations: DataFrame,
+    reference_view: str,
+    observation_view: str,
+    grid: MatchGrid | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> None:
+    """Temporary views for matching in SQL: join on ``match_cell`` and ``match_slot``, then test the radius.
+
+    The reference view has all columns with prefix ``ref_``, and a row for each cell to look in.
+    """
+    grid = grid or MatchGrid.for_radius()
+    sides = spread(key_observations(observations, grid), key_reference(reference, grid), rows_per_task)
+    for df, name in zip(sides, (observation_view, reference_view)):
+        df.withColumnsRenamed({"_key": "match_cell", "_slot": "match_slot"}).createOrReplaceTempView(name)
+
+
 def join_keyed(
     observations: DataFrame,
     reference: DataFrame,
@@ -71,6 +106,7 @@ def crossmatch(
     grid: MatchGrid | None = None,
     rows_per_task: int = ROWS_PER_TASK,
     broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join observations with the references within the radius.
 
@@ -78,9 +114,10 @@ def crossmatch(
     ``left_anti`` (observations with or without a partner). ``extra`` may use
     the observation columns and the reference columns with prefix ``ref_``.
 
-    ``broadcast`` counts the reference first and is used only up to
-    ``broadcast_rows``; beyond that the join is a sort-merge join. The shuffled
-    strategies split cells that hold more than ``rows_per_task`` observations.
+    ``broadcast`` measures the reference with its border copies first and is
+    used only up to ``broadcast_rows`` and ``broadcast_bytes``; beyond that the
+    join is a sort-merge join. The shuffled strategies split cells that hold
+    more than ``rows_per_task`` observations.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
@@ -88,16 +125,16 @@ def crossmatch(
     grid.check_radius(radius_deg2)
     condition = near(radius_deg2) if extra is None else near(radius_deg2) & extra
 
-    if strategy == "broadcast" and reference.count() > broadcast_rows:
-        strategy = "merge"
     left = key_observations(observations, grid)
     right = key_reference(reference, grid)
+    if strategy == "broadcast":
+        rows, size = rows_and_bytes(right)
+        if rows > broadcast_rows or size > broadcast_bytes:
+            strategy = "merge"
     if strategy == "broadcast":
         return join_keyed(left, F.broadcast(right), condition, how, keys=("_key",))
 
-    hot = hot_keys(left, "_key", rows_per_task)
-    left = assign_slot(left, hot, "_key")
-    right = copy_to_slots(right, hot, "_key")
+    left, right = spread(left, right, rows_per_task)
     if strategy != "auto":
         right = right.hint(strategy)
     return join_keyed(left, right, condition, how)

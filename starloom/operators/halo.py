@@ -38,11 +38,6 @@ def halo_replicate(df: DataFrame) -> DataFrame:
     )
 
 
-def border_copies(df: DataFrame) -> DataFrame:
-    """Only the foreign copies of border rows, with the cell each is meant for."""
-    return df.select("*", F.explode("border_cells").alias("target_cell"))
-
-
 def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Keys with more rows than one task should take, and into how many slots to split them.
 

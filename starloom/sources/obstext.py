@@ -58,13 +58,17 @@ def write_observations(observations: DataFrame, path: str) -> None:
 def write_observation_table(observations: DataFrame, path: str, coarse_order_shift: int = 12) -> None:
     """Parquet, the form for further work: split by coarse cell so that scans can skip.
 
-    The default shift turns level-10 cells into the 3072 cells of level 4.
+    The default shift turns level-10 cells into the 3072 cells of level 4. Rows
+    are dealt to tasks by ranges of (coarse cell, cell, epoch, id), so tasks
+    hold like numbers of rows however the survey lies on the sky, a file covers
+    few cells, and its statistics let scans skip by ``cell`` and ``epoch``.
     """
+    order = ["coarse_cell", "cell", "epoch", "source_id"]
     coarse = F.shiftright("cell", coarse_order_shift)
     (
         observations.withColumn("coarse_cell", coarse)
-        .repartition("coarse_cell", F.pmod(F.xxhash64("source_id"), F.lit(16)))
-        .sortWithinPartitions("coarse_cell", "cell", "epoch")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .write.partitionBy("coarse_cell")
         .mode("overwrite")
         .parquet(path)
