@@ -3,20 +3,25 @@
 A task sees its own rows and copies of foreign rows near the border, and goes
 through the epochs once. It decides only what it can know: an own row is
 certain unless an undecided earlier row is in range, and foreign rows are
-settled by their own cell. The few rows left open near borders, and all rows of
-cells too large for one task, go to the round-based fold together with the
-references already found. The outcome equals that of ``fold_series``.
+settled by their own cell. The task of a certain reference sees all rows in its
+range, so it reports the reference's pairs as well. The few rows left open near
+borders, and all rows of cells too large for one task, go to the round-based
+fold; only the references found there are joined with the rows once more. The
+outcome equals that of ``fold_series``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starloom.functions.cells import MatchGrid
 from starloom.operators.halo import halo_replicate, hot_keys, tag_cells
-from starloom.operators.neighbourhood import has_partner
+from starloom.operators.neighbourhood import has_partner, matched_pairs
 from starloom.plans.fold import (
     COLUMNS,
     FoldOptions,
@@ -26,13 +31,19 @@ from starloom.plans.fold import (
     collect_series,
     fold_series,
 )
+from starloom.schema import FINE_ORDER
 from starloom.session import Workspace
 
-DECIDED = "source_id string, epoch int, ra double, dec double, mag double, founder boolean"
+# Founders and open rows have a position; pairs name the founder instead.
+FOUNDER, OPEN, PAIR = 0, 1, 2
+DECIDED = "kind int, object_id string, source_id string, epoch int, ra double, dec double, mag double"
+
 
+DECIDED_COLUMNS = [c.split()[0] for c in DECIDED.split(", ")]
 
-def decide_cell(rows: pd.DataFrame, radius_deg2: float) -> pd.DataFrame:
-    """Founders and open rows among the own rows of one cell; settled rows are left out."""
+
+def decide_cell(rows: pd.DataFrame, radius_deg2: float) -> Iterator[pd.DataFrame]:
+    """Founders and open rows among the own rows of one cell, then the founders' pairs in portions."""
     rows = rows.sort_values(["epoch", "source_id"], ignore_index=True)
     ra, dec = rows["ra"].to_numpy(), rows["dec"].to_numpy()
     own = (rows["home_cell"] == rows["cell"]).to_numpy()
@@ -45,11 +56,16 @@ def decide_cell(rows: pd.DataFrame, radius_deg2: float) -> pd.DataFrame:
         certain = own[at] & ~doubtful
         founders = np.concatenate([founders, at[certain]])
         unsettled = np.concatenate([unsettled, at[~certain]])
-    founder = np.zeros(len(rows), dtype=bool)
-    founder[founders] = True
-    told = np.concatenate([founders, unsettled[own[unsettled]]])
-    out = rows.iloc[told][["source_id", "epoch", "ra", "dec", "mag"]]
-    return out.assign(founder=founder[told]).astype({"source_id": object})
+    for kind, at in ((FOUNDER, founders), (OPEN, unsettled[own[unsettled]])):
+        told = rows.iloc[at][["source_id", "epoch", "ra", "dec", "mag"]]
+        yield told.assign(kind=kind, object_id=None)
+    names = rows["source_id"].to_numpy(object)
+    for founder, seen in matched_pairs(ra[founders], dec[founders], ra, dec, radius_deg2):
+        founder = founders[founder]
+        later = epochs[seen] > epochs[founder]
+        founder, seen = founder[later], seen[later]
+        pairs = pd.DataFrame({"object_id": names[founder], "source_id": names[seen], "epoch": epochs[seen]})
+        yield pairs.assign(kind=PAIR, ra=np.nan, dec=np.nan, mag=np.nan)
 
 
 def fold_per_cell(
@@ -59,8 +75,9 @@ def fold_per_cell(
 
     With dropping, what a row belongs to hangs on misses that border rows of
     other cells decide, so no cell can settle it alone: the rounds do all of it.
+    They also do it where the radius is too wide for the border strip.
     """
-    if options.max_misses is not None:
+    if options.max_misses is not None or MatchGrid.for_radius(options.radius_deg2).fine_order < FINE_ORDER:
         return fold_series(observations, options, workspace)
     work = workspace or Workspace(observations.sparkSession, "percell")
     resolver = Resolver(work, observations, options)
@@ -69,8 +86,10 @@ def fold_per_cell(
     sized = copies.join(F.broadcast(hot_keys(copies, "cell", options.rows_per_task)), "cell", "left")
     radius_deg2 = options.radius_deg2
 
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        return decide_cell(rows, radius_deg2)
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches), ignore_index=True)
+        for told in decide_cell(rows, radius_deg2):
+            yield told[DECIDED_COLUMNS].astype({"object_id": object, "source_id": object})
 
     decided = work.save(
         sized.filter(F.col("_slots").isNull())
@@ -80,10 +99,18 @@ def fold_per_cell(
         "decided",
     )
     oversized = sized.filter(F.col("_slots").isNotNull() & (F.col("home_cell") == F.col("cell")))
-    founders = add_keys(decided.filter("founder").select(*slim), options).select(*COLUMNS)
+    founders = add_keys(decided.filter(F.col("kind") == FOUNDER).select(*slim), options).select(*COLUMNS)
     references = work.save(resolver.with_gone_epoch(founders), "certain")
-    rest = decided.filter("NOT founder").select(*slim).unionByName(oversized.select(*slim))
+    rest = decided.filter(F.col("kind") == OPEN).select(*slim).unionByName(oversized.select(*slim))
     unsettled = resolver.with_slots(rest)
     unsettled = work.save(resolver.uncovered(unsettled, references), "unsettled")
     names, rounds = resolver.run(unsettled)
-    return collect_series(resolver, ["certain", *names], rounds)
+    told = decided.filter(F.col("kind") == PAIR).select("object_id", "epoch", "source_id")
+    if not names:
+        return Series(references.withColumnRenamed("source_id", "object_id"), told, rounds)
+    others = collect_series(resolver, names, rounds)
+    return Series(
+        references.withColumnRenamed("source_id", "object_id").unionByName(others.references),
+        told.unionByName(others.pairs),
+        rounds,
+    )

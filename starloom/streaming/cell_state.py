@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from starloom.functions.cells import MatchGrid
 from starloom.operators.halo import halo_replicate, tag_cells
 from starloom.operators.neighbourhood import matched_pairs
 from starloom.plans.fold import FoldOptions, placed
@@ -108,6 +109,8 @@ def cell_fold(
     """
     if options.max_misses is not None and options.miss_clock != "cell":
         raise ValueError("the keyed state knows the epochs of its own cell only: miss_clock must be 'cell'")
+    if MatchGrid.for_radius(options.radius_deg2).fine_order < fine_order:
+        raise ValueError(f"the radius is too wide for border strips of level {fine_order}")
     slim = observations.select("source_id", "epoch", "ra", "dec", "mag").filter(placed())
     tagged = tag_cells(slim, order, fine_order)
     copies = halo_replicate(tagged).withColumn("epoch", F.col("epoch").cast("int"))

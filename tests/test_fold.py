@@ -73,6 +73,13 @@ def test_eviction_cell_clock(spark):
     assert pair_set(found.pairs) == want != brute.fold(rows, max_misses=3)
 
 
+def test_per_cell_fold_with_a_wide_radius(spark):
+    options = FoldOptions(radius_deg2=0.02**2)
+    rows = [("a", 1, 90.0, -74.0, 12.0), ("b", 2, 90.0, -74.019, 12.0), ("c", 3, 90.0, -74.038, 12.0), ("d", 4, 90.03, -74.0, 12.0)]
+    table = spark.createDataFrame(rows, "source_id string, epoch int, ra double, dec double, mag double")
+    assert pair_set(fold_per_cell(table, options).pairs) == {("a", "b"), ("a", "d")}
+
+
 def test_empty_input(spark):
     rows = spark.createDataFrame([], "source_id string, epoch int, ra double, dec double, mag double")
     assert fold_series(rows).pairs.count() == 0
