@@ -3,7 +3,9 @@
 State is kept in tables below one folder, with one subfolder per step; a
 micro-batch has a step for its rows in time and one for its late rows. A step
 that is run again after a failure overwrites its own subfolders and reads only
-those of earlier steps, so every row counts exactly once.
+those of earlier steps, so every row counts exactly once. References and
+rows are stored by coarse cell, so a batch opens only the cells it can reach;
+the latest epoch of each step is a table of its own.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ REFERENCES = (
 ROWS = "source_id string, epoch int, ra double, dec double, mag double, cell bigint, coarse_cell bigint"
 PAIRS = "object_id string, epoch int, source_id string"
 REDONE = "source_id string"
+FRONTIER = "epoch int"
 COARSE_ORDER = 4  # 3072 cells on the sky
 STARTED = -1  # number of the empty step that creates the tables
 
@@ -36,12 +39,18 @@ class StreamFold:
         if options.max_misses is not None:
             raise ValueError("dropping of unseen objects on a stream needs the keyed-state form")
         self.spark, self.path, self.options = spark, path, options
-        for name, schema in (("references", REFERENCES), ("rows", ROWS), ("pairs", PAIRS), ("redone", REDONE)):
-            self.store(spark.createDataFrame([], schema), name, STARTED)
+        for name, schema in (("references", REFERENCES), ("rows", ROWS), ("pairs", PAIRS), ("redone", REDONE), ("frontier", FRONTIER)):
+            store = self.store_by_cell if "coarse_cell" in schema else self.store
+            store(spark.createDataFrame([], schema), name, STARTED)
 
     def store(self, df: DataFrame, name: str, step: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/step={step}")
 
+    def store_by_cell(self, df: DataFrame, name: str, step: int) -> None:
+        """A folder per coarse cell; rebalancing brings a cell together but splits a crowded one."""
+        dealt = df.hint("rebalance", "coarse_cell").sortWithinPartitions("coarse_cell", "cell")
+        dealt.write.mode("overwrite").partitionBy("coarse_cell").parquet(f"{self.path}/{name}/step={step}")
+
     def table(self, name: str, schema: str, before: int | None = None) -> DataFrame:
         df = self.spark.read.schema(schema + ", step bigint").parquet(f"{self.path}/{name}")
         if before is not None:
@@ -96,7 +105,7 @@ class StreamFold:
         references = known
         if names:
             found = work.load(known.schema, *names)
-            self.store(self._coarse(found).sort("coarse_cell"), "references", step)
+            self.store_by_cell(self._coarse(found), "references", step)
             references = known.unionByName(found)
         pairs = join_keyed(rows, resolver.as_reference(references), resolver.attached())
         self.store(
@@ -105,7 +114,8 @@ class StreamFold:
             step,
         )
         kept = self._coarse(rows).drop("_key", "_slot", "_micro")
-        self.store(kept.sort("coarse_cell"), "rows", step)
+        self.store_by_cell(kept, "rows", step)
+        self.store(rows.agg(F.max("epoch").alias("epoch")), "frontier", step)
 
     def _near(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """Stored rows (left) in range of any of a few delivered ones (right)."""
@@ -120,8 +130,8 @@ class StreamFold:
         )
 
     def frontier(self, number: int) -> int | None:
-        """The latest epoch folded before this micro-batch."""
-        return self.table("rows", ROWS, 2 * number).agg(F.max("epoch")).first()[0]
+        """The latest epoch folded before this micro-batch, from one number per step."""
+        return self.table("frontier", FRONTIER, 2 * number).agg(F.max("epoch")).first()[0]
 
     def absorb_with_late(self, batch: DataFrame, number: int) -> None:
         """Like ``absorb``, but rows of epochs already passed are handled afterwards.
@@ -156,8 +166,8 @@ class StreamFold:
         self.store(region.join(late.select("source_id"), "source_id", "left_anti").select("source_id"), "redone", step)
         self.store(anew.pairs, "pairs", step)
         found = self._coarse(anew.references.withColumnRenamed("object_id", "source_id"))
-        self.store(found.select(*[c.split()[0] for c in REFERENCES.split(", ")]), "references", step)
-        self.store(late, "rows", step)
+        self.store_by_cell(found.select(*[c.split()[0] for c in REFERENCES.split(", ")]), "references", step)
+        self.store_by_cell(late, "rows", step)
         return None
 
 
