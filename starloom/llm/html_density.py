@@ -9,6 +9,11 @@ threshold above which other parts of the body are searched for content in the
 same way. Elements that are never content (menus, forms, notices, scripts, ...)
 are recognised by tag, role, class or id and take no part.
 
+Bare text and inline elements beside blocks take part as an anonymous block: a
+node of its own with a density that counts in its parent's sum, searched like
+any other. It is no tag, and line breaks in it count as none. Inline elements
+are never chosen alone, as the text around them belongs to them.
+
 Null or empty pages give an empty text. Unclosed, misnested and cut-off markup
 is taken as browsers take it, roughly: an unknown end is ignored, an open
 paragraph ends with the next block. Repeated rows and extra columns do no harm.
@@ -48,6 +53,8 @@ SAME_KIND_ENDS = {
     "tfoot": {"tr", "td", "th", "thead", "tbody"},
 }
 LIST_BOUND = frozenset("ul ol menu dl table select body html".split())
+#: In place of the tag of an anonymous block; no element can have it.
+RUN = "#run"
 # Elements that hold no article text.
 NEVER = frozenset(
     "head script style noscript template nav footer aside form button select textarea input label fieldset iframe "
@@ -72,13 +79,17 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("children", "density", "density_sum", "noise", "parent", "tag", "chars", "tags", "link_chars", "link_tags", "text")
+    __slots__ = (
+        *("children", "density", "density_sum", "noise", "parent", "tag", "chars", "tags", "link_chars", "link_tags", "text"),
+        *("breaks", "flow"),
+    )
 
     def __init__(self, tag: str, parent: Node | None, noise: bool):
         self.tag, self.parent, self.noise = tag, parent, noise
         self.children: list[Node] = []
         self.text = ""  # of text nodes, whose tag is empty
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.breaks = 0
+        self.flow = tag in BLOCK or tag == RUN  # a block, or an element around blocks
         self.density = self.density_sum = 0.0
 
 
@@ -175,6 +186,40 @@ def in_order(root: Node) -> list[Node]:
     return out
 
 
+def gather_runs(root: Node) -> None:
+    """Put runs of text and inline elements that stand beside blocks into anonymous blocks."""
+    nodes = in_order(root)
+    said: set[int] = set()  # nodes with text to be read
+    for node in reversed(nodes):
+        up = node.parent
+        if node.text.strip():
+            said.add(id(node))
+        if up is not None and not node.noise:
+            up.flow |= node.flow and not up.noise
+            if id(node) in said:
+                said.add(id(up))
+    for node in nodes:
+        if node.noise or not any(c.flow for c in node.children):
+            continue
+        children: list[Node] = []
+        run: list[Node] = []
+        for child in [*node.children, None]:
+            if child is not None and not child.flow:
+                run.append(child)
+                continue
+            if any(id(c) in said and not c.noise for c in run):
+                block = Node(RUN, node, False)
+                block.children = run
+                for c in run:
+                    c.parent = block
+                run = [block]
+            children += run
+            run = []
+            if child is not None:
+                children.append(child)
+        node.children = children
+
+
 def weigh(root: Node) -> list[Node]:
     """Counts, densities and density sums of all nodes; returns them in page order."""
     nodes: list[Node] = []
@@ -194,7 +239,8 @@ def weigh(root: Node) -> list[Node]:
         if node.parent is not None:
             up = node.parent
             up.chars += node.chars
-            up.tags += node.tags + bool(node.tag)
+            up.tags += node.tags + (node.tag not in ("", RUN))
+            up.breaks += node.breaks + (node.tag == "br")
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags
     share = root.link_chars / root.chars if root.chars else 0.0
@@ -211,7 +257,7 @@ def composite(node: Node, page_link_share: float) -> float:
     """Characters per tag, times a logarithm that falls with the share of link text and link tags."""
     if not node.chars:
         return 0.0
-    tags = node.tags or 1
+    tags = (node.tags - node.breaks if node.tag == RUN else node.tags) or 1
     plain = max(1, node.chars - node.link_chars)
     ratio = (node.chars / (node.link_chars or 1)) * (tags / (node.link_tags or 1))
     base = math.log(node.chars * node.link_chars / plain + page_link_share * node.chars + math.e)
@@ -220,7 +266,8 @@ def composite(node: Node, page_link_share: float) -> float:
 
 def content(root: Node) -> set[int]:
     """Ids of the nodes whose whole subtree is content."""
-    nodes = [n for n in weigh(root) if n.tag]
+    gather_runs(root)
+    nodes = [n for n in weigh(root) if n.flow]
     if not nodes or not root.chars:
         return set()
     best = max(nodes, key=lambda n: n.density_sum)  # the first, hence outermost, of equals
@@ -244,7 +291,7 @@ def content(root: Node) -> set[int]:
         # Search the rest of this subtree beside the path to what was chosen.
         step = lifted
         while step is not node and step.parent is not None:
-            stack.extend(c for c in step.parent.children if c is not step and c.tag and not c.noise)
+            stack.extend(c for c in step.parent.children if c is not step and c.flow and not c.noise)
             step = step.parent
     return chosen
 
@@ -255,7 +302,7 @@ def strongest(node: Node) -> Node:
         one = stack.pop()
         if one.density_sum > best.density_sum:
             best = one
-        stack.extend(c for c in reversed(one.children) if c.tag and not c.noise)
+        stack.extend(c for c in reversed(one.children) if c.flow and not c.noise)
     return best
 
 

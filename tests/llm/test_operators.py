@@ -474,3 +474,19 @@ def test_empty_tables(spark):
     assert licenses.find_licenses(docs).count() == 0
     assert decontam.find_leaks(docs, benchmark).count() == 0
     assert decontam.drop_leaks(documents(spark, [(1, "kept")]), benchmark).count() == 1
+
+
+def test_html_bare_text_beside_blocks():
+    said = "Bare text of an article that stands in no paragraph of its own. " * 8
+    page = f"<body>{said}<br>more of it<ul><li>{'x' * 20}<li>{'y' * 20}</ul></body>"
+    got = html_density.main_text(page)
+    assert said.strip() in got and "more of it" in got
+    items = "".join(f"<li>item number {k} of a list" for k in range(30))
+    got = html_density.main_text(f"<body><div>{said}<ul>{items}</ul>After <b>all</b>, {said}</div><div>x</div></body>")
+    assert got.startswith(said.strip()) and got.endswith(f"After all, {said.strip()}") and "item number 29" in got
+    lines = "<br>".join(f"line {k} of bare text, about fifty characters long" for k in range(50))
+    got = html_density.main_text(f"<body>{lines}<ul>{''.join('<li>' + 'z' * 100 for _ in range(10))}</ul></body>")
+    assert all(f"line {k} of" in got for k in range(50)) and "zzz" in got
+    bold = "<b>thirty characters of bold text</b> " * 20
+    got = html_density.main_text(f"<body><p>{said}<span>{bold}</span></p></body>")
+    assert got.startswith(said.strip()) and "bold" in got
