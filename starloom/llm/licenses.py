@@ -5,8 +5,9 @@ hashes of all runs of ``GRAM`` words, the least of every ``SPAN`` neighbours is
 a fingerprint; a common stretch of ``GRAM + SPAN - 1`` words always shares
 one. The templates' fingerprints form an inverted index. A hit names a template
 and a diagonal; around it, the template is aligned with the text inside a band
-of ``BAND`` diagonals to either side. A template is found if the alignment
-covers at least ``least`` of its words; of overlapping finds the one
+of ``BAND`` diagonals to either side. A template is found wherever an alignment
+covers at least ``least`` of its words: what lies left and right of a find is
+aligned again, so repeated lines are found each. Of overlapping finds the one
 with most matched words stays.
 
 The templates are a fixed list, hence broadcast with the task. Documents only
@@ -16,6 +17,7 @@ pass through. Null and empty texts match nothing; repeated rows are reported eac
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,28 +100,53 @@ class Templates:
         places = places[np.isin(hashes[places], self.prints)]
         if not len(places):
             return []
-        hits: dict[int, list[int]] = {}
+        hits: dict[int, list[tuple[int, int]]] = {}
         for at in places.tolist():
             for number, own in self.index[int(hashes[at])]:
-                hits.setdefault(number, []).append(at - own)
+                hits.setdefault(number, []).append((at - own, at))
         found = []
-        for number, diagonals in hits.items():
-            for low_end, high_end in clusters(sorted(diagonals), band):
-                got = align(self.numbers[number], words, low_end - band, high_end + band)
-                if got and got[0] >= least * len(self.numbers[number]):
-                    found.append((number, *got))
+        for number, own_hits in hits.items():
+            found += [(number, *got) for got in self.stretches(number, words, own_hits, least, band)]
         if not found:
             return []
         spans = [m.span() for m in _WORD.finditer(low)]
         kept: list[tuple] = []
+        taken = np.zeros(len(words), dtype=bool)
         for number, matched, first, last in sorted(found, key=lambda f: (-f[1], len(self.numbers[f[0]]), f[2], f[0])):
-            if all(last < a or first > b for *_, a, b in kept):
+            if not taken[first : last + 1].any():
+                taken[first : last + 1] = True
                 kept.append((number, matched, first, last))
         return [
             (*self.names[n], matched / len(self.numbers[n]), matched, spans[first][0], spans[last][1])
             for n, matched, first, last in sorted(kept, key=lambda k: k[2])
         ]
 
+    def stretches(
+        self, number: int, words: np.ndarray, hits: list[tuple[int, int]], least: float, band: int
+    ) -> Iterator[tuple[int, int, int]]:
+        """(matched, first, last word) of all alignments of a template that do not overlap; hits are (diagonal, word)."""
+        template = self.numbers[number]
+        gaps = [(0, len(words), sorted(hits))]
+        while gaps:
+            start, stop, inside = gaps.pop()
+            diagonals = [d for d, _ in inside]
+            for low_end, high_end in clusters(diagonals, band):
+                near = inside[bisect_left(diagonals, low_end) : bisect_right(diagonals, high_end)]
+                # The stretch of text that the band can reach.
+                begin = max(start, low_end - band)
+                end = min(stop, high_end + band + len(template))
+                got = alignments(template, words, low_end - band, high_end + band, least, begin, end)
+                if not got:
+                    continue
+                yield from got
+                edges = [begin, *(e for _, first, last in got for e in (first, last + 1)), end]
+                between: dict[int, list[tuple[int, int]]] = {}
+                for hit in near:
+                    side = bisect_right(edges, hit[1]) - 1
+                    if side % 2 == 0 and side + 1 < len(edges) and hit[1] + self.gram <= edges[side + 1]:
+                        between.setdefault(side, []).append(hit)
+                gaps += [(edges[side], edges[side + 1], rest) for side, rest in between.items()]
+
 
 def clusters(diagonals: list[int], band: int) -> Iterator[tuple[int, int]]:
     """Groups of diagonals no further than a band apart."""
@@ -132,31 +159,53 @@ def clusters(diagonals: list[int], band: int) -> Iterator[tuple[int, int]]:
     yield start, last
 
 
-def align(template: np.ndarray, words: np.ndarray, low: int, high: int):
-    """Most words of the template matched in order inside the band: (matched, first, last word), or None.
+def last_row(template: np.ndarray, words: np.ndarray, low: int, high: int, start: int, stop: int) -> list[tuple]:
+    """Per diagonal, the best alignment that ends at or before it: (matched, first word, negated last word).
 
-    Among equal numbers of matches the shortest stretch of text counts.
+    Among equal numbers of matches the one that begins last counts, which is the shortest to any end.
     """
     width = high - low + 1
-    # Per diagonal: matches, negated length of the stretch, its first and last word.
-    empty = (0, 0, -1, -1)
+    empty = (0, -1, 1)
     row = [empty] * width
+    text = words[start:stop].tolist()
     for j, own in enumerate(template.tolist()):
         new = [empty] * width
         for k in range(width):
             i = j + low + k
             best = row[k]  # (j, i) from (j - 1, i - 1)
-            if 0 <= i < len(words) and words[i] == own:
-                first = best[2] if best[2] >= 0 else i
-                best = (best[0] + 1, first - i, first, i)
+            if start <= i < stop and text[i - start] == own:
+                best = (best[0] + 1, best[1] if best[0] else i, -i)
             if k + 1 < width and row[k + 1] > best:  # word of the template left out
                 best = row[k + 1]
             if k and new[k - 1] > best:  # word of the text left out
                 best = new[k - 1]
             new[k] = best
         row = new
-    matched, _, first, last = max(row)
-    return (matched, first, last) if matched else None
+    return row
+
+
+def align(template: np.ndarray, words: np.ndarray, low: int, high: int):
+    """Most words of the template matched in order inside the band: (matched, first, last word), or None."""
+    got = alignments(template, words, low, high, 0.0, 0, len(words))
+    return max(got, key=lambda g: (g[0], g[1] - g[2], g[1])) if got else None
+
+
+def alignments(
+    template: np.ndarray, words: np.ndarray, low: int, high: int, least: float, start: int, stop: int
+) -> list[tuple[int, int, int]]:
+    """Alignments inside the band and the stretch of words that reach ``least`` and do not overlap, in order of the text.
+
+    Of overlapping ones the one with most matches stays, of equals the shortest. Lesser ones between them may be missing.
+    """
+    rows = set(last_row(template, words, low, high, start, stop))
+    made = [(m, first, -last) for m, first, last in rows if m and m >= least * len(template)]
+    kept: list[tuple[int, int, int]] = []
+    taken = bytearray(max(0, stop - start))
+    for matched, first, last in sorted(made, key=lambda g: (-g[0], g[2] - g[1], -g[1])):
+        if not any(taken[first - start : last + 1 - start]):
+            taken[first - start : last + 1 - start] = b"\1" * (last + 1 - first)
+            kept.append((matched, first, last))
+    return sorted(kept, key=lambda g: g[1])
 
 
 def find_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, least: float = LEAST) -> DataFrame:

@@ -490,3 +490,20 @@ def test_html_bare_text_beside_blocks():
     bold = "<b>thirty characters of bold text</b> " * 20
     got = html_density.main_text(f"<body><p>{said}<span>{bold}</span></p></body>")
     assert got.startswith(said.strip()) and "bold" in got
+
+
+@pytest.mark.parametrize(
+    "line", ["released under the MIT License", "licensed under CC BY 4.0", "licensed under the ISC License", "licensed under MIT License"]
+)
+def test_repeated_license_lines(line):
+    scanner = licenses.Templates(licenses.standard_templates())
+    text = "\n".join([line] * 40)
+    got = scanner.find(text)
+    assert [text[f[4] : f[5]] for f in got] == [line] * 40 and {f[2] for f in got} == {1.0}
+
+
+def test_lesser_license_line_between_whole_ones():
+    whole, lesser = "distributed under the terms of the ISC License", "distributed under terms of the ISC License"
+    text = "\n".join([whole, lesser, whole, whole])
+    got = licenses.Templates(licenses.standard_templates()).find(text)
+    assert [text[f[4] : f[5]] for f in got] == [whole, lesser, whole, whole]
