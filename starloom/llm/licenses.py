@@ -3,7 +3,9 @@
 Templates and texts are read as words (letters and digits, lower case). Of the
 hashes of all runs of ``GRAM`` words, the least of every ``SPAN`` neighbours is
 a fingerprint; a common stretch of ``GRAM + SPAN - 1`` words always shares
-one. The templates' fingerprints form an inverted index. A hit names a template
+one. Templates too short for that (fewer than ``SPAN`` runs) have all their runs
+as fingerprints, looked up among all runs of a text, chosen or not. The
+templates' fingerprints form an inverted index. A hit names a template
 and a diagonal; around it, the template is aligned with the text inside a band
 of ``BAND`` diagonals to either side. A template is found wherever an alignment
 covers at least ``least`` of its words: what lies left and right of a find is
@@ -66,12 +68,17 @@ class Templates:
             for word in words:
                 self.known.setdefault(word, len(self.known) + 1)
         self.numbers = [np.array([self.known[w] for w in words], dtype=np.int64) for words in self.words]
+        # Of templates with fewer runs than a text is winnowed by, every run counts: none needs to be chosen there.
         self.index: dict[int, list[tuple[int, int]]] = {}
+        self.short: dict[int, list[tuple[int, int]]] = {}
         for number, words in enumerate(self.numbers):
             hashes = self.hashes(words)
-            for at in winnow(hashes, span).tolist():
-                self.index.setdefault(int(hashes[at]), []).append((number, at))
+            few = len(hashes) < span
+            index = self.short if few else self.index
+            for at in range(len(hashes)) if few else winnow(hashes, span).tolist():
+                index.setdefault(int(hashes[at]), []).append((number, at))
         self.prints = np.array(sorted(self.index), dtype=np.uint64)
+        self.short_prints = np.array(sorted(self.short), dtype=np.uint64)
 
     def hashes(self, words: np.ndarray) -> np.ndarray:
         """One hash per run of words; runs with a word that no template has come last in any order."""
@@ -98,12 +105,13 @@ class Templates:
         # Stretches without known runs have no fingerprints: winnow what is left, with its edges.
         places = winnow(hashes, self.span)
         places = places[np.isin(hashes[places], self.prints)]
-        if not len(places):
-            return []
+        every = np.flatnonzero(hashes != _NONE)
+        every = every[np.isin(hashes[every], self.short_prints)]
         hits: dict[int, list[tuple[int, int]]] = {}
-        for at in places.tolist():
-            for number, own in self.index[int(hashes[at])]:
-                hits.setdefault(number, []).append((at - own, at))
+        for index, chosen in ((self.index, places), (self.short, every)):
+            for at in chosen.tolist():
+                for number, own in index[int(hashes[at])]:
+                    hits.setdefault(number, []).append((at - own, at))
         found = []
         for number, own_hits in hits.items():
             found += [(number, *got) for got in self.stretches(number, words, own_hits, least, band)]

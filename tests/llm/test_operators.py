@@ -507,3 +507,13 @@ def test_lesser_license_line_between_whole_ones():
     text = "\n".join([whole, lesser, whole, whole])
     got = licenses.Templates(licenses.standard_templates()).find(text)
     assert [text[f[4] : f[5]] for f in got] == [whole, lesser, whole, whole]
+
+
+def test_short_license_statements_need_no_luck():
+    scanner = licenses.Templates(licenses.standard_templates())
+    around = ["is", "and", "the", "software", "copy", "of", "license", "notice", "conditions", "use", "this", "version", "in", "or"]
+    for said in ("licensed under MIT License", "licensed under ISC License"):
+        for a in around:
+            for b in around:
+                text = f"this {a} {said} {b} the software"
+                assert said in [text[f[4] : f[5]] for f in scanner.find(text)], text
