@@ -9,7 +9,10 @@ templates' fingerprints form an inverted index. A hit names a template
 and a diagonal; around it, the template is aligned with the text inside a band
 of ``BAND`` diagonals to either side. A template is found wherever an alignment
 covers at least ``least`` of its words: what lies left and right of a find is
-aligned again, so repeated lines are found each. Of overlapping finds the one
+aligned again, so repeated lines are found each. A statement must also bear the
+whole name of its license, without ``FILLER`` words and in any order, and no
+word or number of another; an SPDX identifier must stand exactly. Of an SPDX
+expression, the first license is found. Of overlapping finds the one
 with most matched words stays.
 
 The templates are a fixed list, hence broadcast with the task. Documents only
@@ -31,8 +34,14 @@ from starloom.llm.common import text_column
 from starloom.llm.license_texts import BODIES, NAMES, STATEMENTS
 
 GRAM, SPAN, BAND, LEAST = 3, 3, 6, 0.8
+#: Words of names that do not tell licenses apart, and those that other texts use as well.
+FILLER, COMMON = frozenset({"license", "version", "universal"}), frozenset({"by", "clause", "general", "public"})
+IDENTIFIER = "SPDX-License-Identifier: {name}"
 FINDS = "doc_id long, license string, form string, coverage double, matched long, start long, end long"
 _WORD = re.compile("[a-z0-9]+")
+# What goes on in a name after its last word: a further part of a version, of an identifier.
+_MORE_VERSION = re.compile(r"\.0*[1-9]")
+_MORE_IDENTIFIER = re.compile(r"\.0*[1-9]|-(?!only\b|or-later\b)[a-z0-9]")
 _NONE = np.iinfo(np.uint64).max
 
 
@@ -44,9 +53,19 @@ def lower_ascii(text: str) -> str:
 
 def standard_templates() -> list[tuple[str, str, str]]:
     said = [(n, "statement", s.format(name=name)) for n, name in NAMES.items() for s in STATEMENTS]
+    said += [(n, "identifier", IDENTIFIER.format(name=n)) for n in NAMES]
     return said + [(n, "notice", text) for n, text in BODIES.items()]
 
 
+def name_words(license: str) -> frozenset[str]:
+    """The words of a license's name that tell it from others."""
+    return frozenset(_WORD.findall(lower_ascii(NAMES.get(license, "")))) - FILLER
+
+
+#: Words that name a license wherever they stand.
+NAMING = frozenset(w for n in NAMES for w in name_words(n) if not w.isdigit()) - COMMON
+
+
 def winnow(hashes: np.ndarray, span: int) -> np.ndarray:
     """Positions of the rightmost least hash of every ``span`` neighbours (of all, if fewer)."""
     if not len(hashes):
@@ -98,7 +117,8 @@ class Templates:
         """(license, form, coverage, matched, start, end) of a text, in code points."""
         low = lower_ascii(text)
         get = self.known.get
-        words = np.array([get(w, 0) for w in _WORD.findall(low)], dtype=np.int64)
+        said = _WORD.findall(low)
+        words = np.array([get(w, 0) for w in said], dtype=np.int64)
         hashes = self.hashes(words)
         if not len(hashes) or hashes.min() == _NONE:
             return []
@@ -118,6 +138,7 @@ class Templates:
         if not found:
             return []
         spans = [m.span() for m in _WORD.finditer(low)]
+        found = [f for f in found if self.named(f[0], said[f[2] : f[3] + 1], low, spans[f[3]][1])]
         kept: list[tuple] = []
         taken = np.zeros(len(words), dtype=bool)
         for number, matched, first, last in sorted(found, key=lambda f: (-f[1], len(self.numbers[f[0]]), f[2], f[0])):
@@ -129,6 +150,22 @@ class Templates:
             for n, matched, first, last in sorted(kept, key=lambda k: k[2])
         ]
 
+    def named(self, number: int, span: list[str], low: str, end: int) -> bool:
+        """Whether a stretch bears the name of the license that its template states."""
+        license, form = self.names[number]
+        if form == "identifier":
+            return span == self.words[number] and not _MORE_IDENTIFIER.match(low, end)
+        name = name_words(license) if form == "statement" else frozenset()
+        if not name or not name.issubset(self.words[number]):
+            return True
+        if any(w in NAMING and w not in name for w in span):
+            return False
+        start = next((k for k, w in enumerate(span) if w in name), len(span))
+        rest = span[start:]
+        if not name.issubset(rest) or any(w.isdigit() and w not in name for w in rest):
+            return False
+        return not (span[-1].isdigit() and _MORE_VERSION.match(low, end))
+
     def stretches(
         self, number: int, words: np.ndarray, hits: list[tuple[int, int]], least: float, band: int
     ) -> Iterator[tuple[int, int, int]]:

@@ -517,3 +517,33 @@ def test_short_license_statements_need_no_luck():
             for b in around:
                 text = f"this {a} {said} {b} the software"
                 assert said in [text[f[4] : f[5]] for f in scanner.find(text)], text
+
+
+def test_license_names_match_in_full():
+    scanner = licenses.Templates(licenses.standard_templates())
+    for text in (
+        "licensed under CC BY-SA 3.0",
+        "licensed under the GNU General Public License, version 1",
+        "distributed under the terms of the GNU General Public License, version 1",
+        "distributed under the terms of the GNU Free Documentation License, version 2",
+        "distributed under the terms of the GNU Lesser General Public License, version 2",
+        "released under the Apache License, Version 1.0",
+        "available under the GNU General Public License, version 3.1",
+        "SPDX-License-Identifier: MIT-0",
+        "SPDX-License-Identifier: CC-BY-SA-3.0",
+        "SPDX-License-Identifier: BSD-3-Clause-Clear",
+    ):
+        assert scanner.find(text) == [], text
+    for text, want in (
+        ("licensed under the Apache License 2.0", "Apache-2.0"),
+        ("licensed under the GNU General Public License (GPL), version 2.0", "GPL-2.0"),
+        ("distributed by its authors under the terms of the ISC License", "ISC"),
+        ("distributed under terms of the GNU Lesser General Public License, version 2.1", "LGPL-2.1"),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+    ):
+        assert [f[0] for f in scanner.find(text)] == [want], text
+    for name in licenses.NAMES:
+        text = f"/* SPDX-License-Identifier: {name} */"
+        assert [(f[0], f[1], text[f[4] : f[5]]) for f in scanner.find(text)] == [(name, "identifier", text[3:-3])]
+    mixed = ["licensed under CC BY 4.0", "distributed under terms of the MIT License", "licensed under CC BY 4.0"] * 2
+    assert [f[0] for f in scanner.find("\n".join(mixed))] == ["CC-BY-4.0", "MIT", "CC-BY-4.0"] * 2
