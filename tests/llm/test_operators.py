@@ -547,3 +547,17 @@ def test_license_names_match_in_full():
         assert [(f[0], f[1], text[f[4] : f[5]]) for f in scanner.find(text)] == [(name, "identifier", text[3:-3])]
     mixed = ["licensed under CC BY 4.0", "distributed under terms of the MIT License", "licensed under CC BY 4.0"] * 2
     assert [f[0] for f in scanner.find("\n".join(mixed))] == ["CC-BY-4.0", "MIT", "CC-BY-4.0"] * 2
+
+
+def test_drop_near_copies_keeps_one_row_of_each_component(spark):
+    one, two, three, four = (words(k, 80) for k in range(61, 65))
+    rows = [
+        (None, one), (None, one), (None, one + " "),  # a component without ids
+        (None, two), (7, two),
+        (7, three), (9, three), (9, three),  # the kept id of another component
+        (8, four), (8, four), (8, four),
+    ]
+    got = simhash.drop_near_copies(documents(spark, rows))
+    assert got.columns == documents(spark, rows).columns
+    stay = sorted(((r.doc_id, r.text.strip()) for r in got.collect()), key=str)
+    assert stay == sorted([(None, one), (7, two), (7, three), (8, four)], key=str)
