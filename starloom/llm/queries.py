@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import bpe, chat, cuckoo, decontam, html_density, licenses, quality, secrets, simhash, substring
+from starloom.llm import (
+    bpe,
+    chat,
+    cuckoo,
+    decontam,
+    html_density,
+    licenses,
+    negatives,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    substring,
+    trie,
+)
 from starloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +156,69 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), negatives.whole_vector("embedding", 256).alias("vector"))
+    return negatives.mine_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+SQL["op11_negatives"] = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id AS id, a.label = v.label AS same, CAST(list_dot_product(a.q, v.q) AS BIGINT) AS score
+  FROM v AS a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER w <= 10"""
+
+
+@register
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+SQL["op12_trie"] = r"""
+WITH t AS (
+  SELECT conv_id AS c, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS x, turn FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, list(x ORDER BY turn NULLS FIRST, x.role, x.text) AS xs FROM t GROUP BY c),
+h AS (
+  SELECT c, xs, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda v, b: list_reduce(list_prepend(xor(v, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+      lambda w, z: xor(w >> 1, (w & 1) * 3988292384 + z)))) % 4 AS h
+  FROM l),
+r AS (SELECT h.c, list_concat(coalesce(b.xs[1:h.h], []), h.xs[h.h + 1:]) AS xs FROM h LEFT JOIN l b ON b.c = h.c - h.c % 20),
+n AS (
+  SELECT xs[1:d] AS p, d AS depth, min(c) AS conv_id, count(*) AS n_convs,
+         string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(xs) = d) AS ends
+  FROM (SELECT c, xs, unnest(range(len(xs) + 1)) AS d FROM r) GROUP BY 1, 2),
+k AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+v AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children,
+         CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.p[depth].text, '[^ 	-]+')) END AS saved
+  FROM n LEFT JOIN k USING (p)),
+s AS (
+  SELECT p[1:a] AS p, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT p, saved, n_children, unnest(range(depth + 1)) AS a FROM v) GROUP BY 1)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens,
+       sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN s USING (p) LEFT JOIN n u ON v.depth > 0 AND u.p = v.p[1:v.depth - 1]"""
+
+
+@register
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), path).drop("queue")

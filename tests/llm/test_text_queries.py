@@ -24,7 +24,7 @@ def test_sql(spark, sf_dir, name):
 def test_rows(spark, sf_dir, name):
     got = QUERIES[name](spark, sf_dir)
     source = {"op1_html_text": "pages", "op8_chat": None}.get(name, "documents")
-    if name in ("op9_licenses", "op10_decontamination"):
+    if name in ("op9_licenses", "op10_decontamination", "op13_packing"):
         assert got.count() > 0 and "doc_id" in got.columns
     else:
         assert got.count() == spark.read.parquet(f"{sf_dir}/{source}.parquet").count()
