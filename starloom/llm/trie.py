@@ -167,7 +167,7 @@ def subtree_sums(paths: DataFrame, nodes: DataFrame, values: list[str], work: Wo
         .agg(*sums)
     )
     inside = work.save(inside, f"inside-{level}")
-    if inside.agg(F.max("depth")).first()[0] < height:
+    if (inside.agg(F.max("depth")).first()[0] or 0) < height:
         return inside
     step = (F.col("depth") / height).cast("long")
     tops = inside.filter(F.col("depth") % height == 0)
