@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -53,8 +54,15 @@ OWN_QUEUES, REST_QUEUES = 1024, 64
 BROADCAST_ROWS = 1_000_000
 ONE = 1 << 16  # a token of credit
 
-#: Words longer than this are not remembered, and so many words at most are.
-WORD_BYTES, WORDS = 48, 1_000_000
+#: Parts of texts longer than this are not remembered; of others up to twice so many.
+PART_CHARS, PARTS_KEPT = 48, 300_000
+#: Parts that are encoded as one text.
+PARTS_AT_ONCE = 500
+
+# Fixed values of the vocabulary's splitting, for texts of ASCII and Latin-1 letters in lower case.
+LETTERS = "a-zß-öø-ÿ"
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9\\s]+")
+PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
 
 TOKENS = "chunk int, doc_id long, source string, before long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue int"
@@ -64,11 +72,37 @@ _TOKENS = pa.schema(
 _PIECES = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.int64()) for c in PIECES.split(", ")])
 
 
+class Remembered:
+    """What was found for a key; when full, it starts anew and keeps the one before to look up what comes again."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.before = limit, {}, {}
+
+    def missing(self, keys: set) -> list:
+        if len(self.now) > self.limit:
+            self.now, self.before = {}, self.now
+        absent = keys.difference(self.now)
+        old = absent.intersection(self.before)
+        self.now.update((k, self.before[k]) for k in old)
+        return list(absent.difference(old))
+
+    def forget_long(self, keys: list) -> None:
+        for key in keys:
+            if len(key) > PART_CHARS:
+                del self.now[key]
+
+
+def plain(text: str) -> bool:
+    """Whether ``PARTS`` splits a text as the vocabulary does: no other letters, no special token."""
+    return PLAIN.fullmatch(text) is not None and "<|" not in text
+
+
 class WordIds:
-    """Token ids of texts, as bytes of unsigned 32-bit numbers, through the library word by word.
+    """Token ids of texts, as bytes of unsigned 32-bit numbers, through the library.
 
-    The vocabulary's splitting never joins what ASCII white space separates, so a
-    text's ids are those of its words; a word that was seen is not encoded again.
+    The vocabulary first splits a text into parts and encodes each by itself, so a part that was seen
+    is not encoded again. In plain texts the parts are found here; of other texts the words (never joined
+    across ASCII white space) that are not plain go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -76,22 +110,49 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known = Remembered(PARTS_KEPT)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False) if texts else ()
+        return [np.array(f.ids, dtype="<u4").tobytes() for f in found]
+
+    def encode_parts(self, parts: list[str]) -> Iterator[bytes]:
+        """A part's last token, and no other, is one that ends a word: so parts can be encoded together."""
+        for low in range(0, len(parts), PARTS_AT_ONCE):
+            some = parts[low : low + PARTS_AT_ONCE]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) != len(some):
+                yield from self.encode(some)
+                continue
+            data, cuts = ids.tobytes(), cuts.tolist()
+            yield from (data[a:b] for a, b in zip([0, *cuts], cuts))
+
+    def split(self, text: bytes) -> list[str | bytes]:
+        """Parts of the text, and as bytes the words that are not plain."""
+        whole = text.decode("utf-8", "replace")
+        if plain(whole):
+            return PARTS.findall(whole.lower())
+        out: list[str | bytes] = []
+        for word in text.split():
+            letters = word.decode("utf-8", "replace")
+            if plain(letters):
+                out += PARTS.findall(letters.lower())
+            else:
+                out.append(word)
+        return out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > WORDS:
-            self.known.clear()
-        split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        self.known.update(zip(new, self.encode(new)))
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        for word in new:
-            if len(word) > WORD_BYTES:
-                del self.known[word]
+        split = [self.split(t) for t in texts]
+        new = self.known.missing(set().union(*split))
+        parts, odd = [p for p in new if isinstance(p, str)], [w for w in new if isinstance(w, bytes)]
+        self.known.now.update(zip(parts, self.encode_parts(parts)))
+        self.known.now.update(zip(odd, self.encode([w.decode("utf-8", "replace") for w in odd])))
+        out = [b"".join(map(self.known.now.__getitem__, s)) for s in split]
+        self.known.forget_long(new)
         return out
 
 
