@@ -5,7 +5,7 @@ from queries import sql as S
 from queries.registry import register
 from starloom.operators import series as A
 from starloom.operators.halo import tag_cells
-from starloom.plans.fold import FoldOptions, fold_series
+from starloom.plans.fold import FoldOptions, fold_rounds, fold_series
 from starloom.plans.percell import fold_per_cell
 from starloom.schema import CELL_ORDER, MAG_LIMIT, RADIUS_DEG2
 
@@ -172,12 +172,12 @@ EVICT_GLOBAL, EVICT_CELL = evicting("true"), evicting("cell IN (SELECT cell FROM
 @register("evict_and_restart", EVICT_GLOBAL)
 def evict_and_restart(spark, sf_dir):
     options = FoldOptions(max_misses=MISSES, miss_clock="global")
-    return fold_series(P.detections(spark, sf_dir), options).pairs
+    return fold_rounds(P.detections(spark, sf_dir), options).pairs
 
 
 @register("evict_cell_clock", EVICT_CELL)
 def evict_cell_clock(spark, sf_dir):
-    return fold_series(P.detections(spark, sf_dir), FoldOptions(max_misses=MISSES)).pairs
+    return fold_rounds(P.detections(spark, sf_dir), FoldOptions(max_misses=MISSES)).pairs
 
 
 @register("per_cell_evict", EVICT_CELL)

@@ -90,7 +90,10 @@ def add_keys(observations: DataFrame, options: FoldOptions) -> DataFrame:
 class Resolver:
     """Settles undecided detections against each other, round by round."""
 
-    def __init__(self, workspace: Workspace, observations: DataFrame, options: FoldOptions):
+    def __init__(
+        self, workspace: Workspace, observations: DataFrame, options: FoldOptions, clock: DataFrame | None = None
+    ):
+        """``clock`` gives (cell, epoch) where more exposures count than those of the rows."""
         self.work = workspace
         self.options = options
         self.grid = options.match_grid()
@@ -98,8 +101,8 @@ class Resolver:
         stored = workspace.save(add_keys(observations, options), "rows")
         self.hot = workspace.save(hot_keys(stored, "_key", options.rows_per_task), "hot_keys")
         self.rows = assign_slot(stored, self.hot, "_key")
-        self.clock = None
-        if options.max_misses is not None:
+        self.clock = clock
+        if options.max_misses is not None and clock is None:
             # Which cells were covered in which epochs: all that counting misses needs.
             self.clock = workspace.save(stored.select("cell", "epoch").distinct(), "clock")
         self.near = near(options.radius_deg2)
@@ -197,20 +200,38 @@ def join_keyed_keep(undecided: DataFrame, reference: DataFrame, condition) -> Da
     return undecided.join(right, on, "left_anti")
 
 
-def fold_series(
-    observations: DataFrame, options: FoldOptions = FoldOptions(), workspace: Workspace | None = None
+def fold_rounds(
+    observations: DataFrame,
+    options: FoldOptions = FoldOptions(),
+    workspace: Workspace | None = None,
+    clock: DataFrame | None = None,
 ) -> Series:
-    """Reference list and series of all detections. ``source_id`` must be unique.
+    """Reference list and series by rounds. ``source_id`` must be unique.
 
     Rows without id, epoch or position take no part; ``set_aside`` gives them.
     """
     spark: SparkSession = observations.sparkSession
     work = workspace or Workspace(spark, "fold")
-    resolver = Resolver(work, observations, options)
+    resolver = Resolver(work, observations, options, clock)
     names, rounds = resolver.run(resolver.rows)
     return collect_series(resolver, names, rounds)
 
 
+def fold_series(
+    observations: DataFrame, options: FoldOptions = FoldOptions(), workspace: Workspace | None = None
+) -> Series:
+    """Reference list and series of all detections, by the cheaper way.
+
+    Without dropping a round or two do. With dropping every restart of an object takes a
+    round, so the cells' tasks go through the epochs instead.
+    """
+    if options.max_misses is None:
+        return fold_rounds(observations, options, workspace)
+    from starloom.plans.percell import fold_per_cell  # which falls back on the rounds
+
+    return fold_per_cell(observations, options, workspace)
+
+
 def collect_series(resolver: Resolver, names: list[str], rounds: int) -> Series:
     spark = resolver.work.spark
     if names:

@@ -1,13 +1,13 @@
 """The epoch fold cell by cell: one shuffle brings a cell's whole history to a task.
 
-A task sees its own rows and copies of foreign rows near the border, and goes
-through the epochs once. It decides only what it can know: an own row is
-certain unless an undecided earlier row is in range, and foreign rows are
-settled by their own cell. The task of a certain reference sees all rows in its
-range, so it reports the reference's pairs as well. The few rows left open near
-borders, and all rows of cells too large for one task, go to the round-based
-fold; only the references found there are joined with the rows once more. The
-outcome equals that of ``fold_series``.
+A task sees its own rows and copies of foreign rows near the border. It divides them
+into groups that cannot touch each other. A group of own rows only lies wholly in the cell, so
+the task goes through its epochs once and settles it: founders, hits, misses, dropping and restarts,
+and pairs. Groups with a foreign row stay open; they are few, and closed among themselves. They are
+folded again by coarser cells, which hold most of them wholly, and in the end by one task as
+long as it can hold what is left (``rows_per_task``). Only beyond that, and for cells too large for one task,
+come the rounds of ``fold_rounds``, over the open rows alone. The outcome equals that of the
+step-by-step fold, with dropping and without.
 """
 
 from __future__ import annotations
@@ -15,102 +15,172 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.functions.cells import MatchGrid
+from starloom.functions.cells import MatchGrid, cell_parent, with_sky_cell
+from starloom.operators.groups import STAYS, Field, connected_groups, settle_groups
 from starloom.operators.halo import halo_replicate, hot_keys, tag_cells
-from starloom.operators.neighbourhood import has_partner, matched_pairs
-from starloom.plans.fold import (
-    COLUMNS,
-    FoldOptions,
-    Resolver,
-    Series,
-    add_keys,
-    collect_series,
-    fold_series,
-)
-from starloom.schema import FINE_ORDER
+from starloom.plans.fold import FoldOptions, Resolver, Series, collect_series, fold_rounds, placed
+from starloom.schema import CELL_ORDER, FINE_ORDER
 from starloom.session import Workspace
 
-# Founders and open rows have a position; pairs name the founder instead.
 FOUNDER, OPEN, PAIR = 0, 1, 2
-DECIDED = "kind int, object_id string, source_id string, epoch int, ra double, dec double, mag double"
-
-
-DECIDED_COLUMNS = [c.split()[0] for c in DECIDED.split(", ")]
-
-
-def decide_cell(rows: pd.DataFrame, radius_deg2: float) -> Iterator[pd.DataFrame]:
-    """Founders and open rows among the own rows of one cell, then the founders' pairs in portions."""
-    rows = rows.sort_values(["epoch", "source_id"], ignore_index=True)
-    ra, dec = rows["ra"].to_numpy(), rows["dec"].to_numpy()
-    own = (rows["home_cell"] == rows["cell"]).to_numpy()
-    epochs = rows["epoch"].to_numpy()
-    founders = np.empty(0, dtype=np.int64)
-    unsettled = np.empty(0, dtype=np.int64)
-    for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(epochs)) + 1):
-        at = at[~has_partner(ra[founders], dec[founders], ra[at], dec[at], radius_deg2)]
-        doubtful = has_partner(ra[unsettled], dec[unsettled], ra[at], dec[at], radius_deg2)
-        certain = own[at] & ~doubtful
-        founders = np.concatenate([founders, at[certain]])
-        unsettled = np.concatenate([unsettled, at[~certain]])
-    for kind, at in ((FOUNDER, founders), (OPEN, unsettled[own[unsettled]])):
-        told = rows.iloc[at][["source_id", "epoch", "ra", "dec", "mag"]]
-        yield told.assign(kind=kind, object_id=None)
-    names = rows["source_id"].to_numpy(object)
-    for founder, seen in matched_pairs(ra[founders], dec[founders], ra, dec, radius_deg2):
-        founder = founders[founder]
-        later = epochs[seen] > epochs[founder]
-        founder, seen = founder[later], seen[later]
-        pairs = pd.DataFrame({"object_id": names[founder], "source_id": names[seen], "epoch": epochs[seen]})
-        yield pairs.assign(kind=PAIR, ra=np.nan, dec=np.nan, mag=np.nan)
+#: Coarser levels at which rows that stay open are tried again.
+COARSER = (7, 4)
+#: Epochs of a global clock that are sent to every task; a catalogue of more exposures goes through the rounds.
+CLOCK_EPOCHS = 5_000_000
+
+SLIM = ["source_id", "epoch", "ra", "dec", "mag", "home"]
+DECIDED = "kind int, object_id string, source_id string, epoch int, ra double, dec double, mag double, home long, gone_epoch int"
+_DECIDED = pa.schema(
+    [("kind", pa.int32()), ("object_id", pa.string()), ("source_id", pa.string()), ("epoch", pa.int32())]
+    + [(c, pa.float64()) for c in ("ra", "dec", "mag")]
+    + [("home", pa.int64()), ("gone_epoch", pa.int32())]
+)
+PAIRS_AT_ONCE = 500_000
+
+
+def clocks_of(home: np.ndarray, epoch: np.ndarray) -> dict[int, np.ndarray]:
+    """The epochs in which each home cell was covered, in order."""
+    order = np.lexsort((epoch, home))
+    home, epoch = home[order], epoch[order]
+    new = np.append(True, (home[1:] != home[:-1]) | (epoch[1:] != epoch[:-1]))[: len(home)]
+    home, epoch = home[new], epoch[new]
+    cuts = np.flatnonzero(np.diff(home)) + 1
+    return {int(h[0]): e for h, e in zip(np.split(home, cuts), np.split(epoch, cuts)) if len(h)}
+
+
+def decide(rows: pa.Table, options: FoldOptions, shared_clock: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Founders and pairs of the groups that lie wholly in a cell, then its other own rows."""
+
+    def numbers(name: str, kind: str) -> np.ndarray:
+        return rows.column(name).to_numpy().astype(kind)
+
+    names, own = rows.column("source_id").combine_chunks(), numbers("own", "bool")
+    named = np.asarray(names.is_valid())
+    epoch, home = numbers("epoch", "int64"), numbers("home", "int64")
+    if shared_clock is not None:
+        clocks = {None: shared_clock}
+    else:
+        clocks = clocks_of(home[own], epoch[own])  # rows without a name say that the cell was covered
+    at = np.flatnonzero(named)
+    ra, dec, mag = (numbers(c, "float64")[at] for c in ("ra", "dec", "mag"))
+    names, own, epoch, home = names.take(pa.array(at)), own[at], epoch[at], home[at]
+    field = Field(ra, dec, epoch, mag, home, clocks, options.radius_deg2, options.max_misses, options.mag_limit)
+    group = connected_groups(ra, dec, options.radius_deg2)
+    foreign = np.zeros(len(group) + 1, dtype=bool)
+    foreign[group[~own]] = True
+    whole = ~foreign[group]
+    found = settle_groups(field, np.flatnonzero(whole), group)
+
+    def told(kind: int, objects: pa.Array, at: np.ndarray, gone: np.ndarray | None = None) -> pa.RecordBatch:
+        places = [pa.array(c[at], mask=np.isnan(c[at]) | (kind == PAIR)) for c in (ra, dec, mag)]
+        none = gone is None
+        gone_epoch = pa.nulls(len(at), pa.int32()) if none else pa.array(np.where(gone == STAYS, 0, gone).astype(np.int32), mask=gone == STAYS)
+        columns = [pa.array(np.full(len(at), kind, np.int32)), objects, names.take(pa.array(at)), pa.array(epoch[at].astype(np.int32)), *places, pa.array(home[at]), gone_epoch]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _DECIDED)], schema=_DECIDED)
+
+    founders = names.take(pa.array(found.founders))
+    yield told(FOUNDER, founders, found.founders, found.gone)
+    left = np.flatnonzero(own & ~whole)
+    yield told(OPEN, pa.nulls(len(left), pa.string()), left)
+    for low in range(0, len(found.pairs[0]), PAIRS_AT_ONCE):
+        a, b = (p[low : low + PAIRS_AT_ONCE] for p in found.pairs)
+        yield told(PAIR, names.take(pa.array(a)), b)
+
+
+def settle(copies: DataFrame, options: FoldOptions, shared_clock: np.ndarray | None) -> DataFrame:
+    """One pass: rows with ``key`` (the cell that sees them) and ``own`` to founders, pairs and open rows."""
+
+    def run(group: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(decide(group, options, shared_clock), schema=_DECIDED)
+
+    return copies.select("key", "own", *SLIM).groupBy("key").applyInArrow(run, DECIDED)
+
+
+def seen_by_cells(rows: DataFrame, order: int) -> DataFrame:
+    """The rows and their copies for the neighbouring cells of a level."""
+    fine = FINE_ORDER if order == CELL_ORDER else order + 3
+    copies = halo_replicate(tag_cells(rows, order, fine))
+    own = F.col("home_cell") == F.col("cell")
+    return copies.withColumns({"key": F.col("cell"), "own": own}).select("key", "own", *SLIM)
+
+
+def with_clock(rows: DataFrame, copies: DataFrame, order: int | None, clock: DataFrame | None) -> DataFrame:
+    """Add the covered epochs of the rows' home cells to the cells that hold them, as rows without a name."""
+    if clock is None:
+        return copies
+    homes = clock.join(rows.select("home").distinct(), "home", "left_semi")
+    key = F.lit(0).cast("long") if order is None else cell_parent("home", CELL_ORDER, order)
+    empty = F.lit(None)
+    named = {"source_id": empty.cast("string"), **{c: empty.cast("double") for c in ("ra", "dec", "mag")}}
+    covered = homes.select(key.alias("key"), F.lit(True).alias("own"), "epoch", "home").withColumns(named)
+    return copies.unionByName(covered.select("key", "own", *SLIM))
 
 
 def fold_per_cell(
     observations: DataFrame, options: FoldOptions = FoldOptions(), workspace: Workspace | None = None
 ) -> Series:
-    """Reference list and series.
-
-    With dropping, what a row belongs to hangs on misses that border rows of
-    other cells decide, so no cell can settle it alone: the rounds do all of it.
-    They also do it where the radius is too wide for the border strip.
-    """
-    if options.max_misses is not None or MatchGrid.for_radius(options.radius_deg2).fine_order < FINE_ORDER:
-        return fold_series(observations, options, workspace)
+    """Reference list and series. The rounds do it all where the radius is too wide for the border strip."""
+    if MatchGrid.for_radius(options.radius_deg2).fine_order < FINE_ORDER:
+        return fold_rounds(observations, options, workspace)
     work = workspace or Workspace(observations.sparkSession, "percell")
-    resolver = Resolver(work, observations, options)
-    slim = ["source_id", "epoch", "ra", "dec", "mag"]
-    copies = halo_replicate(tag_cells(resolver.rows.select(*slim)))
-    sized = copies.join(F.broadcast(hot_keys(copies, "cell", options.rows_per_task)), "cell", "left")
-    radius_deg2 = options.radius_deg2
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
-        for told in decide_cell(rows, radius_deg2):
-            yield told[DECIDED_COLUMNS].astype({"object_id": object, "source_id": object})
-
-    decided = work.save(
-        sized.filter(F.col("_slots").isNull())
-        .select("cell", "home_cell", "source_id", "epoch", "ra", "dec", "mag")
-        .groupBy("cell")
-        .applyInPandas(decide, DECIDED),
-        "decided",
-    )
-    oversized = sized.filter(F.col("_slots").isNotNull() & (F.col("home_cell") == F.col("cell")))
-    founders = add_keys(decided.filter(F.col("kind") == FOUNDER).select(*slim), options).select(*COLUMNS)
-    references = work.save(resolver.with_gone_epoch(founders), "certain")
-    rest = decided.filter(F.col("kind") == OPEN).select(*slim).unionByName(oversized.select(*slim))
-    unsettled = resolver.with_slots(rest)
-    unsettled = work.save(resolver.uncovered(unsettled, references), "unsettled")
-    names, rounds = resolver.run(unsettled)
-    told = decided.filter(F.col("kind") == PAIR).select("object_id", "epoch", "source_id")
-    if not names:
-        return Series(references.withColumnRenamed("source_id", "object_id"), told, rounds)
+    mag = F.col("mag") if "mag" in observations.columns else F.lit(None).cast("double")
+    slim = observations.select("source_id", F.col("epoch").cast("int").alias("epoch"), "ra", "dec", mag.alias("mag"))
+    rows = work.save(with_sky_cell(slim.filter(placed()), "home", CELL_ORDER), "rows")
+    clock = shared_clock = None
+    if options.max_misses is not None:
+        clock = work.save(rows.select("home", "epoch").distinct(), "clock")
+        if options.miss_clock == "global":
+            epochs = work.save(clock.select("epoch").distinct(), "epochs")
+            if epochs.count() > CLOCK_EPOCHS:
+                return fold_rounds(observations, options, workspace)
+            shared_clock = np.sort(np.array([r.epoch for r in epochs.collect()], dtype=np.int64))
+    needed = clock if shared_clock is None else None
+
+    def one_pass(rows: DataFrame, order: int | None, name: str) -> tuple[DataFrame, DataFrame | None]:
+        """What a pass tells, and the own rows of cells too large for a task (None: there is no such cell)."""
+        large = None
+        if order is None:
+            copies = rows.withColumns({"key": F.lit(0).cast("long"), "own": F.lit(True)}).select("key", "own", *SLIM)
+        else:
+            copies = seen_by_cells(rows, order)
+            hot = work.save(hot_keys(copies, "key", options.rows_per_task), f"{name}-hot")
+            if not hot.isEmpty():
+                large = copies.join(F.broadcast(hot), "key", "left_semi").filter("own").select(*SLIM)
+                copies = copies.join(F.broadcast(hot), "key", "left_anti")
+        # At the first level a cell's own rows are its clock.
+        seen = copies if order == CELL_ORDER else with_clock(rows, copies, order, needed)
+        return work.save(settle(seen, options, shared_clock), name), large
+
+    parts: list[DataFrame] = []
+    left, levels = rows, [CELL_ORDER, *COARSER]
+    while True:
+        order = levels.pop(0) if levels else None
+        told, large = one_pass(left, order, f"decided-{len(parts)}")
+        parts.append(told)
+        left = told.filter(F.col("kind") == OPEN).select(*SLIM)
+        if large is not None:
+            # Open rows may touch those of the large cells, so they go on together.
+            left = work.save(left.unionByName(large), "crowded")
+        count = left.count()
+        if not count or large is not None or not (levels or count <= options.rows_per_task):
+            break
+        if count <= options.rows_per_task:
+            levels = []  # one task can hold the rest
+    decided = parts[0]
+    for more in parts[1:]:
+        decided = decided.unionByName(more)
+    founders = decided.filter(F.col("kind") == FOUNDER)
+    references = founders.select("object_id", "epoch", "ra", "dec", "mag", F.col("home").alias("cell"), "gone_epoch")
+    pairs = decided.filter(F.col("kind") == PAIR).select("object_id", "epoch", "source_id")
+    if not count:
+        return Series(references, pairs)
+    # What no task could hold goes through the rounds.
+    covered = None if clock is None else clock.withColumnRenamed("home", "cell")
+    resolver = Resolver(work, left, options, covered)
+    names, rounds = resolver.run(resolver.rows)
     others = collect_series(resolver, names, rounds)
-    return Series(
-        references.withColumnRenamed("source_id", "object_id").unionByName(others.references),
-        told.unionByName(others.pairs),
-        rounds,
-    )
+    return Series(references.unionByName(others.references), pairs.unionByName(others.pairs), rounds)

@@ -25,6 +25,10 @@ def build_session(app: str = "starloom", cpus: int | str = "*", shuffle_partitio
     )
 
 
+#: Folders of local sessions that name none, by application.
+LOCAL_ROOTS: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
@@ -36,9 +40,7 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="starloom-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return LOCAL_ROOTS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="starloom-"))
 
 
 class Workspace:

@@ -1,9 +1,17 @@
+import time
+
+import numpy as np
+import pandas as pd
 import pytest
 
+from starloom.operators import groups
 from starloom.operators.halo import tag_cells
 from starloom.operators.series import assemble_series
+from starloom.plans import fold
 from starloom.plans.fold import FoldOptions, fold_series, set_aside
 from starloom.plans.percell import fold_per_cell
+from starloom.schema import RADIUS_DEG2
+from starloom.session import Workspace
 from starloom.sources.obstext import series_lines
 from tests import brute
 
@@ -108,7 +116,78 @@ def test_rows_without_a_position_are_set_aside(spark, plan):
     assert set_aside(table).count() == 4
 
 
-def test_per_cell_fold_with_dropping(spark):
-    rows = spark.createDataFrame(brute.random_sky(41, stars=10, epochs=25, seen=0.2, spread=0.05, jitter=2e-4))
-    options = FoldOptions(max_misses=3, miss_clock="global")
-    assert pair_set(fold_per_cell(rows, options).pairs) == pair_set(fold_series(rows, options).pairs)
+def cell_clock(spark, rows):
+    """The epochs in which the home cell of a row was covered."""
+    cells = tag_cells(frame(spark, rows)).select("source_id", "epoch", "cell").toPandas()
+    epochs = cells.groupby("cell")["epoch"].agg(set).to_dict()
+    home = cells.set_index("source_id")["cell"].to_dict()
+    return lambda r: epochs[home[r.source_id]]
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 60, 7])
+@pytest.mark.parametrize("clock", ["cell", "global"])
+def test_per_cell_fold_with_dropping(spark, monkeypatch, clock, limit):
+    """Fields across borders; the smaller limits use the coarser cells, then the rounds for what no task can hold."""
+    rows = brute.random_sky(41, stars=40, epochs=25, seen=0.2, spread=0.08, jitter=3e-4)
+    options = FoldOptions(max_misses=3, miss_clock=clock, rows_per_task=limit)
+    calls = []
+    run = fold.Resolver.run
+    monkeypatch.setattr(fold.Resolver, "run", lambda self, *a: calls.append(1) or run(self, *a))
+    found = fold_per_cell(frame(spark, rows), options)
+    counts = cell_clock(spark, rows) if clock == "cell" else None
+    want = brute.fold(rows, max_misses=3, clock=counts)
+    assert pair_set(found.pairs) == want != brute.fold(rows)
+    assert bool(calls) == (limit == 7)
+    by_rounds = fold.fold_rounds(frame(spark, rows), options).references.select(*sorted(found.references.columns))
+    told = found.references.select(*sorted(found.references.columns))
+    assert sorted(told.collect(), key=str) == sorted(by_rounds.collect(), key=str)
+
+
+def test_most_objects_are_settled_in_their_cell(spark):
+    rows = brute.random_sky(42, stars=60, epochs=20, seen=0.2, spread=0.08, jitter=1e-4)
+    work = Workspace(spark, "test-percell")
+    found = fold_per_cell(frame(spark, rows), FoldOptions(max_misses=3), work)
+    told = spark.read.parquet(f"{work.path}/decided-0")
+    assert told.filter("kind = 0").count() > 0.8 * found.references.count() > 0
+
+
+def one_field(rows, clocks, max_misses=None):
+    columns = (rows.ra.to_numpy(), rows.dec.to_numpy(), rows.epoch.to_numpy(), rows.mag.to_numpy())
+    return groups.Field(*columns, np.zeros(len(rows), dtype=np.int64), clocks, RADIUS_DEG2, max_misses, 18.0)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_groups_in_a_task(seed):
+    """The kernel against the plain loop, on fields with dense spots, ties and a wrap of right ascension."""
+    spot = dict(ra0=0.0, dec0=89.99, spread=0.003) if seed % 3 == 0 else dict(ra0=0.0, dec0=-30.0, spread=0.004 * (1 + seed))
+    rows = brute.random_sky(100 + seed, stars=12, epochs=20, seen=0.3, jitter=[6e-4, 2e-4][seed % 2], **spot)
+    again = rows.sample(frac=0.1, random_state=seed).assign(source_id=lambda r: r.source_id + "b")
+    rows = pd.concat([rows, again], ignore_index=True).sample(frac=1.0, random_state=seed).reset_index(drop=True)
+    for misses in (None, 3):
+        field = one_field(rows, {None: np.unique(rows.epoch)}, misses)
+        group = groups.connected_groups(field.ra, field.dec, RADIUS_DEG2)
+        for a in range(len(rows)):
+            for b in range(a):
+                assert group[a] == group[b] or not brute.near(rows.loc[a], rows.loc[b])
+        found = groups.settle_groups(field, np.arange(len(rows)), group)
+        names = rows.source_id.to_numpy()
+        want = brute.fold(rows, max_misses=misses)
+        assert set(zip(names[found.pairs[0]], names[found.pairs[1]])) == want and len(found.pairs[0]) == len(want)
+        assert len(set(found.founders)) == len(found.founders) == len(rows) - len({b for _, b in want})
+
+
+def test_many_epochs_of_one_cell_take_linear_time():
+    def seconds(epochs):
+        rng = np.random.default_rng(1)
+        star = np.tile(np.arange(20), epochs)
+        epoch = np.repeat(np.arange(epochs), 20)
+        keep = rng.random(len(star)) < 0.3
+        rows = pd.DataFrame({"ra": 10 + 0.0004 * star, "dec": 5.0 + rng.normal(0, 1e-4, len(star)), "epoch": epoch, "mag": 15.0})[keep]
+        field = one_field(rows, {None: np.arange(epochs)}, 7)
+        start = time.process_time()
+        found = groups.settle_groups(field, np.arange(len(rows)), groups.connected_groups(field.ra, field.dec, RADIUS_DEG2))
+        assert len(found.founders)
+        return time.process_time() - start
+
+    few, many = seconds(1000), seconds(10_000)
+    assert many < 25 * few + 0.5
