@@ -8,7 +8,7 @@ from queries import projections as P
 from starloom.operators.crossmatch import crossmatch
 from starloom.operators.halo import cell_occupancy, halo_replicate, tag_cells
 from starloom.operators.series import assemble_series
-from starloom.plans.fold import FoldOptions, fold_series
+from starloom.plans.fold import FoldOptions, fold_rounds, fold_series
 from starloom.plans.percell import fold_per_cell
 from starloom.session import Workspace, build_session
 from starloom.streaming.fold import StreamFold
@@ -44,6 +44,7 @@ def main():
         "crossmatch_many_to_many": lambda: sink(crossmatch(left, right, strategy="shuffle_hash")),
         "fold": lambda: sink(fold_series(rows).pairs),
         "fold_evict": lambda: sink(fold_series(rows, FoldOptions(max_misses=7, miss_clock="global")).pairs),
+        "fold_rounds": lambda: sink(fold_rounds(rows).pairs),
         "fold_per_cell": lambda: sink(fold_per_cell(rows).pairs),
         "series": lambda: sink(assemble_series(fold_series(rows).pairs)),
         "stream_two_batches": stream,

@@ -29,7 +29,8 @@ PAIR_COLUMNS = "a.object_id AS object_id, b.epoch AS epoch, b.source_id AS sourc
 
 @register("series_fold", SERIES + f" SELECT {PAIR_COLUMNS} FROM p")
 def series_fold(spark, sf_dir):
-    return fold_series(P.detections(spark, sf_dir)).pairs
+    """Round by round."""
+    return fold_rounds(P.detections(spark, sf_dir)).pairs
 
 
 @register("series_per_cell", SERIES + f" SELECT {PAIR_COLUMNS} FROM p")

@@ -220,14 +220,11 @@ def fold_rounds(
 def fold_series(
     observations: DataFrame, options: FoldOptions = FoldOptions(), workspace: Workspace | None = None
 ) -> Series:
-    """Reference list and series of all detections, by the cheaper way.
+    """Reference list and series of all detections. ``source_id`` must be unique.
 
-    Without dropping a round or two do. With dropping every restart of an object takes a
-    round, so the cells' tasks go through the epochs instead.
+    The cells' tasks do it in one pass; radii too wide for the border strips go through the rounds.
     """
-    if options.max_misses is None:
-        return fold_rounds(observations, options, workspace)
-    from starloom.plans.percell import fold_per_cell  # which falls back on the rounds
+    from starloom.plans.percell import fold_per_cell  # which uses the rounds of this module
 
     return fold_per_cell(observations, options, workspace)
 

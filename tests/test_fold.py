@@ -29,11 +29,12 @@ def frame(spark, rows):
     return spark.createDataFrame(rows)
 
 
+@pytest.mark.parametrize("plan", [fold_series, fold.fold_rounds])
 @pytest.mark.parametrize("field", FIELDS)
-def test_fold_equals_step_by_step(spark, field):
+def test_fold_equals_step_by_step(spark, field, plan):
     rows = brute.random_sky(**field)
     want = brute.fold(rows)
-    found = fold_series(frame(spark, rows))
+    found = plan(frame(spark, rows))
     assert want and pair_set(found.pairs) == want
     objects = {r[0] for r in found.references.select("object_id").collect()}
     assert objects == set(rows.source_id) - {b for _, b in want}
@@ -41,7 +42,7 @@ def test_fold_equals_step_by_step(spark, field):
 
 def test_hot_keys_in_the_fold(spark):
     rows = brute.random_sky(14, stars=6, epochs=40, seen=0.9, spread=0.002)
-    found = fold_series(frame(spark, rows), FoldOptions(rows_per_task=9))
+    found = fold.fold_rounds(frame(spark, rows), FoldOptions(rows_per_task=9))
     assert pair_set(found.pairs) == brute.fold(rows)
 
 
@@ -61,13 +62,13 @@ def test_long_chain_across_cells(spark):
     want = {(f"c{i}", f"c{i + 1}") for i in range(0, 24, 2)}
     assert pair_set(fold_per_cell(rows).pairs) == want
     short = rows.filter("epoch <= 8")
-    assert pair_set(fold_series(short).pairs) == {p for p in want if int(p[1][1:]) < 8}
+    assert pair_set(fold.fold_rounds(short).pairs) == {p for p in want if int(p[1][1:]) < 8}
 
 
 def test_eviction_global_clock(spark):
     rows = brute.random_sky(21, stars=20, epochs=40, seen=0.12, spread=0.03, jitter=2e-4)
     want = brute.fold(rows, max_misses=7)
-    found = fold_series(frame(spark, rows), FoldOptions(max_misses=7, miss_clock="global"))
+    found = fold.fold_rounds(frame(spark, rows), FoldOptions(max_misses=7, miss_clock="global"))
     assert want != brute.fold(rows) and pair_set(found.pairs) == want
 
 
@@ -77,7 +78,7 @@ def test_eviction_cell_clock(spark):
     epochs = cells.groupby("cell")["epoch"].agg(set).to_dict()
     home = cells.set_index("source_id")["cell"].to_dict()
     want = brute.fold(rows, max_misses=3, clock=lambda r: epochs[home[r.source_id]])
-    found = fold_series(frame(spark, rows), FoldOptions(max_misses=3, miss_clock="cell"))
+    found = fold.fold_rounds(frame(spark, rows), FoldOptions(max_misses=3, miss_clock="cell"))
     assert pair_set(found.pairs) == want != brute.fold(rows, max_misses=3)
 
 
@@ -105,7 +106,7 @@ def test_long_series_take_pages_in_time_order(spark):
     assert sorted(x.split(",")[0] for x in lines) == ["(a", "(a#1", "(b"]
 
 
-@pytest.mark.parametrize("plan", [fold_series, fold_per_cell])
+@pytest.mark.parametrize("plan", [fold.fold_rounds, fold_per_cell])
 def test_rows_without_a_position_are_set_aside(spark, plan):
     rows = [("a", 1, 10.0, 5.0, 12.0), ("b", 2, 10.0, 5.0, 12.0), ("c", 2, None, 5.0, 12.0), ("d", 2, 10.0, float("nan"), 12.0)]
     rows += [("e", None, 10.0, 5.0, 12.0), (None, 3, 10.0, 5.0, 12.0)]
