@@ -8,8 +8,8 @@ when a document is cut into such blocks from its start. So:
    the rolling runs of the same length: a block whose words start anywhere else
    is an anchor.
 2. *Extend* anchors word by word: all windows over an anchor are looked up by
-   their 128-bit hash, and those that stand twice are taken; neighbouring
-   ones join to maximal repeats. Counting windows in place of comparing pairs
+   96 bits of their hash (and the bucket it falls into), and those that stand twice
+   are taken; neighbouring ones join to maximal repeats. Counting windows in place of comparing pairs
    keeps a passage that stands in a third of all documents linear.
 3. Cut the words of taken windows out.
 
@@ -17,8 +17,8 @@ The documents are stored once as chunks, a few thousand documents each, in a
 table bucketed by chunk. Steps 1 and 2 send nothing but hashes, dealt by value
 over many buckets, once per chunk and value; the answer is a bit per hash sent,
 in the order sent. Hence the answers find their chunk without moving any text.
-A hash that is wrong by chance in step 1 costs a lookup, no more; 128 bits
-decide in step 2.
+A hash that is wrong by chance in step 1 costs a lookup, no more; the 96 bits and
+the bucket decide in step 2, words are not compared.
 
 Words are split at the ASCII white space. Null texts have no words. Every row
 is a document of its own, repeated and null ids included; extra columns do no harm.
@@ -235,16 +235,27 @@ def _numbers(rows: list[bytes], width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _among(values: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted ones: one pass for all chunks of a bucket."""
+    if not len(ranked):
+        return np.zeros(len(values), dtype=bool)
+    place = np.minimum(np.searchsorted(ranked, values), len(ranked) - 1)
+    return ranked[place] == values
+
+
 def _answer_blocks(group: pa.Table) -> pa.Table:
     """A block is an anchor if its value was probed at least twice: once by itself."""
     bucket = group.column("bucket")[0].as_py()
     probes = np.sort(_numbers(group.column("probes").to_pylist(), BLOCK_WIDTH))
     shared = np.unique(probes[1:][probes[1:] == probes[:-1]])
-    rows = []
-    for name, asked in zip(group.column("chunk").to_pylist(), group.column("asked").to_pylist()):
-        hit = np.isin(_numbers([asked], BLOCK_WIDTH), shared)
-        if hit.any():
-            rows.append((name, bucket, np.packbits(hit).tobytes()))
+    asked = group.column("asked").to_pylist()
+    hit = _among(_numbers(asked, BLOCK_WIDTH), shared)
+    rows, at = [], 0
+    for name, sent in zip(group.column("chunk").to_pylist(), asked):
+        own = hit[at : at + len(sent) // BLOCK_WIDTH]
+        at += len(own)
+        if own.any():
+            rows.append((name, bucket, np.packbits(own).tobytes()))
     return pa.Table.from_batches(_rows(_ANSWER, rows), schema=_ANSWER)
 
 
@@ -317,4 +328,7 @@ def cut_repeats(
     anchored = chunks.select("chunk", "texts").join(anchors, "chunk")
     taken = ask(anchored.mapInArrow(each(send_windows), SENT), _answer_windows, "taken")
     answers = anchors.join(taken, "chunk", "left")
-    return chunks.join(answers, "chunk", "left").mapInArrow(each(finish), RESULT)
+    result = chunks.join(answers, "chunk", "left").mapInArrow(each(finish), RESULT)
+    # The catalog's entry is needed to plan by buckets only; the files stay, as the table has a path of its own.
+    spark.sql(f"DROP TABLE {name}")
+    return result
