@@ -132,8 +132,9 @@ def fit(
                 [batch.column(0), batch.column(2), pa.array(rows, type=pa.binary())], names=["doc_id", "label", "terms"]
             )
 
-    # Repeated ids could make the sample larger than its bound.
-    rows = texts.mapInArrow(run, "doc_id long, label double, terms binary").limit(2 * sample).collect()
+    # Repeated ids could make the sample larger than its bound; the rows that stay are chosen by their content.
+    found = texts.mapInArrow(run, "doc_id long, label double, terms binary").distinct()
+    rows = found.orderBy(F.xxhash64("doc_id", "label", "terms"), "doc_id", "label").limit(sample).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["terms"])))
     matrix = np.array([np.frombuffer(r["terms"], dtype=np.float32) for r in rows]).reshape(-1, TERMS)
     return decompose(matrix, np.array([r["label"] for r in rows]), dimensions, neighbours)
