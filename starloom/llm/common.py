@@ -13,6 +13,7 @@ from starloom.session import Workspace
 
 __all__ = [
     "Workspace",
+    "fresh_names",
     "gram_hashes",
     "map_batches",
     "repeat_ranges",
@@ -28,6 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores before it as keep it apart from the columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_column(name: str = "text") -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import Workspace, text_column
+from starloom.llm.common import Workspace, fresh_names, text_column
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -240,10 +240,12 @@ def member_rows(docs: DataFrame) -> DataFrame:
 class ExactIndex:
     """A live index in a shared folder. Every change writes a new version; nothing is overwritten."""
 
-    def __init__(self, spark: SparkSession, work: Workspace | None = None, shards: int | None = None):
+    def __init__(
+        self, spark: SparkSession, work: Workspace | None = None, shards: int | None = None, rows_per_shard: int = ROWS_PER_SHARD
+    ):
         self.spark = spark
         self.work = work or Workspace(spark, "exact-index")
-        self.shards = shards
+        self.shards, self.rows_per_shard = shards, rows_per_shard
         self.version = 0
         self.members: DataFrame = spark.createDataFrame([], MEMBER)
         self.state: DataFrame = spark.createDataFrame([], KEY)
@@ -251,6 +253,16 @@ class ExactIndex:
     def _shard(self) -> Column:
         return F.pmod(F.conv(F.hex(F.substring("digest", 11, 4)), 16, 10).cast("long"), F.lit(self.shards)).cast("int")
 
+    def _deal(self, more: int) -> None:
+        """Shards for the stored keys and ``more`` new ones; stored keys go to their new shards as if they were added."""
+        known = self.state.filter(F.col("kind") == STORED)
+        wanted = -(-((known.count() if self.version else 0) + more) // self.rows_per_shard)
+        if self.shards is None:
+            self.shards = max(16, wanted)
+        elif wanted > self.shards:
+            self.shards = 2 * wanted
+            self.state = known.withColumns({"shard": self._shard(), "kind": F.lit(ADD)})
+
     def _change(self, changes: DataFrame, kind: int, members: DataFrame) -> None:
         rows = changes.select(
             self._shard().alias("shard"), F.lit(kind).alias("kind"), *changes.columns
@@ -265,8 +277,7 @@ class ExactIndex:
     def insert(self, docs: DataFrame) -> DataFrame:
         """Add documents; returns their member rows."""
         fresh = self.work.save(member_rows(docs), f"v{self.version + 1}/members")
-        if self.shards is None:
-            self.shards = max(16, -(-fresh.count() // ROWS_PER_SHARD))
+        self._deal(fresh.count())
         folded = fresh.mapInArrow(
             fold_batches,
             "digest binary, content_length long, content_check long, live long, best_chars long, best_id long",
@@ -322,16 +333,18 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; of repeated rows with one id and text one stays."""
     index = ExactIndex(docs.sparkSession)
     index.insert(docs)
+    digest, key, keep, best = fresh_names(docs, "digest", "key", "keep", "best")
     keys = index.keys().select(
-        F.col("digest").alias("_key"), F.col("keep_id").alias("_keep"), F.col("best_chars").alias("_best")
+        F.col("digest").alias(key), F.col("keep_id").alias(keep), F.col("best_chars").alias(best), (F.col("group_size") == 1).alias("single")
     )
-    columns = docs.columns
-    own = docs.withColumn("_digest", F.unhex(F.sha2(normalised(), 256)))
+    own = docs.withColumn(digest, F.unhex(F.sha2(normalised(), 256)))
     on = (
-        (F.col("_digest") == F.col("_key"))
-        & F.col("doc_id").eqNullSafe(F.col("_keep"))
-        & (F.length(text_column()) == F.col("_best"))
+        (F.col(digest) == F.col(key))
+        & F.col("doc_id").cast("long").eqNullSafe(F.col(keep))
+        & (F.length(text_column()) == F.col(best))
     )
-    # Digest and id together are the join's key, so a hot text does not gather in one task.
-    joined = own.join(keys, on)
-    return joined.dropDuplicates(["_digest", "doc_id"]).select(*columns)
+    # Digest and id together are the join's key, so a hot text does not gather in one task. Only rows
+    # of texts that stand several times are dealt out to keep one of them.
+    alone = own.join(keys.filter("single"), on, "left_semi")
+    several = own.join(keys.filter("NOT single"), on, "left_semi").dropDuplicates([digest, "doc_id"])
+    return alone.unionByName(several).select(*docs.columns)

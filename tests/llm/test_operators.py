@@ -561,3 +561,59 @@ def test_drop_near_copies_keeps_one_row_of_each_component(spark):
     assert got.columns == documents(spark, rows).columns
     stay = sorted(((r.doc_id, r.text.strip()) for r in got.collect()), key=str)
     assert stay == sorted([(None, one), (7, two), (7, three), (8, four)], key=str)
+
+
+CLASHING = "digest key keep best single stay count own _key _digest _own _stay _keep _best _count _normal content_check bits group_size"
+
+
+def test_the_pipeline_keeps_columns_of_any_name(spark, tmp_path, sf_dir):
+    """Helper names of the stages as columns of the documents: no clash, and what they hold comes out again."""
+    docs = [(k, f"{words(k % 7, 120)} tail{k % 9}") for k in range(40)] + [(None, "no id"), (50, None), (50, None)]
+    df = spark.createDataFrame([(i, t, "s", "en", 1) for i, t in docs], "doc_id long, text string, source string, lang string, n_chars long")
+    for k, name in enumerate(CLASHING.split()):
+        df = df.withColumn(name, F.concat_ws("-", F.lit(k), F.col("doc_id")))
+    kept = cuckoo.drop_exact_copies(df)
+    assert kept.columns == df.columns
+    rows = kept.collect()
+    assert len(rows) == len({"".join((t or "").split()) for _, t in docs})
+    near = simhash.drop_near_copies(kept, words=4, distance=4, seed=42)
+    assert near.columns == df.columns
+    for row in [*rows, *near.collect()]:
+        for k, name in enumerate(CLASHING.split()):
+            assert row[name] == (str(k) if row.doc_id is None else f"{k}-{row.doc_id}")
+    bench = spark.createDataFrame([(1, words(3, 40))], "item_id long, text string")
+    assert decontam.drop_leaks(near, bench).columns == df.columns
+    encoded = bpe.encode_documents(near, RANKS, public_tokenizers.PATTERN)
+    assert encoded.count() == near.count()
+
+
+def test_the_quality_sample_is_bounded_and_fixed(spark):
+    """One labelled id on most rows: exactly the sample is fitted, the same rows whatever the partitions."""
+    docs = [(1, words(k, 30)) for k in range(300)] + [(k, words(k, 30)) for k in range(2, 60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 60)], "doc_id long, quality int")
+    models = [quality.fit(df.repartition(n), labels, sample=40) for n in (1, 7)]
+    assert all(len(m.vectors) == 40 for m in models)
+    assert np.array_equal(models[0].labels, models[1].labels) and np.allclose(models[0].vectors, models[1].vectors)
+
+
+def test_the_live_index_deals_its_keys_anew(spark):
+    index = cuckoo.ExactIndex(spark, shards=2, rows_per_shard=10)
+    texts = {k: f"text {k}" for k in range(200)}
+    for low in (0, 20, 100):
+        part = [(k, texts[k]) for k in range(low, {0: 20, 20: 100, 100: 200}[low])]
+        index.insert(spark.createDataFrame(part, "doc_id long, text string"))
+    index.insert(spark.createDataFrame([(500, "text  7"), (501, "text 150")], "doc_id long, text string"))
+    assert index.shards >= 20 and index.state.select("shard").distinct().count() > 2
+    groups = {r.doc_id: (r.keep_id, r.group_size) for r in index.groups().collect()}
+    assert groups[500] == groups[7] == (500, 2) and groups[501] == groups[150] == (150, 2) and groups[3] == (3, 1)
+    index.delete(spark.createDataFrame([(500,)], "doc_id long"))
+    assert {r.doc_id: r.group_size for r in index.groups().collect()}[7] == 1
+
+
+def test_answers_of_a_bucket_take_one_pass():
+    """All chunks of a bucket ask at once, so the shared values are searched, not sorted, per value."""
+    ranked = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 50_000, dtype=np.uint64))
+    asked = np.concatenate([ranked[::7], ranked[::11] + np.uint64(1)])
+    assert np.array_equal(substring._among(asked, ranked), np.isin(asked, ranked))
+    assert not substring._among(asked, ranked[:0]).any() and not len(substring._among(asked[:0], ranked))
