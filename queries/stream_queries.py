@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from queries import projections as P
 from queries.registry import register
 from queries import sql as S
-from queries.series_queries import FOLD, PAIR_COLUMNS, SERIES
+from queries.series_queries import EVICT_CELL, EVICT_GLOBAL, FOLD, MISSES, PAIR_COLUMNS, SERIES
 from starloom.plans.fold import FoldOptions
 from starloom.schema import RADIUS_DEG2
 from starloom.session import Workspace
@@ -47,7 +47,7 @@ def stream_late_backfill(spark, sf_dir):
         last = n == len(waves) - 1
         arrived = rows.filter((wave | late) if last else (wave & ~late))
         arrived.write.parquet(f"{work.path}/arrived/wave-{n}")
-        run_stream(spark, f"{work.path}/arrived", rows.schema, state, late=True)
+        run_stream(spark, f"{work.path}/arrived", rows.schema, state)
     return state.pairs()
 
 
@@ -88,3 +88,65 @@ def stream_wide_radius(spark, sf_dir):
     for n, wave in enumerate(waves):
         state.absorb(rows.filter(wave), n)
     return state.pairs()
+
+
+def _evict(spark, sf_dir, name, clock):
+    """Waves with dropping; the exposures of two epochs come only with the last."""
+    work = Workspace(spark, name)
+    rows, waves = _waves(_slim(spark, sf_dir), work)
+    state = StreamFold(spark, f"{work.path}/state", FoldOptions(max_misses=MISSES, miss_clock=clock))
+    late = F.col("epoch").isin(*LATE)
+    for n, wave in enumerate(waves):
+        state.absorb(rows.filter((wave | late) if n == len(waves) - 1 else (wave & ~late)), n)
+    return state.pairs()
+
+
+@register("stream_evict", EVICT_CELL)
+def stream_evict(spark, sf_dir):
+    return _evict(spark, sf_dir, "stream-evict", "cell")
+
+
+@register("stream_evict_global", EVICT_GLOBAL)
+def stream_evict_global(spark, sf_dir):
+    return _evict(spark, sf_dir, "stream-evict-global", "global")
+
+
+# Epochs 4 and 18 come with the last wave. After the second wave, up to day 20, the watermark lies at
+# five days before the latest time seen: day 4 is too late, day 18 is not.
+LATENESS, TOO_LATE, JUST_LATE = "5 days", 4, 18
+
+
+@register(
+    "stream_too_late",
+    SERIES.replace("FROM det)", f"FROM det WHERE epoch <> {TOO_LATE})", 1)
+    + f""" SELECT 'pair' AS kind, {PAIR_COLUMNS} FROM p
+    UNION ALL SELECT 'too late', NULL, epoch, source_id FROM det WHERE epoch = {TOO_LATE}""",
+)
+def stream_too_late(spark, sf_dir):
+    """Exposures behind the watermark are set aside, later ones are filled in."""
+    work = Workspace(spark, "stream-too-late")
+    rows = P.detections(spark, sf_dir).select("source_id", "epoch", "ra", "dec", "mag", "obs_time")
+    rows, waves = _waves(rows, work)
+    state = StreamFold(spark, f"{work.path}/state", lateness=LATENESS, compact_every=2)
+    late = F.col("epoch").isin(TOO_LATE, JUST_LATE)
+    for n, wave in enumerate(waves):
+        arrived = rows.filter((wave | late) if n == len(waves) - 1 else (wave & ~late))
+        arrived.write.parquet(f"{work.path}/arrived/wave-{n}")
+        run_stream(spark, f"{work.path}/arrived", rows.schema, state)
+    pairs = state.pairs().select(F.lit("pair").alias("kind"), "object_id", "epoch", "source_id")
+    aside = state.too_late().select(F.lit("too late").alias("kind"), F.lit(None).cast("string").alias("object_id"), "epoch", "source_id")
+    return pairs.unionByName(aside)
+
+
+@register("stream_compacted", EVICT_CELL)
+def stream_compacted(spark, sf_dir):
+    """Six waves of five epochs, merged after every second one, with late exposures between."""
+    work = Workspace(spark, "stream-compacted")
+    rows = work.save(_slim(spark, sf_dir), "all")
+    state = StreamFold(spark, f"{work.path}/state", FoldOptions(max_misses=MISSES), compact_every=2)
+    late = F.col("epoch") == 7
+    for n in range(6):
+        wave = F.col("epoch").between(5 * n + 1, 5 * n + 5 if n < 5 else 10_000)
+        state.absorb(rows.filter((wave & ~late) | (late if n == 3 else F.lit(False))), n)
+    state.vacuum()
+    return state.pairs()

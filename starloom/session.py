@@ -43,6 +43,23 @@ def shared_root(spark: SparkSession) -> str:
     return LOCAL_ROOTS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="starloom-"))
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system, of whatever kind."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below a path."""
+    place, files = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(place) if s.isDirectory())
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place, files = _folder(spark, path)
+    files.delete(place, True)
+
+
 class Workspace:
     """A fresh folder below the shared root; tables written here cut lineage.
 

@@ -1,11 +1,28 @@
 """The fold as a stream: each micro-batch of exposures extends a stored reference list.
 
-State is kept in tables below one folder, with one subfolder per step; a
-micro-batch has a step for its rows in time and one for its late rows. A step
-that is run again after a failure overwrites its own subfolders and reads only
-those of earlier steps, so every row counts exactly once. References and
-rows are stored by coarse cell, so a batch opens only the cells it can reach;
-the latest epoch of each step is a table of its own.
+State is kept in tables below one folder, with one subfolder per step. A micro-batch ``n`` has step
+``3 n`` for its rows in time, ``3 n + 1`` for its late rows, and ``3 n + 2`` if the state is compacted after
+it. A step that is run again after a failure overwrites its own subfolders and reads only those of
+earlier steps, so every row counts exactly once. Tables are stored by coarse cell, so a batch opens
+only the cells it can reach; the latest epoch and time of each step are a table of their own.
+
+*Dropping.* The state holds the epochs in which each cell was covered (the clock) and the last epoch
+in which each object was seen. A batch counts the misses of the objects it meets, and no others: an object that
+comes back after too many is closed, and the detection starts a new one.
+
+*Late rows* (of epochs already passed) can change what their neighbours are, and through them what theirs are. So
+everything connected with a late row by steps within the radius is folded anew. A late exposure can also add an
+epoch to a cell's clock; objects that this closes earlier are folded anew, too. The state is
+then that of a fold over all rows in order.
+
+*Watermark.* With ``lateness``, rows whose ``obs_time`` lies further than that behind the latest time of the
+batches before are too late: they are set aside in a table and counted, and change nothing. Rows behind the
+watermark are final, so they leave the state; what is folded anew starts from the references found before.
+Epochs have to rise with time. A row without a time is never too late.
+
+*Compaction.* ``compact`` merges the steps since the last time into a run, and runs of equal level into one of the next,
+so the state has a logarithm of runs, each row is written that often, and a list of the live runs, written
+last, switches readers over at once.
 """
 
 from __future__ import annotations
@@ -16,177 +33,408 @@ from pyspark.sql import functions as F
 from starloom.functions.cells import cell_parent
 from starloom.operators.crossmatch import join_keyed, key_observations, key_reference, near
 from starloom.operators.halo import assign_slot, copy_to_slots, hot_keys
-from starloom.plans.fold import FoldOptions, Resolver, add_keys, fold_series
+from starloom.operators.series import eviction_epoch
+from starloom.plans.fold import FoldOptions, Resolver, placed
 from starloom.schema import CELL_ORDER
-from starloom.session import Workspace
-
-REFERENCES = (
-    "source_id string, epoch int, ra double, dec double, mag double, cell bigint, gone_epoch int,"
-    " coarse_cell bigint"
-)
-ROWS = "source_id string, epoch int, ra double, dec double, mag double, cell bigint, coarse_cell bigint"
-PAIRS = "object_id string, epoch int, source_id string"
-REDONE = "source_id string"
-FRONTIER = "epoch int"
+from starloom.session import Workspace, remove_folder, subfolders
+
+POSITION = "source_id string, epoch int, ra double, dec double, mag double, cell bigint"
+TABLES = {
+    "references": POSITION + ", gone_epoch int, coarse_cell bigint",
+    "rows": POSITION + ", obs_time timestamp, coarse_cell bigint",
+    "pairs": "object_id string, epoch int, source_id string, coarse_cell bigint",
+    "redone": "source_id string",
+    "clock": "cell bigint, epoch int, coarse_cell bigint",
+    "gone": "source_id string, gone_epoch int, coarse_cell bigint",
+    "seen": "source_id string, last_epoch int, coarse_cell bigint",
+    "frontier": "epoch int, obs_time timestamp",
+    "too_late": "source_id string, epoch int, ra double, dec double, mag double, obs_time timestamp",
+    "runs": "run bigint, level int",
+}
 COARSE_ORDER = 4  # 3072 cells on the sky
 STARTED = -1  # number of the empty step that creates the tables
+NAMED = [c.split()[0] for c in POSITION.split(", ")]
+
+
+def columns(name: str) -> list[str]:
+    return [c.split()[0] for c in TABLES[name].split(", ")]
 
 
 class StreamFold:
     """Stored state of a streaming fold and the steps that extend it."""
 
-    def __init__(self, spark: SparkSession, path: str, options: FoldOptions = FoldOptions()):
-        if options.max_misses is not None:
-            raise ValueError("dropping of unseen objects on a stream needs the keyed-state form")
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        options: FoldOptions = FoldOptions(),
+        lateness: str | None = None,
+        compact_every: int | None = None,
+    ):
+        """``lateness`` is an interval such as ``10 days``; ``compact_every`` a number of micro-batches."""
         self.spark, self.path, self.options = spark, path, options
-        for name, schema in (("references", REFERENCES), ("rows", ROWS), ("pairs", PAIRS), ("redone", REDONE), ("frontier", FRONTIER)):
-            store = self.store_by_cell if "coarse_cell" in schema else self.store
-            store(spark.createDataFrame([], schema), name, STARTED)
+        self.lateness, self.compact_every = lateness, compact_every
+        self._lists: dict[int | None, tuple[dict[int, int], int]] = {}
+        for name, schema in TABLES.items():
+            self.store(spark.createDataFrame([], schema), name, STARTED)
 
-    def store(self, df: DataFrame, name: str, step: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/step={step}")
+    # --- Tables ---------------------------------------------------------------
 
-    def store_by_cell(self, df: DataFrame, name: str, step: int) -> None:
-        """A folder per coarse cell; rebalancing brings a cell together but splits a crowded one."""
-        dealt = df.hint("rebalance", "coarse_cell").sortWithinPartitions("coarse_cell", "cell")
-        dealt.write.mode("overwrite").partitionBy("coarse_cell").parquet(f"{self.path}/{name}/step={step}")
+    def store(self, df: DataFrame, name: str, step: int) -> None:
+        """Tables by cell get a folder per coarse cell; rebalancing brings a cell together but splits a crowded one."""
+        df, path = df.select(*columns(name)), f"{self.path}/{name}/step={step}"
+        if "coarse_cell" not in df.columns:
+            df.write.mode("overwrite").parquet(path)
+            return
+        dealt = df.hint("rebalance", "coarse_cell").sortWithinPartitions("coarse_cell")
+        dealt.write.mode("overwrite").partitionBy("coarse_cell").parquet(path)
 
-    def table(self, name: str, schema: str, before: int | None = None) -> DataFrame:
-        df = self.spark.read.schema(schema + ", step bigint").parquet(f"{self.path}/{name}")
+    def stored(self, name: str, before: int | None = None) -> DataFrame:
+        """The live rows of a table with their step; only files of live steps are opened."""
+        df = self.spark.read.schema(TABLES[name] + ", step bigint").parquet(f"{self.path}/{name}")
         if before is not None:
             df = df.filter(F.col("step") < before)
-        return df.drop("step")
+        if name in ("runs", "too_late"):
+            return df
+        runs, upto = self.live_runs(before)
+        return df.filter(F.col("step").isin([STARTED, *runs]) | (F.col("step") > upto))
+
+    def live_runs(self, before: int | None = None) -> tuple[dict[int, int], int]:
+        """The compacted runs in use with their levels, and the last step they cover."""
+        batch = None if before is None else before // 3  # lists are written between micro-batches
+        if batch is None or batch not in self._lists:
+            listed = self.stored("runs", before)
+            upto = listed.agg(F.max("step")).first()[0]
+            rows = [] if upto is None else listed.filter(F.col("step") == upto).orderBy("run").collect()
+            self._lists[batch] = {r.run: r.level for r in rows}, STARTED if upto is None else upto
+        return self._lists[batch]
 
-    def _current(self, name: str, schema: str, key: str, before: int | None = None) -> DataFrame:
+    def current(self, name: str, before: int | None = None) -> DataFrame:
         """A table without what later steps have redone."""
-        stored = self.spark.read.schema(schema + ", step bigint").parquet(f"{self.path}/{name}")
-        redone = self.spark.read.schema(REDONE + ", step bigint").parquet(f"{self.path}/redone")
-        if before is not None:
-            stored, redone = stored.filter(F.col("step") < before), redone.filter(F.col("step") < before)
-        later = redone.select(F.col("source_id").alias("_redone"), F.col("step").alias("_later"))
-        return stored.join(later, (F.col(key) == F.col("_redone")) & (F.col("_later") > F.col("step")), "left_anti").drop("step")
+        redone = self.stored("redone", before).select(F.col("source_id").alias("_redone"), F.col("step").alias("_later"))
+        same = (F.col("source_id") == F.col("_redone")) & (F.col("_later") > F.col("step"))
+        return self.stored(name, before).join(redone, same, "left_anti")
+
+    def latest(self, name: str, value: str, before: int | None = None) -> DataFrame:
+        """The last entry of each object."""
+        last = F.max(F.struct("step", value, "coarse_cell")).alias("_e")
+        told = self.stored(name, before).groupBy("source_id").agg(last)
+        return told.select("source_id", F.col(f"_e.{value}").alias(f"_{value}"), F.col("_e.step").alias("_at"), F.col("_e.coarse_cell").alias("_cell"))
+
+    def pairs(self, before: int | None = None) -> DataFrame:
+        return self.current("pairs", before).drop("coarse_cell", "step")
 
-    def pairs(self) -> DataFrame:
-        return self._current("pairs", PAIRS, "object_id")
+    def references(self, before: int | None = None, cells: list[int] | None = None) -> DataFrame:
+        """The reference list with the epochs in which objects were closed."""
+        known = self.within(self.current("references", before), cells)
+        if self.options.max_misses is not None:
+            closed = self.latest("gone", "gone_epoch", before)
+            closed = self.within(closed, cells, "_cell").drop("_cell").withColumnRenamed("source_id", "_id")
+            known = known.join(closed, (F.col("source_id") == F.col("_id")) & (F.col("_at") > F.col("step")), "left")
+            told = F.when(F.col("_id").isNotNull(), F.col("_gone_epoch")).otherwise(F.col("gone_epoch"))
+            known = known.withColumn("gone_epoch", told)
+        return known.select(*columns("references"))
 
-    def references(self, before: int | None = None) -> DataFrame:
-        return self._current("references", REFERENCES, "source_id", before)
+    def too_late(self) -> DataFrame:
+        """Rows that came behind the watermark."""
+        return self.stored("too_late").drop("step")
 
-    def _coarse(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("coarse_cell", self._coarse_of("cell", min(CELL_ORDER, self.options.match_grid().order)))
+    # --- Cells ------------------------------------------------------------------
 
-    def _coarse_of(self, cell: str, order: int) -> Column:
+    def coarse_of(self, cell: str, order: int) -> Column:
         """The coarse cell of a cell of any level (of level 4, or the grid's own if that is coarser)."""
         return cell_parent(cell, order, min(COARSE_ORDER, self.options.match_grid().order))
 
-    def _touched(self, table: DataFrame, cells: list[int]) -> DataFrame:
+    def coarse(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("coarse_cell", self.coarse_of("cell", min(CELL_ORDER, self.options.match_grid().order)))
+
+    def within(self, df: DataFrame, cells: list[int] | None, name: str = "coarse_cell") -> DataFrame:
         """Only the part of a table that can meet the batch; the filter reaches the scan."""
-        return table.filter(F.col("coarse_cell").isin(cells))
+        return df if cells is None else df.filter(F.col(name).isin(cells))
 
-    def _coarse_cells(self, df: DataFrame) -> list[int]:
+    def reach(self, df: DataFrame) -> list[int]:
         """Coarse cells a batch can reach into: at most 3072 numbers."""
         grid = self.options.match_grid()
-        reach = key_reference(df.select("ra", "dec"), grid).select(
-            self._coarse_of("_key", grid.order).alias("c")
-        )
-        return [r.c for r in reach.distinct().collect()]
+        keyed = key_reference(df.select("ra", "dec"), grid)
+        return [r.c for r in keyed.select(self.coarse_of("_key", grid.order).alias("c")).distinct().collect()]
+
+    # --- Steps ---------------------------------------------------------------------
+
+    def frontier(self, before: int):
+        """The latest epoch and time of the steps before, from one row per step."""
+        return self.stored("frontier", before).agg(F.max("epoch"), F.max("obs_time")).first()
+
+    def watermark(self, before: int) -> Column | None:
+        seen = self.frontier(before)[1]
+        if self.lateness is None or seen is None:
+            return None
+        return F.lit(seen).cast("timestamp") - F.expr(f"INTERVAL {self.lateness}")
 
     def absorb(self, batch: DataFrame, number: int) -> None:
-        """Fold the rows of a micro-batch, which may span several epochs, into the state."""
-        step = 2 * number
+        """Fold the rows of a micro-batch, of any epochs, into the state."""
+        step = 3 * number
         work = Workspace(self.spark, f"stream-{number}")
-        resolver = Resolver(work, batch, self.options)
-        rows = resolver.rows
-        if rows.isEmpty():
+        time = F.col("obs_time").cast("timestamp") if "obs_time" in batch.columns else F.lit(None).cast("timestamp")
+        mag = F.col("mag") if "mag" in batch.columns else F.lit(None).cast("double")
+        arrived = batch.filter(placed()).select("source_id", F.col("epoch").cast("int").alias("epoch"), "ra", "dec", mag.alias("mag"), time.alias("obs_time"))
+        arrived = work.save(arrived, "arrived")
+        mark = self.watermark(step)
+        if mark is not None:
+            behind = F.coalesce(F.col("obs_time") < mark, F.lit(False))
+            self.store(arrived.filter(behind), "too_late", step)
+            arrived = arrived.filter(~behind)
+        first, last, latest = arrived.agg(F.min("epoch"), F.max("epoch"), F.max("obs_time")).first()
+        if first is None:
             return
-        known = self._touched(self.references(step), self._coarse_cells(rows)).drop("coarse_cell")
-        open_rows = work.save(resolver.uncovered(rows, known), "open")
+        passed = self.frontier(step)[0]
+        if passed is None or last > passed:
+            in_time = arrived if passed is None else arrived.filter(F.col("epoch") > passed)
+            self.extend(in_time, step, work)
+        if passed is not None and first <= passed:
+            late = arrived.filter(F.col("epoch") <= passed)
+            self.fold_anew(late, step + 1, Workspace(self.spark, f"late-{number}"), mark)
+        told = self.spark.createDataFrame([(last, latest)], TABLES["frontier"])
+        self.store(told, "frontier", step)
+        if self.compact_every and (number + 1) % self.compact_every == 0:
+            self.compact(number)
+
+    def extend(self, rows: DataFrame, step: int, work: Workspace) -> None:
+        """Rows of epochs after all others."""
+        cells = self.reach(rows)
+        known = work.save(self.references(step, cells), "known")
+        resolver = Resolver(work, rows, self.options)
+        clock = last = None
+        if self.options.max_misses is not None:
+            moments = self.moments(resolver.rows)
+            self.store(moments, "clock", step)
+            clock = work.save(self.clock(cells, step).unionByName(moments.select("cell", "epoch")).distinct(), "clock-all")
+            seen = self.within(self.latest("seen", "last_epoch", step), cells, "_cell")
+            last = known.select("source_id").join(seen, "source_id").select("source_id", F.col("_last_epoch").alias("last_epoch"))
+        self.fold(resolver, known, last, clock, step)
+        stored = self.coarse(resolver.rows.select(*NAMED)).join(rows.select("source_id", "obs_time"), "source_id")
+        self.store(stored, "rows", step)
+
+    def moments(self, rows: DataFrame) -> DataFrame:
+        """Which cells these rows cover in which epochs; one cell stands for all where the clock is global."""
+        cell = F.col("cell") if self.options.miss_clock == "cell" else F.lit(0).cast("long")
+        covered = rows.select(cell.alias("cell"), "epoch").distinct()
+        return self.coarse(covered) if self.options.miss_clock == "cell" else covered.withColumn("coarse_cell", F.lit(0).cast("long"))
+
+    def clock(self, cells: list[int] | None, before: int) -> DataFrame:
+        here = cells if self.options.miss_clock == "cell" else None
+        return self.within(self.stored("clock", before), here).select("cell", "epoch").distinct()
+
+    def fold(self, resolver: Resolver, known: DataFrame, last: DataFrame | None, clock: DataFrame | None, step: int) -> None:
+        """Fold the resolver's rows into the known references, seen last at ``last``, and store what comes of it."""
+        work, options = resolver.work, self.options
+        closed = None
+        if options.max_misses is not None:
+            resolver.clock = clock
+            bright = known.filter(F.col("gone_epoch").isNull() & (F.col("mag") < options.mag_limit))
+            met = join_keyed(
+                resolver.rows.drop("mag", "cell"),
+                resolver.as_reference(bright.select(*NAMED)),
+                resolver.near & (F.col("epoch") > F.col("ref_epoch")),
+            ).select(F.col("ref_source_id").alias("object_id"), "epoch", F.col("ref_mag").alias("mag"), F.col("ref_cell").alias("cell"))
+            before = bright.join(last, "source_id").select(F.col("source_id").alias("object_id"), F.col("last_epoch").alias("epoch"), "mag", "cell")
+            hits = met.unionByName(before).distinct()
+            gone = eviction_epoch(hits, clock, options.max_misses, options.mag_limit, options.miss_clock)
+            closed = work.save(gone.withColumnsRenamed({"object_id": "source_id", "gone_epoch": "_gone"}), "closed")
+            known = known.join(closed, "source_id", "left").withColumn("gone_epoch", F.coalesce("_gone", "gone_epoch")).drop("_gone")
+            known = work.save(known, "known-closed")
+        slim = [*NAMED, "gone_epoch"]
+        references = known.select(*slim)
+        open_rows = work.save(resolver.uncovered(resolver.rows, references), "open")
         names, _ = resolver.run(open_rows)
-        references = known
         if names:
-            found = work.load(known.schema, *names)
-            self.store_by_cell(self._coarse(found), "references", step)
-            references = known.unionByName(found)
-        pairs = join_keyed(rows, resolver.as_reference(references), resolver.attached())
-        self.store(
-            pairs.select(F.col("ref_source_id").alias("object_id"), "epoch", "source_id"),
-            "pairs",
-            step,
+            found = work.load(references.schema, *names)
+            self.store(self.coarse(found), "references", step)
+            references = references.unionByName(found)
+        pairs = join_keyed(resolver.rows.drop("cell"), resolver.as_reference(references), resolver.attached())
+        pairs = pairs.select(F.col("ref_source_id").alias("object_id"), "epoch", "source_id", F.col("ref_cell").alias("cell"))
+        pairs = work.save(self.coarse(pairs), "pairs")
+        self.store(pairs, "pairs", step)
+        if closed is None:
+            return
+        self.store(self.coarse(known.join(closed, "source_id").withColumn("gone_epoch", F.col("_gone"))), "gone", step)
+        own = references.join(resolver.rows.select("source_id"), "source_id", "left_semi").select("source_id", "epoch", "cell")
+        hits = self.coarse(own).select("source_id", "epoch", "coarse_cell").unionByName(
+            pairs.select(F.col("object_id").alias("source_id"), "epoch", "coarse_cell")
         )
-        kept = self._coarse(rows).drop("_key", "_slot", "_micro")
-        self.store_by_cell(kept, "rows", step)
-        self.store(rows.agg(F.max("epoch").alias("epoch")), "frontier", step)
+        self.store(hits.groupBy("source_id", "coarse_cell").agg(F.max("epoch").alias("last_epoch")), "seen", step)
+
+    # --- Late rows -----------------------------------------------------------------
 
-    def _near(self, left: DataFrame, right: DataFrame) -> DataFrame:
+    def near_any(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """Stored rows (left) in range of any of a few delivered ones (right)."""
         grid = self.options.match_grid()
         keyed = key_observations(left, grid)
         hot = hot_keys(keyed, "_key", self.options.rows_per_task)
         return join_keyed(
             assign_slot(keyed, hot, "_key"),
-            copy_to_slots(key_reference(right, grid), hot, "_key"),
+            copy_to_slots(key_reference(right.select("ra", "dec"), grid), hot, "_key"),
             near(self.options.radius_deg2),
             "left_semi",
         )
 
-    def frontier(self, number: int) -> int | None:
-        """The latest epoch folded before this micro-batch, from one number per step."""
-        return self.table("frontier", FRONTIER, 2 * number).agg(F.max("epoch")).first()[0]
-
-    def absorb_with_late(self, batch: DataFrame, number: int) -> None:
-        """Like ``absorb``, but rows of epochs already passed are handled afterwards.
-
-        A late row can change what its neighbours are, and through them what
-        theirs are. So everything connected with a late row by steps within the
-        radius is folded anew; what was stored for it before no longer counts.
-        The state is then that of a fold over all rows in order.
-        """
-        frontier = self.frontier(number)
-        if frontier is None:
-            return self.absorb(batch, number)
-        self.absorb(batch.filter(F.col("epoch") > frontier), number)
-        step = 2 * number + 1
-        work = Workspace(self.spark, f"late-{number}")
-        late = add_keys(batch.filter(F.col("epoch") <= frontier), self.options)
-        late = work.save(self._coarse(late).drop("_key", "_micro"), "late")
-        if late.isEmpty():
-            return None
-        # Everything seen so far, including the newer rows of this micro-batch.
-        history = self.table("rows", ROWS, step)
-        region = edge = late
+    def fold_anew(self, late: DataFrame, step: int, work: Workspace, mark: Column | None) -> None:
+        """Late rows with all that is connected with them."""
+        own = Resolver(work, late, self.options)
+        late = work.save(own.rows.select(*NAMED).join(late.select("source_id", "obs_time"), "source_id"), "late")
+        # Everything seen so far, including the newer rows of this micro-batch; what is behind the watermark is
+        # final, and only the references found there take part, as they are.
+        history = self.stored("rows", step)
+        if mark is not None:
+            history = history.filter(F.coalesce(F.col("obs_time") >= mark, F.lit(True)))
+        fixed = None
+        if mark is not None:
+            fixed = self.references(step).join(history.select("source_id"), "source_id", "left_anti")
+            history = history.select(*NAMED, "coarse_cell", F.lit(False).alias("fixed")).unionByName(fixed.select(*NAMED, "coarse_cell", F.lit(True).alias("fixed")))
+        else:
+            history = history.select(*NAMED, "coarse_cell", F.lit(False).alias("fixed"))
+        clock = None
+        region = edge = late.select(*NAMED, F.lit(False).alias("fixed"))
+        if self.options.max_misses is not None:
+            moments = self.moments(late)
+            self.store(moments, "clock", step)
+            clock = self.clock(None, step + 1)
+            changed = self.closed_otherwise(moments, clock, step, work)
+            if changed is not None:
+                # Fold anew from the founders, or, where these are final, from the references.
+                edge = work.save(region.unionByName(history.join(changed, "source_id", "left_semi").select(*region.columns)), "edge-0")
+                region = edge
         rounds = 0
         while True:
             rounds += 1
-            around = self._near(self._touched(history, self._coarse_cells(edge)), edge)
-            edge = work.save(around.join(region.select("source_id"), "source_id", "left_anti").select(*late.columns), f"edge-{rounds}")
+            around = self.near_any(self.within(history, self.reach(edge)), edge).select(*region.columns)
+            edge = work.save(around.join(region.select("source_id"), "source_id", "left_anti"), f"edge-{rounds}")
             if edge.isEmpty():
                 break
             region = region.unionByName(edge)
-        anew = fold_series(region, self.options, Workspace(self.spark, f"anew-{number}"))
-        self.store(region.join(late.select("source_id"), "source_id", "left_anti").select("source_id"), "redone", step)
-        self.store(anew.pairs, "pairs", step)
-        found = self._coarse(anew.references.withColumnRenamed("object_id", "source_id"))
-        self.store_by_cell(found.select(*[c.split()[0] for c in REFERENCES.split(", ")]), "references", step)
-        self.store_by_cell(late, "rows", step)
-        return None
-
-
-def run_stream(
-    spark: SparkSession,
-    source: str,
-    schema,
-    state: StreamFold,
-    late: bool = False,
-    max_files: int | None = None,
-) -> None:
-    """Fold everything that has arrived in ``source`` since the last run."""
+        region = work.save(region, "region")
+        rows = region.filter(~F.col("fixed"))
+        self.store(rows.join(late.select("source_id"), "source_id", "left_anti").select("source_id"), "redone", step)
+        known = held = self.references(step).limit(0)
+        last = None
+        if fixed is not None:
+            held = self.references(step).join(region.filter("fixed").select("source_id"), "source_id", "left_semi")
+            least = rows.agg(F.min("epoch")).first()[0]
+            still = F.when(F.col("gone_epoch") < least, F.col("gone_epoch"))
+            known = work.save(held.withColumn("gone_epoch", still), "held")
+        if clock is not None:
+            if self.options.miss_clock == "cell":
+                clock = clock.join(region.select("cell").distinct(), "cell", "left_semi")
+            clock = work.save(clock, "clock-here")
+            last = known.select("source_id", F.col("epoch").alias("last_epoch"))
+            if fixed is not None:
+                # When the fixed ones were seen last by rows that are not folded anew.
+                told = self.pairs(step).join(rows.select("source_id"), "source_id", "left_anti")
+                told = told.select(F.col("object_id").alias("source_id"), F.col("epoch").alias("last_epoch"))
+                told = told.join(known.select("source_id"), "source_id", "left_semi").unionByName(last)
+                last = work.save(told.groupBy("source_id").agg(F.max("last_epoch").alias("last_epoch")), "last")
+        anew = Workspace(self.spark, "anew")
+        self.fold(Resolver(anew, rows.select("source_id", "epoch", "ra", "dec", "mag"), self.options), known, last, clock, step)
+        if fixed is not None and clock is not None:
+            self.reopened(known, held, last, step)
+        self.store(self.coarse(late), "rows", step)
+
+    def closed_otherwise(self, moments: DataFrame, clock: DataFrame, step: int, work: Workspace) -> DataFrame | None:
+        """Objects that the clock's new epochs close at another time than before; None if there are no new ones."""
+        new = moments.select("cell", "epoch").join(self.clock(None, step), ["cell", "epoch"], "left_anti")
+        new = work.save(new, "new-moments")
+        if new.isEmpty():
+            return None
+        here = self.references(step).filter(F.col("mag") < self.options.mag_limit)
+        if self.options.miss_clock == "cell":
+            here = here.join(new.select("cell").distinct(), "cell", "left_semi")
+        here = work.save(here, "in-new-moments")
+        objects = here.select(F.col("source_id").alias("object_id"), "mag", "cell")
+        seen = self.pairs(step).join(objects, "object_id").select("object_id", "epoch", "mag", "cell")
+        own = here.select(F.col("source_id").alias("object_id"), "epoch", "mag", "cell")
+        again = here.filter("gone_epoch IS NOT NULL").select(F.col("source_id").alias("object_id"), F.col("gone_epoch").alias("epoch"), "mag", "cell")
+        hits = seen.unionByName(own).unionByName(again).distinct()
+        o = self.options
+        gone = eviction_epoch(hits, clock, o.max_misses, o.mag_limit, o.miss_clock).withColumnRenamed("gone_epoch", "_gone")
+        told = here.join(gone.withColumnRenamed("object_id", "source_id"), "source_id")
+        return told.filter(~F.col("gone_epoch").eqNullSafe(F.col("_gone"))).select("source_id")
+
+    def reopened(self, known: DataFrame, held: DataFrame, last: DataFrame, step: int) -> None:
+        """Entries for fixed references whose closing was taken back and not made anew, and for those not met again."""
+        closed = self.stored("gone", step + 1).filter(F.col("step") == step).select("source_id")
+        back = held.filter("gone_epoch IS NOT NULL").join(known.filter("gone_epoch IS NULL").select("source_id"), "source_id", "left_semi")
+        back = back.join(closed, "source_id", "left_anti").withColumn("gone_epoch", F.lit(None).cast("int"))
+        cells = known.select("source_id", "coarse_cell")
+        met = self.stored("seen", step + 1).filter(F.col("step") == step).drop("step")
+        seen = met.unionByName(last.join(cells, "source_id").join(met.select("source_id"), "source_id", "left_anti").select(*met.columns))
+        work = Workspace(self.spark, "reopened")
+        again = work.save(self.stored("gone", step + 1).filter(F.col("step") == step).drop("step").unionByName(back.select(*columns("gone"))), "gone")
+        self.store(again, "gone", step)
+        self.store(work.save(seen, "seen"), "seen", step)
+
+    # --- Compaction -------------------------------------------------------------------
+
+    def compact(self, number: int) -> None:
+        """Merge the steps since the last run, and with them the runs of levels 0, 1, 2 … that end the list."""
+        step = 3 * number + 2
+        runs, upto = self.live_runs(step)
+        merged, level = [], 0
+        kept = list(runs)
+        while kept and runs[kept[-1]] == level:
+            merged.append(kept.pop())
+            level += 1
+        part = F.col("step").isin(merged) | ((F.col("step") > upto) & (F.col("step") < step))
+        oldest = not kept
+        work = Workspace(self.spark, f"compact-{number}")
+        mark = self.watermark(step)
+        closed = self.latest("gone", "gone_epoch", step).drop("_cell").withColumnRenamed("source_id", "_id")
+        for name in ("references", "rows", "pairs", "clock", "gone", "seen", "redone", "frontier"):
+            df = (self.current(name, step) if name in ("references", "pairs") else self.stored(name, step)).filter(part)
+            if name == "references" and self.options.max_misses is not None:
+                df = df.join(closed, (F.col("source_id") == F.col("_id")) & (F.col("_at") > F.col("step")), "left")
+                df = df.withColumn("gone_epoch", F.when(F.col("_id").isNotNull(), F.col("_gone_epoch")).otherwise(F.col("gone_epoch")))
+            elif name == "rows" and mark is not None:
+                df = df.filter(F.coalesce(F.col("obs_time") >= mark, F.lit(True)))
+            elif name in ("gone", "seen"):
+                value = columns(name)[1]
+                df = df.groupBy("source_id").agg(F.max(F.struct("step", value, "coarse_cell")).alias("_e"))
+                df = df.select("source_id", f"_e.{value}", "_e.coarse_cell")
+            elif name in ("clock", "redone"):
+                df = df.drop("step").distinct()
+            elif name == "frontier":
+                df = df.agg(F.max("epoch").alias("epoch"), F.max("obs_time").alias("obs_time"))
+            if name in ("gone", "redone") and oldest:
+                df = df.limit(0)  # all they speak of is in this run, which follows them already
+            self.store(work.save(df.select(*columns(name)), name), name, step)
+        told = [*((r, runs[r]) for r in kept), (step, level)]
+        self.store(self.spark.createDataFrame(told, TABLES["runs"]), "runs", step)
+        self._lists = {k: v for k, v in self._lists.items() if k is not None and k <= number}
+
+    def vacuum(self) -> int:
+        """Delete the folders of steps that the last two lists of runs no longer use; readers of these must be done."""
+        lists = sorted(r.step for r in self.stored("runs").select("step").distinct().collect())[-2:]
+        if len(lists) < 2:
+            return 0
+        live = {STARTED, *lists}
+        for at in lists:
+            live |= set(self.live_runs(at + 1)[0])
+        removed = 0
+        for name in TABLES:
+            for folder in subfolders(self.spark, f"{self.path}/{name}"):
+                step = int(folder.rpartition("=")[2])
+                if step < lists[0] and step not in live and name != "too_late":
+                    remove_folder(self.spark, f"{self.path}/{name}/{folder}")
+                    removed += 1
+        return removed
+
+
+def run_stream(spark: SparkSession, source: str, schema, state: StreamFold, max_files: int | None = None) -> None:
+    """Fold everything that has arrived in ``source`` since the last run; late rows included."""
     reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    step = state.absorb_with_late if late else state.absorb
     query = (
         reader.parquet(source)
-        .writeStream.foreachBatch(lambda df, number: step(df, number))
+        .writeStream.foreachBatch(lambda df, number: state.absorb(df, number))
         .option("checkpointLocation", f"{state.path}/checkpoint")
         .trigger(availableNow=True)
         .start()

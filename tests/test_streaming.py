@@ -2,6 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from starloom.operators.halo import tag_cells
 from starloom.plans.fold import FoldOptions, fold_series
 from starloom.session import Workspace
 from starloom.streaming.cell_state import cell_fold, run_cell_fold
@@ -56,7 +57,7 @@ def test_late_rows_give_the_batch_result(spark):
     state = StreamFold(spark, f"{work.path}/state")
     late = rows.source_id.isin(["L1"]) | (rows.epoch.isin([3, 5]) & (rows.index % 2 == 0))
     for n, part in enumerate([rows[(rows.epoch <= 6) & ~late], rows[(rows.epoch > 6) | late]]):
-        state.absorb_with_late(spark.createDataFrame(part, SCHEMA), n)
+        state.absorb(spark.createDataFrame(part, SCHEMA), n)
     found = fold_series(spark.createDataFrame(rows, SCHEMA))
     assert pair_set(state.pairs()) == pair_set(found.pairs) == brute.fold(rows)
     names = [r.source_id for r in state.references().collect()]
@@ -77,3 +78,77 @@ def test_keyed_state_refuses_the_global_clock(spark):
     rows = spark.createDataFrame([], SCHEMA)
     with pytest.raises(ValueError):
         cell_fold(rows, FoldOptions(max_misses=3, miss_clock="global"))
+
+
+def cell_clock(spark, rows):
+    cells = tag_cells(spark.createDataFrame(rows, SCHEMA)).select("source_id", "epoch", "cell").toPandas()
+    epochs = cells.groupby("cell")["epoch"].agg(set).to_dict()
+    home = cells.set_index("source_id")["cell"].to_dict()
+    return lambda r: epochs[home[r.source_id]]
+
+
+def test_a_row_behind_the_frontier_is_late_by_itself(spark):
+    rows = [("a", 5, 10.0, 5.0, 12.0), ("b", 6, 10.0, 5.0, 12.0), ("c", 2, 10.0, 5.0, 12.0)]
+    work = Workspace(spark, "test-frontier")
+    state = StreamFold(spark, f"{work.path}/state")
+    for n, row in enumerate(rows):
+        state.absorb(spark.createDataFrame([row], SCHEMA), n)
+    assert pair_set(state.pairs()) == {("c", "a"), ("c", "b")}
+
+
+@pytest.mark.parametrize("clock", ["cell", "global"])
+def test_dropping_on_a_stream(spark, clock):
+    """Waves, of which two bring late rows and late exposures, with and without compaction between."""
+    rows = brute.random_sky(51, stars=25, epochs=24, seen=0.2, spread=0.05, jitter=3e-4)
+    options = FoldOptions(max_misses=3, miss_clock=clock)
+    counts = cell_clock(spark, rows) if clock == "cell" else None
+    want = brute.fold(rows, max_misses=3, clock=counts)
+    late = rows.epoch.isin([3, 9]) | ((rows.index % 11 == 0) & (rows.epoch < 12))
+    parts = [rows[(rows.epoch <= 8) & ~late], rows[rows.epoch.between(9, 16) & ~late], rows[late], rows[rows.epoch > 16]]
+    work = Workspace(spark, "test-stream-evict")
+    state = StreamFold(spark, f"{work.path}/state", options, compact_every=2 if clock == "cell" else None)
+    for n, part in enumerate(parts):
+        state.absorb(spark.createDataFrame(part, SCHEMA), n)
+    assert pair_set(state.pairs()) == want != brute.fold(rows)
+    found = fold_series(spark.createDataFrame(rows, SCHEMA), options).references
+    told = ["source_id", "epoch", "gone_epoch"]
+    batch = found.withColumnRenamed("object_id", "source_id").select(*told).collect()
+    assert sorted(state.references().select(*told).collect(), key=str) == sorted(batch, key=str)
+    # A micro-batch that is run again changes nothing.
+    state.absorb(spark.createDataFrame(parts[3], SCHEMA), 3)
+    assert pair_set(state.pairs()) == want
+
+
+TIMED = SCHEMA + ", obs_time timestamp"
+
+
+@pytest.mark.parametrize("misses", [None, 3])
+def test_rows_behind_the_watermark(spark, misses):
+    """One exposure an hour; what is more than six hours behind is set aside, the rest is filled in, state leaves."""
+    rows = brute.random_sky(52, stars=25, epochs=24, seen=0.3, spread=0.04, jitter=4e-4)
+    rows["obs_time"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(rows.epoch, unit="h")
+    behind, late = rows.epoch.isin([2, 5]) & (rows.index % 2 == 0), rows.epoch.isin([10, 11, 13]) & (rows.index % 3 != 0)
+    parts = [rows[(rows.epoch <= 8) & ~behind], rows[rows.epoch.between(9, 15) & ~late], rows[behind | late], rows[rows.epoch > 15]]
+    options = FoldOptions(max_misses=misses, miss_clock="global")
+    work = Workspace(spark, "test-watermark")
+    state = StreamFold(spark, f"{work.path}/state", options, lateness="6 hours", compact_every=2)
+    for n, part in enumerate(parts):
+        state.absorb(spark.createDataFrame(part, TIMED), n)
+    assert {r.source_id for r in state.too_late().collect()} == set(rows[behind].source_id)
+    assert pair_set(state.pairs()) == brute.fold(rows[~behind], max_misses=misses) and state.pairs().count()
+    held = state.stored("rows").select("epoch").distinct().collect()
+    assert min(r.epoch for r in held) >= 24 - 15  # compacted rows are behind the watermark's five hours at most
+
+
+def test_compaction_bounds_the_files(spark):
+    rows = brute.random_sky(53, stars=8, epochs=24, spread=0.01)
+    work = Workspace(spark, "test-compact")
+    state = StreamFold(spark, f"{work.path}/state", compact_every=1)
+    for n in range(12):
+        state.absorb(spark.createDataFrame(rows[rows.epoch.between(2 * n + 1, 2 * n + 2)], SCHEMA), n)
+        assert len(state.live_runs()[0]) == bin(n + 1).count("1")
+    assert pair_set(state.pairs()) == brute.fold(rows)
+    assert state.vacuum() > 0
+    assert pair_set(state.pairs()) == brute.fold(rows)
+    state.absorb(spark.createDataFrame([("new", 30, 10.0, 5.0, 12.0)], SCHEMA), 12)
+    assert "new" in {r.source_id for r in state.references().collect()}
