@@ -73,6 +73,11 @@ class Field:
     radius_deg2: float
     max_misses: int | None
     mag_limit: float
+    #: For references known before: the epoch in which each was seen last; ``STAYS`` for detections.
+    last: np.ndarray | None = None
+
+    def known(self) -> np.ndarray:
+        return np.zeros(len(self.ra), dtype=bool) if self.last is None else self.last != STAYS
 
     def clock(self, row: int) -> np.ndarray:
         return self.clocks[None] if None in self.clocks else self.clocks[int(self.home[row])]
@@ -85,7 +90,7 @@ class Field:
 
 @dataclass
 class Settled:
-    """Founders with the epoch from which they no longer match (``STAYS``: none), and (founder, row) pairs."""
+    """Founders, known ones included, with the epoch from which they no longer match (``STAYS``: none), and (founder, row) pairs."""
 
     founders: np.ndarray
     gone: np.ndarray
@@ -93,7 +98,8 @@ class Settled:
 
 
 def simple_groups(field: Field, order: np.ndarray, first: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Which groups are one object that is never dropped: all rows match the first, which is alone in its epoch.
+    """Which groups are one object that is never dropped: all rows match the first, which is alone in its epoch
+    or known before.
 
     ``order`` sorts the rows by group and epoch, ``first`` marks where groups begin in it,
     ``group`` numbers the groups along it.
@@ -103,9 +109,11 @@ def simple_groups(field: Field, order: np.ndarray, first: np.ndarray, group: np.
     gap = np.where(gap > 180.0, 360.0 - gap, gap) * np.cos(np.radians((field.dec[order] + field.dec[head]) / 2.0))
     rise = field.dec[order] - field.dec[head]
     later = field.epoch[order] > field.epoch[head]
-    fits = (gap * gap + rise * rise < field.radius_deg2) & (later | (order == head))
+    known = field.known()
+    fits = (gap * gap + rise * rise < field.radius_deg2) & (later | (order == head)) & (~known[order] | (order == head))
     if field.max_misses is not None:
-        before = np.roll(field.epoch[order], 1)
+        seen = field.epoch if field.last is None else np.where(known, field.last, field.epoch)
+        before = np.roll(seen[order], 1)
         bright = field.mag[head] < field.mag_limit
         for cell in [None] if None in field.clocks else np.unique(field.home[head]).tolist():
             clock = field.clocks[cell]
@@ -116,7 +124,7 @@ def simple_groups(field: Field, order: np.ndarray, first: np.ndarray, group: np.
 
 
 def walk(field: Field, rows: list[int], told: tuple[list, list, list, list]) -> None:
-    """One group, epoch by epoch. Founders are found by their square of the grid, so a step costs what it touches."""
+    """One group, known references first, then epoch by epoch. Founders are found by their square of the grid, so a step costs what it touches."""
     side = math.sqrt(field.radius_deg2) * (1 + 1e-9)
     ra, dec, epoch, mag = field.ra, field.dec, field.epoch, field.mag
     shrink = min(math.cos(math.radians(abs(dec[r]))) for r in rows)
@@ -126,11 +134,17 @@ def walk(field: Field, rows: list[int], told: tuple[list, list, list, list]) ->
         east = [0.0] * len(rows)
     places = [(math.floor(e * shrink / side), math.floor(dec[r] / side)) for r, e in zip(rows, east)]
     founders, gone, left, right = told
+    known = field.known()
     grid: dict[tuple[int, int], list[int]] = defaultdict(list)
     last: dict[int, int] = {}
     dropped: dict[int, int] = {}
     place_of: dict[int, tuple[int, int]] = {}
     at = 0
+    while at < len(rows) and known[rows[at]]:
+        f, place = rows[at], places[at]
+        grid[place].append(f)
+        place_of[f], last[f] = place, int(field.last[f])
+        at += 1
     while at < len(rows):
         end = at
         while end < len(rows) and epoch[rows[end]] == epoch[rows[at]]:
@@ -144,23 +158,23 @@ def walk(field: Field, rows: list[int], told: tuple[list, list, list, list]) ->
                         gap = abs(ra[f] - ra[row])
                         gap = min(gap, 360.0 - gap) * math.cos(math.radians((dec[f] + dec[row]) / 2.0))
                         rise = dec[f] - dec[row]
-                        if gap * gap + rise * rise < field.radius_deg2:
+                        if gap * gap + rise * rise < field.radius_deg2 and epoch[f] < now:
                             met.append((f, row))
         for f in {f for f, _ in met}:
             if field.max_misses is not None and mag[f] < field.mag_limit and field.misses(f, last[f], now) >= field.max_misses:
                 dropped[f] = now
             else:
                 last[f] = now
-        known = set()
+        claimed = set()
         for f, row in met:
             if f not in dropped:
                 left.append(f)
                 right.append(row)
-                known.add(row)
+                claimed.add(row)
         for f in {f for f, _ in met if f in dropped}:
             grid[place_of[f]].remove(f)
         for row, place in zip(rows[at:end], places[at:end]):
-            if row not in known:
+            if row not in claimed:
                 grid[place].append(row)
                 place_of[row] = place
                 last[row] = now
@@ -171,7 +185,7 @@ def walk(field: Field, rows: list[int], told: tuple[list, list, list, list]) ->
 
 def settle_groups(field: Field, rows: np.ndarray, group: np.ndarray) -> Settled:
     """The fold of these rows, whose groups are complete; ``group`` has a number per row of the field."""
-    order = rows[np.lexsort((field.epoch[rows], group[rows]))]
+    order = rows[np.lexsort((field.epoch[rows], ~field.known()[rows], group[rows]))]
     if not len(order):
         none = np.empty(0, dtype=np.int64)
         return Settled(none, none, (none, none))

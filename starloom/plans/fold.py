@@ -49,11 +49,19 @@ class FoldOptions:
 
 @dataclass
 class Series:
-    """``references``: one row per object. ``pairs``: (object_id, epoch, source_id)."""
+    """``references``: one row per object found. ``placed``: (object_id, epoch, source_id) and the object's cell.
+
+    ``closed``: of the references known before, those that were dropped, with the epoch.
+    """
 
     references: DataFrame
-    pairs: DataFrame
+    placed: DataFrame
     rounds: int = field(default=0)
+    closed: DataFrame | None = None
+
+    @property
+    def pairs(self) -> DataFrame:
+        return self.placed.drop("cell")
 
 
 COLUMNS = ["source_id", "epoch", "ra", "dec", "mag", "cell"]
@@ -163,6 +171,21 @@ class Resolver:
             gone.withColumnRenamed("object_id", "source_id"), "source_id", "left"
         )
 
+    def closed(self, known: DataFrame) -> DataFrame:
+        """Known references that these rows meet after too many misses: ``object_id`` and ``gone_epoch``."""
+        o = self.options
+        if o.max_misses is None:
+            return known.select(F.col("source_id").alias("object_id"), F.col("epoch").alias("gone_epoch")).limit(0)
+        bright = known.filter(F.col("mag") < o.mag_limit)
+        met = join_keyed(
+            self.rows.drop("mag", "cell"),
+            self.as_reference(bright.select(*COLUMNS)),
+            self.near & (F.col("epoch") > F.col("ref_epoch")),
+        ).select(F.col("ref_source_id").alias("object_id"), "epoch", F.col("ref_mag").alias("mag"), F.col("ref_cell").alias("cell"))
+        before = bright.select(F.col("source_id").alias("object_id"), F.col("last_epoch").alias("epoch"), "mag", "cell")
+        hits = met.unionByName(before).distinct()
+        return eviction_epoch(hits, self.clock, o.max_misses, o.mag_limit, o.miss_clock)
+
     def uncovered(self, undecided: DataFrame, references: DataFrame) -> DataFrame:
         """What is left after taking out the references and everything attached to them."""
         itself = F.col("source_id") == F.col("ref_source_id")
@@ -205,16 +228,27 @@ def fold_rounds(
     options: FoldOptions = FoldOptions(),
     workspace: Workspace | None = None,
     clock: DataFrame | None = None,
+    known: DataFrame | None = None,
 ) -> Series:
     """Reference list and series by rounds. ``source_id`` must be unique.
 
-    Rows without id, epoch or position take no part; ``set_aside`` gives them.
+    Rows without id, epoch or position take no part; ``set_aside`` gives them. ``known`` are references found
+    before (with ``cell`` and ``last_epoch``, the epoch in which each was seen last), ``clock`` the (cell, epoch) that count.
     """
     spark: SparkSession = observations.sparkSession
     work = workspace or Workspace(spark, "fold")
     resolver = Resolver(work, observations, options, clock)
-    names, rounds = resolver.run(resolver.rows)
-    return collect_series(resolver, names, rounds)
+    if known is None:
+        names, rounds = resolver.run(resolver.rows)
+        return collect_series(resolver, names, rounds)
+    closed = work.save(resolver.closed(known), "closed")
+    gone = closed.withColumnRenamed("object_id", "source_id")
+    before = work.save(known.select(*COLUMNS).join(gone, "source_id", "left"), "known")
+    open_rows = work.save(resolver.uncovered(resolver.rows, before), "open")
+    names, rounds = resolver.run(open_rows)
+    found = collect_series(resolver, names, rounds, before)
+    found.closed = closed
+    return found
 
 
 def fold_series(
@@ -229,14 +263,16 @@ def fold_series(
     return fold_per_cell(observations, options, workspace)
 
 
-def collect_series(resolver: Resolver, names: list[str], rounds: int) -> Series:
+def collect_series(resolver: Resolver, names: list[str], rounds: int, known: DataFrame | None = None) -> Series:
+    """The references of the rounds, and the pairs of these and the known ones."""
     spark = resolver.work.spark
     if names:
         schema = "source_id string, epoch int, ra double, dec double, mag double, cell bigint, gone_epoch int"
         references = resolver.work.load(schema, *names)
     else:
-        references = resolver.rows.select(*COLUMNS).withColumn("gone_epoch", F.lit(None).cast("int"))
-    pairs = join_keyed(
-        resolver.rows, resolver.as_reference(references), resolver.attached()
-    ).select(F.col("ref_source_id").alias("object_id"), "epoch", "source_id")
+        references = resolver.rows.select(*COLUMNS).withColumn("gone_epoch", F.lit(None).cast("int")).limit(0)
+    every = references if known is None else references.unionByName(known)
+    pairs = join_keyed(resolver.rows.drop("cell"), resolver.as_reference(every), resolver.attached()).select(
+        F.col("ref_source_id").alias("object_id"), "epoch", "source_id", F.col("ref_cell").alias("cell")
+    )
     return Series(references.withColumnRenamed("source_id", "object_id"), pairs, rounds)

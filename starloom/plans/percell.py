@@ -16,28 +16,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.cells import MatchGrid, cell_parent, with_sky_cell
 from starloom.operators.groups import STAYS, Field, connected_groups, settle_groups
 from starloom.operators.halo import halo_replicate, hot_keys, tag_cells
-from starloom.plans.fold import FoldOptions, Resolver, Series, collect_series, fold_rounds, placed
+from starloom.plans.fold import FoldOptions, Series, fold_rounds, placed
 from starloom.schema import CELL_ORDER, FINE_ORDER
 from starloom.session import Workspace
 
-FOUNDER, OPEN, PAIR = 0, 1, 2
+FOUNDER, OPEN, PAIR, CLOSED = 0, 1, 2, 3
 #: Coarser levels at which rows that stay open are tried again.
 COARSER = (7, 4)
 #: Epochs of a global clock that are sent to every task; a catalogue of more exposures goes through the rounds.
 CLOCK_EPOCHS = 5_000_000
 
-SLIM = ["source_id", "epoch", "ra", "dec", "mag", "home"]
-DECIDED = "kind int, object_id string, source_id string, epoch int, ra double, dec double, mag double, home long, gone_epoch int"
+#: ``last_epoch`` is null for detections; references known before bring the epoch in which they were seen last.
+SLIM = ["source_id", "epoch", "ra", "dec", "mag", "home", "last_epoch"]
+DECIDED = (
+    "kind int, object_id string, source_id string, epoch int, ra double, dec double, mag double, home long,"
+    " last_epoch int, gone_epoch int"
+)
 _DECIDED = pa.schema(
     [("kind", pa.int32()), ("object_id", pa.string()), ("source_id", pa.string()), ("epoch", pa.int32())]
     + [(c, pa.float64()) for c in ("ra", "dec", "mag")]
-    + [("home", pa.int64()), ("gone_epoch", pa.int32())]
+    + [("home", pa.int64()), ("last_epoch", pa.int32()), ("gone_epoch", pa.int32())]
 )
 PAIRS_AT_ONCE = 500_000
 
@@ -64,31 +69,37 @@ def decide(rows: pa.Table, options: FoldOptions, shared_clock: np.ndarray | None
     if shared_clock is not None:
         clocks = {None: shared_clock}
     else:
-        clocks = clocks_of(home[own], epoch[own])  # rows without a name say that the cell was covered
+        # Rows without a name say that a cell was covered; detections say it, too, known references do not.
+        covers = own & ~np.asarray(rows.column("last_epoch").combine_chunks().is_valid())
+        clocks = clocks_of(home[covers], epoch[covers])
     at = np.flatnonzero(named)
     ra, dec, mag = (numbers(c, "float64")[at] for c in ("ra", "dec", "mag"))
     names, own, epoch, home = names.take(pa.array(at)), own[at], epoch[at], home[at]
-    field = Field(ra, dec, epoch, mag, home, clocks, options.radius_deg2, options.max_misses, options.mag_limit)
+    last = pc.fill_null(rows.column("last_epoch").cast(pa.int64()), int(STAYS)).to_numpy()[at]
+    field = Field(ra, dec, epoch, mag, home, clocks, options.radius_deg2, options.max_misses, options.mag_limit, last)
     group = connected_groups(ra, dec, options.radius_deg2)
     foreign = np.zeros(len(group) + 1, dtype=bool)
     foreign[group[~own]] = True
     whole = ~foreign[group]
     found = settle_groups(field, np.flatnonzero(whole), group)
 
-    def told(kind: int, objects: pa.Array, at: np.ndarray, gone: np.ndarray | None = None) -> pa.RecordBatch:
+    def told(kind: int, objects: pa.Array, at: np.ndarray, home: np.ndarray, gone: np.ndarray | None = None) -> pa.RecordBatch:
         places = [pa.array(c[at], mask=np.isnan(c[at]) | (kind == PAIR)) for c in (ra, dec, mag)]
-        none = gone is None
-        gone_epoch = pa.nulls(len(at), pa.int32()) if none else pa.array(np.where(gone == STAYS, 0, gone).astype(np.int32), mask=gone == STAYS)
-        columns = [pa.array(np.full(len(at), kind, np.int32)), objects, names.take(pa.array(at)), pa.array(epoch[at].astype(np.int32)), *places, pa.array(home[at]), gone_epoch]
-        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _DECIDED)], schema=_DECIDED)
-
-    founders = names.take(pa.array(found.founders))
-    yield told(FOUNDER, founders, found.founders, found.gone)
+        gone = np.full(len(at), STAYS) if gone is None else gone
+        epochs = [pa.array(np.where(e == STAYS, 0, e).astype(np.int32), mask=e == STAYS) for e in (last[at], gone)]
+        columns = [pa.array(np.full(len(at), kind, np.int32)), objects, names.take(pa.array(at)), pa.array(epoch[at].astype(np.int32))]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*columns, *places, pa.array(home), *epochs], _DECIDED)], schema=_DECIDED)
+
+    new = last[found.founders] == STAYS
+    shut = ~new & (found.gone != STAYS)
+    for kind, some in ((FOUNDER, new), (CLOSED, shut)):
+        founders = found.founders[some]
+        yield told(kind, names.take(pa.array(founders)), founders, home[founders], found.gone[some])
     left = np.flatnonzero(own & ~whole)
-    yield told(OPEN, pa.nulls(len(left), pa.string()), left)
+    yield told(OPEN, pa.nulls(len(left), pa.string()), left, home[left])
     for low in range(0, len(found.pairs[0]), PAIRS_AT_ONCE):
         a, b = (p[low : low + PAIRS_AT_ONCE] for p in found.pairs)
-        yield told(PAIR, names.take(pa.array(a)), b)
+        yield told(PAIR, names.take(pa.array(a)), b, home[a])
 
 
 def settle(copies: DataFrame, options: FoldOptions, shared_clock: np.ndarray | None) -> DataFrame:
@@ -108,37 +119,46 @@ def seen_by_cells(rows: DataFrame, order: int) -> DataFrame:
     return copies.withColumns({"key": F.col("cell"), "own": own}).select("key", "own", *SLIM)
 
 
-def with_clock(rows: DataFrame, copies: DataFrame, order: int | None, clock: DataFrame | None) -> DataFrame:
+def with_clock(rows: DataFrame, copies: DataFrame, order: int | None, clock: DataFrame) -> DataFrame:
     """Add the covered epochs of the rows' home cells to the cells that hold them, as rows without a name."""
-    if clock is None:
-        return copies
     homes = clock.join(rows.select("home").distinct(), "home", "left_semi")
     key = F.lit(0).cast("long") if order is None else cell_parent("home", CELL_ORDER, order)
     empty = F.lit(None)
-    named = {"source_id": empty.cast("string"), **{c: empty.cast("double") for c in ("ra", "dec", "mag")}}
+    named = {"source_id": empty.cast("string"), "last_epoch": empty.cast("int"), **{c: empty.cast("double") for c in ("ra", "dec", "mag")}}
     covered = homes.select(key.alias("key"), F.lit(True).alias("own"), "epoch", "home").withColumns(named)
     return copies.unionByName(covered.select("key", "own", *SLIM))
 
 
 def fold_per_cell(
-    observations: DataFrame, options: FoldOptions = FoldOptions(), workspace: Workspace | None = None
+    observations: DataFrame,
+    options: FoldOptions = FoldOptions(),
+    workspace: Workspace | None = None,
+    clock: DataFrame | None = None,
+    known: DataFrame | None = None,
 ) -> Series:
-    """Reference list and series. The rounds do it all where the radius is too wide for the border strip."""
+    """Reference list and series. The rounds do it all where the radius is too wide for the border strip.
+
+    ``known`` and ``clock`` are those of ``fold_rounds``.
+    """
     if MatchGrid.for_radius(options.radius_deg2).fine_order < FINE_ORDER:
-        return fold_rounds(observations, options, workspace)
+        return fold_rounds(observations, options, workspace, clock, known)
     work = workspace or Workspace(observations.sparkSession, "percell")
     mag = F.col("mag") if "mag" in observations.columns else F.lit(None).cast("double")
     slim = observations.select("source_id", F.col("epoch").cast("int").alias("epoch"), "ra", "dec", mag.alias("mag"))
-    rows = work.save(with_sky_cell(slim.filter(placed()), "home", CELL_ORDER), "rows")
-    clock = shared_clock = None
+    rows = with_sky_cell(slim.filter(placed()), "home", CELL_ORDER).withColumn("last_epoch", F.lit(None).cast("int"))
+    if known is not None:
+        rows = rows.unionByName(known.withColumn("home", F.col("cell")).select(*SLIM))
+    rows = work.save(rows, "rows")
+    shared_clock = needed = None
     if options.max_misses is not None:
-        clock = work.save(rows.select("home", "epoch").distinct(), "clock")
+        needed = None if clock is None else clock.select(F.col("cell").alias("home"), F.col("epoch").cast("int").alias("epoch"))
         if options.miss_clock == "global":
-            epochs = work.save(clock.select("epoch").distinct(), "epochs")
+            epochs = work.save((rows if needed is None else needed).select("epoch").distinct(), "epochs")
             if epochs.count() > CLOCK_EPOCHS:
-                return fold_rounds(observations, options, workspace)
+                return fold_rounds(observations, options, workspace, clock, known)
             shared_clock = np.sort(np.array([r.epoch for r in epochs.collect()], dtype=np.int64))
-    needed = clock if shared_clock is None else None
+        elif clock is None:
+            needed = work.save(rows.select("home", "epoch").distinct(), "clock")
 
     def one_pass(rows: DataFrame, order: int | None, name: str) -> tuple[DataFrame, DataFrame | None]:
         """What a pass tells, and the own rows of cells too large for a task (None: there is no such cell)."""
@@ -151,9 +171,9 @@ def fold_per_cell(
             if not hot.isEmpty():
                 large = copies.join(F.broadcast(hot), "key", "left_semi").filter("own").select(*SLIM)
                 copies = copies.join(F.broadcast(hot), "key", "left_anti")
-        # At the first level a cell's own rows are its clock.
-        seen = copies if order == CELL_ORDER else with_clock(rows, copies, order, needed)
-        return work.save(settle(seen, options, shared_clock), name), large
+        if shared_clock is None and needed is not None and (order != CELL_ORDER or clock is not None):
+            copies = with_clock(rows, copies, order, needed)  # else a cell's own rows are its clock
+        return work.save(settle(copies, options, shared_clock), name), large
 
     parts: list[DataFrame] = []
     left, levels = rows, [CELL_ORDER, *COARSER]
@@ -175,12 +195,20 @@ def fold_per_cell(
         decided = decided.unionByName(more)
     founders = decided.filter(F.col("kind") == FOUNDER)
     references = founders.select("object_id", "epoch", "ra", "dec", "mag", F.col("home").alias("cell"), "gone_epoch")
-    pairs = decided.filter(F.col("kind") == PAIR).select("object_id", "epoch", "source_id")
+    pairs = decided.filter(F.col("kind") == PAIR).select("object_id", "epoch", "source_id", F.col("home").alias("cell"))
+    closed = decided.filter(F.col("kind") == CLOSED).select("object_id", "gone_epoch")
     if not count:
-        return Series(references, pairs)
+        return Series(references, pairs, 0, closed)
     # What no task could hold goes through the rounds.
-    covered = None if clock is None else clock.withColumnRenamed("home", "cell")
-    resolver = Resolver(work, left, options, covered)
-    names, rounds = resolver.run(resolver.rows)
-    others = collect_series(resolver, names, rounds)
-    return Series(references.unionByName(others.references), pairs.unionByName(others.pairs), rounds)
+    if needed is not None:
+        needed = needed.withColumnRenamed("home", "cell")
+    if shared_clock is not None:
+        needed = epochs.select(F.lit(0).cast("long").alias("cell"), "epoch")
+    held = None
+    if known is not None:
+        held = left.filter("last_epoch IS NOT NULL").withColumnRenamed("home", "cell")
+        left = left.filter("last_epoch IS NULL")
+    others = fold_rounds(left, options, Workspace(work.spark, "crowded"), needed, held)
+    if others.closed is not None:
+        closed = closed.unionByName(others.closed)
+    return Series(references.unionByName(others.references), pairs.unionByName(others.placed), others.rounds, closed)

@@ -30,11 +30,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.functions.cells import cell_parent
+from starloom.functions.cells import cell_parent, with_sky_cell
 from starloom.operators.crossmatch import join_keyed, key_observations, key_reference, near
 from starloom.operators.halo import assign_slot, copy_to_slots, hot_keys
 from starloom.operators.series import eviction_epoch
-from starloom.plans.fold import FoldOptions, Resolver, placed
+from starloom.plans.fold import FoldOptions, placed
+from starloom.plans.percell import fold_per_cell
 from starloom.schema import CELL_ORDER
 from starloom.session import Workspace, remove_folder, subfolders
 
@@ -202,17 +203,21 @@ class StreamFold:
         """Rows of epochs after all others."""
         cells = self.reach(rows)
         known = work.save(self.references(step, cells), "known")
-        resolver = Resolver(work, rows, self.options)
+        placed_rows = work.save(self.celled(rows), "celled")
         clock = last = None
         if self.options.max_misses is not None:
-            moments = self.moments(resolver.rows)
+            moments = self.moments(placed_rows)
             self.store(moments, "clock", step)
             clock = work.save(self.clock(cells, step).unionByName(moments.select("cell", "epoch")).distinct(), "clock-all")
-            seen = self.within(self.latest("seen", "last_epoch", step), cells, "_cell")
-            last = known.select("source_id").join(seen, "source_id").select("source_id", F.col("_last_epoch").alias("last_epoch"))
-        self.fold(resolver, known, last, clock, step)
-        stored = self.coarse(resolver.rows.select(*NAMED)).join(rows.select("source_id", "obs_time"), "source_id")
-        self.store(stored, "rows", step)
+            last = self.within(self.latest("seen", "last_epoch", step), cells, "_cell")
+            last = last.select("source_id", F.col("_last_epoch").alias("last_epoch"))
+        self.fold(placed_rows, known, last, clock, step, work)
+        self.store(self.coarse(placed_rows), "rows", step)
+
+    def celled(self, rows: DataFrame) -> DataFrame:
+        """The rows with the cell that counts their epochs."""
+        grid = self.options.match_grid()
+        return with_sky_cell(rows, "cell", min(CELL_ORDER, grid.order)).select(*NAMED, "obs_time")
 
     def moments(self, rows: DataFrame) -> DataFrame:
         """Which cells these rows cover in which epochs; one cell stands for all where the clock is global."""
@@ -224,41 +229,23 @@ class StreamFold:
         here = cells if self.options.miss_clock == "cell" else None
         return self.within(self.stored("clock", before), here).select("cell", "epoch").distinct()
 
-    def fold(self, resolver: Resolver, known: DataFrame, last: DataFrame | None, clock: DataFrame | None, step: int) -> None:
-        """Fold the resolver's rows into the known references, seen last at ``last``, and store what comes of it."""
-        work, options = resolver.work, self.options
-        closed = None
-        if options.max_misses is not None:
-            resolver.clock = clock
-            bright = known.filter(F.col("gone_epoch").isNull() & (F.col("mag") < options.mag_limit))
-            met = join_keyed(
-                resolver.rows.drop("mag", "cell"),
-                resolver.as_reference(bright.select(*NAMED)),
-                resolver.near & (F.col("epoch") > F.col("ref_epoch")),
-            ).select(F.col("ref_source_id").alias("object_id"), "epoch", F.col("ref_mag").alias("mag"), F.col("ref_cell").alias("cell"))
-            before = bright.join(last, "source_id").select(F.col("source_id").alias("object_id"), F.col("last_epoch").alias("epoch"), "mag", "cell")
-            hits = met.unionByName(before).distinct()
-            gone = eviction_epoch(hits, clock, options.max_misses, options.mag_limit, options.miss_clock)
-            closed = work.save(gone.withColumnsRenamed({"object_id": "source_id", "gone_epoch": "_gone"}), "closed")
-            known = known.join(closed, "source_id", "left").withColumn("gone_epoch", F.coalesce("_gone", "gone_epoch")).drop("_gone")
-            known = work.save(known, "known-closed")
-        slim = [*NAMED, "gone_epoch"]
-        references = known.select(*slim)
-        open_rows = work.save(resolver.uncovered(resolver.rows, references), "open")
-        names, _ = resolver.run(open_rows)
-        if names:
-            found = work.load(references.schema, *names)
-            self.store(self.coarse(found), "references", step)
-            references = references.unionByName(found)
-        pairs = join_keyed(resolver.rows.drop("cell"), resolver.as_reference(references), resolver.attached())
-        pairs = pairs.select(F.col("ref_source_id").alias("object_id"), "epoch", "source_id", F.col("ref_cell").alias("cell"))
-        pairs = work.save(self.coarse(pairs), "pairs")
+    def fold(self, rows: DataFrame, known: DataFrame, last: DataFrame | None, clock: DataFrame | None, step: int, work: Workspace) -> None:
+        """Fold rows into the known references, seen last at ``last``, and store what comes of it."""
+        alive = known.filter(F.col("gone_epoch").isNull())
+        if last is None:
+            alive = alive.withColumn("last_epoch", F.col("epoch"))
+        else:
+            alive = alive.join(last, "source_id")
+        found = fold_per_cell(rows.select("source_id", "epoch", "ra", "dec", "mag"), self.options, Workspace(self.spark, f"fold-{step}"), clock, alive)
+        references = found.references.withColumnRenamed("object_id", "source_id")
+        self.store(self.coarse(references), "references", step)
+        pairs = work.save(self.coarse(found.placed), "placed")
         self.store(pairs, "pairs", step)
-        if closed is None:
+        if last is None:
             return
-        self.store(self.coarse(known.join(closed, "source_id").withColumn("gone_epoch", F.col("_gone"))), "gone", step)
-        own = references.join(resolver.rows.select("source_id"), "source_id", "left_semi").select("source_id", "epoch", "cell")
-        hits = self.coarse(own).select("source_id", "epoch", "coarse_cell").unionByName(
+        closed = found.closed.withColumnRenamed("object_id", "source_id")
+        self.store(known.drop("gone_epoch").join(closed, "source_id"), "gone", step)
+        hits = self.coarse(references).select("source_id", "epoch", "coarse_cell").unionByName(
             pairs.select(F.col("object_id").alias("source_id"), "epoch", "coarse_cell")
         )
         self.store(hits.groupBy("source_id", "coarse_cell").agg(F.max("epoch").alias("last_epoch")), "seen", step)
@@ -279,8 +266,7 @@ class StreamFold:
 
     def fold_anew(self, late: DataFrame, step: int, work: Workspace, mark: Column | None) -> None:
         """Late rows with all that is connected with them."""
-        own = Resolver(work, late, self.options)
-        late = work.save(own.rows.select(*NAMED).join(late.select("source_id", "obs_time"), "source_id"), "late")
+        late = work.save(self.celled(late), "late")
         # Everything seen so far, including the newer rows of this micro-batch; what is behind the watermark is
         # final, and only the references found there take part, as they are.
         history = self.stored("rows", step)
@@ -332,8 +318,7 @@ class StreamFold:
                 told = told.select(F.col("object_id").alias("source_id"), F.col("epoch").alias("last_epoch"))
                 told = told.join(known.select("source_id"), "source_id", "left_semi").unionByName(last)
                 last = work.save(told.groupBy("source_id").agg(F.max("last_epoch").alias("last_epoch")), "last")
-        anew = Workspace(self.spark, "anew")
-        self.fold(Resolver(anew, rows.select("source_id", "epoch", "ra", "dec", "mag"), self.options), known, last, clock, step)
+        self.fold(rows, known, last, clock, step, Workspace(self.spark, "anew"))
         if fixed is not None and clock is not None:
             self.reopened(known, held, last, step)
         self.store(self.coarse(late), "rows", step)

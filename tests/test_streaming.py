@@ -141,14 +141,14 @@ def test_rows_behind_the_watermark(spark, misses):
 
 
 def test_compaction_bounds_the_files(spark):
-    rows = brute.random_sky(53, stars=8, epochs=24, spread=0.01)
+    rows = brute.random_sky(53, stars=8, epochs=12, spread=0.01)
     work = Workspace(spark, "test-compact")
     state = StreamFold(spark, f"{work.path}/state", compact_every=1)
-    for n in range(12):
+    for n in range(6):
         state.absorb(spark.createDataFrame(rows[rows.epoch.between(2 * n + 1, 2 * n + 2)], SCHEMA), n)
         assert len(state.live_runs()[0]) == bin(n + 1).count("1")
     assert pair_set(state.pairs()) == brute.fold(rows)
     assert state.vacuum() > 0
     assert pair_set(state.pairs()) == brute.fold(rows)
-    state.absorb(spark.createDataFrame([("new", 30, 10.0, 5.0, 12.0)], SCHEMA), 12)
+    state.absorb(spark.createDataFrame([("new", 30, 10.0, 5.0, 12.0)], SCHEMA), 6)
     assert "new" in {r.source_id for r in state.references().collect()}
