@@ -10,7 +10,8 @@ all on at most ``2 e + 1`` neighbouring diagonals. So:
 2. count hits by item and band of diagonals, bands overlapping by half;
 3. keep the bands that meet the bound for the item;
 4. align the item with the region of the band (edit distance inside the band,
-   free ends in the document) and report what is within the budget.
+   free ends in the document) and report what is within the budget; costs
+   alone first, for many bands at once, then spans where they suffice.
 
 Documents only pass through; nothing is shuffled. The items are broadcast in
 blocks of at most about ``BLOCK_CHARS`` characters, whatever their number, and
@@ -41,6 +42,8 @@ HITS = "doc_id long, item_id long, start long, end long, edits long"
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _TABLE_BITS = 22
 _GAP = 0x110000  # no character
+#: Hits of q-grams on items expanded, and cells of alignments computed, at a time.
+POSTINGS_AT_ONCE, CELLS_AT_ONCE = 2_000_000, 150_000
 
 
 def folded(text: str) -> str:
@@ -148,6 +151,10 @@ class ItemIndex:
     count: np.ndarray
     post_item: np.ndarray
     post_at: np.ndarray
+    #: More than any item's length: shifts diagonals above zero.
+    shift: int
+    #: Whether the q-grams of an item's second half stand in fewer items than those of its first.
+    rare_end: np.ndarray
 
 
 def gram_size(length: int, rate: float) -> int:
@@ -178,10 +185,14 @@ def build_indexes(items: list[tuple[int, str]], rate: float) -> list[ItemIndex]:
         lengths = np.array([len(p) for _, p in members])
         edits = np.array([budget(n, rate) for n in lengths])
         need = np.maximum(1, lengths + 1 - q - q * edits)
+        shared = number[np.searchsorted(unique, every)]
+        late = at >= np.repeat(counts // 2, counts)
+        halves = [np.bincount(item[m], weights=shared[m], minlength=len(members)) for m in (~late, late)]
         out.append(
             ItemIndex(
                 q, np.array([-1 if i is None else i for i, _ in members], dtype=np.int64), [p for _, p in members],
                 edits, need, table, unique, first, number, item[order].astype(np.int64), at[order],
+                int(lengths.max()) + 1, halves[1] < halves[0],
             )
         )
     return out
@@ -191,26 +202,24 @@ def slots(codes: np.ndarray) -> np.ndarray:
     return ((codes * _MIX) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
 
-def bands(index: ItemIndex, points: np.ndarray, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Item and number of each band that meets the bound; band b of an item covers
-    the diagonals from b * w to (b + 2) * w - 1 with w = 2 e + 1. ``distinct``
-    counts a q-gram of the item once per half band, however often it is hit."""
-    none = np.empty(0, dtype=np.int64)
+def hits_of(index: ItemIndex, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where q-grams of the items stand, and which."""
     codes = gram_codes(points, index.q)
     where = np.flatnonzero(index.table[slots(codes)])
     found = codes[where]
     rank = np.minimum(np.searchsorted(index.codes, found), len(index.codes) - 1)
     true = index.codes[rank] == found
-    where, rank = where[true], rank[true]
-    if not len(where):
-        return none, none
+    return where[true], rank[true]
+
+
+def bands_of(index: ItemIndex, where: np.ndarray, rank: np.ndarray, size: int, distinct: bool) -> tuple[np.ndarray, np.ndarray]:
     count = index.count[rank]
     post = repeat_ranges(index.first[rank], count)
     item = index.post_item[post]
     diagonal = np.repeat(where, count) - index.post_at[post]
     width = 2 * index.edits[item] + 1
-    stretch = np.int64(len(points) + 2 * _LONGEST)
-    key = item * stretch + (diagonal + _LONGEST) // width
+    stretch = np.int64(size + 2 * index.shift)
+    key = item * stretch + (diagonal + index.shift) // width
     if distinct:
         at = index.post_at[post]
         order = np.lexsort((at, key))
@@ -224,16 +233,103 @@ def bands(index: ItemIndex, points: np.ndarray, distinct: bool = False) -> tuple
     return item[passed], (key % stretch)[passed]
 
 
-_LONGEST = BLOCK_CHARS * 4
+def bands(index: ItemIndex, points: np.ndarray, distinct: bool = False, at_once: int = POSTINGS_AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
+    """Item and number of each band that meets the bound; band b of an item covers
+    the diagonals from b * w to (b + 2) * w - 1 with w = 2 e + 1. ``distinct``
+    counts a q-gram of the item once per half band, however often it is hit.
+
+    Hits are expanded to items in portions of the text that overlap by more than a band
+    reaches, so every band is counted whole in one of them.
+    """
+    none = np.empty(0, dtype=np.int64)
+    where, rank = hits_of(index, points)
+    if not len(where):
+        return none, none
+    work = np.cumsum(index.count[rank])
+    if work[-1] <= at_once:
+        return bands_of(index, where, rank, len(points), distinct)
+    reach = index.shift + 4 * int(index.edits.max()) + 2 + index.q
+    parts, at = [], 0
+    while True:
+        end = int(np.searchsorted(work, (work[at - 1] if at else 0) + at_once, "right"))
+        end = max(end, int(np.searchsorted(where, where[at] + 2 * reach)))
+        parts.append(bands_of(index, where[at:end], rank[at:end], len(points), distinct))
+        if end >= len(where):
+            break
+        at = max(at + 1, int(np.searchsorted(where, where[end] - reach)))
+    both = np.unique(np.stack([np.concatenate([p[k] for p in parts]) for k in (0, 1)]), axis=1)
+    return both[0], both[1]
+
+
+def within_budget(index: ItemIndex, points: np.ndarray, items: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Which bands may hold their item within its edits: the alignment's costs, for many bands at once.
+
+    An item is read from the end whose q-grams fewer items share, so bands that have only
+    a common beginning in them are given up after a few letters.
+    """
+    out = np.ones(len(items), dtype=bool)
+    for e in np.unique(index.edits[items]).tolist():
+        if not e:
+            continue
+        width = 2 * (2 * e + 1) + 2 * e
+        for backwards in (False, True):
+            some = np.flatnonzero((index.edits[items] == e) & (index.rare_end[items] == backwards))
+            some = some[np.argsort([len(index.points[k]) for k in items[some]], kind="stable")]
+            chunk = max(1, CELLS_AT_ONCE // width)
+            for low in range(0, len(some), chunk):
+                part = some[low : low + chunk]
+                first = band[part] * (2 * e + 1) - index.shift - e
+                texts = [index.points[k] for k in items[part]]
+                if backwards:
+                    first = len(points) - np.array([len(t) for t in texts]) - (first + width - 1)
+                    out[part] = banded_costs([t[::-1] for t in texts], points[::-1], first, width, e)
+                else:
+                    out[part] = banded_costs(texts, points, first, width, e)
+    return out
+
+
+def banded_costs(items: list[np.ndarray], points: np.ndarray, first: np.ndarray, width: int, limit: int) -> np.ndarray:
+    """Whether each item, aligned on diagonals ``first`` to ``first + width - 1``, can cost at most ``limit``.
+
+    What lies beyond the text costs an edit a letter, as leaving the item's letter out does.
+    """
+    lengths = np.array([len(t) for t in items])
+    longest = int(lengths.max())
+    letters = np.full((longest, len(items)), _GAP + 1, dtype=np.uint32)
+    for k, t in enumerate(items):
+        letters[: len(t), k] = t
+    before = max(0, -int(first.min()))
+    after = max(0, int(first.max()) + longest + width - len(points))
+    padded = np.concatenate((np.full(before, _GAP, np.uint32), points, np.full(after, _GAP, np.uint32)))
+    place = (first + before)[:, None] + np.arange(width)
+    slope = np.arange(width, dtype=np.int32)
+    cost = np.zeros((len(items), width), dtype=np.int32)
+    alive, passed = np.arange(len(items)), np.zeros(len(items), dtype=bool)
+    for j in range(longest):
+        step = cost + (padded[place + j] != letters[j, alive][:, None])
+        step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
+        cost = np.minimum.accumulate(step - slope, axis=1) + slope
+        over = lengths[alive] == j + 1
+        if over.any() or j % 4 == 3:
+            least = cost.min(axis=1) <= limit
+            passed[alive[over & least]] = True
+            stay = least & ~over
+            if not stay.all():
+                cost, place, alive = cost[stay], place[stay], alive[stay]
+                if not len(alive):
+                    break
+    return passed
 
 
 def verified(index: ItemIndex, points: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(item, start, end, edits) of all regions within the budget, overlapping ones of an item merged."""
     out: dict[int, list[tuple[int, int, int]]] = {}
-    for k, band in zip(*(x.tolist() for x in bands(index, points, distinct=True))):
+    items, numbers = bands(index, points, distinct=True)
+    may = within_budget(index, points, items, numbers)
+    for k, band in zip(items[may].tolist(), numbers[may].tolist()):
         item, e = index.points[k], int(index.edits[k])
         width = 2 * e + 1
-        low = band * width - _LONGEST - e
+        low = band * width - index.shift - e
         high = low + 2 * width - 1 + 2 * e
         base = max(0, low)
         if any(cost == 0 and low <= begin <= high for begin, _, cost in out.get(k, ())):
@@ -264,7 +360,7 @@ def scan_block(texts: list[str], indexes: list[ItemIndex]) -> list[tuple[int, in
         if not len(item):
             continue
         width = 2 * index.edits[item] + 1
-        low = band * width - _LONGEST - index.edits[item]
+        low = band * width - index.shift - index.edits[item]
         high = low + 2 * width + 2 * index.edits[item] + np.array([len(p) for p in index.points])[item]
         first = np.searchsorted(starts, np.maximum(low, 0), side="right") - 1
         last = np.searchsorted(starts, np.maximum(high, 0), side="right") - 1
