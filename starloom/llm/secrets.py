@@ -48,6 +48,8 @@ ENCODINGS = (
     ("base64", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
+#: Matches whose places are summed up together.
+BLOCK = 64
 #: Lower ends of the bands of length, bins of p-values, and the share of false finds accepted.
 BANDS, BINS, RATE = (16, 20, 24, 32, 48, 96), 200, 0.05
 
@@ -61,6 +63,9 @@ def located(text: Column, pattern: str, kind: str, group: int | None = None, lea
     pieces = F.arrays_zip(whole.alias("whole"), token.alias("token"), F.slice(between, 1, F.size(whole)).alias("before"))
     empty = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, kind: INT, end: INT, token: STRING>>)")
 
+    def long(piece: Column) -> Column:
+        return F.length(piece["before"]) + F.length(piece["whole"])
+
     def step(state: Column, piece: Column) -> Column:
         start = state["at"] + F.length(piece["before"])
         end = start + F.length(piece["whole"])
@@ -68,8 +73,27 @@ def located(text: Column, pattern: str, kind: str, group: int | None = None, lea
         kept = F.when(F.length(piece["token"]) >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
         return F.struct(end.alias("at"), kept.alias("spans"))
 
-    walk = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)
-    return F.when(text.rlike(pattern), walk["spans"]).otherwise(empty)
+    def in_blocks(pieces: Column) -> Column:
+        """Growing an array copies it, so places are summed up within blocks and over blocks."""
+        count = F.ceil(F.size(pieces) / BLOCK).cast("int")
+        numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.expr("CAST(array() AS ARRAY<INT>)"))
+        blocks = F.transform(numbers, lambda b: F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK)))
+        return let(blocks, walked)
+
+    def walked(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda total, piece: total + long(piece)))
+        none = F.expr("CAST(array() AS ARRAY<INT>)")
+        begins = F.aggregate(
+            sizes,
+            F.struct(F.lit(0).alias("at"), none.alias("list")),
+            lambda state, size: F.struct((state["at"] + size).alias("at"), F.concat(state["list"], F.array(state["at"])).alias("list")),
+        )["list"]
+        both = F.arrays_zip(blocks.alias("block"), begins.alias("at"))
+        return F.flatten(
+            F.transform(both, lambda one: F.aggregate(one["block"], F.struct(one["at"].alias("at"), empty.alias("spans")), step)["spans"])
+        )
+
+    return F.when(text.rlike(pattern), let(pieces, in_blocks)).otherwise(empty)
 
 
 def let(value: Column, use) -> Column:

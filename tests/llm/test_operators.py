@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -617,3 +618,65 @@ def test_answers_of_a_bucket_take_one_pass():
     asked = np.concatenate([ranked[::7], ranked[::11] + np.uint64(1)])
     assert np.array_equal(substring._among(asked, ranked), np.isin(asked, ranked))
     assert not substring._among(asked, ranked[:0]).any() and not len(substring._among(asked[:0], ranked))
+
+
+def quiz(seed, count, stem="which of the following is true about the "):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    return [stem + " ".join(word() for _ in range(8)) for _ in range(count)]
+
+
+def test_questions_with_one_stem_are_told_apart_quickly():
+    items = list(enumerate(quiz(1, 500)))
+    index = decontam.build_indexes(items, decontam.RATE)
+    asked = quiz(2, 100)
+    start = time.time()
+    assert decontam.scan_block([" ".join(asked)], index) == []
+    assert time.time() - start < 5  # about half a second; a step per letter and band took minutes
+    leak = items[7][1].replace("true", "trve")
+    text = " ".join([*asked[:50], leak, *asked[50:]])
+    found = decontam.scan_block([text, ""], index)
+    assert [(n, k, e) for n, k, _, _, e in found] == [(0, 7, 1)] and text[found[0][2] : found[0][3]] == leak
+
+
+def test_costs_of_many_bands_are_those_of_each():
+    rng = random.Random(4)
+    text = decontam.code_points("".join(rng.choice("abc ") for _ in range(400)))
+    items, first, want = [], [], []
+    for k in range(300):
+        at = rng.randrange(-10, 390)
+        item = text[max(0, at) : at + rng.choice([40, 60, 75])].tolist()
+        for _ in range(rng.choice([0, 2, 5, 9])):
+            where = rng.randrange(len(item) + 1)
+            item[where : where + rng.choice([0, 1])] = [ord(rng.choice("abc "))] * rng.choice([0, 1])
+        item = np.array(item, dtype=np.uint32)
+        low = at - 12 + rng.randrange(8)
+        items.append(item)
+        first.append(low)
+        # The text with room on both sides, as letters beyond it cost an edit each, too.
+        room = np.full(120, 0x110000, np.uint32)
+        got = decontam.banded_distance(item, np.concatenate((room, text, room)), low + 120, low + 120 + 19, 4)
+        want.append(got is not None)
+    got = decontam.banded_costs(items, text, np.array(first), 20, 4)
+    assert got.tolist() == want and 20 < sum(want) < 280
+
+
+def test_bands_in_portions_are_the_same():
+    items = list(enumerate(quiz(5, 60)))
+    points = decontam.code_points(" ".join([*quiz(6, 40), items[3][1], *quiz(7, 40), items[50][1][5:]]))
+    for index in decontam.build_indexes(items, decontam.RATE):
+        for distinct in (False, True):
+            whole = set(zip(*(x.tolist() for x in decontam.bands(index, points, distinct))))
+            parts = set(zip(*(x.tolist() for x in decontam.bands(index, points, distinct, at_once=500))))
+            assert whole == parts and whole
+
+
+def test_many_keys_in_one_text(spark):
+    text = " ".join(f'api_key = "{hashlib.md5(str(k).encode()).hexdigest()}"' for k in range(20_000))
+    df = documents(spark, [(1, text), (2, "token: " + "a" * 9)])
+    start = time.time()
+    rows = {r.doc_id: r for r in secrets.scan(df).collect()}
+    assert time.time() - start < 20  # a few seconds; it took a minute
+    spans = [tuple(s) for s in rows[1].base]
+    want = [(m.start(), k, m.end()) for k, p in ((0, secrets.ASSIGN), (2, secrets.HEX)) for m in re.finditer(p.replace("\\x20", " "), text)]
+    assert spans == sorted(want) and [tuple(s) for s in rows[2].base] == [(0, 0, 16)]
