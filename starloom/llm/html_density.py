@@ -6,8 +6,13 @@ reduced the more of them stand in links, relative to the page. A node's density
 sum is the sum of its children's densities. The node with the greatest density
 sum holds the content; the least density on its path to the body is the
 threshold above which other parts of the body are searched for content in the
-same way. Elements that are never content (menus, forms, notices, scripts, ...)
-are recognised by tag, role, class or id and take no part.
+same way. Only blocks count in the sums; inline elements belong to the block around them.
+
+Elements that are never content (menus, forms, notices, scripts, ...) are recognised by tag
+or role, or by a class or id that names them (its last word that is not a general one: ``user-comments``,
+``ad-box``), and take no part. Where such a word only stands before another (``related-work``), the
+element must be made up of links or list items, hold a form, or have a few characters only and be less
+dense than the threshold.
 
 Bare text and inline elements beside blocks take part as an anonymous block: a
 node of its own with a density that counts in its parent's sum, searched like
@@ -39,6 +44,7 @@ BLOCK = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search "
     "section summary table tbody td tfoot th thead tr ul".split()
 )
+FORMS = frozenset("form button select textarea input fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_PARAGRAPH = BLOCK - frozenset("body caption dd dt html legend li optgroup option tbody td tfoot th thead tr".split())
 SAME_KIND_ENDS = {
@@ -69,11 +75,19 @@ NOISE = frozenset(
     "subscription teaser toolbar topbar widget widgets".split()
 )
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-    re.S,
-)
+#: Words of a class or id that say nothing about its kind.
+GENERAL = frozenset(
+    "area bar block body bottom box btn button buttons col column container content footer header holder inner item items "
+    "label left link links list main module outer panel right row section slot text title top unit wrap wrapper".split()
+) - NOISE
+NO, DOUBTFUL, NOISY = range(3)
+#: Characters a tag below which an element of a doubtful name is no running text.
+SHORT = 20
+#: Elements nested deeper belong to the one at this depth, as in browsers.
+MAX_DEPTH = 256
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -81,100 +95,198 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 class Node:
     __slots__ = (
         *("children", "density", "density_sum", "noise", "parent", "tag", "chars", "tags", "link_chars", "link_tags", "text"),
-        *("breaks", "flow"),
+        *("breaks", "flow", "depth", "doubtful", "list_chars", "forms", "best"),
     )
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, noise: int):
+        self.tag, self.parent, self.noise, self.doubtful = tag, parent, noise == NOISY, noise == DOUBTFUL
         self.children: list[Node] = []
         self.text = ""  # of text nodes, whose tag is empty
-        self.chars = self.tags = self.link_chars = self.link_tags = self.breaks = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.breaks = self.list_chars = self.forms = 0
         self.flow = tag in BLOCK or tag == RUN  # a block, or an element around blocks
         self.density = self.density_sum = 0.0
+        self.depth = parent.depth + 1 if parent else 0
+        self.best = self  # the node of greatest density sum in this subtree
+
+
+def named_noise(value: str) -> int:
+    """Whether a class or id names something that is never content, by its last telling word."""
+    out = NO
+    for name in value.split():
+        words = [w for w in (p.lower() for p in _PARTS.findall(name)) if len(w) > 1 and not w.isdigit()]
+        if NOISE.isdisjoint(words):
+            continue
+        telling = [w for w in words if w not in GENERAL]
+        out = max(out, NOISY if telling[-1] in NOISE else DOUBTFUL)
+    return out
 
 
-def is_noise(tag: str, attributes: str) -> bool:
+def is_noise(tag: str, attributes: str) -> int:
     if tag in NEVER:
-        return True
+        return NOISY
     if not attributes or tag in ("body", "html", "article", "main") and "comment" not in attributes:
-        return False
+        return NO
+    out = NO
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = next((v for v in values if v), ""), name.lower()
         if name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "id") and not NOISE.isdisjoint(p.lower() for p in _PARTS.findall(value)):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
-
-
-def parse(page: str) -> Node:
-    """The tree below the body; text nodes have an empty tag and decoded text."""
-    root = here = Node("body", None, False)
-    position, size = 0, len(page)
-    while position < size:
-        found = _MARKUP.search(page, position)
-        if found and found.end() == size and page[-1] != ">" and found.group(2) is None and page[found.start() + 1] not in "!?":
-            found = None
-        upto = found.start() if found else size
-        if upto > position:
-            _add_text(here, page[position:upto])
-        if not found:
-            break
-        position = found.end()
-        if found.group(2) is None:
-            continue
-        tag = found.group(2).lower()
-        if found.group(1):
-            here = _close(here, tag, root)
-            continue
+            return NOISY
+        if name in ("class", "id"):
+            out = max(out, named_noise(value))
+    return NOISY if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) else out
+
+
+class Parser:
+    """One pass over the page; every step moves forward or up the open elements."""
+
+    def __init__(self, page: str):
+        self.page, self.size = page, len(page)
+        self.root = self.here = Node("body", None, NO)
+        self.opened: dict[str, int] = {}  # open elements by tag
+        self.beyond: list[str] = []  # open elements nested too deeply
+        self.beyond_open: dict[str, int] = {}
+        self.unmatched: set[str] = set()  # quotes that do not occur again
+        self.lacking: set[str] = set()  # raw elements whose end does not occur again
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag ends whose name ends here; quoted values may hold the sign."""
+        while True:
+            stop = _STOP.search(self.page, at)
+            if stop is None:
+                return self.size
+            at, sign = stop.end(), stop.group()
+            if sign == ">":
+                return at
+            if sign in self.unmatched or not self.page[max(0, stop.start() - 8) : stop.start()].rstrip().endswith("="):
+                continue
+            close = self.page.find(sign, at)
+            if close < 0:
+                self.unmatched.add(sign)
+            else:
+                at = close + 1
+
+    def parse(self) -> Node:
+        page, position, text = self.page, 0, 0
+        while True:
+            less = page.find("<", position)
+            if less < 0:
+                break
+            end = self.markup(less)
+            if end is None:
+                position = less + 1  # a sign, no markup
+                continue
+            if less > text:
+                self.add_text(page[text:less])
+            position = text = self.element(less, end)
+        if text < self.size:
+            self.add_text(page[text:])
+        return self.root
+
+    def markup(self, at: int) -> int | None:
+        """Where the markup ends that begins here; None if it is none."""
+        follows = self.page[at + 1 : at + 3]
+        if self.page.startswith("<!--", at):
+            end = self.page.find("-->", at + 4)
+            return self.size if end < 0 else end + 3
+        if follows[:1] in ("!", "?"):
+            end = self.page.find(">", at + 2)
+            return self.size if end < 0 else end + 1
+        name = _NAME.match(self.page, at + 2 if follows[:1] == "/" else at + 1)
+        return self.tag_end(name.end()) if name else None
+
+    def element(self, at: int, end: int) -> int:
+        """Take in a tag; returns where the page goes on."""
+        page = self.page
+        closing = page[at + 1] == "/"
+        if page[at + 1] in "!?":
+            return end
+        name = _NAME.match(page, at + 1 + closing)
+        tag = name.group().lower()
+        if closing:
+            self.close(tag)
+            return end
         if tag in ("html", "body"):
-            continue
-        here = _make_room(here, tag)
-        node = Node(tag, here, is_noise(tag, found.group(3)))
-        here.children.append(node)
+            return end
+        attributes = page[name.end() : end].removesuffix(">")
+        self.make_room(tag)
+        node = Node(tag, self.here, is_noise(tag, attributes))
+        self.here.children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, position)
-            position = end.end() if end else size
-        elif tag not in VOID and not (found.group(3).endswith("/") and tag in ("path", "use", "circle", "rect")):
-            here = node
-    return root
-
-
-def _add_text(here: Node, raw: str) -> None:
-    node = Node("", here, False)
-    node.text = html.unescape(raw) if "&" in raw else raw
-    here.children.append(node)
-
-
-def _close(here: Node, tag: str, root: Node) -> Node:
-    if tag in ("html", "body"):
-        return root
-    node = here
-    while node is not root and node.tag != tag:
-        if node.tag in BLOCK and tag not in BLOCK:
-            return here  # an inline end does not close blocks
-        node = node.parent
-    return here if node is root else node.parent
-
-
-def _make_room(here: Node, tag: str) -> Node:
-    """Close what cannot stay open when this element begins."""
-    if tag in ENDS_PARAGRAPH:
-        node = here
-        while node.parent is not None and node.tag not in BLOCK:
+            return self.raw_end(tag, end)
+        if tag not in VOID and not (attributes.endswith("/") and tag in ("path", "use", "circle", "rect")):
+            if node.depth > MAX_DEPTH:
+                self.beyond.append(tag)
+                self.beyond_open[tag] = self.beyond_open.get(tag, 0) + 1
+            else:
+                self.here = node
+                self.opened[tag] = self.opened.get(tag, 0) + 1
+        return end
+
+    def raw_end(self, tag: str, position: int) -> int:
+        if tag not in self.lacking:
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(self.page, position)
+            if end:
+                return end.end()
+            self.lacking.add(tag)
+        return self.size
+
+    def add_text(self, raw: str) -> None:
+        node = Node("", self.here, NO)
+        node.text = html.unescape(raw) if "&" in raw else raw
+        self.here.children.append(node)
+
+    def go_up(self, to: Node) -> None:
+        node = self.here
+        while node is not to:
+            self.opened[node.tag] -= 1
             node = node.parent
-        if node.tag == "p":
-            return node.parent
-    ends = SAME_KIND_ENDS.get(tag)
-    if ends:
-        node, last = here, None
-        while node.parent is not None and node.tag not in LIST_BOUND:
-            if node.tag in ends:
-                last = node
+        self.here = to
+        self.beyond.clear()
+        self.beyond_open.clear()
+
+    def close(self, tag: str) -> None:
+        if tag in ("html", "body"):
+            self.go_up(self.root)
+            return
+        if self.beyond_open.get(tag):
+            last = None
+            while last != tag:
+                last = self.beyond.pop()
+                self.beyond_open[last] -= 1
+            return
+        if not self.opened.get(tag):
+            return
+        node = self.here
+        while node is not self.root and node.tag != tag:
+            if node.tag in BLOCK and tag not in BLOCK:
+                return  # an inline end does not close blocks
             node = node.parent
-        if last is not None:
-            return last.parent
-    return here
+        if node is not self.root:
+            self.go_up(node.parent)
+
+    def make_room(self, tag: str) -> None:
+        """Close what cannot stay open when this element begins."""
+        if tag in ENDS_PARAGRAPH and self.opened.get("p"):
+            node = self.here
+            while node.parent is not None and node.tag not in BLOCK:
+                node = node.parent
+            if node.tag == "p":
+                self.go_up(node.parent)
+                return
+        ends = SAME_KIND_ENDS.get(tag)
+        if ends and any(self.opened.get(e) for e in ends):
+            node, last = self.here, None
+            while node.parent is not None and node.tag not in LIST_BOUND:
+                if node.tag in ends:
+                    last = node
+                node = node.parent
+            if last is not None:
+                self.go_up(last.parent)
+
+
+def parse(page: str) -> Node:
+    """The tree below the body; text nodes have an empty tag and decoded text."""
+    return Parser(page).parse()
 
 
 def in_order(root: Node) -> list[Node]:
@@ -208,7 +320,7 @@ def gather_runs(root: Node) -> None:
                 run.append(child)
                 continue
             if any(id(c) in said and not c.noise for c in run):
-                block = Node(RUN, node, False)
+                block = Node(RUN, node, NO)
                 block.children = run
                 for c in run:
                     c.parent = block
@@ -221,7 +333,10 @@ def gather_runs(root: Node) -> None:
 
 
 def weigh(root: Node) -> list[Node]:
-    """Counts, densities and density sums of all nodes; returns them in page order."""
+    """Counts, densities and density sums of all nodes; returns them in page order.
+
+    Doubtful nodes made up of links, list items or forms turn out to be noise.
+    """
     nodes: list[Node] = []
     stack = [root]
     while stack:
@@ -233,9 +348,14 @@ def weigh(root: Node) -> list[Node]:
     for node in reversed(nodes):
         if not node.tag:
             node.chars = len(" ".join(node.text.split()))
-        link = node.tag == "a"
-        if link:
+        if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.link_tags + 1
+        elif node.tag in ("li", "dt", "dd"):
+            node.list_chars = node.chars
+        node.forms += sum(c.noise and c.tag in FORMS for c in node.children)
+        if node.doubtful and (node.forms or node.link_chars * 3 > node.chars or node.list_chars * 2 > node.chars):
+            node.noise = True
+            continue
         if node.parent is not None:
             up = node.parent
             up.chars += node.chars
@@ -243,13 +363,20 @@ def weigh(root: Node) -> list[Node]:
             up.breaks += node.breaks + (node.tag == "br")
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags
+            up.list_chars += node.list_chars
+            up.forms += node.forms
     share = root.link_chars / root.chars if root.chars else 0.0
+    nodes = [n for n in nodes if not n.noise]
     for node in nodes:
         if node.tag:
             node.density = composite(node, share)
     for node in nodes:
-        if node.tag and node.parent is not None:
+        if node.flow and node.parent is not None:
             node.parent.density_sum += node.density
+    for node in reversed(nodes):
+        for child in node.children:
+            if child.flow and not child.noise and child.best.density_sum > node.best.density_sum:
+                node.best = child.best
     return nodes
 
 
@@ -264,16 +391,14 @@ def composite(node: Node, page_link_share: float) -> float:
     return node.chars / tags * (math.log(max(ratio, 1.0)) / math.log(max(base, math.e / 2)) if base > 0 else 0.0)
 
 
-def content(root: Node) -> set[int]:
-    """Ids of the nodes whose whole subtree is content."""
+def content(root: Node) -> tuple[set[int], float]:
+    """Ids of the nodes whose whole subtree is content, and the threshold."""
     gather_runs(root)
-    nodes = [n for n in weigh(root) if n.flow]
-    if not nodes or not root.chars:
-        return set()
-    best = max(nodes, key=lambda n: n.density_sum)  # the first, hence outermost, of equals
-    if not best.density_sum:
-        return {id(root)}
-    up, threshold = best, math.inf
+    weigh(root)
+    if not root.chars:
+        return set(), 0.0
+    best = root.best  # the first, hence outermost, of equals
+    threshold, up = math.inf, best
     while up is not None:
         threshold = min(threshold, up.density)
         up = up.parent
@@ -283,48 +408,16 @@ def content(root: Node) -> set[int]:
         node = stack.pop()
         if node.density < threshold or node.noise:
             continue
-        top = strongest(node)
-        if node is root and top is not root and not _inside(best, top):
-            top = best
-        lifted = _article(top)
-        chosen.add(id(lifted))
+        chosen.add(id(node.best))
         # Search the rest of this subtree beside the path to what was chosen.
-        step = lifted
+        step = node.best
         while step is not node and step.parent is not None:
             stack.extend(c for c in step.parent.children if c is not step and c.flow and not c.noise)
             step = step.parent
-    return chosen
-
-
-def strongest(node: Node) -> Node:
-    best, stack = node, [node]
-    while stack:
-        one = stack.pop()
-        if one.density_sum > best.density_sum:
-            best = one
-        stack.extend(c for c in reversed(one.children) if c.flow and not c.noise)
-    return best
-
-
-def _inside(node: Node | None, top: Node) -> bool:
-    while node is not None:
-        if node is top:
-            return True
-        node = node.parent
-    return False
+    return chosen, threshold
 
 
-def _article(node: Node) -> Node:
-    """The article around a node, if there is one: its parts belong together."""
-    up = node
-    while up is not None:
-        if up.tag in ("article", "main"):
-            return up
-        up = up.parent
-    return node
-
-
-def blocks(root: Node, chosen: set[int]) -> list[str]:
+def blocks(root: Node, chosen: set[int], threshold: float) -> list[str]:
     """The text of the chosen subtrees, block by block."""
     out: list[str] = []
     line: list[str] = []
@@ -341,7 +434,7 @@ def blocks(root: Node, chosen: set[int]) -> list[str]:
         if node is None:
             end()
             continue
-        if node.noise:
+        if node.noise or node.doubtful and node.density < threshold and node.chars < SHORT * max(1, node.tags):
             if node.tag in BLOCK:
                 end()
             continue
@@ -365,17 +458,25 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     drop_page_headers(root)
-    return "\n\n".join(blocks(root, content(root)))
+    return "\n\n".join(blocks(root, *content(root)))
 
 
 def drop_page_headers(root: Node) -> None:
     """A header is the page's unless it stands in the article, where it holds the title."""
-    for node in in_order(root):
-        if node.tag == "header" and not node.noise:
-            up = node.parent
-            while up is not None and up.tag not in ("article", "main"):
-                up = up.parent
-            node.noise = up is None or not any(n.tag in HEADINGS for n in in_order(node))
+    nodes = in_order(root)
+    headed: set[int] = set()
+    for node in reversed(nodes):
+        if node.tag in HEADINGS or id(node) in headed:
+            headed.add(id(node))
+            headed.add(id(node.parent))
+    within: set[int] = set()
+    for node in nodes:
+        if node.tag in ("article", "main") or id(node.parent) in within:
+            within.add(id(node))
+        elif node.tag == "header":
+            node.noise = True
+        if node.tag == "header" and id(node) not in headed:
+            node.noise = True
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
+from starloom.llm.queries import QUERIES
 from starloom.llm import (
     bpe,
     chat,
@@ -680,3 +681,86 @@ def test_many_keys_in_one_text(spark):
     spans = [tuple(s) for s in rows[1].base]
     want = [(m.start(), k, m.end()) for k, p in ((0, secrets.ASSIGN), (2, secrets.HEX)) for m in re.finditer(p.replace("\\x20", " "), text)]
     assert spans == sorted(want) and [tuple(s) for s in rows[2].base] == [(0, 0, 16)]
+
+
+def tagged(page):
+    """The page with plain blocks in place of the tags that name an article."""
+    return re.sub(r"(</?)(?:article|main)\b", r"\1div", page)
+
+
+def test_density_needs_no_article_tag(spark, sf_dir):
+    """On all given pages the densities choose the same text with and without the tag."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    assert pages and all(html_density.main_text(p) == html_density.main_text(tagged(p)) for p in pages)
+
+
+WORDY = "word " * 40
+WRAPPED = [
+    "<div class=x><div>{}</div></div>",
+    "<div><div><div>{}</div></div></div>",
+    "<table><tr><td>{}</td></tr></table>",
+    "<section><p>A short line before.</p>{}</section>",
+]
+
+
+@pytest.mark.parametrize("wrap", WRAPPED)
+def test_density_finds_the_content_in_plain_blocks(wrap):
+    menu = "<div>" + "".join(f'<a href="/{k}">entry {k}</a> ' for k in range(12)) + "</div>"
+    body = f"<h1>The title of it all</h1><p><b>{WORDY}<p>{WORDY}<i>and</i> more<blockquote>{WORDY}</blockquote>"
+    text = html_density.main_text(f"<body>{menu}{wrap.format(body)}{menu}</body>")
+    want = ["The title of it all", WORDY.strip(), f"{WORDY}and more", WORDY.strip()]
+    assert [t for t in text.split("\n\n") if not t.startswith("A short")] == want
+
+
+def test_a_word_in_a_class_does_not_drop_article_text():
+    kept = f'<section class="related-work"><h2>Related work</h2><p>{WORDY}</p></section><p class="social-science">A sentence of some length on society.</p>'
+    dropped = (
+        f'<div class="ad">Buy this now, it is good.</div><div class="user-comments"><p>{WORDY}</p></div><div class="ad-box">Buy.</div>'
+        f'<div class="related-posts"><ul><li><a href=x>{WORDY}</a></li></ul></div><div class="share-me"><form>x</form> to friends</div>'
+    )
+    text = html_density.main_text(f"<body><article><h1>T</h1><p>{WORDY}</p>{kept}{dropped}</article></body>")
+    assert text.split("\n\n") == ["T", WORDY.strip(), "Related work", WORDY.strip(), "A sentence of some length on society."]
+
+
+ODD = {
+    "quotes": '<a href="x>' * 90_000,
+    "apostrophes": "<p title='a>" * 80_000,
+    "ends": "<b>" * 8000 + "</i>" * 240_000,
+    "headers": "<header>" * 60_000 + "x" + "</header>" * 60_000,
+    "depth": "<div>" * 150_000 + "text " * 20 + "</div>" * 30_000,
+    "raw": "<title>" * 140_000,
+    "signs": "< " * 500_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(ODD))
+def test_odd_pages_of_a_megabyte(name):
+    start = time.process_time()
+    html_density.main_text(ODD[name])
+    assert time.process_time() - start < 4  # about a second each
+
+
+def plain_sums(node, share):
+    """Density sums by going down each subtree anew."""
+    if node.noise or not node.tag:
+        return []
+    here = sum(html_density.composite(c, share) for c in node.children if c.flow and not c.noise)
+    return [(here, node), *[x for c in node.children for x in plain_sums(c, share)]]
+
+
+def test_sums_and_choice_of_the_registered_query(spark, sf_dir):
+    """The query's rows against sums computed node by node on each given page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    got = {r.page_id: r for r in QUERIES["op1_html_text"](spark, sf_dir).collect()}
+    assert len(got) == len(pages)
+    for page in pages:
+        root = html_density.parse(page.html or "")
+        html_density.drop_page_headers(root)
+        chosen, threshold = html_density.content(root)
+        sums = plain_sums(root, root.link_chars / root.chars if root.chars else 0.0)
+        best = max(s for s, _ in sums)
+        assert root.best.density_sum == pytest.approx(best)
+        ids = {id(n) for s, n in sums}
+        assert chosen <= ids and (not chosen or all(n.density >= threshold or not n.parent for _, n in sums if id(n) in chosen and n is root.best))
+        text = "\n\n".join(html_density.blocks(root, chosen, threshold))
+        assert got[page.page_id].text == text and got[page.page_id].n_chars == len(text)
