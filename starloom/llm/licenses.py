@@ -11,11 +11,11 @@ of ``BAND`` diagonals to either side. A template is found wherever an alignment
 covers at least ``least`` of its words: what lies left and right of a find is
 aligned again, so repeated lines are found each. A statement must also bear the
 whole name of its license, without ``FILLER`` words and in any order, and no
-word or number of another; an SPDX identifier must stand exactly. Of an SPDX
-expression, the first license is found. Of overlapping finds the one
-with most matched words stays.
+word or number of another; so must a notice that names its license, and it holds no number that its template
+lacks. Licenses whose text holds another's are templates of their own, and of overlapping finds the one with most
+matched words stays. ``SPDX-License-Identifier`` is a template, too: of the expression behind it every known license is found.
 
-The templates are a fixed list, hence broadcast with the task. Documents only
+The templates are a fixed list, hence broadcast with the task; ``read_templates`` takes whole license texts from files, too. Documents only
 pass through. Null and empty texts match nothing; repeated rows are reported each; extra columns are ignored.
 """
 
@@ -24,24 +24,31 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm.common import text_column
-from starloom.llm.license_texts import BODIES, NAMES, STATEMENTS
+from starloom.llm.license_texts import BODIES, DISCLAIMERS, NAMES, STATEMENTS
 
 GRAM, SPAN, BAND, LEAST = 3, 3, 6, 0.8
 #: Words of names that do not tell licenses apart, and those that other texts use as well.
-FILLER, COMMON = frozenset({"license", "version", "universal"}), frozenset({"by", "clause", "general", "public"})
-IDENTIFIER = "SPDX-License-Identifier: {name}"
+FILLER, COMMON = frozenset({"license", "version", "universal"}), frozenset(
+    {"by", "clause", "general", "public", "no", "attribution", "software", "library"}
+)
+IDENTIFIER = "SPDX-License-Identifier"
 FINDS = "doc_id long, license string, form string, coverage double, matched long, start long, end long"
 _WORD = re.compile("[a-z0-9]+")
-# What goes on in a name after its last word: a further part of a version, of an identifier.
+# What goes on in a name after its last word: a further part of a version.
 _MORE_VERSION = re.compile(r"\.0*[1-9]")
-_MORE_IDENTIFIER = re.compile(r"\.0*[1-9]|-(?!only\b|or-later\b)[a-z0-9]")
+# An SPDX expression: identifiers, joined by operators, on one line.
+_BEGINS = re.compile(r"[ \t]*:[ \t]*")
+_IDENTIFIER = re.compile(r"[ \t(]*([A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?)\+?[ \t)]*")
+_OPERATOR = re.compile(r"(?:AND|OR|WITH)(?=[ \t(])", re.I)
+_SUFFIX = re.compile(r"-(?:only|or-later)$")
 _NONE = np.iinfo(np.uint64).max
 
 
@@ -53,8 +60,30 @@ def lower_ascii(text: str) -> str:
 
 def standard_templates() -> list[tuple[str, str, str]]:
     said = [(n, "statement", s.format(name=name)) for n, name in NAMES.items() for s in STATEMENTS]
-    said += [(n, "identifier", IDENTIFIER.format(name=n)) for n in NAMES]
-    return said + [(n, "notice", text) for n, text in BODIES.items()]
+    said += [("", "identifier", IDENTIFIER)]
+    said += [(n, "notice", text) for n, text in BODIES.items()]
+    whole = {n: DISCLAIMERS[n.split("-")[0]] for n in BODIES if n.split("-")[0] in DISCLAIMERS}
+    return said + [(n, "text", f"{BODIES[n]} {more}") for n, more in whole.items()]
+
+
+def read_templates(spark: SparkSession, path: str) -> list[tuple[str, str, str]]:
+    """The standard templates and whole license texts from files named by their identifiers, such as ``GPL-3.0.txt``."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name(), "value").collect()  # a list of licenses
+    return standard_templates() + [(unquote(name.rpartition("/")[2]).removesuffix(".txt"), "text", text) for name, text in files]
+
+
+def identifiers(text: str, at: int) -> Iterator[tuple[str, int, int]]:
+    """Known licenses of the SPDX expression that begins here, with their places."""
+    begins = _BEGINS.match(text, at)
+    at = begins.end() if begins else len(text)
+    while found := _IDENTIFIER.match(text, at):
+        license = KNOWN.get(_SUFFIX.sub("", lower_ascii(found.group(1))))
+        if license:
+            yield license, found.start(1), found.end(1)
+        operator = _OPERATOR.match(text, found.end())
+        if not operator:
+            return
+        at = operator.end()
 
 
 def name_words(license: str) -> frozenset[str]:
@@ -62,6 +91,7 @@ def name_words(license: str) -> frozenset[str]:
     return frozenset(_WORD.findall(lower_ascii(NAMES.get(license, "")))) - FILLER
 
 
+KNOWN = {lower_ascii(n): n for n in NAMES}
 #: Words that name a license wherever they stand.
 NAMING = frozenset(w for n in NAMES for w in name_words(n) if not w.isdigit()) - COMMON
 
@@ -145,26 +175,34 @@ class Templates:
             if not taken[first : last + 1].any():
                 taken[first : last + 1] = True
                 kept.append((number, matched, first, last))
-        return [
-            (*self.names[n], matched / len(self.numbers[n]), matched, spans[first][0], spans[last][1])
-            for n, matched, first, last in sorted(kept, key=lambda k: k[2])
-        ]
+        told: list[tuple] = []
+        for n, matched, first, last in sorted(kept, key=lambda k: k[2]):
+            start, end = spans[first][0], spans[last][1]
+            if self.names[n][1] != "identifier":
+                told.append((*self.names[n], matched / len(self.numbers[n]), matched, start, end))
+                continue
+            for number, (license, begin, stop) in enumerate(identifiers(text, end)):
+                count = len(_WORD.findall(low[begin:stop])) + (0 if number else matched)
+                told.append((license, "identifier", 1.0, count, begin if number else start, stop))
+        return told
 
     def named(self, number: int, span: list[str], low: str, end: int) -> bool:
         """Whether a stretch bears the name of the license that its template states."""
         license, form = self.names[number]
         if form == "identifier":
-            return span == self.words[number] and not _MORE_IDENTIFIER.match(low, end)
-        name = name_words(license) if form == "statement" else frozenset()
-        if not name or not name.issubset(self.words[number]):
+            return span == self.words[number]
+        own = set(self.words[number])
+        name = name_words(license)
+        if not name or not name.issubset(own):
             return True
         if any(w in NAMING and w not in name for w in span):
             return False
         start = next((k for k, w in enumerate(span) if w in name), len(span))
         rest = span[start:]
-        if not name.issubset(rest) or any(w.isdigit() and w not in name for w in rest):
+        numbers = name if form == "statement" else own
+        if not name.issubset(rest) or any(w.isdigit() and w not in numbers for w in rest):
             return False
-        return not (span[-1].isdigit() and _MORE_VERSION.match(low, end))
+        return not (form == "statement" and span[-1].isdigit() and _MORE_VERSION.match(low, end))
 
     def stretches(
         self, number: int, words: np.ndarray, hits: list[tuple[int, int]], least: float, band: int

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -19,6 +20,7 @@ from starloom.llm import (
     cuckoo,
     decontam,
     html_density,
+    license_texts,
     licenses,
     quality,
     secrets,
@@ -531,7 +533,7 @@ def test_license_names_match_in_full():
         "distributed under the terms of the GNU Lesser General Public License, version 2",
         "released under the Apache License, Version 1.0",
         "available under the GNU General Public License, version 3.1",
-        "SPDX-License-Identifier: MIT-0",
+        "SPDX-License-Identifier: MIT-Modern-Variant",
         "SPDX-License-Identifier: CC-BY-SA-3.0",
         "SPDX-License-Identifier: BSD-3-Clause-Clear",
     ):
@@ -764,3 +766,86 @@ def test_sums_and_choice_of_the_registered_query(spark, sf_dir):
         assert chosen <= ids and (not chosen or all(n.density >= threshold or not n.parent for _, n in sums if id(n) in chosen and n is root.best))
         text = "\n\n".join(html_density.blocks(root, chosen, threshold))
         assert got[page.page_id].text == text and got[page.page_id].n_chars == len(text)
+
+
+def test_notices_go_to_their_own_license():
+    scanner = licenses.Templates(licenses.standard_templates())
+    for name, body in license_texts.BODIES.items():
+        assert [(f[0], f[2]) for f in scanner.find(f"Some words. {body} More words.")] == [(name, 1.0)], name
+    bodies = license_texts.BODIES
+    for name, text, want in (
+        ("GPL, version 1", bodies["GPL-3.0"].replace("version 3", "version 1"), []),
+        ("MPL, v. 1.1", bodies["MPL-2.0"].replace("2.0", "1.1"), []),
+        ("BSD with its disclaimer", f"{bodies['BSD-3-Clause']} {license_texts.DISCLAIMERS['BSD']}", [("BSD-3-Clause", "text")]),
+        ("two in a row", f"{bodies['ISC']}\n\n{bodies['AGPL-3.0']}", [("ISC", "notice"), ("AGPL-3.0", "notice")]),
+    ):
+        assert [f[:2] for f in scanner.find(text)] == want, name
+
+
+def test_every_identifier_of_an_expression():
+    scanner = licenses.Templates(licenses.standard_templates())
+    for text, want in (
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]),
+        ("# SPDX-License-Identifier: (GPL-2.0-only WITH Some-note) AND (MIT OR BSD-3-Clause)", ["GPL-2.0", "MIT", "BSD-3-Clause"]),
+        ("SPDX-License-Identifier: Zebra-1.0 OR ISC\nOR MIT", ["ISC"]),
+        ("SPDX-License-Identifier: MIT and so on", ["MIT"]),
+        ("SPDX-License-Identifier: gpl-3.0+", ["GPL-3.0"]),
+        ("SPDX-License-Identifier MIT", []),
+    ):
+        found = scanner.find(text)
+        assert [f[0] for f in found] == want, text
+        assert all(lic.lower() in text[a:b].lower() for lic, _, _, _, a, b in found)
+
+
+def test_license_texts_from_files(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("Own license. You may use this text for whatever you like, and need not say so to anybody at all.")
+    templates = licenses.read_templates(spark, str(tmp_path))
+    text = "x y You may use this text for whatever you like and need not say so to anybody at all"
+    got = licenses.find_licenses(documents(spark, [(1, text)]), templates).collect()
+    assert [(r.license, r.form) for r in got] == [("Own-1.0", "text")]
+
+
+def in_order(template, text):
+    """Words of the template matched in order in the text, by the whole table."""
+    row = [0] * (len(text) + 1)
+    for own in template:
+        new = [0]
+        for k, word in enumerate(text):
+            new.append(max(row[k] + (own == word), row[k + 1], new[k]))
+        row = new
+    return row[-1]
+
+
+def test_the_registered_license_scan(spark, sf_dir):
+    """Every statement, notice and identifier that stands literally is found, and every find covers what it says."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    found = defaultdict(list)
+    for r in QUERIES["op9_licenses"](spark, sf_dir).collect():
+        found[r.doc_id].append(r)
+    word = re.compile("[a-z0-9]+")
+    templates = [(n, f, word.findall(t.lower())) for n, f, t in licenses.standard_templates() if n]
+    by_kind = {(n, f): [w for m, g, w in templates if (m, g) == (n, f)] for n, f, _ in templates}
+    for doc_id, text in texts.items():
+        spans = [m.span() for m in word.finditer(text.lower())]
+        said = " " + " ".join(word.findall(text.lower())) + " "
+        starts = {}
+        at = 1
+        for k, (a, b) in enumerate(spans):
+            starts[at] = k
+            at += b - a + 1
+        for name, form, own in templates:
+            needle = " " + " ".join(own) + " "
+            where = said.find(needle)
+            while where >= 0:
+                first = starts[where + 1]
+                a, b = spans[first][0], spans[first + len(own) - 1][1]
+                follows = text[b : b + 2]
+                if not re.match(r"\.[1-9]", follows):
+                    assert any(r.start < b and a < r.end for r in found[doc_id]), (doc_id, name, form)
+                where = said.find(needle, where + 1)
+        for r in found[doc_id]:
+            if r.form != "identifier":
+                stretch = word.findall(text[r.start : r.end].lower())
+                best = max(in_order(w, stretch) for w in by_kind[r.license, r.form])
+                assert best >= r.matched >= 0.8 * min(len(w) for w in by_kind[r.license, r.form])
+    assert sum(map(len, found.values()))
