@@ -5,9 +5,11 @@ from queries import sql as S
 from queries.registry import register
 from starloom.operators import series as A
 from starloom.operators.halo import tag_cells
+from starloom.operators.pages import SeriesPages
 from starloom.plans.fold import FoldOptions, fold_rounds, fold_series
 from starloom.plans.percell import fold_per_cell
 from starloom.schema import CELL_ORDER, MAG_LIMIT, RADIUS_DEG2
+from starloom.session import Workspace
 
 # The fold, epoch by epoch, as a recursive query over positions (no truth label).
 FOLD = f"""
@@ -62,6 +64,25 @@ def series_assemble(spark, sf_dir):
     return A.assemble_series(fold_series(P.detections(spark, sf_dir)).pairs, page=4)
 
 
+@register(
+    "series_incremental",
+    SERIES
+    + """ SELECT object_id, part, count(*) AS n_detections,
+    string_agg(source_id, ',' ORDER BY epoch, source_id) AS detections
+    FROM (SELECT a.object_id AS object_id, b.epoch AS epoch, b.source_id AS source_id,
+                 CAST((row_number() OVER (PARTITION BY a.object_id ORDER BY b.epoch, b.source_id) - 1) // 6 AS INTEGER) AS part
+          FROM p) GROUP BY object_id, part""",
+)
+def series_incremental(spark, sf_dir):
+    """The pairs of three stretches of epochs, one after the other."""
+    work = Workspace(spark, "series-pages")
+    pairs = work.save(fold_series(P.detections(spark, sf_dir)).pairs, "pairs")
+    series = SeriesPages(spark, f"{work.path}/series", page=6)
+    for step, part in enumerate(["epoch <= 9", "epoch BETWEEN 10 AND 17", "epoch > 17"]):
+        series.extend(pairs.filter(part), step)
+    return series.pages()
+
+
 @register(
     "series_combined",
     SERIES

@@ -53,6 +53,19 @@ def rows_and_bytes(df: DataFrame) -> tuple[int, int]:
     return rows, size or 0
 
 
+def fits(reference: DataFrame, copies: DataFrame, most_rows: int, most_bytes: int) -> bool:
+    """Whether the reference with its border copies is small enough to broadcast.
+
+    A row has at most nine copies (a field more each), so a small reference needs no cells to tell; others are measured with
+    their copies.
+    """
+    rows, size = rows_and_bytes(reference)
+    if 9 * rows <= most_rows and 9 * (size + 16 * rows) <= most_bytes:
+        return True
+    rows, size = rows_and_bytes(copies)
+    return rows <= most_rows and size <= most_bytes
+
+
 def spread(left: DataFrame, right: DataFrame, rows_per_task: int) -> tuple[DataFrame, DataFrame]:
     """Deal the observations (left) of crowded keys over slots, and copy the references to them."""
     hot = hot_keys(left, "_key", rows_per_task)
@@ -114,7 +127,7 @@ def crossmatch(
     ``left_anti`` (observations with or without a partner). ``extra`` may use
     the observation columns and the reference columns with prefix ``ref_``.
 
-    ``broadcast`` measures the reference with its border copies first and is
+    ``broadcast`` measures the reference first (with its border copies, unless it is small) and is
     used only up to ``broadcast_rows`` and ``broadcast_bytes``; beyond that the
     join is a sort-merge join. The shuffled strategies split cells that hold
     more than ``rows_per_task`` observations.
@@ -127,10 +140,8 @@ def crossmatch(
 
     left = key_observations(observations, grid)
     right = key_reference(reference, grid)
-    if strategy == "broadcast":
-        rows, size = rows_and_bytes(right)
-        if rows > broadcast_rows or size > broadcast_bytes:
-            strategy = "merge"
+    if strategy == "broadcast" and not fits(reference, right, broadcast_rows, broadcast_bytes):
+        strategy = "merge"
     if strategy == "broadcast":
         return join_keyed(left, F.broadcast(right), condition, how, keys=("_key",))
 

@@ -16,19 +16,35 @@ def assemble_series(pairs: DataFrame, page: int = PAGE) -> DataFrame:
     """Wide form: the detections of each object, in epoch order, as comma lists.
 
     A series is cut into pages of ``page`` detections, numbered by ``part``
-    from 0 in time order; a task never holds more than a page as a list. The
-    place of a detection is the number of those in earlier epochs, from counts
-    per epoch, plus its place within the epoch.
+    from 0 in time order; a task never holds more than a page as a list. Objects of one page, all but
+    a few, are grouped at once. At most ``rows / page`` objects have more, so their list may be
+    broadcast whatever the input; only their detections are numbered.
     """
+    sizes = pairs.groupBy("object_id").agg(F.count(F.lit(1)).alias("_n"))
+    long = F.broadcast(sizes.filter(F.col("_n") > page).select("object_id"))
+    short = pairs.join(long, "object_id", "left_anti").withColumn("part", F.lit(0))
+    return written_pages(short.unionByName(in_pages(pairs.join(long, "object_id", "left_semi"), page)))
+
+
+def in_pages(pairs: DataFrame, page: int, begins: DataFrame | None = None) -> DataFrame:
+    """Add ``part``. The place of a detection is the number of those in earlier epochs, from counts
+    per epoch, plus its place within the epoch, plus ``begins`` (object_id, ``_held``) if there are detections before."""
     counts = pairs.groupBy("object_id", "epoch").agg(F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy("object_id").orderBy("epoch").rowsBetween(W.unboundedPreceding, -1)
     before = counts.select("object_id", "epoch", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = F.row_number().over(W.partitionBy("object_id", "epoch").orderBy("source_id")) - 1
+    placed = pairs.withColumn("_inside", inside).join(before, ["object_id", "epoch"])
     place = F.col("_before") + F.col("_inside")
+    if begins is not None:
+        placed = placed.join(begins, "object_id", "left")
+        place = place + F.coalesce("_held", F.lit(0))
+    return placed.withColumn("part", F.floor(place / page).cast("int")).select("object_id", "epoch", "source_id", "part")
+
+
+def written_pages(parts: DataFrame) -> DataFrame:
+    """Pages as comma lists."""
     return (
-        pairs.withColumn("_inside", inside)
-        .join(before, ["object_id", "epoch"])
-        .groupBy("object_id", F.floor(place / page).cast("int").alias("part"))
+        parts.groupBy("object_id", "part")
         .agg(
             F.count(F.lit(1)).alias("n_detections"),
             F.array_sort(F.collect_list(F.struct("epoch", "source_id"))).alias("_series"),

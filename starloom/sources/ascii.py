@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from starloom.operators.numbering import number_in_order
 from starloom.session import Workspace
 
 # Fixed values of the file format.
@@ -111,8 +112,7 @@ def unique_sources(files: DataFrame, pattern: str = SOURCE_PATTERN) -> DataFrame
 
 def assign_epoch(files: DataFrame) -> DataFrame:
     """Number the catalogues by observation time, those without one last; ``files`` has one row per file."""
-    order = W.orderBy(F.col("obs_time").asc_nulls_last(), "file")
-    return files.withColumn("epoch", F.row_number().over(order))
+    return number_in_order(files, "epoch", F.col("obs_time").asc_nulls_last(), "file")
 
 
 def scan_ascii_catalog(

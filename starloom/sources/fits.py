@@ -17,7 +17,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.sources.ascii import assign_epoch, detection_id, unique_sources
+from starloom.session import Workspace
+from starloom.sources.ascii import assign_epoch, detection_id, readable, unique_sources
 
 # Fixed values of the format: block and card sizes, big-endian column types,
 # and the places of the values used.
@@ -125,7 +126,10 @@ def scan_fits_catalog(
     source_pattern: str = SOURCE_PATTERN,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """A directory of FITS catalogues as observations, one epoch per file."""
+    """A directory of FITS catalogues as observations, one epoch per file.
+
+    Rows without a position keep their number but are left out, as those of text catalogues.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -133,7 +137,8 @@ def scan_fits_catalog(
         .load(path)
         .select("path", F.col("path").alias("file"))
     )
-    headers = files.repartition("path").mapInPandas(_read_headers, RANGES)
+    # Stored, as both the ranges and the epochs need them: every header is read once.
+    headers = Workspace(spark, "fits").save(files.repartition("path").mapInPandas(_read_headers, RANGES), "headers")
     ranges = headers.filter("n_rows > 0").select(
         "*",
         F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1, F.lit(rows_per_range))).alias("first_row"),
@@ -145,6 +150,7 @@ def scan_fits_catalog(
     epochs = assign_epoch(headers.select("file", stamp.alias("obs_time")))
     return (
         ranges.mapInPandas(_read_range, ROWS)
+        .filter(readable())
         .join(unique_sources(epochs, source_pattern), "file")
         .select(
             "epoch", detection_id().alias("source_id"), "ra", "dec", "mag", "magerr", "obs_time", "file", "row_no"

@@ -24,13 +24,20 @@ FIELDS = [
 JOIN_FIELDS = 9  # the two-table joins use the first nine fields
 
 
-def read_observations(spark: SparkSession, path: str, fields: int = len(FIELDS)) -> DataFrame:
-    """Observation text; neighbour lists become arrays (empty for ``-``)."""
+def read_observations(
+    spark: SparkSession, path: str, fields: int = len(FIELDS), min_partitions: int | None = None
+) -> DataFrame:
+    """Observation text; neighbour lists become arrays (empty for ``-``).
+
+    ``min_partitions`` deals the rows anew where the files make fewer partitions than that.
+    """
     listed = F.col("border_cells")
     cells = F.when(
         listed == NO_NEIGHBOURS, F.array().cast("array<bigint>")
     ).otherwise(F.split(listed, ",").cast("array<bigint>"))
     rows = spark.read.csv(path, sep=" ", schema=", ".join(FIELDS))
+    if min_partitions and rows.rdd.getNumPartitions() < min_partitions:
+        rows = rows.repartition(min_partitions)
     rows = rows.withColumns(
         {"border_cells": cells, "obs_time": F.col("obs_time").cast("timestamp_ntz")}
     )

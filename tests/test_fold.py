@@ -3,9 +3,11 @@ import time
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from starloom.operators import groups
 from starloom.operators.halo import tag_cells
+from starloom.operators.pages import SeriesPages
 from starloom.operators.series import assemble_series
 from starloom.plans import fold
 from starloom.plans.fold import FoldOptions, fold_series, set_aside
@@ -192,3 +194,21 @@ def test_many_epochs_of_one_cell_take_linear_time():
 
     few, many = seconds(1000), seconds(10_000)
     assert many < 25 * few + 0.5
+
+
+def test_series_pages_rewrite_last_pages_only(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"o{o}", e, f"o{o}-{e}-{k}") for o in range(12) for e in range(1, 25) for k in range(int(rng.integers(0, 3)))]
+    rows += [("big", 5, f"b{k:03d}") for k in range(40)]
+    pairs = spark.createDataFrame(rows, "object_id string, epoch int, source_id string")
+    work = Workspace(spark, "test-pages")
+    series = SeriesPages(spark, f"{work.path}/s", page=7)
+    key = lambda df: sorted(tuple(r) for r in df.select("object_id", "part", "n_detections", "detections").collect())
+    for step, (low, high) in enumerate([(1, 4), (5, 9), (10, 10), (11, 24)]):
+        before = {(r.object_id, r.part): r.n_detections for r in series.pages().collect()}
+        series.extend(pairs.filter(F.col("epoch").between(low, high)), step)
+        written = spark.read.parquet(f"{work.path}/s/pages/step={step}").collect()
+        assert all(before.get((r.object_id, r.part), 0) < 7 for r in written)
+        assert key(series.pages()) == key(assemble_series(pairs.filter(F.col("epoch") <= high), page=7))
+    series.extend(pairs.filter("epoch >= 11"), 3)  # run again
+    assert key(series.pages()) == key(assemble_series(pairs, page=7))

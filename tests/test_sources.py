@@ -101,3 +101,27 @@ def test_fits_column_widths():
     cards = {"TFIELDS": "6", "TFORM1": "12X", "TFORM2": "1PE(9)", "TFORM3": "2M", "TFORM4": "E", "TFORM5": "3A", "TFORM6": "D"}
     offsets, kinds = fits._columns(cards)
     assert offsets == [0, 2, 10, 42, 46, 49] and kinds[3] == ">f4" and kinds[5] == ">f8"
+
+
+def test_numbers_in_order_by_many_tasks(spark):
+    from starloom.operators.numbering import number_in_order
+
+    keys = [(k * 7919) % 5000 for k in range(3000)]
+    df = spark.createDataFrame([(k, f"f{k}") for k in keys], "k int, name string").repartition(5)
+    numbered = number_in_order(df, "no", "k")
+    assert [r.k for r in numbered.orderBy("no").collect()] == sorted(keys)
+    assert sorted(r.no for r in numbered.collect()) == list(range(1, 3001))
+    assert number_in_order(df.limit(0), "no", "k").count() == 0
+    plan = numbered._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_minimum_of_partitions(spark, tmp_path):
+    from starloom.operators.halo import tag_cells
+
+    rows = spark.createDataFrame([(1, f"s{k}", 10.0 + k, 5.0, 12.0, 0.1) for k in range(20)], "epoch int, source_id string, ra double, dec double, mag double, magerr double")
+    rows = tag_cells(rows.withColumn("obs_time", F.lit("2024-01-01").cast("timestamp"))).coalesce(1)
+    obstext.write_observations(rows, str(tmp_path / "t"))
+    few, many = (obstext.read_observations(spark, str(tmp_path / "t"), obstext.JOIN_FIELDS, n) for n in (None, 9))
+    assert few.rdd.getNumPartitions() < 9 <= many.rdd.getNumPartitions() and len(many.columns) == 9
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
