@@ -51,7 +51,7 @@ def stream_late_backfill(spark, sf_dir):
     return state.pairs()
 
 
-def _cell_state(spark, sf_dir, rows, options):
+def _cell_state(spark, sf_dir, rows, options, sweep_minutes=60.0):
     work = Workspace(spark, "stream-cells")
     stored, waves = _waves(_slim(spark, sf_dir, rows), work)
     pairs = None
@@ -63,7 +63,7 @@ def _cell_state(spark, sf_dir, rows, options):
             .parquet(f"{work.path}/arrived")
         )
         pairs = run_cell_fold(
-            arriving, f"{work.path}/out", f"{work.path}/checkpoint", options
+            arriving, f"{work.path}/out", f"{work.path}/checkpoint", options, sweep_minutes=sweep_minutes
         )
     return pairs
 
@@ -73,6 +73,12 @@ def stream_cell_state(spark, sf_dir):
     return _cell_state(spark, sf_dir, P.detections, FoldOptions())
 
 
+@register("stream_cell_evict", EVICT_CELL)
+def stream_cell_evict(spark, sf_dir):
+    """Keyed state with dropping, borders included; the timers sweep between the waves."""
+    return _cell_state(spark, sf_dir, P.detections, FoldOptions(max_misses=MISSES), 0.0)
+
+
 WIDE_DEG2 = 0.02**2  # a radius for which the join cells are coarser than level 10
 WIDE = f"""WITH RECURSIVE {P.DETECTIONS}, obs AS (SELECT * FROM det),
 {FOLD.replace(repr(RADIUS_DEG2), repr(WIDE_DEG2))},

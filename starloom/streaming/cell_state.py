@@ -1,9 +1,16 @@
-"""The fold as keyed state: one reference list per sky cell.
+"""The fold as keyed state: the references of a sky cell, by small squares, in a map.
 
-Rows go to their own cell and, near a border, also to the cells they touch;
-each cell keeps the references it can see, with their count of missed epochs.
-Pairs are reported by the home cell of the detection. Foreign rows are judged
-with less context, which is exact as long as chains of detections, each just in
+Rows go to their own cell and, near a border, also to the cells they touch. A cell keeps the references it can
+see in a map from squares (a few radii wide) to lists, so a batch reads and writes the squares it touches, however many
+references the cell holds. Pairs are reported by the home cell of the detection.
+
+*Dropping.* Misses are counted by the epochs in which a reference's home cell was covered. Every cell tells its
+neighbours which epochs it covered (one message per task, cell and epoch), so copies of a reference across a border
+are dropped at the same epoch as the reference. Misses are counted when a reference is met again; in between
+a timer sweeps the cell and takes out references that have missed too many epochs to match ever again, with
+the epochs of the clock that nobody needs any more.
+
+Foreign rows are judged with less context, which is exact as long as chains of detections, each just in
 range of the next, stay shorter than the border strip (six radii at the default
 levels); ``StreamFold`` has no such limit.
 
@@ -14,92 +21,201 @@ bound them.
 
 from __future__ import annotations
 
+import json
+import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from starloom.functions.cells import MatchGrid
+from starloom.functions.cells import MatchGrid, cell_neighbours
 from starloom.operators.halo import halo_replicate, tag_cells
-from starloom.operators.neighbourhood import matched_pairs
 from starloom.plans.fold import FoldOptions, placed
 from starloom.schema import CELL_ORDER, FINE_ORDER
 
-STATE = "source_id string, epoch int, ra double, dec double, mag double, misses int"
 OUTPUT = "object_id string, epoch int, source_id string"
-COLUMNS = [c.split()[0] for c in STATE.split(", ")]
+MESSAGE = ["cell", "home_cell", "source_id", "epoch", "ra", "dec", "mag"]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SQUARE_RADII = 8
+SWEEP_MINUTES = 60.0
+# Places in a stored reference.
+NAME, EPOCH, RA, DEC, MAG, HOME, LAST = range(7)
+
+
+class Squares:
+    """The touched squares of a cell, read once and written back if changed."""
+
+    def __init__(self, state, ra0: float, shrink: float, radius: float):
+        self.state, self.ra0, self.shrink, self.radius = state, ra0, shrink, radius
+        self.side = SQUARE_RADII * radius
+        self.held: dict[tuple[int, int], list[list]] = {}
+        self.changed: set[tuple[int, int]] = set()
+
+    def place(self, ra: float, dec: float, east: int = 0, north: int = 0) -> tuple[int, int]:
+        x = ((ra - self.ra0 + 180.0) % 360.0 - 180.0) * self.shrink + east * self.radius
+        return math.floor(x / self.side), math.floor((dec + north * self.radius) / self.side)
+
+    def read(self, place: tuple[int, int]) -> list[list]:
+        if place not in self.held:
+            stored = self.state.getValue(place)
+            self.held[place] = json.loads(stored[0]) if stored else []
+        return self.held[place]
+
+    def around(self, ra: float, dec: float) -> list[tuple[int, int]]:
+        """Squares with all that can be in range; right ascension shrunk by the field's least cosine."""
+        low, high = self.place(ra, dec, -1, -1), self.place(ra, dec, 1, 1)
+        return [(x, y) for x in range(low[0], high[0] + 1) for y in range(low[1], high[1] + 1)]
+
+    def write(self) -> None:
+        for place in self.changed:
+            refs = self.held[place]
+            if refs:
+                self.state.updateValue(place, (json.dumps(refs),))
+            else:
+                self.state.removeKey(place)
 
 
 class CellFold(StatefulProcessor):
-    def __init__(self, options: FoldOptions):
+    def __init__(self, options: FoldOptions, sweep_minutes: float = SWEEP_MINUTES):
         self.radius_deg2 = options.radius_deg2
         self.max_misses = options.max_misses
         self.mag_limit = options.mag_limit
+        self.sweep_ms = max(1, int(sweep_minutes * 60_000))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.references = handle.getListState("references", STATE)
+        self.handle = handle
+        self.frame = handle.getValueState("frame", "ra0 double, shrink double")
+        self.spots = handle.getMapState("spots", "x bigint, y bigint", "refs string")
+        self.clocks = handle.getMapState("clocks", "home bigint", "epochs string")
+
+    def squares(self, ra: float, dec: float) -> Squares:
+        """The grid of this cell, laid down by the first row it sees."""
+        if not self.frame.exists():
+            # A cell and its strip reach less than a fifth of a degree; near a pole all is one column.
+            self.frame.update((ra, max(0.0, math.cos(math.radians(min(90.0, abs(dec) + 0.2))))))
+        ra0, shrink = self.frame.get()
+        return Squares(self.spots, ra0, shrink, math.sqrt(self.radius_deg2))
+
+    def clock(self, home: int) -> list[int]:
+        if home not in self.known:
+            stored = self.clocks.getValue((home,))
+            self.known[home] = json.loads(stored[0]) if stored else []
+        return self.known[home]
+
+    def gone(self, ref: list, now: int | None = None) -> bool:
+        """Whether a reference has missed too many epochs of its home cell before this one (or so far)."""
+        if self.max_misses is None or ref[MAG] is None or not ref[MAG] < self.mag_limit:
+            return False
+        clock = self.clock(ref[HOME])
+        end = len(clock) if now is None else bisect_left(clock, now)
+        return end - bisect_right(clock, ref[LAST]) >= self.max_misses
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        refs = pd.DataFrame(list(self.references.get()), columns=COLUMNS)
-        batch = pd.concat(list(rows), ignore_index=True).astype({"source_id": object})
-        pairs = []
-        for _, now in batch.groupby("epoch", sort=True):
-            refs, found = self.step(refs, now.reset_index(drop=True))
-            pairs.append(found)
-        if len(refs):
-            self.references.put([tuple(r) for r in refs[COLUMNS].itertuples(index=False)])
-        else:
-            self.references.clear()
-        told = pd.concat(pairs, ignore_index=True)
+        batch = pd.concat(list(rows), ignore_index=True)
+        self.known: dict[int, list[int]] = {}
+        cell = int(key[0])
+        if self.max_misses is not None:
+            covers = batch[batch["source_id"].isna() | (batch["home_cell"] == cell)]
+            for home, epochs in covers.groupby("home_cell")["epoch"]:
+                merged = sorted({*self.clock(int(home)), *epochs.astype(int).tolist()})
+                self.known[int(home)] = merged
+                self.clocks.updateValue((int(home),), (json.dumps(merged),))
+            if not list(self.handle.listTimers()):
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.sweep_ms)
+        batch = batch[batch["source_id"].notna()].sort_values("epoch", kind="stable")
+        found: list[tuple] = []
+        if len(batch):
+            mags = [None if pd.isna(m) else float(m) for m in batch["mag"]]
+            detections = list(zip(batch["source_id"], batch["epoch"].astype(int), batch["ra"], batch["dec"], mags, batch["home_cell"].astype(int)))
+            squares = self.squares(detections[0][RA], detections[0][DEC])
+            at = 0
+            while at < len(detections):
+                end = at
+                while end < len(detections) and detections[end][EPOCH] == detections[at][EPOCH]:
+                    end += 1
+                found += self.step(squares, detections[at:end], cell)
+                at = end
+            squares.write()
+        told = pd.DataFrame(found, columns=["object_id", "epoch", "source_id"])
         yield told.astype({"object_id": object, "epoch": "int32", "source_id": object})
 
-    def step(self, refs: pd.DataFrame, now: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    def step(self, squares: Squares, now: list[tuple], cell: int) -> list[tuple]:
         """One epoch: match, count misses, drop, and take in what is new."""
-        own = (now["home_cell"] == now["cell"]).to_numpy()
-        hit = np.zeros(len(refs), dtype=bool)
-        known = np.zeros(len(now), dtype=bool)
-        found = []
-        at = [refs["ra"].to_numpy(float), refs["dec"].to_numpy(float)]
-        to = [now["ra"].to_numpy(float), now["dec"].to_numpy(float)]
-        since, epoch = refs["epoch"].to_numpy(), now["epoch"].to_numpy()
-        for r, o in matched_pairs(*at, *to, self.radius_deg2):
-            later = epoch[o] > since[r]  # a split or late exposure is not matched backwards
-            r, o = r[later], o[later]
-            hit[r] = True
-            known[o] = True
-            r, o = r[own[o]], o[own[o]]
-            found.append(
-                pd.DataFrame(
-                    {
-                        "object_id": refs["source_id"].to_numpy()[r],
-                        "epoch": now["epoch"].to_numpy()[o],
-                        "source_id": now["source_id"].to_numpy()[o],
-                    }
-                )
-            )
-        missed = np.where(hit, 0, refs["misses"].to_numpy(np.int32) + int(own.any()))
-        refs = refs.assign(misses=missed.astype(np.int32))
-        if self.max_misses is not None:
-            gone = (refs["misses"] >= self.max_misses) & (refs["mag"] < self.mag_limit)
-            refs = refs[~gone]
-        fresh = now[~known].assign(misses=np.int32(0))[COLUMNS]
-        empty = pd.DataFrame({"object_id": [], "epoch": [], "source_id": []})
-        refs = pd.concat([refs, fresh], ignore_index=True) if len(refs) else fresh
-        return refs, pd.concat(found, ignore_index=True) if found else empty
+        met: list[tuple[int, list, tuple[int, int]]] = []
+        for number, row in enumerate(now):
+            for place in squares.around(row[RA], row[DEC]):
+                met += [(number, ref, place) for ref in squares.read(place) if ref[EPOCH] < row[EPOCH] and self.near(ref, row)]
+        epoch = now[0][EPOCH]
+        dropped: set[int] = set()
+        judged: set[int] = set()
+        for _, ref, place in met:
+            if id(ref) in judged:
+                continue
+            judged.add(id(ref))
+            squares.changed.add(place)
+            if self.gone(ref, epoch):
+                dropped.add(id(ref))
+                squares.held[place].remove(ref)
+            else:
+                ref[LAST] = epoch
+        claimed = {number for number, ref, _ in met if id(ref) not in dropped}
+        found = [
+            (ref[NAME], epoch, now[number][NAME]) for number, ref, _ in met if id(ref) not in dropped and now[number][HOME] == cell
+        ]
+        for number, row in enumerate(now):
+            if number not in claimed:
+                place = squares.place(row[RA], row[DEC])
+                squares.read(place).append([*row, epoch])
+                squares.changed.add(place)
+        return found
+
+    def near(self, ref: list, row: tuple) -> bool:
+        rise = ref[DEC] - row[DEC]
+        gap = abs(ref[RA] - row[RA])
+        gap = min(gap, 360.0 - gap) * math.cos(math.radians((ref[DEC] + row[DEC]) / 2.0))
+        return gap * gap + rise * rise < self.radius_deg2
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Take out what can never match again, and epochs before all that is left."""
+        self.known = {}
+        least: dict[int, int] = {}
+        for place, stored in list(self.spots.iterator()):
+            refs = json.loads(stored[0])
+            kept = [r for r in refs if not self.gone(r)]
+            for r in kept:
+                least[r[HOME]] = min(least.get(r[HOME], r[LAST]), r[LAST])
+            if not kept:
+                self.spots.removeKey(tuple(place))
+            elif len(kept) < len(refs):
+                self.spots.updateValue(tuple(place), (json.dumps(kept),))
+        for home, stored in list(self.clocks.iterator()):
+            epochs = json.loads(stored[0])
+            # The latest stays: an exposure of that epoch may not be complete in a neighbour's messages.
+            needed = [e for e in epochs if e >= least.get(int(home[0]), epochs[-1])]
+            if len(needed) < len(epochs):
+                self.clocks.updateValue(tuple(home), (json.dumps(needed),))
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.sweep_ms)
+        yield pd.DataFrame({"object_id": [], "epoch": [], "source_id": []}).astype({"object_id": object, "epoch": "int32", "source_id": object})
 
     def close(self) -> None:
         pass
 
 
+def covered_epochs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each cell and epoch once per batch of rows."""
+    for batch in batches:
+        yield batch.drop_duplicates()
+
+
 def cell_fold(
     observations: DataFrame,
     options: FoldOptions = FoldOptions(),
     order: int = CELL_ORDER,
     fine_order: int = FINE_ORDER,
+    sweep_minutes: float = SWEEP_MINUTES,
 ) -> DataFrame:
     """Streaming observations to a stream of (object_id, epoch, source_id).
 
@@ -113,12 +229,17 @@ def cell_fold(
         raise ValueError(f"the radius is too wide for border strips of level {fine_order}")
     slim = observations.select("source_id", "epoch", "ra", "dec", "mag").filter(placed())
     tagged = tag_cells(slim, order, fine_order)
-    copies = halo_replicate(tagged).withColumn("epoch", F.col("epoch").cast("int"))
-    return copies.groupBy("cell").transformWithStateInPandas(
-        statefulProcessor=CellFold(options),
+    messages = halo_replicate(tagged).withColumn("epoch", F.col("epoch").cast("int")).select(*MESSAGE)
+    if options.max_misses is not None:
+        covered = tagged.select("cell", F.col("epoch").cast("int").alias("epoch")).mapInPandas(covered_epochs, "cell bigint, epoch int")
+        told = covered.select(F.col("cell").alias("home_cell"), "epoch", F.explode(F.array_compact(F.array_distinct(cell_neighbours("cell", order)))).alias("cell"))
+        empty = {"source_id": F.lit(None).cast("string"), **{c: F.lit(None).cast("double") for c in ("ra", "dec", "mag")}}
+        messages = messages.unionByName(told.withColumns(empty).select(*MESSAGE))
+    return messages.groupBy("cell").transformWithStateInPandas(
+        statefulProcessor=CellFold(options, sweep_minutes),
         outputStructType=OUTPUT,
         outputMode="Append",
-        timeMode="None",
+        timeMode="None" if options.max_misses is None else "ProcessingTime",
     )
 
 
@@ -128,6 +249,7 @@ def run_cell_fold(
     checkpoint: str,
     options: FoldOptions = FoldOptions(),
     state_partitions: int | None = None,
+    sweep_minutes: float = SWEEP_MINUTES,
 ) -> DataFrame:
     """Process what has arrived and return all pairs reported so far.
 
@@ -138,11 +260,14 @@ def run_cell_fold(
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
     provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Timers alone start no batch, or a run over what is there would never end.
+    empty_batches = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     if state_partitions:
         spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     try:
         query = (
-            cell_fold(observations, options)
+            cell_fold(observations, options, sweep_minutes=sweep_minutes)
             .writeStream.format("parquet")
             .option("checkpointLocation", checkpoint)
             .option("path", out)
@@ -154,4 +279,5 @@ def run_cell_fold(
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", empty_batches)
     return spark.read.schema(OUTPUT).parquet(out)
