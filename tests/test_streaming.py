@@ -1,3 +1,5 @@
+import json
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 from starloom.operators.halo import tag_cells
 from starloom.plans.fold import FoldOptions, fold_series
 from starloom.session import Workspace
-from starloom.streaming.cell_state import cell_fold, run_cell_fold
+from starloom.streaming.cell_state import CellFold, cell_fold, run_cell_fold
 from starloom.streaming.fold import StreamFold, run_stream
 from tests import brute
 
@@ -152,3 +154,90 @@ def test_compaction_bounds_the_files(spark):
     assert pair_set(state.pairs()) == brute.fold(rows)
     state.absorb(spark.createDataFrame([("new", 30, 10.0, 5.0, 12.0)], SCHEMA), 6)
     assert "new" in {r.source_id for r in state.references().collect()}
+
+
+def test_keyed_state_with_dropping_across_borders(spark):
+    """Cells covered in different epochs, copies on both sides of borders, sweeps between the batches."""
+    rows = brute.random_sky(54, stars=60, epochs=24, seen=0.12, spread=0.09, jitter=1e-4)
+    options = FoldOptions(max_misses=2, miss_clock="cell")
+    want = brute.fold(rows, max_misses=2, clock=cell_clock(spark, rows))
+    work = Workspace(spark, "test-keyed-borders")
+    for stream in arrive(spark, rows, work, [range(1, 9), range(9, 17), range(17, 25)]):
+        pairs = run_cell_fold(stream, f"{work.path}/out", f"{work.path}/checkpoint", options, sweep_minutes=0)
+    assert pair_set(pairs) == want != brute.fold(rows)
+    tagged = tag_cells(spark.createDataFrame(rows, SCHEMA))
+    assert tagged.filter("size(border_cells) > 0").count() > 20
+
+
+class Stored:
+    """A map state of the keyed form, in a dictionary that counts what is read."""
+
+    def __init__(self):
+        self.data, self.reads = {}, 0
+
+    def getValue(self, key):
+        self.reads += 1
+        return self.data.get(key)
+
+    def updateValue(self, key, value):
+        self.data[key] = value
+
+    def removeKey(self, key):
+        self.data.pop(key, None)
+
+    def iterator(self):
+        return iter(list(self.data.items()))
+
+    def exists(self):
+        return "frame" in self.data
+
+    def update(self, value):
+        self.data["frame"] = value
+
+    def get(self):
+        return self.data["frame"]
+
+
+class Handle:
+    def __init__(self):
+        self.timers, self.states = [], {}
+
+    def getValueState(self, name, *_):
+        return self.states.setdefault(name, Stored())
+
+    getMapState = getValueState
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Now:
+    def getCurrentProcessingTimeInMs(self):
+        return 0
+
+
+def test_a_sweep_frees_what_cannot_match_again_and_batches_read_touched_squares_only():
+    task = CellFold(FoldOptions(max_misses=2, miss_clock="cell"))
+    handle = Handle()
+    task.init(handle)
+
+    def feed(epoch, stars, mag=12.0):
+        columns = {"cell": 5, "home_cell": 5, "source_id": [f"s{s}_{epoch}" for s in stars], "epoch": epoch}
+        batch = pd.DataFrame({**columns, "ra": [10 + 0.01 * s for s in stars], "dec": 5.0, "mag": mag})
+        return list(task.handleInputRows((5,), iter([batch]), Now()))[0]
+
+    feed(1, range(40))
+    spots = handle.states["spots"]
+    spots.reads = 0
+    assert list(feed(2, [3])["object_id"]) == ["s3_1"] and spots.reads <= 4
+    feed(3, [3])
+    held = lambda: {r[0] for v in spots.data.values() for r in json.loads(v[0])}
+    assert len(held()) == 40
+    list(task.handleExpiredTimer((5,), Now(), None))
+    assert held() == {"s3_1"} and json.loads(handle.states["clocks"].data[(5,)][0]) == [3]
+    assert len(feed(4, [7])) == 0 and held() == {"s3_1", "s7_4"}  # found anew
+    assert list(feed(5, [3])["object_id"]) == ["s3_1"]
+    assert len(handle.timers) == 2
