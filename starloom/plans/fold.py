@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starloom.functions.cells import MatchGrid, cell_parent, with_sky_cell
@@ -106,9 +106,10 @@ class Resolver:
         self.options = options
         self.grid = options.match_grid()
         # The input is read once; what follows works on the stored, narrow rows.
-        stored = workspace.save(add_keys(observations, options), "rows")
+        # They lie in buckets of their keys, so the joins of all rounds move references only.
+        stored = workspace.save(add_keys(observations, options), "keyed")
         self.hot = workspace.save(hot_keys(stored, "_key", options.rows_per_task), "hot_keys")
-        self.rows = assign_slot(stored, self.hot, "_key")
+        self.rows = workspace.save_bucketed(assign_slot(stored, self.hot, "_key"), "rows", "_key", "_slot")
         self.clock = clock
         if options.max_misses is not None and clock is None:
             # Which cells were covered in which epochs: all that counting misses needs.
@@ -131,9 +132,9 @@ class Resolver:
         return later & (F.col("ref_gone_epoch").isNull() | (F.col("epoch") < F.col("ref_gone_epoch")))
 
     def leaders(self, undecided: DataFrame) -> DataFrame:
-        first = undecided.groupBy("_key", "_micro").agg(F.min("epoch").alias("epoch"))
-        first = copy_to_slots(first, self.hot, "_key").select("_micro", "_slot", "epoch")
-        return undecided.join(first, ["_micro", "_slot", "epoch"], "left_semi").select(*COLUMNS)
+        """The rows of the first undecided epoch of each spot (and slot, where a cell is crowded)."""
+        spot = Window.partitionBy("_key", "_slot", "_micro")
+        return undecided.withColumn("_first", F.min("epoch").over(spot)).filter("epoch = _first").select(*COLUMNS)
 
     def founders(self, leaders: DataFrame, undecided: DataFrame) -> DataFrame:
         """Leaders that no earlier undecided detection can still claim."""
@@ -207,9 +208,8 @@ class Resolver:
             name = f"{tag}-{number}/references"
             references = self.work.save(self.with_gone_epoch(founders), name)
             names.append(name)
-            undecided = self.work.save(
-                self.uncovered(undecided, references), f"{tag}-{number}/undecided"
-            )
+            rest = self.uncovered(undecided, references)
+            undecided = self.work.save_bucketed(rest, f"{tag}-{number}/undecided", "_key", "_slot", dealt=True)
             before, left = left, undecided.count()
             if left >= before:
                 raise RuntimeError(f"{left} detections stay undecided; is source_id unique?")

@@ -212,3 +212,32 @@ def test_series_pages_rewrite_last_pages_only(spark):
         assert key(series.pages()) == key(assemble_series(pairs.filter(F.col("epoch") <= high), page=7))
     series.extend(pairs.filter("epoch >= 11"), 3)  # run again
     assert key(series.pages()) == key(assemble_series(pairs, page=7))
+
+
+def exchanges(df):
+    """The shuffles of a plan, without those that bring a table to every task."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.strip() for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange SinglePartition" in line]
+
+
+def test_rounds_move_references_only(spark):
+    rows = brute.random_sky(43, stars=20, epochs=12, spread=0.03)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        work = Workspace(spark, "test-rounds")
+        resolver = fold.Resolver(work, frame(spark, rows), FoldOptions())
+        undecided = resolver.rows
+        for number in (1, 2):
+            assert exchanges(resolver.leaders(undecided)) == []
+            leaders = work.save(resolver.leaders(undecided), f"leaders-{number}")
+            references = work.save(resolver.with_gone_epoch(resolver.founders(leaders, undecided)), f"references-{number}")
+            rest = resolver.uncovered(undecided, references)
+            assert len(exchanges(rest)) == 1  # that of the references
+            undecided = work.save_bucketed(rest, f"undecided-{number}", "_key", "_slot", dealt=True)
+            assert len(exchanges(resolver.uncovered(undecided, references))) == 1
+        assert pair_set(fold.fold_rounds(frame(spark, rows)).pairs) == brute.fold(rows)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
