@@ -45,6 +45,19 @@ def crossmatch_merge(spark, sf_dir):
     return _match(spark, sf_dir, "merge")
 
 
+ALL_SQL = f"""WITH {P.DETECTIONS}, {S.pairs('det', 'det', 'p', 'a.epoch < b.epoch')}
+SELECT a.source_id AS id1, b.source_id AS id2 FROM p"""
+
+
+@register("crossmatch_adaptive", ALL_SQL)
+def crossmatch_adaptive(spark, sf_dir):
+    """All rows against all later ones, cells split by both sides wherever one holds more than a few rows."""
+    rows = P.detections(spark, sf_dir).select("source_id", "epoch", "ra", "dec")
+    later = F.col("epoch") > F.col("ref_epoch")
+    pairs = X.crossmatch(rows, rows, strategy="merge", extra=later, rows_per_task=10)
+    return pairs.select(F.col("ref_source_id").alias("id1"), F.col("source_id").alias("id2"))
+
+
 SEED = f"""{P.DETECTIONS},
 t1 AS (SELECT * FROM det WHERE epoch = (SELECT min(epoch) FROM det)),
 t2 AS (SELECT * FROM det WHERE epoch > (SELECT min(epoch) FROM det))"""

@@ -72,6 +72,22 @@ def spread(left: DataFrame, right: DataFrame, rows_per_task: int) -> tuple[DataF
     return assign_slot(left, hot, "_key"), copy_to_slots(right, hot, "_key")
 
 
+def spread_reference(
+    left: DataFrame, right: DataFrame, rows_per_task: int, counted: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Deal the references (right) of crowded keys over ``_part``, and copy the observations to them.
+
+    With ``spread`` before it, a cell crowded on both sides becomes a grid of slots and parts, in which
+    every pair meets once and no part holds more than ``rows_per_task`` of either side.
+    """
+    hot = hot_keys(counted, "_key", rows_per_task)
+    parts = F.coalesce("_slots", F.lit(1))
+    values = [c for c in right.columns if c not in ("_key", "_slot")]
+    dealt = right.join(F.broadcast(hot), "_key", "left").withColumn("_part", F.pmod(F.xxhash64(*values), parts).cast("int"))
+    copies = left.join(F.broadcast(hot), "_key", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return copies.drop("_slots"), dealt.drop("_slots")
+
+
 def create_match_views(
     reference: DataFrame,
     observations: DataFrame,
@@ -130,7 +146,7 @@ def crossmatch(
     ``broadcast`` measures the reference first (with its border copies, unless it is small) and is
     used only up to ``broadcast_rows`` and ``broadcast_bytes``; beyond that the
     join is a sort-merge join. The shuffled strategies split cells that hold
-    more than ``rows_per_task`` observations.
+    more than ``rows_per_task`` observations, and, for all pairs, references.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
@@ -145,10 +161,17 @@ def crossmatch(
     if strategy == "broadcast":
         return join_keyed(left, F.broadcast(right), condition, how, keys=("_key",))
 
+    keys: tuple[str, ...] = ("_key", "_slot")
+    copied = right
     left, right = spread(left, right, rows_per_task)
+    if how == "inner":
+        # Counted before the references were copied to slots: a slot sees all references of its cell.
+        hot = copied.select("_key")
+        left, right = spread_reference(left, right, rows_per_task, hot)
+        keys = (*keys, "_part")
     if strategy != "auto":
         right = right.hint(strategy)
-    return join_keyed(left, right, condition, how)
+    return join_keyed(left, right, condition, how, keys)
 
 
 def epoch_match(reference: DataFrame, observations: DataFrame, **options) -> DataFrame:

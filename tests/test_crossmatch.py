@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starloom.functions.separation import register_sql_functions
+from starloom.operators import crossmatch as X
 from starloom.operators.crossmatch import crossmatch, nearest_only
 from tests import brute
 
@@ -78,3 +79,23 @@ def test_unknown_strategy(spark):
     with pytest.raises(ValueError):
         crossmatch(df, df, strategy="loop")
     assert crossmatch(df, df).select(F.col("source_id")).count() == 1
+
+
+def test_cells_crowded_on_either_side_are_split(spark):
+    """One spot holds most of both lists: every pair once, and no join key with more than its share of either side."""
+    crowd = [(f"a{k}", 1, 10.0 + (k % 20) * 1e-4, 5.0) for k in range(300)]
+    sparse = [(f"b{k}", 2, 20.0 + k, 5.0) for k in range(20)]
+    schema = "source_id string, epoch int, ra double, dec double"
+    reference = spark.createDataFrame(crowd + sparse, schema)
+    observations = spark.createDataFrame([(f"o{i}", e, r, d) for i, e, r, d in crowd[:200] + sparse], schema)
+    got = X.crossmatch(reference, observations, strategy="merge", rows_per_task=40).select("ref_source_id", "source_id").collect()
+    want = X.crossmatch(reference, observations, strategy="merge").select("ref_source_id", "source_id").collect()
+    assert len(got) == len(set(got)) and set(got) == set(want) and len(got) > 200 * 100
+    grid = X.MatchGrid.for_radius()
+    left, right = X.key_observations(observations, grid), X.key_reference(reference, grid)
+    sides = X.spread_reference(*X.spread(left, right, 40), 40, right)
+    for side in sides:
+        sizes = [r["count"] for r in side.groupBy("_key", "_slot", "_part").count().collect()]
+        assert max(sizes) < 100
+    kept = X.crossmatch(reference, observations, how="left_anti", strategy="merge", rows_per_task=40)
+    assert kept.count() == 0
