@@ -123,21 +123,25 @@ def fit(
     docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS
 ) -> Model:
     chosen = F.broadcast(training_rows(labels, sample))  # at most ``sample`` rows of two numbers
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).join(chosen, "doc_id").select("doc_id", "text", "label")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).join(chosen, "doc_id")
+    texts = texts.select("doc_id", "label", F.xxhash64("text").alias("digest"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [terms(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(rows, type=pa.binary())], names=["doc_id", "label", "terms"]
-            )
-
-    # Repeated ids could make the sample larger than its bound; the rows that stay are chosen by their content.
-    found = texts.mapInArrow(run, "doc_id long, label double, terms binary").distinct()
-    rows = found.orderBy(F.xxhash64("doc_id", "label", "terms"), "doc_id", "label").limit(sample).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["terms"])))
-    matrix = np.array([np.frombuffer(r["terms"], dtype=np.float32) for r in rows]).reshape(-1, TERMS)
-    return decompose(matrix, np.array([r["label"] for r in rows]), dimensions, neighbours)
+            rows = [terms(t).tobytes() for t in batch.column(3).to_pylist()]
+            columns = [*batch.columns[:3], pa.array(rows, type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "digest", "terms"])
+
+    # Repeated ids could make the sample larger than its bound: rows count once, and those that stay are
+    # chosen by what they are. The choice is made on three numbers a row, the terms follow.
+    key = ["doc_id", "label", "digest"]
+    stay = texts.select(*key).distinct().orderBy(F.xxhash64(*key), *key).limit(sample)
+    found = texts.join(F.broadcast(stay), key, "left_semi").dropDuplicates(key)
+    rows = found.mapInArrow(run, "doc_id long, label double, digest long, terms binary").toArrow()
+    order = np.lexsort([rows.column(c).to_numpy() for c in reversed(key)])
+    flat = b"".join(rows.column("terms").to_pylist())
+    matrix = np.frombuffer(flat, dtype=np.float32).reshape(-1, TERMS)[order]
+    return decompose(matrix, rows.column("label").to_numpy()[order], dimensions, neighbours)
 
 
 def _scores(model: Model, texts: pa.Array) -> np.ndarray:
