@@ -146,13 +146,13 @@ def stream_too_late(spark, sf_dir):
 
 @register("stream_compacted", EVICT_CELL)
 def stream_compacted(spark, sf_dir):
-    """Six waves of five epochs, merged after every second one, with late exposures between."""
+    """Four waves of eight epochs, merged after every second one, with a late exposure between."""
     work = Workspace(spark, "stream-compacted")
     rows = work.save(_slim(spark, sf_dir), "all")
     state = StreamFold(spark, f"{work.path}/state", FoldOptions(max_misses=MISSES), compact_every=2)
     late = F.col("epoch") == 7
-    for n in range(6):
-        wave = F.col("epoch").between(5 * n + 1, 5 * n + 5 if n < 5 else 10_000)
-        state.absorb(rows.filter((wave & ~late) | (late if n == 3 else F.lit(False))), n)
+    for n in range(4):
+        wave = F.col("epoch").between(8 * n + 1, 8 * n + 8 if n < 3 else 10_000)
+        state.absorb(rows.filter((wave & ~late) | (late if n == 2 else F.lit(False))), n)
     state.vacuum()
     return state.pairs()
