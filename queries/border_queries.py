@@ -7,6 +7,8 @@ from queries import sql as S
 from queries.registry import register
 from starloom.operators import border as B
 from starloom.operators import halo
+from starloom.session import Workspace
+from starloom.streaming.deliveries import BorderDeliveries
 
 # New objects (the first detection of each star) against all detections.
 TAGGED = f"WITH {P.DETECTIONS}, {S.border('det')}, found AS (SELECT * FROM tagged {P.FIRST_SEEN})"
@@ -65,13 +67,26 @@ def border_directed_match(spark, sf_dir):
 DELAY = 8  # exposures of the target cell until a delivery has joined its reference list
 
 
-@register(
-    "border_backfill",
+BACKFILL = (
     DELIVERED
     + f""", covered AS (SELECT cell, list_sort(list(DISTINCT epoch)) AS epochs FROM tagged GROUP BY cell)
     SELECT object_id, cell AS target_cell, e2 AS epoch, source_id FROM sent JOIN covered USING (cell)
-    WHERE e2 > e1 AND e2 < coalesce([x for x in epochs if x > e1][{DELAY}], 2147483647)""",
+    WHERE e2 > e1 AND e2 < coalesce([x for x in epochs if x > e1][{DELAY}], 2147483647)"""
 )
+
+
+@register("border_backfill", BACKFILL)
 def border_backfill(spark, sf_dir):
     objects, rows = _tagged(spark, sf_dir)
     return B.backfill(B.joining_epochs(objects, rows, DELAY), rows)
+
+
+@register("stream_border_backfill", BACKFILL)
+def stream_border_backfill(spark, sf_dir):
+    """The same over waves of exposures: open deliveries are handed from one to the next."""
+    work = Workspace(spark, "stream-border")
+    objects, rows = (work.save(df, name) for df, name in zip(_tagged(spark, sf_dir), ("objects", "rows")))
+    state = BorderDeliveries(spark, f"{work.path}/state", DELAY)
+    for n, wave in enumerate(("epoch <= 6", "epoch BETWEEN 7 AND 14", "epoch BETWEEN 15 AND 22", "epoch > 22")):
+        state.absorb(objects.filter(wave), rows.filter(wave), n)
+    return state.pairs()

@@ -47,17 +47,6 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def one_per_epoch(rows: DataFrame) -> DataFrame:
-    """The first detection of each star in each epoch (an aggregate, no window)."""
-    keep = [c for c in rows.columns if c not in ("star", "epoch", "obs_time", "event_id")]
-    first = F.min(F.struct("obs_time", "event_id", *keep)).alias("first")
-    return rows.groupBy("star", "epoch").agg(first).select("star", "epoch", "first.*")
-
-
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return one_per_epoch(detections(spark, sf_dir))
-
-
 def first_seen(rows: DataFrame) -> DataFrame:
     """A reference list: the first detection of each star."""
     keep = [c for c in rows.columns if c not in ("star", "epoch", "event_id")]
@@ -112,29 +101,8 @@ det AS (
          ts AS obs_time, event_id, event_type
   FROM events)"""
 
-_ONE = """
-{name} AS (
-  SELECT * FROM {source} {where}
-  QUALIFY row_number() OVER (PARTITION BY star, epoch ORDER BY obs_time, event_id) = 1)"""
-
-OBSERVATIONS = DETECTIONS + "," + _ONE.format(name="obs", source="det", where="")
-
 FIRST_SEEN = "QUALIFY row_number() OVER (PARTITION BY star ORDER BY epoch, event_id) = 1"
 
-SHIPMENTS = """
-obs AS (
-  SELECT epoch, CAST(serial AS VARCHAR) AS source_id, star,
-         CAST(89.90 AS DOUBLE) + CAST(star % 200 AS DOUBLE) * CAST(0.05 AS DOUBLE)
-           + CAST((serial * 7) % 11 - 5 AS DOUBLE) * 1e-4 AS ra,
-         CAST(-74.5 AS DOUBLE) + CAST(star // 200 AS DOUBLE) * CAST(0.01 AS DOUBLE)
-           + CAST((serial * 13) % 11 - 5 AS DOUBLE) * 1e-4 AS dec,
-         CAST(8 AS DOUBLE) + CAST((star * 7) % 150 AS DOUBLE) / CAST(10 AS DOUBLE) AS mag
-  FROM (SELECT l_orderkey * 10 + l_linenumber AS serial, l_partkey AS star,
-               CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS INTEGER) AS epoch
-        FROM lineitem
-        QUALIFY row_number() OVER (PARTITION BY l_orderkey * 10 + l_linenumber
-                                   ORDER BY l_partkey, epoch) = 1))"""
-
 WHOLE_SKY = """
 sky AS (
   SELECT c_custkey AS star,

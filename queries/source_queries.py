@@ -13,7 +13,7 @@ from starloom.operators.series import assemble_series
 from starloom.plans.fold import fold_series
 from starloom.session import Workspace
 from starloom.sources import ascii as A
-from starloom.sources import fits, obstext
+from starloom.sources import fits, fits_source, obstext
 
 WRITTEN = f"WITH {P.DETECTIONS}, {render.CATALOGUES}"
 IN_FOLDER = r"catalog=([^/]+)/"  # the rendered files carry the name in their folder
@@ -83,8 +83,48 @@ def scan_fits(spark, sf_dir):
     return rows.select("epoch", "source_id", "ra", "dec", "mag", "magerr", _time_text())
 
 
+@register(
+    "read_fits_source",
+    WRITTEN + """ SELECT catalog, no_in_file AS row_no, ra, dec, started FROM (
+    SELECT *, row_number() OVER (PARTITION BY catalog ORDER BY event_id) - 1 AS no_in_file FROM written)""",
+)
+def read_fits_source(spark, sf_dir):
+    """The files as a data source in ranges of 8 KB; magnitudes are not decoded."""
+    folder = Workspace(spark, "fits-source").path
+    render.write_fits(P.detections(spark, sf_dir), folder)
+    rows = fits_source.read_fits(spark, folder, "file", "row_no", "ra", "dec", "started", glob="*.cat", bytes_per_range=8192)
+    started = F.substring(F.regexp_replace("started", r"\s+", "T"), 1, 22).alias("started")
+    return rows.select(A.source_name("file").alias("catalog"), "row_no", "ra", "dec", started)
+
+
+@register(
+    "stream_fits_source",
+    WRITTEN + " SELECT det_id AS source_id, ra, dec, CAST(mag AS FLOAT) AS mag, started FROM written",
+)
+def stream_fits_source(spark, sf_dir):
+    """Catalogues that arrive in two waves, read by a stream that goes on where it stopped."""
+    work = Workspace(spark, "fits-stream")
+    rows = work.save(P.detections(spark, sf_dir), "rows")
+    for wave in ("epoch <= 15", "epoch > 15"):
+        render.write_fits(rows.filter(wave), f"{work.path}/arrived")
+        arriving = fits_source.stream_fits(spark, f"{work.path}/arrived", "*.cat", rows_per_range=100)
+        named = arriving.withColumn("source", A.source_name("file")).withColumn("source_id", A.detection_id())
+        started = F.date_format("obs_time", "yyyy-MM-dd'T'HH:mm:ss.SS").alias("started")
+        writer = named.select("source_id", "ra", "dec", "mag", started).writeStream.format("parquet")
+        writer = writer.option("checkpointLocation", f"{work.path}/checkpoint").trigger(availableNow=True)
+        writer.start(f"{work.path}/out").awaitTermination()
+    return spark.read.parquet(f"{work.path}/out")
+
+
 TAGGED = f"WITH {P.DETECTIONS}, {S.border('det')}"
-TOUCHING = """(SELECT count(*) FROM touch WHERE touch.source_id = tagged.source_id)"""
+TOUCHING = """(SELECT coalesce(string_agg(border_cell, ',' ORDER BY border_cell), '')
+    FROM touch WHERE touch.source_id = tagged.source_id)"""
+
+
+def _touching():
+    """The foreign cells in order of their number."""
+    return F.array_join(F.array_sort("border_cells").cast("array<string>"), ",").alias("touching")
+
 
 
 def _text(spark, sf_dir):
@@ -96,7 +136,7 @@ def _text(spark, sf_dir):
 @register(
     "scan_obs_text",
     TAGGED
-    + f""" SELECT epoch, source_id, ra, dec, mag, magerr, cell, CAST({TOUCHING} AS INTEGER) AS n_border,
+    + f""" SELECT epoch, source_id, ra, dec, mag, magerr, cell, {TOUCHING} AS touching,
     strftime(obs_time, '%Y-%m-%dT%H:%M:%S.%f') AS obs_time, 0 AS miss_streak FROM tagged""",
 )
 def scan_obs_text(spark, sf_dir):
@@ -109,7 +149,7 @@ def scan_obs_text(spark, sf_dir):
         "mag",
         "magerr",
         "cell",
-        F.size("border_cells").alias("n_border"),
+        _touching(),
         F.date_format("obs_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("obs_time"),
         "miss_streak",
     )
@@ -143,13 +183,13 @@ def sink_obs_text(spark, sf_dir):
 @register(
     "sink_observation_table",
     TAGGED + f""" SELECT CAST(cell // 4096 AS INTEGER) AS coarse_cell, cell, epoch, source_id, ra, dec, mag, magerr,
-    CAST({TOUCHING} AS INTEGER) AS n_border FROM tagged""",
+    {TOUCHING} AS touching FROM tagged""",
 )
 def sink_observation_table(spark, sf_dir):
     folder = Workspace(spark, "table").path
     obstext.write_observation_table(halo.tag_cells(P.detections(spark, sf_dir)), folder)
     columns = ["coarse_cell", "cell", "epoch", "source_id", "ra", "dec", "mag", "magerr"]
-    return spark.read.parquet(folder).select(*columns, F.size("border_cells").alias("n_border"))
+    return spark.read.parquet(folder).select(*columns, _touching())
 
 
 @register(

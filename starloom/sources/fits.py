@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ RANGES = """path string, file string, date_text string, time_text string, data_s
 ROWS = "file string, row_no bigint, ra double, dec double, mag float, magerr float"
 
 
-def _open(path: str):
+def open_file(path: str):
     """An input file on whatever file system the path names."""
     system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
     return system.open_input_file(inner)
@@ -73,50 +74,80 @@ def _columns(cards: dict[str, str]) -> tuple[list[int], list[str]]:
     return offsets, kinds
 
 
+class TableHeader(NamedTuple):
+    """When a catalogue was taken, and where its table lies."""
+
+    date_text: str
+    time_text: str
+    data_start: int
+    row_bytes: int
+    n_rows: int
+    offsets: list[int]
+    kinds: list[str]
+
+
+def read_table_header(handle) -> TableHeader:
+    """The headers of a file, up to the first row of its table."""
+    first = _header(handle)
+    handle.seek(handle.tell() + _data_bytes(first))
+    attributes = _header(handle)
+    cards_start = handle.tell()
+    handle.seek(cards_start + TIME_CARD * CARD)
+    card = handle.read(CARD).decode("ascii")
+    handle.seek(cards_start + _data_bytes(attributes))
+    table = _header(handle)
+    place = handle.tell(), int(table["NAXIS1"]), int(table["NAXIS2"])
+    return TableHeader(card[DATE_AT], card[TIME_AT], *place, *_columns(table))
+
+
+def table_layout(header, columns: dict[str, int]) -> np.dtype:
+    """Rows of a table with these of its columns, by their places; ``header`` has offsets, kinds and row_bytes."""
+    return np.dtype(
+        {
+            "names": list(columns),
+            "formats": [header.kinds[i] for i in columns.values()],
+            "offsets": [header.offsets[i] for i in columns.values()],
+            "itemsize": header.row_bytes,
+        }
+    )
+
+
 def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for path, file in zip(batch["path"], batch["file"]):
-            with _open(path) as handle:
-                first = _header(handle)
-                handle.seek(handle.tell() + _data_bytes(first))
-                attributes = _header(handle)
-                cards_start = handle.tell()
-                handle.seek(cards_start + TIME_CARD * CARD)
-                card = handle.read(CARD).decode("ascii")
-                handle.seek(cards_start + _data_bytes(attributes))
-                table = _header(handle)
-                offsets, kinds = _columns(table)
-                rows.append(
-                    (path, file, card[DATE_AT], card[TIME_AT], handle.tell(),
-                     int(table["NAXIS1"]), int(table["NAXIS2"]), offsets, kinds)
-                )
+            with open_file(path) as handle:
+                rows.append((path, file, *read_table_header(handle)))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in RANGES.split(",")])
 
 
 def _read_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for r in batch.itertuples():
-            with _open(r.path) as handle:
+            with open_file(r.path) as handle:
                 handle.seek(r.data_start + r.first_row * r.row_bytes)
                 data = handle.read(r.range_rows * r.row_bytes)
             used = {"ra": RA, "dec": DEC, "mag": MAG, "magerr": MAGERR}
-            layout = np.dtype(
-                {
-                    "names": list(used),
-                    "formats": [r.kinds[i] for i in used.values()],
-                    "offsets": [r.offsets[i] for i in used.values()],
-                    "itemsize": r.row_bytes,
-                }
-            )
-            rows = np.frombuffer(data, dtype=layout)
-            yield pd.DataFrame(
-                {
-                    "file": r.file,
-                    "row_no": np.arange(r.first_row, r.first_row + len(rows)),
-                    **{c: rows[c].astype(rows[c].dtype.newbyteorder("=")) for c in used},
-                }
-            )
+            rows = np.frombuffer(data, dtype=table_layout(r, used))
+            read = {
+                "file": r.file,
+                "row_no": np.arange(r.first_row, r.first_row + len(rows)),
+                **{c: rows[c].astype(rows[c].dtype.newbyteorder("=")) for c in used},
+            }
+            if "obs_time" in batch.columns:
+                read["obs_time"] = pd.Series([r.obs_time] * len(rows), dtype="datetime64[ns]")
+            yield pd.DataFrame(read)
+
+
+def table_ranges(headers: DataFrame, rows_per_range: int) -> DataFrame:
+    """The ranges of rows that are read by themselves, dealt out."""
+    ranges = headers.filter("n_rows > 0").select(
+        "*",
+        F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1, F.lit(rows_per_range))).alias("first_row"),
+    )
+    return ranges.withColumn(
+        "range_rows", F.least(F.lit(rows_per_range), F.col("n_rows") - F.col("first_row"))
+    ).repartition("path", "first_row")
 
 
 def scan_fits_catalog(
@@ -139,13 +170,7 @@ def scan_fits_catalog(
     )
     # Stored, as both the ranges and the epochs need them: every header is read once.
     headers = Workspace(spark, "fits").save(files.repartition("path").mapInPandas(_read_headers, RANGES), "headers")
-    ranges = headers.filter("n_rows > 0").select(
-        "*",
-        F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1, F.lit(rows_per_range))).alias("first_row"),
-    )
-    ranges = ranges.withColumn(
-        "range_rows", F.least(F.lit(rows_per_range), F.col("n_rows") - F.col("first_row"))
-    ).repartition("path", "first_row")
+    ranges = table_ranges(headers, rows_per_range)
     stamp = F.to_timestamp_ntz(F.concat_ws("T", F.trim("date_text"), F.trim("time_text")))
     epochs = assign_epoch(headers.select("file", stamp.alias("obs_time")))
     return (

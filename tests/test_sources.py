@@ -7,7 +7,7 @@ from queries import render
 from starloom.operators.halo import tag_cells
 from starloom.session import Workspace
 from starloom.sources import ascii as A
-from starloom.sources import fits, obstext
+from starloom.sources import fits, fits_source, obstext
 
 
 def write_catalog(folder, name, started, rows):
@@ -125,3 +125,56 @@ def test_minimum_of_partitions(spark, tmp_path):
     few, many = (obstext.read_observations(spark, str(tmp_path / "t"), obstext.JOIN_FIELDS, n) for n in (None, 9))
     assert few.rdd.getNumPartitions() < 9 <= many.rdd.getNumPartitions() and len(many.columns) == 9
     assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
+def fits_files(folder):
+    rows = {}
+    for name, started, n in [("f2.cat", "2020-01-02T01:02:03.500", 700), ("f1.cat", "2020-01-01T00:00:00.000", 3), ("f0.cat", "", 0)]:
+        rows[name] = pd.DataFrame({"ra": [10 + i / 7 for i in range(n)], "dec": -1.5, "mag": 12.25, "magerr": 0.5})
+        (folder / name).write_bytes(render.fits_bytes(started, rows[name]))
+    (folder / "notes.txt").write_text("no catalogue")
+    return {(name, i, ra) for name, r in rows.items() for i, ra in enumerate(r.ra)}
+
+
+@pytest.mark.parametrize("size", [700, 2880, 1 << 27])
+def test_fits_source_in_ranges_of_any_size(spark, tmp_path, size):
+    want = fits_files(tmp_path)
+    df = fits_source.read_fits(spark, str(tmp_path), "file", "row_no", "ra", glob="*.cat", bytes_per_range=size)
+    got = [(r.file.rpartition("/")[2], r.row_no, r.ra) for r in df.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert df.rdd.getNumPartitions() == 3 or size < 1 << 27
+
+
+def test_fits_source_decodes_the_named_columns_only(spark, tmp_path):
+    fits_files(tmp_path)
+    df = fits_source.read_fits(spark, f"file://{tmp_path}", "mag", "started", glob="f*.cat")
+    assert df.columns == ["mag", "started"] and df.filter("mag <> 12.25").count() == 0
+    assert {r[0] for r in df.select("started").distinct().collect()} == {"2020-01-02T01:02:03.500", "2020-01-01T00:00:00.000"}
+    reader = fits_source.FitsReader(df.schema, {"path": str(tmp_path), "pathglobfilter": "f*.cat"})
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert sum(b.num_rows for b in batches) == 703 and batches[0].schema.names == ["mag", "started"]
+    with pytest.raises(Exception, match="no columns"):
+        spark.read.format("fits_catalog").schema("flux double").load(str(tmp_path)).collect()
+
+
+def test_fits_source_of_an_empty_folder(spark, tmp_path):
+    assert fits_source.read_fits(spark, str(tmp_path)).count() == 0
+
+
+def test_headers_of_arriving_files_are_read_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    want = fits_files(tmp_path / "in")
+
+    def run():
+        arriving = fits_source.stream_fits(spark, str(tmp_path / "in"), "*.cat", rows_per_range=100)
+        out = arriving.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint"))
+        out.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        rows = spark.read.parquet(str(tmp_path / "out")).select("file", "row_no", "ra").collect()
+        got = [(r.file.rpartition("/")[2], r.row_no, r.ra) for r in rows]
+        assert len(got) == len(set(got))
+        return set(got)
+
+    assert run() == want
+    more = pd.DataFrame({"ra": [float("nan"), 3.5], "dec": -1.5, "mag": 12.25, "magerr": 0.5})
+    (tmp_path / "in" / "f3.cat").write_bytes(render.fits_bytes("2020-01-03T00:00:00.000", more))
+    assert run() == want | {("f3.cat", 1, 3.5)}
