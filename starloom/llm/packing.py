@@ -116,19 +116,18 @@ class WordIds:
         self.known = Remembered(PARTS_KEPT)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False) if texts else ()
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else ()
         return [np.array(f.ids, dtype="<u4").tobytes() for f in found]
 
     def encode_parts(self, parts: list[str]) -> Iterator[bytes]:
         """A part's last token, and no other, is one that ends a word: so parts can be encoded together."""
         for low in range(0, len(parts), PARTS_AT_ONCE):
             some = parts[low : low + PARTS_AT_ONCE]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            data = self.encode([" ".join(some)])[0]
+            cuts = ((np.flatnonzero(self.ends[np.frombuffer(data, dtype="<u4")]) + 1) * 4).tolist()
             if len(cuts) != len(some):
                 yield from self.encode(some)
                 continue
-            data, cuts = ids.tobytes(), cuts.tolist()
             yield from (data[a:b] for a, b in zip([0, *cuts], cuts))
 
     def split(self, text: bytes) -> list[str | bytes]:
