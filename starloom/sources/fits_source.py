@@ -1,8 +1,9 @@
 """FITS catalogues as a Spark data source, and as a stream of arriving files.
 
 ``spark.read.format("fits_catalog").load(folder)`` gives the rows of all files. The driver lists names and
-sizes only; every file is cut into byte ranges, and the task of a range reads the file's headers (a few blocks) and
-decodes those table rows that begin in its range, ``BATCH_ROWS`` at a time. No header passes through the
+sizes only; every file is cut into byte ranges, and small ranges are dealt together, in order, so that a task has its
+share of the bytes. A task reads the headers of each of its files once (a few blocks) and
+decodes those table rows that begin in its ranges, ``BATCH_ROWS`` at a time. No header passes through the
 driver, and a file of any size is shared by many tasks. The columns of a schema given to the reader are
 the only ones decoded; a null or absent time stays null.
 
@@ -16,6 +17,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatch
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,12 @@ NAME = "fits_catalog"
 SCHEMA = ROWS + ", started string"
 VALUES = {"ra": RA, "dec": DEC, "mag": MAG, "magerr": MAGERR}
 BYTES_PER_RANGE, BATCH_ROWS = 128 << 20, 65_536
+#: Bytes of a task, unless there would be fewer tasks than ``minPartitions``; opening a file counts as so many bytes.
+BYTES_PER_TASK, MIN_PARTITIONS, OPEN_BYTES = 128 << 20, 64, 64 << 10
 
 
 @dataclass
-class FileRange(InputPartition):
+class FileRange:
     """Bytes ``start`` to ``stop`` of a file."""
 
     path: str
@@ -45,6 +49,30 @@ class FileRange(InputPartition):
     stop: int
 
 
+@dataclass
+class TaskRanges(InputPartition):
+    """What a task reads, a range or more of each of its files."""
+
+    ranges: list[FileRange]
+
+
+def dealt(ranges: list[FileRange], partitions: int) -> list[TaskRanges]:
+    """Neighbouring ranges together, those of one file as one, up to a task's share of the bytes; a larger range has its own task."""
+    weights = [r.stop - r.start + (OPEN_BYTES if not r.start else 0) for r in ranges]
+    share = min(BYTES_PER_TASK, -(-sum(weights) // max(1, partitions)))
+    tasks, held = [], 0
+    for one, weight in zip(ranges, weights):
+        if not tasks or held + weight > share:
+            tasks.append(TaskRanges([]))
+            held = 0
+        held += weight
+        mine = tasks[-1].ranges
+        if mine and (mine[-1].path, mine[-1].stop) == (one.path, one.start):
+            one = FileRange(one.path, mine.pop().start, one.stop)
+        mine.append(one)
+    return tasks
+
+
 def list_files(folder: str, glob: str) -> list[tuple[str, int]]:
     """Paths and sizes of the files below a folder whose names match, hidden ones left out."""
     uri = re.sub(r"^file:/+", "file:///", folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
@@ -60,24 +88,25 @@ class FitsReader(DataSourceReader):
         self.schema = schema
         self.folder, self.glob = options["path"], options.get("pathglobfilter", "*")
         self.size = int(options.get("bytesperrange", BYTES_PER_RANGE))
+        self.least = int(options.get("minpartitions", MIN_PARTITIONS))
 
-    def partitions(self) -> list[FileRange]:
+    def partitions(self) -> list[TaskRanges]:
         ranges = []
         for path, size in list_files(self.folder, self.glob):
             ranges += [FileRange(path, at, min(size, at + self.size)) for at in range(0, size, self.size)]
-        return ranges or [FileRange("", 0, 0)]
-
-    def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        with open_file(partition.path) as handle:
-            header = read_table_header(handle)
-            # A row belongs to the range in which its first byte lies.
-            first, last = (self.row_at(header, at) for at in (partition.start, partition.stop))
-            handle.seek(header.data_start + first * header.row_bytes)
-            for low in range(first, last, BATCH_ROWS):
-                count = min(BATCH_ROWS, last - low)
-                yield self.batch(partition.path, header, low, handle.read(count * header.row_bytes))
+        return dealt(ranges, self.least) or [TaskRanges([])]
+
+    def read(self, partition: TaskRanges) -> Iterator[pa.RecordBatch]:
+        for path, ranges in groupby(partition.ranges, lambda r: r.path):
+            with open_file(path) as handle:
+                header = read_table_header(handle)
+                for one in ranges:
+                    # A row belongs to the range in which its first byte lies.
+                    first, last = (self.row_at(header, at) for at in (one.start, one.stop))
+                    handle.seek(header.data_start + first * header.row_bytes)
+                    for low in range(first, last, BATCH_ROWS):
+                        count = min(BATCH_ROWS, last - low)
+                        yield self.batch(path, header, low, handle.read(count * header.row_bytes))
 
     @staticmethod
     def row_at(header: TableHeader, byte: int) -> int:
@@ -102,7 +131,7 @@ class FitsReader(DataSourceReader):
 
 
 class FitsSource(DataSource):
-    """``format("fits_catalog")``; options ``pathGlobFilter`` and ``bytesPerRange``."""
+    """``format("fits_catalog")``; options ``pathGlobFilter``, ``bytesPerRange`` and ``minPartitions``."""
 
     @classmethod
     def name(cls) -> str:
@@ -124,7 +153,8 @@ def read_fits(spark: SparkSession, folder: str, *columns: str, glob: str = "*",
     fields = dict(c.split() for c in SCHEMA.split(", "))
     schema = ", ".join(f"{c} {fields[c]}" for c in columns or fields)
     reader = spark.read.format(NAME).schema(schema).option("pathGlobFilter", glob)
-    return reader.option("bytesPerRange", bytes_per_range).load(folder)
+    partitions = max(MIN_PARTITIONS, 4 * spark.sparkContext.defaultParallelism)
+    return reader.option("bytesPerRange", bytes_per_range).option("minPartitions", partitions).load(folder)
 
 
 def stream_fits(spark: SparkSession, folder: str, glob: str = "*", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:

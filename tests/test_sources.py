@@ -145,6 +145,19 @@ def test_fits_source_in_ranges_of_any_size(spark, tmp_path, size):
     assert df.rdd.getNumPartitions() == 3 or size < 1 << 27
 
 
+def test_small_ranges_share_tasks_and_headers(spark, tmp_path, monkeypatch):
+    rows = pd.DataFrame({"ra": [10 + i / 7 for i in range(9000)], "dec": -1.5, "mag": 12.25, "magerr": 0.5})
+    (tmp_path / "f1.cat").write_bytes(render.fits_bytes("2020-01-01T00:00:00.000", rows))
+    df = fits_source.read_fits(spark, str(tmp_path), "row_no", "ra", bytes_per_range=1024)
+    assert df.rdd.getNumPartitions() <= 200 and {(r.row_no, r.ra) for r in df.collect()} == set(enumerate(rows.ra))
+    reader = fits_source.FitsReader(df.schema, {"path": str(tmp_path), "bytesperrange": "1024", "minpartitions": "5"})
+    tasks = reader.partitions()
+    assert 5 <= len(tasks) <= 7 and all(len(t.ranges) == 1 for t in tasks)
+    headers = []
+    monkeypatch.setattr(fits_source, "read_table_header", lambda h: headers.append(1) or fits.read_table_header(h))
+    assert sum(b.num_rows for t in tasks for b in reader.read(t)) == 9000 and len(headers) == len(tasks)
+
+
 def test_fits_source_decodes_the_named_columns_only(spark, tmp_path):
     fits_files(tmp_path)
     df = fits_source.read_fits(spark, f"file://{tmp_path}", "mag", "started", glob="f*.cat")
