@@ -29,6 +29,7 @@ COLUMN_BYTES = {"L": 1, "B": 1, "I": 2, "J": 4, "K": 8, "E": 4, "D": 8, "A": 1,
 RA, DEC, MAG, MAGERR = 4, 5, 10, 11  # columns of the table in the third header unit
 TIME_CARD, DATE_AT, TIME_AT = 52, slice(11, 21), slice(22, 35)
 ROWS_PER_RANGE = 500_000
+ROWS_AT_ONCE = 50_000  # rows of small ranges that are passed on as one frame
 SOURCE_PATTERN = r"([^/]+)\.[^./]{3}$"  # the file name without its ending
 
 RANGES = """path string, file string, date_text string, time_text string, data_start bigint,
@@ -122,32 +123,45 @@ def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _read_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of the ranges; a file is opened once per batch, and small ranges are told together."""
+    used = {"ra": RA, "dec": DEC, "mag": MAG, "magerr": MAGERR}
     for batch in batches:
-        for r in batch.itertuples():
-            with open_file(r.path) as handle:
-                handle.seek(r.data_start + r.first_row * r.row_bytes)
-                data = handle.read(r.range_rows * r.row_bytes)
-            used = {"ra": RA, "dec": DEC, "mag": MAG, "magerr": MAGERR}
-            rows = np.frombuffer(data, dtype=table_layout(r, used))
-            read = {
-                "file": r.file,
-                "row_no": np.arange(r.first_row, r.first_row + len(rows)),
-                **{c: rows[c].astype(rows[c].dtype.newbyteorder("=")) for c in used},
-            }
-            if "obs_time" in batch.columns:
-                read["obs_time"] = pd.Series([r.obs_time] * len(rows), dtype="datetime64[ns]")
-            yield pd.DataFrame(read)
+        for path, ranges in batch.sort_values(["path", "first_row"]).groupby("path", sort=False):
+            read: list[dict] = []
+            held = 0
+            with open_file(path) as handle:
+                for r in ranges.itertuples():
+                    handle.seek(r.data_start + r.first_row * r.row_bytes)
+                    data = handle.read(r.range_rows * r.row_bytes)
+                    rows = np.frombuffer(data, dtype=table_layout(r, used))
+                    places = {c: rows[c].astype(rows[c].dtype.newbyteorder("=")) for c in used}
+                    read.append({"row_no": np.arange(r.first_row, r.first_row + len(rows)), **places})
+                    held += len(rows)
+                    if held >= ROWS_AT_ONCE:
+                        yield _told(r, read, "obs_time" in batch.columns)
+                        read, held = [], 0
+            if read:
+                yield _told(r, read, "obs_time" in batch.columns)
+
+
+def _told(header, read: list[dict], timed: bool) -> pd.DataFrame:
+    """What was read of one file, as a frame."""
+    columns = {c: np.concatenate([part[c] for part in read]) for c in read[0]}
+    told = pd.DataFrame({"file": header.file, **columns})
+    if timed:
+        told["obs_time"] = pd.Series([header.obs_time] * len(told), dtype="datetime64[ns]")
+    return told
 
 
 def table_ranges(headers: DataFrame, rows_per_range: int) -> DataFrame:
-    """The ranges of rows that are read by themselves, dealt out."""
+    """The ranges of rows that are read by themselves, dealt out; neighbours of up to ``ROWS_PER_RANGE`` rows stay together."""
     ranges = headers.filter("n_rows > 0").select(
         "*",
         F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1, F.lit(rows_per_range))).alias("first_row"),
     )
     return ranges.withColumn(
         "range_rows", F.least(F.lit(rows_per_range), F.col("n_rows") - F.col("first_row"))
-    ).repartition("path", "first_row")
+    ).repartition("path", F.floor(F.col("first_row") / max(rows_per_range, ROWS_PER_RANGE)))
 
 
 def scan_fits_catalog(

@@ -158,6 +158,18 @@ def test_small_ranges_share_tasks_and_headers(spark, tmp_path, monkeypatch):
     assert sum(b.num_rows for t in tasks for b in reader.read(t)) == 9000 and len(headers) == len(tasks)
 
 
+def test_a_file_of_many_ranges_is_opened_once_per_batch(tmp_path, monkeypatch):
+    rows = pd.DataFrame({"ra": [10 + i / 7 for i in range(700)], "dec": -1.5, "mag": 12.25, "magerr": 0.5})
+    (tmp_path / "f1.cat").write_bytes(render.fits_bytes("2020-01-01T00:00:00.000", rows))
+    path = f"file://{tmp_path}/f1.cat"
+    header = next(fits._read_headers(iter([pd.DataFrame({"path": [path], "file": [path]})])))
+    ranges = header.merge(pd.DataFrame({"first_row": range(0, 700, 10), "range_rows": 10}), how="cross")
+    opened, open_file = [], fits.open_file
+    monkeypatch.setattr(fits, "open_file", lambda p: opened.append(p) or open_file(p))
+    told = pd.concat(fits._read_range(iter([ranges.sample(frac=1.0, random_state=1)])))
+    assert list(zip(told.row_no, told.ra)) == list(enumerate(rows.ra)) and len(opened) == 1
+
+
 def test_fits_source_decodes_the_named_columns_only(spark, tmp_path):
     fits_files(tmp_path)
     df = fits_source.read_fits(spark, f"file://{tmp_path}", "mag", "started", glob="f*.cat")
