@@ -1,6 +1,6 @@
 """The epoch fold cell by cell: one shuffle brings a cell's whole history to a task.
 
-A task sees its own rows and copies of foreign rows near the border. It divides them
+A task sees the rows of its cells, many small ones at a time, and copies of foreign rows near their borders. It divides a cell's rows
 into groups that cannot touch each other. A group of own rows only lies wholly in the cell, so
 the task goes through its epochs once and settles it: founders, hits, misses, dropping and restarts,
 and pairs. Groups with a foreign row stay open; they are few, and closed among themselves. They are
@@ -45,6 +45,8 @@ _DECIDED = pa.schema(
     + [("home", pa.int64()), ("last_epoch", pa.int32()), ("gone_epoch", pa.int32())]
 )
 PAIRS_AT_ONCE = 500_000
+#: Rows of small cells that a task settles at once.
+ROWS_AT_ONCE = 100_000
 
 
 def clocks_of(home: np.ndarray, epoch: np.ndarray) -> dict[int, np.ndarray]:
@@ -58,14 +60,14 @@ def clocks_of(home: np.ndarray, epoch: np.ndarray) -> dict[int, np.ndarray]:
 
 
 def decide(rows: pa.Table, options: FoldOptions, shared_clock: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Founders and pairs of the groups that lie wholly in a cell, then its other own rows."""
+    """Founders and pairs of the groups that lie wholly in a cell, then its other own rows; for one or more whole cells, sorted by key."""
 
     def numbers(name: str, kind: str) -> np.ndarray:
         return rows.column(name).to_numpy().astype(kind)
 
     names, own = rows.column("source_id").combine_chunks(), numbers("own", "bool")
     named = np.asarray(names.is_valid())
-    epoch, home = numbers("epoch", "int64"), numbers("home", "int64")
+    epoch, home, key = (numbers(c, "int64") for c in ("epoch", "home", "key"))
     if shared_clock is not None:
         clocks = {None: shared_clock}
     else:
@@ -77,7 +79,7 @@ def decide(rows: pa.Table, options: FoldOptions, shared_clock: np.ndarray | None
     names, own, epoch, home = names.take(pa.array(at)), own[at], epoch[at], home[at]
     last = pc.fill_null(rows.column("last_epoch").cast(pa.int64()), int(STAYS)).to_numpy()[at]
     field = Field(ra, dec, epoch, mag, home, clocks, options.radius_deg2, options.max_misses, options.mag_limit, last)
-    group = connected_groups(ra, dec, options.radius_deg2)
+    group = connected_groups(ra, dec, options.radius_deg2, key[at])
     foreign = np.zeros(len(group) + 1, dtype=bool)
     foreign[group[~own]] = True
     whole = ~foreign[group]
@@ -105,10 +107,31 @@ def decide(rows: pa.Table, options: FoldOptions, shared_clock: np.ndarray | None
 def settle(copies: DataFrame, options: FoldOptions, shared_clock: np.ndarray | None) -> DataFrame:
     """One pass: rows with ``key`` (the cell that sees them) and ``own`` to founders, pairs and open rows."""
 
-    def run(group: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(decide(group, options, shared_clock), schema=_DECIDED)
-
-    return copies.select("key", "own", *SLIM).groupBy("key").applyInArrow(run, DECIDED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells in whole_cells(batches):
+            yield from decide(cells, options, shared_clock)
+
+    return copies.select("key", "own", *SLIM).repartition("key").sortWithinPartitions("key").mapInArrow(run, DECIDED)
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch], rows_at_once: int = ROWS_AT_ONCE) -> Iterator[pa.Table]:
+    """Tables of whole cells from rows sorted by ``key``: so many rows that small cells share the work, or one large cell."""
+    held: list[pa.RecordBatch] = []
+    count, enough = 0, rows_at_once
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count < enough:
+            continue
+        rows = pa.Table.from_batches(held)
+        keys = rows.column("key").to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1], "left"))  # the last cell may go on
+        if cut:
+            yield rows.slice(0, cut)
+        held, count = rows.slice(cut).to_batches(), count - cut
+        enough = max(rows_at_once, 2 * count)
+    if count:
+        yield pa.Table.from_batches(held)
 
 
 def seen_by_cells(rows: DataFrame, order: int) -> DataFrame:

@@ -2,6 +2,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from starloom.operators import groups
 from starloom.operators.halo import tag_cells
 from starloom.operators.pages import SeriesPages
 from starloom.operators.series import assemble_series
-from starloom.plans import fold
+from starloom.plans import fold, percell
 from starloom.plans.fold import FoldOptions, fold_series, set_aside
 from starloom.plans.percell import fold_per_cell
 from starloom.schema import RADIUS_DEG2
@@ -179,6 +180,36 @@ def test_groups_in_a_task(seed):
         assert len(set(found.founders)) == len(found.founders) == len(rows) - len({b for _, b in want})
 
 
+def test_small_cells_share_the_work():
+    """Cells come whole, many to a table, and detections of different cells stay apart."""
+    keys = np.repeat(np.arange(50), np.arange(50) % 7 + 1).tolist() + [50] * 400 + [51] * 3
+    batches = pa.table({"key": keys}).to_batches(max_chunksize=11)
+    told = [t.column("key").to_pylist() for t in percell.whole_cells(iter(batches), 40)]
+    assert sum(told, []) == keys and len(told) < 10
+    assert sum(len(set(t)) for t in told) == 52
+    assert groups.connected_groups(*(np.full(4, 5.0),) * 2, RADIUS_DEG2, np.array([1, 1, 2, 9])).tolist() in ([0, 0, 1, 2], [0, 0, 2, 3])
+
+
+@pytest.mark.parametrize("misses", [None, 2])
+def test_many_small_groups_are_settled_together(monkeypatch, misses):
+    """Pairs of stars in hundreds of groups: the same as group by group, without a loop over the groups."""
+    rng = np.random.default_rng(7)
+    star = np.repeat(np.arange(600), 12)
+    rows = pd.DataFrame({"ra": 10 + 0.1 * (star // 2) + rng.normal(0, 6e-4, len(star)), "dec": 5.0 + rng.normal(0, 6e-4, len(star)), "epoch": rng.integers(1, 12, len(star)), "mag": 15.0})
+    field = one_field(rows, {None: np.arange(1, 12)}, misses)
+    group = groups.connected_groups(field.ra, field.dec, RADIUS_DEG2)
+
+    def settled():
+        found = groups.settle_groups(field, np.arange(len(rows)), group)
+        return set(zip(*(p.tolist() for p in found.pairs))), dict(zip(found.founders.tolist(), found.gone.tolist()))
+
+    with monkeypatch.context() as alone:
+        alone.setattr(groups, "MARCH_ROWS", 0)
+        want = settled()
+    monkeypatch.setattr(groups, "walk", None)
+    assert settled() == want and len(want[1]) > 600
+
+
 def test_many_epochs_of_one_cell_take_linear_time():
     def seconds(epochs):
         rng = np.random.default_rng(1)
