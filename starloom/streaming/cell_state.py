@@ -26,6 +26,7 @@ import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,11 +100,12 @@ class CellFold(StatefulProcessor):
         ra0, shrink = self.frame.get()
         return Squares(self.spots, ra0, shrink, math.sqrt(self.radius_deg2))
 
+    def read_clocks(self) -> None:
+        """The clocks of the cell and its neighbours, read in one go."""
+        self.known = {int(home[0]): json.loads(stored[0]) for home, stored in self.clocks.iterator()}
+
     def clock(self, home: int) -> list[int]:
-        if home not in self.known:
-            stored = self.clocks.getValue((home,))
-            self.known[home] = json.loads(stored[0]) if stored else []
-        return self.known[home]
+        return self.known.get(home, [])
 
     def gone(self, ref: list, now: int | None = None) -> bool:
         """Whether a reference has missed too many epochs of its home cell before this one (or so far)."""
@@ -114,22 +116,30 @@ class CellFold(StatefulProcessor):
         return end - bisect_right(clock, ref[LAST]) >= self.max_misses
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
+        batches = list(rows)
+        names, home, epoch, ra, dec, mag = ([v for b in batches for v in b[c].tolist()] for c in ("source_id", "home_cell", "epoch", "ra", "dec", "mag"))
+        named = [not pd.isna(n) for n in names]
         self.known: dict[int, list[int]] = {}
         cell = int(key[0])
         if self.max_misses is not None:
-            covers = batch[batch["source_id"].isna() | (batch["home_cell"] == cell)]
-            for home, epochs in covers.groupby("home_cell")["epoch"]:
-                merged = sorted({*self.clock(int(home)), *epochs.astype(int).tolist()})
-                self.known[int(home)] = merged
-                self.clocks.updateValue((int(home),), (json.dumps(merged),))
+            self.read_clocks()
+            covered: dict[int, set[int]] = {}
+            for h, e, n in zip(home, epoch, named):
+                if not n or h == cell:
+                    covered.setdefault(int(h), set()).add(int(e))
+            for h, epochs in covered.items():
+                before = self.clock(h)
+                merged = sorted({*before, *epochs})
+                if len(merged) > len(before):
+                    self.known[h] = merged
+                    self.clocks.updateValue((h,), (json.dumps(merged),))
             if not list(self.handle.listTimers()):
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.sweep_ms)
-        batch = batch[batch["source_id"].notna()].sort_values("epoch", kind="stable")
+        mags = (None if pd.isna(m) else float(m) for m in mag)
+        told = zip(names, epoch, ra, dec, mags, home, named)
+        detections = sorted(((n, int(e), r, d, m, int(h)) for n, e, r, d, m, h, is_row in told if is_row), key=lambda row: row[EPOCH])
         found: list[tuple] = []
-        if len(batch):
-            mags = [None if pd.isna(m) else float(m) for m in batch["mag"]]
-            detections = list(zip(batch["source_id"], batch["epoch"].astype(int), batch["ra"], batch["dec"], mags, batch["home_cell"].astype(int)))
+        if detections:
             squares = self.squares(detections[0][RA], detections[0][DEC])
             at = 0
             while at < len(detections):
@@ -139,8 +149,7 @@ class CellFold(StatefulProcessor):
                 found += self.step(squares, detections[at:end], cell)
                 at = end
             squares.write()
-        told = pd.DataFrame(found, columns=["object_id", "epoch", "source_id"])
-        yield told.astype({"object_id": object, "epoch": "int32", "source_id": object})
+        yield reported(found)
 
     def step(self, squares: Squares, now: list[tuple], cell: int) -> list[tuple]:
         """One epoch: match, count misses, drop, and take in what is new."""
@@ -180,7 +189,7 @@ class CellFold(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Take out what can never match again, and epochs before all that is left."""
-        self.known = {}
+        self.read_clocks()
         least: dict[int, int] = {}
         for place, stored in list(self.spots.iterator()):
             refs = json.loads(stored[0])
@@ -191,19 +200,24 @@ class CellFold(StatefulProcessor):
                 self.spots.removeKey(tuple(place))
             elif len(kept) < len(refs):
                 self.spots.updateValue(tuple(place), (json.dumps(kept),))
-        for home, stored in list(self.clocks.iterator()):
-            epochs = json.loads(stored[0])
+        for home, epochs in self.known.items():
             # The latest stays: an exposure of that epoch may not be complete in a neighbour's messages.
-            needed = [e for e in epochs if e >= least.get(int(home[0]), epochs[-1])]
+            needed = [e for e in epochs if e >= least.get(home, epochs[-1])]
             if len(needed) < len(epochs):
-                self.clocks.updateValue(tuple(home), (json.dumps(needed),))
+                self.clocks.updateValue((home,), (json.dumps(needed),))
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.sweep_ms)
-        yield pd.DataFrame({"object_id": [], "epoch": [], "source_id": []}).astype({"object_id": object, "epoch": "int32", "source_id": object})
+        yield reported([])
 
     def close(self) -> None:
         pass
 
 
+def reported(found: list[tuple]) -> pd.DataFrame:
+    objects, epochs, sources = zip(*found) if found else ((), (), ())
+    columns = {"object_id": np.array(objects, dtype=object), "epoch": np.array(epochs, dtype=np.int32)}
+    return pd.DataFrame({**columns, "source_id": np.array(sources, dtype=object)})
+
+
 def covered_epochs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each cell and epoch once per batch of rows."""
     for batch in batches:

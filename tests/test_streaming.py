@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -241,3 +242,18 @@ def test_a_sweep_frees_what_cannot_match_again_and_batches_read_touched_squares_
     assert len(feed(4, [7])) == 0 and held() == {"s3_1", "s7_4"}  # found anew
     assert list(feed(5, [3])["object_id"]) == ["s3_1"]
     assert len(handle.timers) == 2
+
+
+def test_clocks_of_a_cell_are_read_in_one_go():
+    task = CellFold(FoldOptions(max_misses=2, miss_clock="cell"))
+    handle = Handle()
+    task.init(handle)
+    for epoch in (1, 2):
+        covered = {"cell": 5, "home_cell": range(1, 10), "source_id": None, "epoch": epoch, "ra": np.nan, "dec": np.nan, "mag": np.nan}
+        row = {"cell": 5, "home_cell": 5, "source_id": f"s{epoch}", "epoch": epoch, "ra": 10.0, "dec": 5.0, "mag": 12.0}
+        told = list(task.handleInputRows((5,), iter([pd.DataFrame(covered), pd.DataFrame([row])]), Now()))[0]
+    assert told.values.tolist() == [["s1", 2, "s2"]] and str(told.dtypes["epoch"]) == "int32"
+    clocks = handle.states["clocks"]
+    assert len(clocks.data) == 9 and all(json.loads(v[0]) == [1, 2] for v in clocks.data.values())
+    list(task.handleExpiredTimer((5,), Now(), None))
+    assert clocks.reads == 0
