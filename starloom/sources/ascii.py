@@ -93,8 +93,8 @@ def number_rows(detections: DataFrame) -> DataFrame:
 
 
 def source_name(file: str = "file", pattern: str = SOURCE_PATTERN) -> Column:
-    """Name of a catalogue, cut from the path of its file."""
-    return F.regexp_extract(file, pattern, 1)
+    """Name of a catalogue, cut from the path of its file; the default pattern lies in the path's last part."""
+    return F.regexp_extract(F.substring_index(file, "/", -1) if pattern == SOURCE_PATTERN else file, pattern, 1)
 
 
 def detection_id(source: str = "source", number: str = "row_no") -> Column:

@@ -159,9 +159,11 @@ def table_ranges(headers: DataFrame, rows_per_range: int) -> DataFrame:
         "*",
         F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1, F.lit(rows_per_range))).alias("first_row"),
     )
+    # A fixed number of partitions: ranges are few bytes, so adaptive coalescing would leave the reading to one task.
+    tasks = int(headers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return ranges.withColumn(
         "range_rows", F.least(F.lit(rows_per_range), F.col("n_rows") - F.col("first_row"))
-    ).repartition("path", F.floor(F.col("first_row") / max(rows_per_range, ROWS_PER_RANGE)))
+    ).repartition(tasks, "path", F.floor(F.col("first_row") / max(rows_per_range, ROWS_PER_RANGE)))
 
 
 def scan_fits_catalog(

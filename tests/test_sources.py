@@ -170,6 +170,21 @@ def test_a_file_of_many_ranges_is_opened_once_per_batch(tmp_path, monkeypatch):
     assert list(zip(told.row_no, told.ra)) == list(enumerate(rows.ra)) and len(opened) == 1
 
 
+def test_ranges_are_read_by_many_tasks(spark):
+    rows = [(f"p{k}", 1000) for k in range(300)]
+    ranges = fits.table_ranges(spark.createDataFrame(rows, "path string, n_rows bigint"), 100)
+    tasks = ranges.withColumn("task", F.spark_partition_id())
+    assert tasks.select("path", "task").distinct().count() == 300
+    assert tasks.select("task").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_source_names(spark):
+    paths = ["file:/a.cat/b_1.cat", "b.cat", "/x/.cat", "/x/y.txt", "/x/y.z.cat", "/x.cat/", None, "/x/a.cat\n"]
+    df = spark.createDataFrame([(p,) for p in paths], "file string")
+    got = df.select(A.source_name(), F.regexp_extract("file", A.SOURCE_PATTERN, 1)).collect()
+    assert all(a == b for a, b in got) and got[0][0] == "b_1"
+
+
 def test_fits_source_decodes_the_named_columns_only(spark, tmp_path):
     fits_files(tmp_path)
     df = fits_source.read_fits(spark, f"file://{tmp_path}", "mag", "started", glob="f*.cat")
