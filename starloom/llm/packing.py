@@ -33,12 +33,12 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -54,15 +54,28 @@ OWN_QUEUES, REST_QUEUES = 1024, 64
 BROADCAST_ROWS = 1_000_000
 ONE = 1 << 16  # a token of credit
 
-#: Parts of texts longer than this are not remembered; of others up to twice so many.
-PART_CHARS, PARTS_KEPT = 48, 300_000
-#: Parts that are encoded as one text.
-PARTS_AT_ONCE = 500
+#: Parts of texts longer than this (in bytes) are not remembered; of others up to twice so many.
+PART_BYTES, PARTS_KEPT = 48, 300_000
+#: Parts that are encoded as one text; bytes of texts that are split together (a longer text goes alone).
+PARTS_AT_ONCE, BYTES_AT_ONCE = 500, 1 << 22
 
-# Fixed values of the vocabulary's splitting, for texts of ASCII and Latin-1 letters in lower case.
-LETTERS = "a-zß-öø-ÿ"
-PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9\\s]+")
-PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+# Fixed values of the vocabulary's splitting, for UTF-8 bytes of ASCII and Latin-1 letters. The latter are the byte
+# ``LEAD`` and a second one, but with 0x97 and 0xB7 (signs of multiplication and division).
+SPACE, LETTER, DIGIT, SIGN, ODD = range(5)
+LEAD = 0xC3
+
+
+def byte_class(b: int) -> int:
+    if b in b"\t\n\x0b\x0c\r ":
+        return SPACE
+    if b < 128:
+        c = chr(b)
+        return LETTER if c.isalpha() else DIGIT if c.isdigit() else SIGN if c.isprintable() else ODD
+    return LETTER if b == LEAD or b < 0xC0 and b not in (0x97, 0xB7) else ODD
+
+
+CLASSES = bytes(map(byte_class, range(256)))
+LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A or 0x80 <= b <= 0x9E else b for b in range(256))
 
 TOKENS = "chunk int, doc_id long, source string, before long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue int"
@@ -78,81 +91,124 @@ class Remembered:
     def __init__(self, limit: int):
         self.limit, self.now, self.before = limit, {}, {}
 
-    def missing(self, keys: set) -> list:
+    def missing(self, keys: list) -> list:
         if len(self.now) > self.limit:
             self.now, self.before = {}, self.now
-        absent = keys.difference(self.now)
-        old = absent.intersection(self.before)
-        self.now.update((k, self.before[k]) for k in old)
-        return list(absent.difference(old))
+        absent = [k for k in keys if k not in self.now]
+        old = {k: self.before[k] for k in absent if k in self.before}
+        self.now.update(old)
+        return [k for k in absent if k not in old]
 
     def forget_long(self, keys: list) -> None:
         for key in keys:
-            if len(key) > PART_CHARS:
+            if len(key) > PART_BYTES:
                 del self.now[key]
 
 
-def plain(text: str) -> bool:
-    """Whether ``PARTS`` splits a text as the vocabulary does: no other letters, no special token."""
-    return PLAIN.fullmatch(text) is not None and "<|" not in text
+def odd_words(data: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Places of all bytes of the words that are not plain: other letters or control characters, or "<|"."""
+    lead, second = data == LEAD, (data & 0xC0) == 0x80
+    alone = np.flatnonzero(lead[:-1] != second[1:])  # one byte of a letter without the other
+    special = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    odd = np.concatenate((np.flatnonzero(classes == ODD), np.where(lead[alone], alone, alone + 1), special))
+    change = np.diff((classes != SPACE).view(np.int8))
+    first, end = np.flatnonzero(change == 1) + 1, np.flatnonzero(change == -1) + 1
+    words = np.unique(np.searchsorted(first, odd, "right") - 1)
+    return repeat_ranges(first[words], end[words] - first[words])
+
+
+def split(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
+    """Parts of the texts, all found together: where each text's begin, their numbers, the distinct ones, which are odd.
+
+    Parts of plain words are in lower case. Words that are not plain are odd parts, whole and as they stand.
+    """
+    joined = b"\n".join([b"", *texts, b""])
+    data = np.frombuffer(joined.translate(LOWER), dtype=np.uint8)
+    classes = np.frombuffer(bytearray(joined.translate(CLASSES)), dtype=np.uint8)
+    stand = np.frombuffer(joined, dtype=np.uint8)
+    if not joined.isascii() or b"<|" in joined or (classes == ODD).any():
+        odd = odd_words(stand, classes)
+        classes[odd] = ODD
+        data = data.copy()
+        data[odd] = stand[odd]
+    begins = np.zeros(len(data), dtype=bool)
+    begins[1:] = ((classes[1:] != classes[:-1]) | (classes[1:] == DIGIT)) & (classes[1:] != SPACE)
+    # 's 't 'm 'd 're 've 'll after anything but a sign are parts, whatever follows.
+    quote = np.flatnonzero((data[:-1] == ord("'")) & (classes[:-1] == SIGN) & begins[:-1] & (classes[1:] == LETTER))
+    one, two = data[quote + 1], data[quote + 2]
+    pair = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    letters = np.where(np.isin(one, list(b"stmd")), 1, np.where(pair, 2, 0))
+    quote, letters = quote[letters > 0], letters[letters > 0]
+    begins[quote + 1] = False
+    begins[quote + 1 + letters] |= classes[quote + 1 + letters] != SPACE
+    start = np.flatnonzero(begins)
+    end = np.flatnonzero((begins[1:] | (classes[1:] == SPACE)) & (classes[:-1] != SPACE)) + 1
+    offsets = np.concatenate(([0], np.cumsum(end - start)))
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[classes != SPACE])]
+    parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), buffers).dictionary_encode()
+    is_odd = np.zeros(len(parts.dictionary), dtype=bool)
+    is_odd[parts.indices.to_numpy()[classes[start] == ODD]] = True
+    first = np.searchsorted(start, np.cumsum([1, *(len(t) + 1 for t in texts)]))
+    return first, parts.indices, parts.dictionary, is_odd
 
 
 class WordIds:
     """Token ids of texts, as bytes of unsigned 32-bit numbers, through the library.
 
     The vocabulary first splits a text into parts and encodes each by itself, so a part that was seen
-    is not encoded again. In plain texts the parts are found here; of other texts the words (never joined
-    across ASCII white space) that are not plain go to the library whole.
+    is not encoded again, and a part that comes often is looked up once per call. In plain words, of ASCII
+    and Latin-1 letters, the parts are found here; words (never joined across ASCII white space) that are not
+    plain go to the library whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.of_parts = Tokenizer.from_file(path)  # for parts, which are normalised and split already
+        self.of_parts.normalizer = normalizers.Sequence([])
+        by_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.of_parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), by_bytes])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known = Remembered(PARTS_KEPT)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else ()
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        decoded = [t.decode("utf-8", "replace") for t in texts]
+        found = self.tokenizer.encode_batch_fast(decoded, add_special_tokens=False) if texts else ()
         return [np.array(f.ids, dtype="<u4").tobytes() for f in found]
 
-    def encode_parts(self, parts: list[str]) -> Iterator[bytes]:
+    def encode_parts(self, parts: list[bytes]) -> Iterator[bytes]:
         """A part's last token, and no other, is one that ends a word: so parts can be encoded together."""
         for low in range(0, len(parts), PARTS_AT_ONCE):
             some = parts[low : low + PARTS_AT_ONCE]
-            data = self.encode([" ".join(some)])[0]
-            cuts = ((np.flatnonzero(self.ends[np.frombuffer(data, dtype="<u4")]) + 1) * 4).tolist()
+            found = self.of_parts.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)
+            ids = np.array(found[0].ids, dtype="<u4")
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(cuts) != len(some):
                 yield from self.encode(some)
                 continue
+            data = ids.tobytes()
             yield from (data[a:b] for a, b in zip([0, *cuts], cuts))
 
-    def split(self, text: bytes) -> list[str | bytes]:
-        """Parts of the text, and as bytes the words that are not plain."""
-        whole = text.decode("utf-8", "replace")
-        if plain(whole):
-            return PARTS.findall(whole.lower())
-        out: list[str | bytes] = []
-        for word in text.split():
-            letters = word.decode("utf-8", "replace")
-            if plain(letters):
-                out += PARTS.findall(letters.lower())
-            else:
-                out.append(word)
-        return out
-
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        new = self.known.missing(set().union(*split))
-        parts, odd = [p for p in new if isinstance(p, str)], [w for w in new if isinstance(w, bytes)]
+        first, numbers, distinct, is_odd = split(texts)
+        if not len(numbers):
+            return [b""] * len(texts)
+        keys = distinct.to_numpy(zero_copy_only=False).tolist()
+        odd = {keys[k] for k in np.flatnonzero(is_odd).tolist()}
+        new = self.known.missing(keys)
+        parts, words = [k for k in new if k not in odd], [k for k in new if k in odd]
         self.known.now.update(zip(parts, self.encode_parts(parts)))
-        self.known.now.update(zip(odd, self.encode([w.decode("utf-8", "replace") for w in odd])))
-        out = [b"".join(map(self.known.now.__getitem__, s)) for s in split]
+        self.known.now.update(zip(words, self.encode(words)))
+        found = pa.array(list(map(self.known.now.__getitem__, keys)), pa.large_binary()).take(numbers)
         self.known.forget_long(new)
-        return out
+        _, offsets, data = found.buffers()
+        cuts = np.frombuffer(offsets, dtype=np.int64)[first].tolist()
+        ids = memoryview(data) if data else b""
+        return [bytes(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 @functools.lru_cache(maxsize=2)
@@ -169,8 +225,11 @@ def tokenise(docs: DataFrame, path: str, end_token: int, source: str) -> DataFra
         end = np.array([end_token], dtype="<u4").tobytes()
         sent: dict[str, int] = {}
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            upto, low = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(), dtype=np.int64), 0
+            while low < batch.num_rows:
+                most = BYTES_AT_ONCE + (upto[low - 1] if low else 0)
+                high = max(low + 1, int(np.searchsorted(upto, most, "right")))
+                part, low = batch.slice(low, high - low), high
                 sources = part.column(1).to_pylist()
                 ids = [i + end for i in ids_of(part.column(2).to_pylist())]
                 counts = [len(i) // 4 for i in ids]

@@ -143,6 +143,48 @@ def test_packing_repeated_ids_and_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], schema), WORDS).count() == 0
 
 
+class Counted(dict):
+    """Counts what is looked up, and is not to be walked through."""
+
+    found = 0
+
+    def __getitem__(self, key):
+        self.found += 1
+        return super().__getitem__(key)
+
+    def __iter__(self):
+        raise AssertionError("all remembered parts were visited")
+
+
+def test_word_ids_look_up_a_part_once_per_call():
+    ids = packing.WordIds(WORDS)
+    ids.known.now, ids.known.before = Counted(), Counted(dog=b"")
+    texts = [b"The cat, the CAT; the cat's " * 50] * 40
+    expected = np.array(Tokenizer.from_file(WORDS).encode(texts[0].decode(), add_special_tokens=False).ids, dtype="<u4")
+    assert ids(texts) == [expected.tobytes()] * 40
+    assert ids.known.now.found <= 10  # the, cat, two signs and the ending are five
+
+
+@pytest.mark.parametrize("kept", [20, packing.PARTS_KEPT])
+def test_word_ids_are_those_of_the_library(monkeypatch, kept):
+    monkeypatch.setattr(packing, "PARTS_KEPT", kept)
+    rng, ids, library = random.Random(3), packing.WordIds(WORDS), Tokenizer.from_file(WORDS)
+    plain = [*"aabstmdrevl'''\"-.<|> \n\t\x0b019AZÀÖØÞßàöøÿ", "'s", "'re", "'LL", "it's", "x" * 60, " "]
+    odd = ["\x00", "\x1c", "\x7f", "\x85", "\xa0", *"×÷µ½’İﬁΣ", "日本", "é", "́", "😀", "<|endoftext|>"]
+    for _ in range(150):
+        signs = plain if rng.random() < 0.4 else plain + odd
+        texts = ["".join(rng.choices(signs, k=rng.choice([0, 1, 3, 30, 150]))) for _ in range(rng.randint(0, 12))]
+        found = [np.frombuffer(i, dtype="<u4").tolist() for i in ids([t.encode() for t in texts])]
+        assert found == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_word_ids_of_broken_utf8():
+    ids, library = packing.WordIds(WORDS), Tokenizer.from_file(WORDS)
+    for text in (b"\x80 a", b"a\xc3", b"\xc3 \xa9", b"\xc3\xc3\xa9 b", b"\xff\xc3\x97 C", b"A\xa9 \xc3\x89"):
+        found = np.frombuffer(ids([text])[0], dtype="<u4").tolist()
+        assert found == library.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+
+
 # --- Prefix trie ------------------------------------------------------------------
 
 
